@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .jaccard_join import ngram_jaccard_join
+from .scratch import Scratch
+from .shard_sort import histogram_sort_shards
+from .simhash import near_fingerprints, simhash_documents
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,4 +18,25 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_near``: other rows at most 3 bits away, for ids divisible by 20 (else null)."""
+    rows = Scratch(spark, "simhash").table(simhash_documents(_read(spark, sf_dir, "documents")), "prints")
+    queries = rows.where("doc_id % 20 = 0")
+    pairs = near_fingerprints(rows, queries, radius=3)
+    times = rows.groupBy("fingerprint").agg(F.count("*").alias("times"))
+    near = pairs.join(times, "fingerprint").groupBy("query").agg((F.sum("times") - 1).alias("found"))
+    full = rows.join(near.withColumnRenamed("query", "fingerprint"), "fingerprint", "left")
+    return full.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+                       F.when(F.col("doc_id") % 20 == 0, F.col("found")).alias("n_near"))
+
+
+def op9_shard_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = histogram_sort_shards(_read(spark, sf_dir, "documents"), shards=16, keep=["doc_id"])
+    return placed.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op7_simhash": op7_simhash,
+    "op9_shard_sort": op9_shard_sort,
+}

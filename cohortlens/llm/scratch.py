@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows handed to a Python worker at once; texts may be long.
 ARROW_ROWS = 512
@@ -64,3 +64,15 @@ class Scratch:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def below(probes: list[int], col: Column) -> Column:
+    """How many of the ascending probes are <= the column: a search tree of CASE expressions."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(col >= F.lit(probes[mid]).cast("long"), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(probes))
