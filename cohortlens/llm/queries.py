@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .jaccard_join import ngram_jaccard_join
+from .quality_rules import apply_policy, rule_ledger
 from .scratch import Scratch
 from .shard_sort import histogram_sort_shards
 from .simhash import near_fingerprints, simhash_documents
@@ -18,6 +19,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = apply_policy(rule_ledger(_read(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n_near``: other rows at most 3 bits away, for ids divisible by 20 (else null)."""
     rows = Scratch(spark, "simhash").table(simhash_documents(_read(spark, sf_dir, "documents")), "prints")
@@ -37,6 +43,7 @@ def op9_shard_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_quality_rules": op4_quality_rules,
     "op7_simhash": op7_simhash,
     "op9_shard_sort": op9_shard_sort,
 }
