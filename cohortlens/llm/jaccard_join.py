@@ -227,7 +227,7 @@ class SignatureTree:
     beyond one for each set bit; ``label``: components.
     """
 
-    FAN = 8
+    FAN = 24
 
     def __init__(self, n, bits, spare, label):
         order = np.argsort(n, kind="stable")
@@ -282,15 +282,20 @@ class SignatureTree:
         return most < required_overlap(level[3][x], level[3][y], num, den)
 
 
-def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
+#: Groups of more classes get fine bitmaps: with 4 bits for a token the bound lets too many of a large group's pairs through.
+LARGE_GROUP = 48
+FINE = 8
+
+
+def bitmap(places: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros(width // 8, np.uint8)
-    at = (tokens % np.uint64(width)).astype(np.int64)
+    at = (places % np.uint64(width)).astype(np.int64)
     np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
     return out
 
 
 def width_class(n: int) -> int:
-    """Bits of a bitmap: 4 for each token at least, so that few tokens share one; at most 65536."""
+    """Bits of a coarse bitmap: 4 for each token at least, so that few tokens share one; at most 65536."""
     return int(min(65536, max(256, 1 << int(4 * n - 1).bit_length())))
 
 
@@ -309,23 +314,30 @@ def _tree_pairs(num: int, den: int):
         n = group.column("n").to_numpy().astype(np.int64)
         label = group.column("root").to_numpy()
         shared = group.column("shared").to_numpy().astype(np.int64)
+        fine = group.column("fine").to_numpy(zero_copy_only=False)
         raw = group.column("bits")
         found = set()
         order = np.argsort(token, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(token[order]) != 0]) if len(order) else []
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
             rows = order[a:b]
-            width = np.array([len(raw[int(i)].as_py()) * 8 for i in rows])
+            maps = {}
+            for i in rows.tolist():
+                x = raw[i].as_py()
+                if fine[i]:
+                    maps[i] = bitmap(np.frombuffer(x, np.uint16).astype(np.uint64), min(65536, FINE * width_class(int(n[i]))))
+                else:
+                    maps[i] = np.frombuffer(x, np.uint8)
+            width = np.array([len(maps[i]) for i in rows.tolist()])
             for w in np.unique(width):
                 # Sets that may link differ in size by less than 2, so in width by one step at most.
                 own, above = rows[width == w], rows[width == 2 * w]
                 at = np.r_[own, above]
                 if len(at) < 2:
                     continue
-                maps = np.stack([np.frombuffer(raw[int(i)].as_py(), np.uint8) for i in own]
-                                + [fold(np.frombuffer(raw[int(i)].as_py(), np.uint8)) for i in above])
-                spare = shared[at] - np.bitwise_count(maps).sum(1, dtype=np.int64)
-                for i, j in SignatureTree(n[at], maps, spare, label[at]).pairs(num, den):
+                bits = np.stack([maps[i] for i in own.tolist()] + [fold(maps[i]) for i in above.tolist()])
+                spare = shared[at] - np.bitwise_count(bits).sum(1, dtype=np.int64)
+                for i, j in SignatureTree(n[at], bits, spare, label[at]).pairs(num, den).tolist():
                     x, y = int(digest[at[i]]), int(digest[at[j]])
                     found.add((min(x, y), max(x, y)))
         pairs = sorted(found)
@@ -338,9 +350,10 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.column("n").to_pylist()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("tokens")]
-        bits = [bitmap(t, width_class(k)).tobytes() for t, k in zip(sets, n)]
-        yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), pa.array([len(t) for t in sets], pa.int32()), pa.array(bits, pa.binary())],
-                                         ["digest", "n", "shared", "bits"])
+        coarse = [bitmap(t, width_class(k)).tobytes() for t, k in zip(sets, n)]
+        fine = [t.astype(np.uint16).tobytes() for t in sets]
+        cols = [batch.column("digest"), batch.column("n"), pa.array([len(t) for t in sets], pa.int32()), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["digest", "n", "shared", "coarse", "places"])
 
 
 def set_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -369,10 +382,12 @@ def linked_classes(docs: DataFrame, text_col: str, k: int, num: int, den: int, s
 
     labelled = entries.join(first.withColumnRenamed("node", "digest"), "digest", "left").select("token", "digest", F.coalesce("root", "digest").alias("root"))
     labelled = scratch.table(labelled, "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    marks = alive.select("digest", "n", "tokens").mapInArrow(_bitmaps, "digest long, n int, shared int, bits binary")
+    mixed = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo < hi")
+    mixed = mixed.select("token", (F.col("many") > LARGE_GROUP).alias("fine"))
+    marks = alive.select("digest", "n", "tokens").mapInArrow(_bitmaps, "digest long, n int, shared int, coarse binary, places binary")
     rest = labelled.join(mixed, "token").join(marks, "digest").select(
-        "token", "digest", "root", "n", "shared", "bits", F.expr(f"pmod(xxhash64(token), {4 * buckets})").alias("bucket"))
+        "token", "digest", "root", "n", "shared", "fine", F.when(F.col("fine"), F.col("places")).otherwise(F.col("coarse")).alias("bits"),
+        F.expr(f"pmod(xxhash64(token), {4 * buckets})").alias("bucket"))
     pairs = rest.groupBy("bucket").applyInArrow(_tree_pairs(num, den), _CANDIDATES).distinct()
     more = _verified(pairs, alive, num, den)
     root = first.select(F.col("node"), "root")
