@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bestfit_packing import pack_documents
+from .byte_bpe import encode_documents
 from .jaccard_join import ngram_jaccard_join
 from .quality_rules import apply_policy, rule_ledger
 from .scratch import Scratch
@@ -19,11 +21,23 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = apply_policy(rule_ledger(_read(spark, sf_dir, "documents"), keep=["doc_id"]))
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n_near``: other rows at most 3 bits away, for ids divisible by 20 (else null)."""
     rows = Scratch(spark, "simhash").table(simhash_documents(_read(spark, sf_dir, "documents")), "prints")
@@ -43,7 +57,9 @@ def op9_shard_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_bestfit_packing": op2_bestfit_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_simhash": op7_simhash,
     "op9_shard_sort": op9_shard_sort,
 }
