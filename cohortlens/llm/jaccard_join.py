@@ -16,7 +16,10 @@ Which texts link is decided exactly.  The steps:
    classes ordered by size, inner nodes with the OR of their token bitmaps and
    their range of sizes.  A traversal of pairs of nodes goes down only where the
    largest possible overlap reaches the least required one and the two nodes
-   aren't of one and the same component.  What is left is verified exactly.
+   aren't of one and the same component.  A first pass verifies only the likeliest
+   pairs of any two components and merges again, so that two large components with
+   many links between them don't give all those pairs; the second pass verifies
+   exactly whatever the trees leave.
 
 Hashes are of 64 bits (48 for candidates, where equal hashes can only add work).
 """
@@ -24,6 +27,7 @@ Hashes are of 64 bits (48 for candidates, where equal hashes can only add work).
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,9 +218,7 @@ def _overlaps(a: str, b: str, num: int, den: int):
 def _verified(pairs: DataFrame, alive: DataFrame, num: int, den: int) -> DataFrame:
     left = alive.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = alive.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    sized = pairs.join(left.drop("ta"), "a").join(right.drop("tb"), "b")
-    sized = sized.where(f"least(na, nb) * {den}L >= greatest(na, nb) * {num}L")
-    full = sized.join(left.drop("na"), "a").join(right.drop("nb"), "b")
+    full = pairs.join(left, "a").join(right, "b").where(f"least(na, nb) * {den}L >= greatest(na, nb) * {num}L")
     return full.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_overlaps("a", "b", num, den), "a long, b long")
 
 
@@ -243,7 +245,7 @@ class SignatureTree:
             self.levels.append(level)
 
     def pairs(self, num: int, den: int) -> np.ndarray:
-        """Row pairs (i, j) of different components that may link, as positions in the input."""
+        """Rows (i, j, spare overlap) of different components that may link; i and j are positions in the input."""
         found = []
         top = len(self.levels) - 1
         todo = [(top, 0, 0)]
@@ -266,10 +268,11 @@ class SignatureTree:
             i, j = i[ok], j[ok]
             if len(i):
                 common = np.bitwise_count(self.bits[i] & self.bits[j]).sum(1, dtype=np.int64) + np.minimum(self.spare[i], self.spare[j])
-                ok = common >= required_overlap(self.n[i], self.n[j], num, den)
+                more = common - required_overlap(self.n[i], self.n[j], num, den)
+                ok = more >= 0
                 if ok.any():
-                    found.append(np.stack([self.order[i[ok]], self.order[j[ok]]], 1))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                    found.append(np.stack([self.order[i[ok]], self.order[j[ok]], more[ok]], 1))
+        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
     @staticmethod
     def _pruned(level, x: int, y: int, num: int, den: int) -> bool:
@@ -285,6 +288,8 @@ class SignatureTree:
 #: Groups of more classes get fine bitmaps: with 4 bits for a token the bound lets too many of a large group's pairs through.
 LARGE_GROUP = 48
 FINE = 8
+#: Pairs of any two components that the first pass verifies for each bucket.
+LIKELIEST = 2
 
 
 def bitmap(places: np.ndarray, width: int) -> np.ndarray:
@@ -307,7 +312,9 @@ def fold(bits: np.ndarray) -> np.ndarray:
 _CANDIDATES = "a long, b long"
 
 
-def _tree_pairs(num: int, den: int):
+def _tree_pairs(num: int, den: int, best: int | None):
+    """Candidate pairs of a bucket's groups; with ``best``, so many of any two components."""
+
     def run(group: pa.Table) -> pa.Table:
         token = group.column("token").to_numpy()
         digest = group.column("digest").to_numpy()
@@ -316,7 +323,8 @@ def _tree_pairs(num: int, den: int):
         shared = group.column("shared").to_numpy().astype(np.int64)
         fine = group.column("fine").to_numpy(zero_copy_only=False)
         raw = group.column("bits")
-        found = set()
+        found: set = set()
+        likeliest: dict = {}
         order = np.argsort(token, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(token[order]) != 0]) if len(order) else []
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
@@ -337,10 +345,17 @@ def _tree_pairs(num: int, den: int):
                     continue
                 bits = np.stack([maps[i] for i in own.tolist()] + [fold(maps[i]) for i in above.tolist()])
                 spare = shared[at] - np.bitwise_count(bits).sum(1, dtype=np.int64)
-                for i, j in SignatureTree(n[at], bits, spare, label[at]).pairs(num, den).tolist():
-                    x, y = int(digest[at[i]]), int(digest[at[j]])
-                    found.add((min(x, y), max(x, y)))
-        pairs = sorted(found)
+                for i, j, more in SignatureTree(n[at], bits, spare, label[at]).pairs(num, den).tolist():
+                    pair = tuple(sorted((int(digest[at[i]]), int(digest[at[j]]))))
+                    if best is None:
+                        found.add(pair)
+                        continue
+                    top = likeliest.setdefault(tuple(sorted((int(label[at[i]]), int(label[at[j]])))), [])
+                    if (more, pair) not in top:
+                        heapq.heappush(top, (more, pair))
+                        if len(top) > best:
+                            heapq.heappop(top)
+        pairs = sorted(found.union(pair for top in likeliest.values() for _, pair in top))
         return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
     return run
@@ -378,27 +393,28 @@ def linked_classes(docs: DataFrame, text_col: str, k: int, num: int, den: int, s
     least = entries.groupBy("token").agg(F.min("digest").alias("b"), F.max("digest").alias("last")).where("b < last")
     stars = entries.join(least, "token").where("digest <> b").select(F.col("digest").alias("a"), "b").distinct()
     links = scratch.table(_verified(stars, alive, num, den), "links")
-    first = scratch.table(connected_components(links, scratch), "first")
-
-    labelled = entries.join(first.withColumnRenamed("node", "digest"), "digest", "left").select("token", "digest", F.coalesce("root", "digest").alias("root"))
-    labelled = scratch.table(labelled, "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo < hi")
-    mixed = mixed.select("token", (F.col("many") > LARGE_GROUP).alias("fine"))
+    roots = scratch.table(connected_components(links, scratch), "roots")
     marks = alive.select("digest", "n", "tokens").mapInArrow(_bitmaps, "digest long, n int, shared int, coarse binary, places binary")
-    rest = labelled.join(mixed, "token").join(marks, "digest").select(
-        "token", "digest", "root", "n", "shared", "fine", F.when(F.col("fine"), F.col("places")).otherwise(F.col("coarse")).alias("bits"),
-        F.expr(f"pmod(xxhash64(token), {4 * buckets})").alias("bucket"))
-    pairs = rest.groupBy("bucket").applyInArrow(_tree_pairs(num, den), _CANDIDATES).distinct()
-    more = _verified(pairs, alive, num, den)
-    root = first.select(F.col("node"), "root")
-    lifted = (more.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-              .join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-              .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    second = scratch.table(connected_components(lifted, scratch), "second")
-    lift = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    composed = first.join(lift, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    # Classes that only the second pass linked aren't in the first result.
-    return composed.union(second.join(first.select("node"), "node", "left_anti").select("node", "root"))
+
+    for best in (LIKELIEST, None):
+        labelled = entries.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("token", "digest", F.coalesce("root", "digest").alias("root"))
+        labelled = scratch.table(labelled, "labelled")
+        mixed = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo < hi")
+        mixed = mixed.select("token", (F.col("many") > LARGE_GROUP).alias("fine"))
+        rest = labelled.join(mixed, "token").join(marks, "digest").select(
+            "token", "digest", "root", "n", "shared", "fine", F.when(F.col("fine"), F.col("places")).otherwise(F.col("coarse")).alias("bits"),
+            F.expr(f"pmod(xxhash64(token), {4 * buckets})").alias("bucket"))
+        pairs = rest.groupBy("bucket").applyInArrow(_tree_pairs(num, den, best), _CANDIDATES).distinct()
+        more = _verified(pairs, alive, num, den)
+        lifted = (more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+                  .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+                  .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct())
+        above = scratch.table(connected_components(lifted, scratch), "above")
+        lift = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        composed = roots.join(lift, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        # classes that only this pass linked aren't among the nodes so far
+        roots = scratch.table(composed.union(above.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
+    return roots
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100,
@@ -416,7 +432,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = scratch.table(set_classes(docs, id_col, text_col, k), "classes")
-    nodes = scratch.table(linked_classes(docs, text_col, k, num, den, scratch, buckets), "nodes")
+    nodes = linked_classes(docs, text_col, k, num, den, scratch, buckets)
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"))
     rooted = classes.join(nodes.withColumnRenamed("node", "digest"), "digest", "left")
     top = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
