@@ -12,6 +12,8 @@ from .scratch import Scratch
 from .shard_sort import histogram_sort_shards
 from .simhash import near_fingerprints, simhash_documents
 
+from .toxicity import toxicity_scores, train
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +29,13 @@ def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = toxicity_scores(docs, train(docs, _read(spark, sf_dir, "labels")), keep=["doc_id"])
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = apply_policy(rule_ledger(_read(spark, sf_dir, "documents"), keep=["doc_id"]))
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
@@ -58,6 +67,7 @@ def op9_shard_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bestfit_packing": op2_bestfit_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_simhash": op7_simhash,
