@@ -9,6 +9,7 @@ from .byte_bpe import encode_documents
 from .jaccard_join import ngram_jaccard_join
 from .quality_rules import apply_policy, rule_ledger
 from .scratch import Scratch
+from .secrets import scan_secrets, train as train_network
 from .shard_sort import histogram_sort_shards
 from .simhash import near_fingerprints, simhash_documents
 
@@ -47,6 +48,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = scan_secrets(docs, train_network(docs), keep=["doc_id"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_network")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n_near``: other rows at most 3 bits away, for ids divisible by 20 (else null)."""
     rows = Scratch(spark, "simhash").table(simhash_documents(_read(spark, sf_dir, "documents")), "prints")
@@ -70,6 +77,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
     "op9_shard_sort": op9_shard_sort,
 }
