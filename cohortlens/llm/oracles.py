@@ -1,3 +1,42 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express on whole tables."""
 
-ORACLES: dict[str, str] = {}
+from . import warc_derivatives as w
+
+
+def _quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _urn(expr: str) -> str:
+    h = f"sha256({expr})"
+    return f"'<urn:uuid:' || substr({h},1,8) || '-' || substr({h},9,4) || '-' || substr({h},13,4) || '-' || substr({h},17,4) || '-' || substr({h},21,12) || '>'"
+
+
+def _text() -> str:
+    out = f"regexp_replace(payload, {_quote(w.HIDDEN)}, ' ', 'g')"
+    out = f"regexp_replace({out}, {_quote(w.BREAKS)}, chr(10), 'g')"
+    out = f"regexp_replace({out}, {_quote(w.TAGS)}, '', 'g')"
+    for name, char in w.REFERENCES:
+        out = f"replace({out}, {_quote(name)}, {_quote(char)})"
+    out = f"regexp_replace({out}, {_quote(w.BLANKS)}, ' ', 'g')"
+    return f"trim(regexp_replace({out}, {_quote(w.LINES)}, chr(10), 'g'), ' ' || chr(10))"
+
+
+ORACLES: dict[str, str] = {
+    "op8_warc_derivatives": f"""
+WITH r AS (
+  SELECT page_id, {_urn("'response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')")} AS refers_to, coalesce(url, '') AS target_uri,
+         coalesce(html, '') AS payload, 'sha256:' || sha256(coalesce(html, '')) AS source_digest
+  FROM pages),
+d AS (
+  SELECT page_id, refers_to, target_uri, source_digest, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+         'source-digest: ' || source_digest || chr(13) || chr(10) || 'source-length: ' || strlen(payload) || chr(13) || chr(10)
+         || 'source-header: HTTP/1.1 200 OK' || chr(13) || chr(10) || 'source-header: Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+         || 'source-header: Content-Length: ' || strlen(payload) || chr(13) || chr(10) AS block
+  FROM r
+  UNION ALL
+  SELECT page_id, refers_to, target_uri, source_digest, 'conversion', 'text/plain; charset=utf-8', {_text()} FROM r)
+SELECT page_id, record_type, {_urn("record_type || '|' || refers_to")} AS record_id, refers_to, target_uri, '{w.NO_DATE}' AS warc_date, content_type,
+       source_digest, block, strlen(block)::BIGINT AS block_length, 'sha256:' || sha256(block) AS block_digest
+FROM d""",
+}

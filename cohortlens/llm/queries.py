@@ -14,6 +14,7 @@ from .shard_sort import histogram_sort_shards
 from .simhash import near_fingerprints, simhash_documents
 
 from .toxicity import toxicity_scores, train
+from .warc_derivatives import derivatives, responses
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.when(F.col("doc_id") % 20 == 0, F.col("found")).alias("n_near"))
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(_read(spark, sf_dir, "pages"))).withColumnRenamed("source_key", "page_id")
+
+
 def op9_shard_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = histogram_sort_shards(_read(spark, sf_dir, "documents"), shards=16, keep=["doc_id"])
     return placed.withColumn("grown_shard", F.lit(None).cast("int"))
@@ -79,5 +84,6 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
+    "op8_warc_derivatives": op8_warc_derivatives,
     "op9_shard_sort": op9_shard_sort,
 }
