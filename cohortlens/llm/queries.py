@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bestfit_packing import pack_documents
 from .byte_bpe import encode_documents
+from .html_extract import extract_main_text
 from .jaccard_join import ngram_jaccard_join
 from .quality_rules import apply_policy, rule_ledger
 from .scratch import Scratch
@@ -76,6 +77,10 @@ def op9_shard_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bestfit_packing": op2_bestfit_packing,
@@ -86,4 +91,5 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_shard_sort": op9_shard_sort,
+    "op10_html_extract": op10_html_extract,
 }
