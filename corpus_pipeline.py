@@ -30,15 +30,13 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates.
 
-    Of repeated rows with that id one stays; rows without an id stay, as they can't be told apart.
+    Of rows that share that id one stays; rows without an id stay, as they can't be told apart.
     """
     groups = jaccard_join.ngram_jaccard_join(docs)
-    # By id alone: no text is exchanged but where an id is given twice.
-    heads = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
-    kept = docs.join(heads, "doc_id")
-    once = kept.where("times = 1").select(docs.columns)
-    several = kept.where("times > 1").dropDuplicates(["doc_id"]).select(docs.columns)
-    return once.union(several).union(docs.where("doc_id is null"))
+    heads = groups.where("doc_id = component_id").select("doc_id").distinct()
+    # The join leaves the rows of an id together, so this needs no exchange of its own.
+    kept = docs.join(heads, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.union(docs.where("doc_id is null"))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
