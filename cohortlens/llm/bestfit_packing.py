@@ -29,7 +29,7 @@ from .scratch import Scratch, prepare
 CAPACITY = 4096
 END_ID = 1
 #: Chunks whose ids a worker remembers; others are tokenised once for each batch.
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -121,7 +121,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
+        self.known = _Memo()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunked = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -131,21 +131,23 @@ class ChunkEncoder:
             part = new[i : i + 4096]
             for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 fresh[word] = np.array(e.ids, "<u4").tobytes()
-        if len(self.known) < MEMO:
+        room = max(0, MEMO - len(self.known))
+        if room >= len(fresh):
             self.known.update(fresh)
-            fresh = self.known
         else:
-            fresh = {**self.known, **fresh} if len(fresh) * 4 > len(self.known) else _Either(self.known, fresh)
-        return [b"".join(map(fresh.__getitem__, words)) for words in chunked]
+            self.known.batch = fresh
+        out = [b"".join(map(self.known.__getitem__, words)) for words in chunked]
+        self.known.batch = {}
+        return out
 
 
-class _Either:
-    def __init__(self, first: dict, second: dict):
-        self.first, self.second = first, second
+class _Memo(dict):
+    """Remembered chunks, and behind them those of the batch at hand."""
 
-    def __getitem__(self, key):
-        found = self.first.get(key)
-        return self.second[key] if found is None else found
+    batch: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.batch[chunk]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
