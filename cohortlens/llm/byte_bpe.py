@@ -21,7 +21,7 @@ import hashlib
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,34 +74,38 @@ def _slots(h: int, size: int) -> tuple[int, int]:
 
 
 class RankMap:
-    """Rank of a binary column as a column; null if it has none."""
+    """The table as literals, and a lookup in it: the rank of a binary column, null if it has none."""
 
     def __init__(self, ranks: dict[bytes, int]):
         keys, values = cuckoo(ranks)
         self.size = len(keys)
-        # Both arrays are constants: the optimizer folds the split and the cast into literals.
-        self.keys = F.split(F.lit(",".join(map(str, keys))), ",").cast("array<bigint>")
-        self.values = F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+        # Constants: the optimizer folds the split and the cast into literals.
+        self.literal = F.struct(F.split(F.lit(",".join(map(str, keys))), ",").cast("array<bigint>").alias("keys"),
+                                F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>").alias("values"))
 
-    def rank(self, piece: Column) -> Column:
+    def bound(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+        """``body`` with the lookup; the literals stand in the plan once, however often it looks up."""
+        return F.element_at(F.transform(F.array(self.literal), lambda t: body(lambda piece: self._rank(t, piece))), 1)
+
+    def _rank(self, table: Column, piece: Column) -> Column:
         def probe(h: Column) -> Column:
             a = F.pmod(h, F.lit(self.size)).cast("int") + 1
             b = F.pmod(F.shiftright(h, 24), F.lit(self.size)).cast("int") + 1
-            at = F.when(F.element_at(self.keys, a) == h, a).when(F.element_at(self.keys, b) == h, b)
-            found = F.element_at(self.values, at)
+            at = F.when(F.element_at(table["keys"], a) == h, a).when(F.element_at(table["keys"], b) == h, b)
+            found = F.element_at(table["values"], at)
             return F.when(found >= 0, found)
 
         # one hash for both probes
         return F.element_at(F.transform(F.array(F.xxhash64(piece)), probe), 1)
 
 
-def fold_merges(match: Column, ranks: RankMap) -> Column:
+def fold_merges(match: Column, rank: Callable[[Column], Column]) -> Column:
     """Ids of one match: bytes, merged pair by pair from the lowest rank."""
     raw = match.cast("binary")
 
     def step(state: Column, _: Column) -> Column:
         pieces = state["pieces"]
-        scored = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: ranks.rank(F.concat(p, F.element_at(pieces, i + 2))))
+        scored = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: rank(F.concat(p, F.element_at(pieces, i + 2))))
 
         def merge(at: Column) -> Column:
             # 0 or null: no pair has a rank
@@ -118,8 +122,8 @@ def fold_merges(match: Column, ranks: RankMap) -> Column:
     n = F.octet_length(match)
     single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(raw, i, F.lit(1)))
     start = F.struct(single.alias("pieces"), F.lit(False).alias("done"))
-    folded = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.transform(s["pieces"], ranks.rank))
-    whole = ranks.rank(raw)  # a match that is a piece itself is that piece
+    folded = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.transform(s["pieces"], rank))
+    whole = rank(raw)  # a match that is a piece itself is that piece
     return F.when(whole.isNotNull(), F.array(whole)).otherwise(folded)
 
 
@@ -127,7 +131,7 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str, word_c
     """``word_col`` and ``ids array<int>`` of distinct words, in Spark's own expressions."""
     table = RankMap(ranks)
     matches = F.regexp_extract_all(F.col(word_col), F.lit("(?U)" + pattern), F.lit(0))
-    return words.withColumn("ids", F.flatten(F.transform(matches, lambda m: fold_merges(m, table))))
+    return words.withColumn("ids", table.bound(lambda rank: F.flatten(F.transform(matches, lambda m: fold_merges(m, rank)))))
 
 
 # ---- rare words, in a worker ----------------------------------------------------------------
