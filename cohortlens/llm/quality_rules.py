@@ -145,7 +145,7 @@ def rule_ledger(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = measure(batch.column("__text"))
+            m = measure(batch.column(len(names)))
             cols = [batch.column(i) for i in range(len(names))] + [pa.array(c) for c in m.T] + [pa.array(failures(m))]
             yield pa.RecordBatch.from_arrays(cols, [*names, *fixed])
 

@@ -119,8 +119,10 @@ def histogram_sort_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "text_crc32", "law", "shard", "slot")]
+    # The kept columns travel as one struct, so none of their names can meet a name used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("_end"))
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(*names, F.octet_length(body).cast("long").alias("_size"), F.crc32(body.cast("binary")).alias("_crc"),
+    rows = docs.select(row.alias("row"), F.octet_length(body).cast("long").alias("_size"), F.crc32(body.cast("binary")).alias("_crc"),
                        F.xxhash64(body).alias("_h"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"),
                        F.monotonically_increasing_id().alias("_place"))
     rows = scratch.table(rows.withColumn("_size", F.col("_size") + 1), "keys")
@@ -129,11 +131,11 @@ def histogram_sort_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_
     placed = rows.withColumnsRenamed({"_h": "h", "_id": "id_key", "_place": "place"}).withColumn("shard", _shard_of(bounds))
     sorted_ = placed.repartitionByRange(partitions(spark), "shard", "h", "id_key", "place").sortWithinPartitions("shard", "h", "id_key", "place")
     here = F.monotonically_increasing_id()
-    sorted_ = scratch.table(sorted_.select(*names, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard",
+    sorted_ = scratch.table(sorted_.select("row", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard",
                                            F.shiftright(here, 33).alias("_part"), here.bitwiseAND((1 << 33) - 1).alias("_row")), "sorted")
     # Rows of a shard before this partition: one number for each (partition, shard), at most partitions + shards in all.
     runs = sorted_.groupBy("_part", "shard").agg(F.count("*").alias("n"), F.min("_row").alias("head"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = runs.select("_part", "shard", (before - F.col("head")).alias("_base"))
     out = sorted_.join(F.broadcast(runs), ["_part", "shard"])
-    return out.select(*names, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_row") + F.col("_base")).alias("slot"))
+    return out.select(*[F.col(f"row.`{c}`") for c in names], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_row") + F.col("_base")).alias("slot"))

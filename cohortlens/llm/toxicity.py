@@ -237,8 +237,8 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> ToxicGrammar:
     """Learn from at most ``rows`` labelled rows whose crc32 of the id isn't divisible by 5.
 
-    Near copies are taken once (by the smallest word hash of the text), so that the
-    words of one much-copied text don't look like insults.
+    Near copies are taken once (by the smallest hash of three words in a row), so that
+    the words of one much-copied text don't look like insults.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     learn = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(
@@ -246,7 +246,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     learn = learn.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(rows)
     body = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null and id is not null")
     known = body.join(F.broadcast(learn), "id")
-    key = F.array_min(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))
+    words = F.split(F.lower("text"), r"\s+")
+    known = known.withColumn("words", words)
+    key = F.array_min(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))))
     known = scratch.table(known.groupBy(key.alias("key")).agg(F.min_by(F.struct("text", "toxic"), F.struct("id", "text")).alias("r")).select("r.text", "r.toxic"), "sample")
     counted = known.mapInArrow(_sample_counts, "gram string, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     total = known.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
@@ -289,7 +291,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicGrammar, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ToxicGrammar(lexicon, weights)
         for batch in batches:
-            score = [own.score(t or "") for t in batch.column("__text").to_pylist()]
+            score = [own.score(t or "") for t in batch.column(len(names)).to_pylist()]
             cols = [batch.column(i) for i in range(len(names))] + [pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, [*names, "score", "predicted"])
 
