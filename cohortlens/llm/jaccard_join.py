@@ -5,8 +5,9 @@ Which texts link is decided exactly.  The steps:
 1. Every text becomes a set of shingle hashes; equal sets (copies) are one class.
 2. Shingles are dealt to buckets of the hash space as packed arrays.  A bucket
    counts in how many classes each of its shingles occurs and drops those of a
-   single class: they can be in no overlap.
-3. Each class orders its shingles by that count, rarest first.  Two sets of the
+   single class: they can be in no overlap.  Shingles that the first scan finds
+   frequent skip this, so that no bucket gathers a shingle of a third of all texts.
+3. Each class orders its shingles by that count, rarest first, frequent ones last.  Two sets of the
    wanted similarity share a shingle among the first ``n - ceil(t n) + 1``; a class
    whose single-class shingles fill that prefix has no partner and is done.
 4. In every group of classes with a common prefix shingle, each class is first
@@ -32,13 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import connected_components
 from .scratch import Scratch, partitions, prepare
 from .shingles import shingle_sets
 
 _FLUSH = 1 << 20
+#: A token is frequent in a run of texts (about a million tokens) from this number and this part of the texts on;
+#: so many frequent tokens are known to all workers (8 bytes each).
+FREQUENT_LEAST, FREQUENT_PART, FREQUENT_MOST = 16, 64, 1 << 20
+#: Entries of one component that a task holds of a group; larger groups are dealt out.
+GROUP = 512
 _MASK48 = np.uint64((1 << 48) - 1)
 
 
@@ -65,32 +73,71 @@ def set_digest(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _class_rows(text: str, k: int):
+def _class_rows(text: str, k: int, id_type: pa.DataType):
+    """Rows (id, n, digest) of the texts, and marked rows (null, count, token) of tokens frequent among a run of texts."""
+
+    def frequent(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(list(sets.values())) >> np.uint64(16), return_counts=True)
+        often = count >= max(FREQUENT_LEAST, len(sets) // FREQUENT_PART)
+        token, count = token[often].astype(np.int64), count[often].astype(np.int64)
+        return batch_of(pa.nulls(len(token), id_type), count, token, True)
+
+    def batch_of(ids, n, digest, mark: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(digest), pa.array(np.full(len(n), mark))], ["id", "n", "digest", "frequent"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        total = 0
         for batch in batches:
             col = batch.column(text)
             n, digest = np.zeros(len(col), np.int64), np.zeros(len(col), np.int64)
             for i, tokens in shingle_sets(col, k):
                 n[i], digest[i] = len(tokens), set_digest(tokens)
-            rest = [batch.column(c) for c in batch.schema.names if c != text]
-            names = [c for c in batch.schema.names if c != text]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(n), pa.array(digest)], [*names, "n", "digest"])
+                if len(tokens) and digest[i] not in sets:
+                    sets[int(digest[i])] = tokens
+                    total += len(tokens)
+                    if total >= _FLUSH:
+                        yield frequent(sets)
+                        sets, total = {}, 0
+            yield batch_of(batch.column("id"), n, digest, False)
+        if sets:
+            yield frequent(sets)
 
     return run
 
 
-def _deal(token: np.ndarray, size: np.ndarray, buckets: int, bits: int = 48):
-    """For each bucket of the token space that has tokens: (bucket, owners, counts, positions)."""
-    bucket = (token >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
-    owner = np.repeat(np.arange(len(size)), size)
+def frequent_tokens(classes: DataFrame, scratch: Scratch, most: int) -> np.ndarray:
+    """At most ``most`` of the marked tokens, those with the largest counts; ascending.
+
+    A histogram of the counts' magnitudes gives the least count, so nothing is sorted.
+    """
+    by = scratch.table(classes.where("frequent").groupBy("digest").agg(F.sum("n").alias("times")), "frequent")
+    level = F.floor(F.log2("times") * 8).cast("int")
+    hist = sorted(((r["level"], r["n"]) for r in by.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, total = None, 0
+    for at, n in hist:  # some hundred levels at most
+        total += n
+        if total > most:
+            break
+        least = at
+    got = [] if least is None else [r["digest"] for r in by.where(level >= least).select("digest").collect()]
+    scratch.drop(by)
+    return np.sort(np.array(got, np.uint64))
+
+
+#: Stands for the number of classes of a frequent token: it sorts behind all counts.
+_OFTEN = 0xFFFFFFFF
+
+
+def _deal(bucket: np.ndarray, owner: np.ndarray):
+    """For each bucket: (bucket, owners, how many tokens of each, positions)."""
     order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-    for b in range(buckets):
-        at = order[cut[b] : cut[b + 1]]
-        if len(at):
-            own = owner[at]
-            head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            yield b, own[head], np.diff(np.r_[head, len(own)]), at
+    head = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else []
+    for a, b in zip(head, [*head[1:], len(order)]):
+        at = order[a:b]
+        own = owner[at]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        yield int(bucket[at[0]]), own[first], np.diff(np.r_[first, len(own)]), at
 
 
 _PACKED = "bucket int, classes binary, sizes binary, counts binary, tokens binary, extra binary"
@@ -102,15 +149,27 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "classes", "sizes", "counts", "tokens", "extra"])
 
 
-def _pack_tokens(text: str, k: int, buckets: int):
-    """Rows of one bucket and one batch: classes (digest, size, how many tokens here), tokens."""
+def _pack_tokens(text: str, k: int, buckets: int, frequent: Broadcast):
+    """Rows of one bucket and one batch: classes (digest, size, how many tokens here), tokens.
+
+    Frequent tokens are shared by what is known of them: they don't meet in a bucket of
+    the token space, but go to the bucket of their class (numbered from ``buckets`` on).
+    """
 
     def flush(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        known = np.frombuffer(frequent.value, np.uint64)
         digest = np.fromiter(sets, np.int64, len(sets))
         size = np.array([len(x) for x in sets.values()], np.int64)
         token = np.concatenate(list(sets.values())) >> np.uint64(16)
-        rows = [(b, digest[own].tobytes(), size[own].astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), pack48(token[at]), b"")
-                for b, own, many, at in _deal(token, size, buckets)]
+        owner = np.repeat(np.arange(len(size)), size)
+        often = np.zeros(len(token), bool)
+        if len(known):
+            often = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] == token
+        bucket = np.where(often, buckets + np.mod(digest, buckets)[owner], ((token >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
+        rows = []
+        for b, own, many, at in _deal(bucket, owner):
+            extra = np.full(len(at), _OFTEN, np.uint32).tobytes() if b >= buckets else b""
+            rows.append((b, digest[own].tobytes(), size[own].astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), pack48(token[at]), extra))
         return _table(rows).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +201,9 @@ def _shared_tokens(buckets: int):
     """Tokens of two classes at least, dealt anew by class, with the number of classes."""
 
     def run(group: pa.Table) -> pa.Table:
+        number = group.column("bucket")[0].as_py()
+        if number >= buckets:  # a class's frequent tokens: already where they belong
+            return group.set_column(0, "bucket", pa.array([number - buckets] * len(group), pa.int32()))
         token, cls, size, _ = _unpack(group)
         order = np.argsort(token)
         t = token[order]
@@ -155,7 +217,7 @@ def _shared_tokens(buckets: int):
             t, c, s = t[one], c[one], s[one]
             head = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
             df = np.diff(np.r_[head, len(t)])
-            df = np.repeat(df, df)
+            df = np.repeat(np.minimum(df, _OFTEN - 1), df)
             keep = df > 1
             t, c, s, df = t[keep], c[keep], s[keep], df[keep]
         if not len(t):
@@ -185,6 +247,8 @@ def _prefixes(num: int, den: int):
     def run(group: pa.Table) -> pa.Table:
         token, cls, size, df = _unpack(group, extra=True)
         order = np.lexsort((token, df, cls))
+        if len(order):  # copies of a class in several batches have each sent its frequent tokens
+            order = order[np.r_[True, (token[order][1:] != token[order][:-1]) | (cls[order][1:] != cls[order][:-1])]]
         token, cls, size = token[order], cls[order], size[order].astype(np.int64)
         head = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]) if len(cls) else np.zeros(0, np.int64)
         out = ([], [], [], [])
@@ -372,20 +436,20 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def set_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """(id, n, digest) of every row: size and digest of its set of k-word shingles."""
+    """(id, n, digest, frequent) of every row: size and digest of its set of k-word shingles; and marked rows (see ``_class_rows``)."""
     prepare(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
     # A separate row id isn't needed: equal rows have equal classes.
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _class_rows("text", k), f"id {kind}, n long, digest long")
+        _class_rows("text", k, to_arrow_type(kind)), f"id {kind.simpleString()}, n long, digest long, frequent boolean")
 
 
-def linked_classes(docs: DataFrame, text_col: str, k: int, num: int, den: int, scratch: Scratch, buckets: int | None = None) -> DataFrame:
+def linked_classes(docs: DataFrame, frequent: np.ndarray, text_col: str, k: int, num: int, den: int, scratch: Scratch, buckets: int | None = None) -> DataFrame:
     """(node, root): every class that links to another one, and its component."""
     spark = docs.sparkSession
     prepare(spark)
     buckets = buckets or partitions(spark)
-    packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_pack_tokens("text", k, buckets), _PACKED)
+    packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_pack_tokens("text", k, buckets, spark.sparkContext.broadcast(frequent.tobytes())), _PACKED)
     shared = packed.groupBy("bucket").applyInArrow(_shared_tokens(buckets), _PACKED)
     alive = scratch.table(shared.groupBy("bucket").applyInArrow(_prefixes(num, den), _ALIVE), "alive")
 
@@ -399,11 +463,16 @@ def linked_classes(docs: DataFrame, text_col: str, k: int, num: int, den: int, s
     for best in (LIKELIEST, None):
         labelled = entries.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("token", "digest", F.coalesce("root", "digest").alias("root"))
         labelled = scratch.table(labelled, "labelled")
-        mixed = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo < hi")
-        mixed = mixed.select("token", (F.col("many") > LARGE_GROUP).alias("fine"))
-        rest = labelled.join(mixed, "token").join(marks, "digest").select(
-            "token", "digest", "root", "n", "shared", "fine", F.when(F.col("fine"), F.col("places")).otherwise(F.col("coarse")).alias("bits"),
-            F.expr(f"pmod(xxhash64(token), {4 * buckets})").alias("bucket"))
+        # Of a large group, the entries of its largest component are dealt out and the others go to every deal:
+        # each pair of different components still meets, and no task holds the group.
+        by = labelled.groupBy("token", "root").agg(F.count("*").alias("n"))
+        mixed = by.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("many"), F.count("*").alias("roots")).where("roots > 1")
+        mixed = mixed.select("token", "major", (F.col("many") > LARGE_GROUP).alias("fine"), F.ceil(F.col("most") / GROUP).cast("int").alias("deals"))
+        dealt = labelled.join(mixed, "token")
+        deal = F.when(F.col("root") == F.col("major"), F.array(F.pmod(F.xxhash64("digest"), F.col("deals")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("deals") - 1))
+        dealt = dealt.select("digest", "root", "fine", F.explode(F.transform(deal, lambda d: F.xxhash64("token", d))).alias("token"))
+        rest = dealt.join(marks, "digest").select("token", "digest", "root", "n", "shared", "fine", F.when(F.col("fine"), F.col("places")).otherwise(F.col("coarse")).alias("bits"),
+                                                  F.expr(f"pmod(token, {4 * buckets})").alias("bucket"))
         pairs = rest.groupBy("bucket").applyInArrow(_tree_pairs(num, den, best), _CANDIDATES).distinct()
         more = _verified(pairs, alive, num, den)
         lifted = (more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
@@ -431,8 +500,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    rows = scratch.table(set_classes(docs, id_col, text_col, k), "classes")
-    nodes = linked_classes(docs, text_col, k, num, den, scratch, buckets)
+    scanned = scratch.table(set_classes(docs, id_col, text_col, k), "classes")
+    rows = scanned.where("not frequent")
+    nodes = linked_classes(docs, frequent_tokens(scanned, scratch, FREQUENT_MOST), text_col, k, num, den, scratch, buckets)
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"))
     rooted = classes.join(nodes.withColumnRenamed("node", "digest"), "digest", "left")
     top = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))

@@ -81,6 +81,26 @@ def test_jaccard_join(spark, docs):
     assert got == brute_components(corpus())
 
 
+def test_jaccard_join_with_frequent_and_copied(spark, monkeypatch):
+    """Common passages, copies in several partitions, and groups that are dealt out."""
+    for name, value in (("FREQUENT_LEAST", 3), ("GROUP", 4), ("LARGE_GROUP", 3)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    r = random.Random(7)
+    vocab = [f"w{i}" for i in range(300)]
+    passage = [r.choice(vocab) for _ in range(20)]
+    rows = []
+    for g in range(12):
+        base = [r.choice(vocab) for _ in range(40)]
+        for c in range(20):
+            w = list(base)
+            for _ in range(c % 7):
+                w[r.randrange(40)] = r.choice(vocab)
+            rows.append((len(rows), " ".join(passage + w if g % 2 else w)))
+    df = spark.createDataFrame(rows + [(1000 + i, t) for i, t in rows[::3]], "doc_id long, text string").repartition(6)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.ngram_jaccard_join(df).collect()}
+    assert got == brute_components([(x.doc_id, x.text) for x in df.collect()])
+
+
 def test_jaccard_join_odd(spark):
     rows = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.ngram_jaccard_join(odd(spark)).collect())
     assert rows == [(-1, 0, -1), (-1, 3, 1), (1, 3, 1), (1, 3, 1), (2, 0, 2), (3, 1, 3)]
