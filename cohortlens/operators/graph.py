@@ -18,9 +18,9 @@ from . import pairs
 MAX_NODES = 5_000
 
 
-def network_edges(m: BinaryMatrix, alpha: float = 0.05, method: str = "fdr_bh") -> DataFrame:
+def network_edges(m: BinaryMatrix, alpha: float = 0.05, method: str = "fdr_bh", tests: DataFrame | None = None) -> DataFrame:
     """Significant pairs of all features, tested together: src, dst, phi, p_value, edge_type."""
-    e = pairs.cooccurrence(m, alpha, method)
+    e = pairs.cooccurrence(m, alpha, method, tests=tests)
     gene = lambda c: F.col(c) == "gene"
     kind = F.when(gene("role1") & gene("role2"), "gene-gene").when(gene("role1") | gene("role2"), "pheno-gene").otherwise("pheno-pheno")
     return e.select(F.col("item1").alias("src"), F.col("item2").alias("dst"), F.bround("phi", 3).alias("phi"), F.bround("adj_p", 3).alias("p_value"), kind.alias("edge_type"))

@@ -78,9 +78,12 @@ def adjust(df: DataFrame, p: str = "p", method: str = "fdr_bh", ties: tuple[str,
     return ranked.withColumn(out, F.least(F.lit(1.0), value)).drop("_r", "_m")
 
 
-def cooccurrence(m: BinaryMatrix, alpha: float = 0.05, method: str = "fdr_bh", cross_roles: bool = False) -> DataFrame:
-    """Significant pairs with full precision: item1, item2, role1, role2, phi, raw_p, adj_p."""
-    out = adjust(tested(contingency(m, cross_roles)), method=method).where(F.col("adj_p") <= alpha)
+def cooccurrence(m: BinaryMatrix, alpha: float = 0.05, method: str = "fdr_bh", cross_roles: bool = False, tests: DataFrame | None = None) -> DataFrame:
+    """Significant pairs with full precision: item1, item2, role1, role2, phi, raw_p, adj_p.
+
+    ``tests``: the matrix's tested tables, where they are at hand.
+    """
+    out = adjust(tested(contingency(m, cross_roles)) if tests is None else tests, method=method).where(F.col("adj_p") <= alpha)
     return out.select("item1", "item2", "role1", "role2", "ord1", "ord2", "phi", F.col("p").alias("raw_p"), "adj_p")
 
 

@@ -74,3 +74,17 @@ def target_text(targets: pd.DataFrame, top_n: int = 20) -> str:
     for r in targets.head(top_n).itertuples(index=False):
         lines.append(f"{r.rank:3d}. {r.gene}: priority {r.priority:.3f} (association {r.association:.3f}, degree {r.degree:.3f}, betweenness {r.betweenness:.3f}, prevalence {r.prevalence:.3f}, mobility {r.mobility:.1f})")
     return "\n".join(lines) + "\n"
+
+
+#: Rows of each part of the advanced report.
+ADVANCED = {"association_rules": 15, "redundancy": 10, "network": 20, "importance": 20, "stability": 20}
+
+
+def advanced_html(found: dict[str, DataFrame], path: str) -> str:
+    """The advanced operators' results, the first rows of each."""
+    parts = []
+    for name, df in found.items():
+        t = df.limit(ADVANCED.get(name, 20)).toPandas()
+        parts.append(table_html(t.map(lambda v: ", ".join(v) if hasattr(v, "__iter__") and not isinstance(v, str) else v), name.replace("_", " ").capitalize()))
+    Path(path).write_text("<!DOCTYPE html><html><head><meta charset='utf-8'><title>Advanced analysis</title></head><body>" + "".join(parts) + "</body></html>")
+    return path

@@ -69,3 +69,50 @@ def adversarial(spark: SparkSession, n_rows: int = 200) -> DataFrame:
     return spark.range(n_rows).select(
         F.format_string("Strain_%04d", i).alias("Strain_ID"), F.lit(0).alias("All_Zeros"), F.lit(1).alias("All_Ones"), (i == 0).cast("int").alias("Single_Positive"), (i != 0).cast("int").alias("Single_Negative"),
         half.alias("Perfect_Pos_A"), half.alias("Perfect_Pos_B"), half.alias("Perfect_Neg_A"), (1 - half).alias("Perfect_Neg_B"), (i % 2).cast("int").alias("Alternating"))
+
+
+def clustered_matrix(spark: SparkSession, n_rows: int = 200, bonus: float = 0.3, noise: float = 0.05, seed: int = 42) -> tuple[BinaryMatrix, dict]:
+    """Two clusters of isolates with drug rates of their own; a gene is likelier by ``bonus`` where its drug is 1.
+
+    The truth holds each cluster's rates.
+    """
+    drugs = [d for c in DRUG_CLASSES.values() for d in c]
+    rates = [beta_prevalences(len(drugs), m, 0.15, seed + i) for i, m in enumerate((0.25, 0.6))]
+    cluster = (uniform(seed, "cluster") < 0.5).cast("int")
+    rows = spark.range(n_rows).select(F.format_string("Strain_%04d", F.col("id") + 1).alias("row")).withColumn("cluster", cluster)
+    wide = rows.withColumns({d: (uniform(seed, d) < F.when(F.col("cluster") == 0, a).otherwise(b)).cast("int") for d, a, b in zip(drugs, *rates)})
+    genes = {f"gene_{d}": (uniform(seed, f"gene_{d}") < F.least(F.lit(0.95), 0.2 + bonus * F.col(d))).cast("int") for d in drugs}
+    wide = wide.withColumns(genes)
+    names = [*drugs, *genes]
+    noisy = wide.select("row", *[flipped(F.col(c), noise, c, seed).alias(c) for c in names])
+    of = {d: c for c, ds in DRUG_CLASSES.items() for d in ds}
+    features = spark.createDataFrame([(c, "phenotype" if c in of else "gene", i, of.get(c)) for i, c in enumerate(names)], FEATURES)
+    ones = noisy.select("row", F.explode(F.array_compact(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in names]))).alias("feature"))
+    return BinaryMatrix(ones, rows.select("row"), features), {"rates": dict(zip(drugs, zip(*rates))), "bonus": bonus, "noise": noise}
+
+
+def cooccurring_matrix(spark: SparkSession, n_rows: int = 200, n_features: int = 10, p: float = 0.4, rho: float = 0.6, seed: int = 42) -> tuple[BinaryMatrix, list[tuple[str, str]]]:
+    """Features of which every odd one is tied to the one before; the truth is the tied pairs."""
+    names = [f"F{i:02d}" for i in range(n_features)]
+    rows = spark.range(n_rows).select(F.format_string("Strain_%04d", F.col("id") + 1).alias("row"))
+    wide = rows.withColumns({n: bernoulli(n, p, seed) for n in names[::2]})
+    tied = [(a, b) for a, b in zip(names[::2], names[1::2])]
+    wide = wide.withColumns({b: correlated(F.col(a), b, p, rho, seed) for a, b in tied})
+    features = spark.createDataFrame([(c, "gene", i, None) for i, c in enumerate(names)], FEATURES)
+    ones = wide.select("row", F.explode(F.array_compact(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in names]))).alias("feature"))
+    return BinaryMatrix(ones, rows, features), tied
+
+
+def save_synthetic(m: BinaryMatrix, truth: dict, path: str) -> None:
+    """Phenotypes, genes and the whole as CSV folders, and the truth as JSON, under ``path``."""
+    from ..sources.matrix import to_wide
+
+    spark = m.ones.sparkSession
+    names = [(r["feature"], r["role"]) for r in m.features.orderBy("ord").collect()]
+    for part, keep in (("phenotypes", "phenotype"), ("genes", "gene"), ("merged", None)):
+        cols = [n for n, role in names if keep in (None, role)]
+        to_wide(m, cols).withColumnRenamed("row", "Strain_ID").write.mode("overwrite").option("header", True).csv(f"{path}/{part}")
+    import json
+
+    text = json.dumps({str(k): (v if not isinstance(v, dict) else {str(a): b for a, b in v.items()}) for k, v in truth.items()})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/truth")

@@ -50,7 +50,8 @@ def results(m: BinaryMatrix, c: Settings) -> list[Result]:
     classes, genes = m.class_level(), m.role("gene")
     sub_classes, sub_genes = sub.class_level(), sub.role("gene")
     mixed = classes.union(BinaryMatrix(genes.ones, genes.rows, genes.features.withColumn("ord", F.col("ord") + 1000)))
-    edges = graph._settled(graph.network_edges(m, c.alpha, c.fdr_method))
+    everything = graph._settled(pairs.tested(pairs.contingency(m)))
+    edges = graph._settled(graph.network_edges(m, c.alpha, c.fdr_method, everything))
     ci = lambda x: bootstrap.bootstrap_ci(x, c.n_iterations, c.confidence, c.seed)
     out = [
         Result("overview", validation.overview(m, flags), "Isolates and multiresistant isolates"),

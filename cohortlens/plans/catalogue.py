@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import stats, text
-from ..operators import advanced, bootstrap, graph, mining, pairs, patterns, resistance, scores, synth, validation
+from ..operators import advanced, bootstrap, charts, graph, mining, pairs, patterns, resistance, scores, synth, validation
 from ..sources.matrix import FEATURES, BinaryMatrix, star_matrix
 from . import oracles as o
 from .oracles import sql
@@ -506,8 +506,9 @@ def _(s, d):
 
 def _network(s: SparkSession, d: str):
     m = star_matrix(s, d)
-    e = _edges(m)
-    return m, e, _tests(m), graph.shortest_paths(e), _communities(m)
+    tests = _tests(m)  # one pass over the rows for all that follows
+    e = graph._settled(graph.network_edges(m, tests=tests))
+    return m, e, tests, graph.shortest_paths(e), _communities(m)
 
 
 _SCORED = "scored AS (" + o.cs("(SELECT a.id AS gene1, b.id AS gene2, a.community FROM comm a JOIN comm b ON a.community = b.community AND a.id < b.id)") + ")"
@@ -639,3 +640,64 @@ def _(s, d):
 @query("y5_synthetic_matrix")
 def _(s, d):
     return synth.synthetic_matrix(s, n_rows=200)[0].ones.groupBy("feature").agg(F.count("*").alias("k"))
+
+
+@query("v17_histogram", """WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders)
+    SELECT bin, round(a + (bin - 1) * (b - a) / 30, 6) AS lo, round(a + bin * (b - a) / 30, 6) AS hi, count(*) AS n FROM (
+    SELECT least(floor((o_totalprice - a) / ((b - a) / 30)) + 1, 30)::INT AS bin, a, b FROM orders, e) GROUP BY bin, a, b""")
+def _(s, d):
+    return charts.histogram(_read(s, d, "orders"), "o_totalprice").select("bin", *r6("lo", "hi"), "n")
+
+
+@query("v17_box", """SELECT o_orderpriority, min(o_totalprice) AS least, round(quantile_cont(o_totalprice, 0.25), 6) AS q1, round(quantile_cont(o_totalprice, 0.5), 6) AS median,
+    round(quantile_cont(o_totalprice, 0.75), 6) AS q3, max(o_totalprice) AS largest FROM orders GROUP BY o_orderpriority""")
+def _(s, d):
+    return charts.spread_by_group(_read(s, d, "orders"), "o_totalprice", "o_orderpriority").select("o_orderpriority", "least", *r6("q1", "median", "q3"), "largest")
+
+
+@query("v17_network_nodes", sql("SELECT id, degree, 15 + 3 * degree AS size FROM deg", o.NETWORK))
+def _(s, d):
+    return charts.network_nodes(_edges(star_matrix(s, d)))
+
+
+@query("a7_module_pairs", sql("SELECT community, count(*) AS n_pairs, round(avg(cs), 6) AS avg_cs, sum((cs >= 0.45)::INT)::BIGINT AS n_high FROM scored GROUP BY community", o.NETWORK, _SCORED))
+def _(s, d):
+    _, _, t, paths, c = _network(s, d)
+    scored = scores.coselection_scores(scores.community_pairs(c), t, paths, c)
+    return scored.groupBy("community").agg(F.count("*").alias("n_pairs"), F.round(F.avg("cs"), 6).alias("avg_cs"), F.sum((F.col("cs") >= 0.45).cast("long")).alias("n_high"))
+
+
+@query("a16_community_sizes", sql("SELECT community, count(*) AS size FROM comm GROUP BY community", o.NETWORK))
+def _(s, d):
+    return _communities(star_matrix(s, d)).groupBy("community").agg(F.count("*").alias("size"))
+
+
+@query("j4_strongest_lookup", sql("SELECT lo, hi, round(phi, 6) AS phi FROM best", o.NETWORK))
+def _(s, d):
+    return scores.strongest_first(_tests(star_matrix(s, d))).select("lo", "hi", *r6("phi"))
+
+
+@query("j13_ordered_node_pairs", sql("SELECT a.id AS gene1, b.id AS gene2 FROM vs a JOIN vs b ON a.id <> b.id", o.NETWORK))
+def _(s, d):
+    ids = graph.nodes(_edges(star_matrix(s, d)))
+    return ids.select(F.col("id").alias("gene1")).join(ids.select(F.col("id").alias("gene2")), F.col("gene1") != F.col("gene2"))
+
+
+@query("p9_significant_pairs", sql("SELECT item1, item2 FROM ha WHERE holm <= 0.05", o.NETWORK))
+def _(s, d):
+    return pairs.cooccurrence(star_matrix(s, d), method="holm").select("item1", "item2")
+
+
+@query("u4_binary_subset", "SELECT bool_and(l_linenumber IN (0, 1)) AS linenumber, bool_and((l_returnflag = 'R')::INT IN (0, 1)) AS flag FROM lineitem")
+def _(s, d):
+    return _read(s, d, "lineitem").agg(F.bool_and(F.col("l_linenumber").isin(0, 1)).alias("linenumber"), F.bool_and((F.col("l_returnflag") == "R").cast("int").isin(0, 1)).alias("flag"))
+
+
+@query("y6_clustered_matrix")
+def _(s, d):
+    return pairs.prevalence(synth.clustered_matrix(s)[0]).select("feature", "k")
+
+
+@query("y7_cooccurring_matrix")
+def _(s, d):
+    return pairs.cooccurrence(synth.cooccurring_matrix(s, 1000)[0]).select("item1", "item2", *r6("phi"))

@@ -1,10 +1,11 @@
 """Operators on small hand-made matrices."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.config import Settings
-from cohortlens.operators import advanced, bootstrap, graph, mining, pairs, patterns, resistance, scores, synth, validation
+from cohortlens.operators import advanced, bootstrap, charts, graph, mining, pairs, patterns, report, resistance, scores, synth, validation
 from cohortlens.sources.matrix import DRUG_CLASSES, FEATURES, BinaryMatrix, discover, feature_roles, from_wide, read_delimited, sniff_delimiter, to_wide
 
 
@@ -187,3 +188,31 @@ def test_settings():
     for bad in ({"confidence": 1}, {"alpha": 0}, {"n_iterations": 5}, {"fdr_method": "x"}, {"min_support": 0}):
         with pytest.raises(ValueError):
             Settings(**bad)
+
+
+def test_more_generators(spark, tmp_path):
+    m, tied = synth.cooccurring_matrix(spark, 1000)
+    assert {(r.item1, r.item2) for r in pairs.cooccurrence(m).collect()} >= set(tied)
+    m, truth = synth.clustered_matrix(spark, 100)
+    assert m.rows.count() == 100 and len(truth["rates"]) == 13
+    synth.save_synthetic(m, truth, f"file://{tmp_path}/s")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/s/merged").count() == 100
+
+
+def test_charts(spark):
+    df = spark.createDataFrame([(float(i), "a" if i % 2 else "b") for i in range(31)] + [(None, "a")], "x double, g string")
+    h = {r.bin: r.n for r in charts.histogram(df, "x").collect()}
+    assert sum(h.values()) == 31 and h[30] == 2 and set(h) == set(range(1, 31))
+    assert charts.histogram(df.limit(0), "x").count() == 0
+    assert {r.g: r.median for r in charts.spread_by_group(df, "x", "g").collect()} == {"a": 15.0, "b": 15.0}
+    assert charts.extremes(df.na.drop(), "x", "g", 2).count() == 4
+
+
+def test_reports(spark, toy, tmp_path):
+    t = pd.DataFrame({"a": [1.23456, 2.0], "b": ["x<y", "z"]})
+    assert "1.235" in report.table_html(t, "T") and "x&lt;y" in report.table_html(t, "T") and t.a[0] == 1.23456
+    assert "No data available." in report.table_html(t.head(0), "T")
+    assert len(report.write_triple(t, tmp_path / "r", "one", "said", {"ok": True})) == 3
+    page = report.advanced_html({"redundancy": advanced.redundant_pairs(toy)}, f"{tmp_path}/a.html")
+    assert "Redundancy" in open(page).read()
+    assert report.bounded(toy.ones).shape[1] == 2
