@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -121,16 +123,18 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
+        assert sys.byteorder == "little" and array("I").itemsize == 4
         self.known = _Memo()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunked = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*chunked) - self.known.keys()) if chunked else []
+        known = self.known
+        new = [c for c in set().union(*chunked) if c not in known]
         fresh = {}
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                fresh[word] = np.array(e.ids, "<u4").tobytes()
+                fresh[word] = array("I", e.ids).tobytes()
         room = max(0, MEMO - len(self.known))
         if room >= len(fresh):
             self.known.update(fresh)
@@ -224,7 +228,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = counts.select("part", "length", before.alias("base"))
-    ranked = pieces.join(base, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
+    # the counts grow with the partitions: never broadcast
+    ranked = pieces.join(base.hint("merge"), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
     out = ranked.mapInArrow(_places(plan_intervals(plan_packing(histogram, capacity))),
                             f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
