@@ -20,6 +20,7 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -32,8 +33,8 @@ from .scratch import Scratch, prepare
 #: Words in the dictionary, and the longest, in bytes.
 DICTIONARY = 1 << 16
 LONGEST = 48
-#: Rare words, and matches in them, that a worker remembers.
-MEMO = 300_000
+#: Rare words that a worker remembers.
+MEMO = 700_000
 _WHITE = r"\p{White_Space}"
 
 
@@ -201,9 +202,9 @@ def plain(text: str) -> bool:
 class _Words(dict):
     """Packed ids of words with what goes before them; rare ones are folded on the way."""
 
-    def __init__(self, known: dict[str, bytes], encoder: TextEncoder, lead: str):
+    def __init__(self, known: dict[str, bytes], encoder: TextEncoder, lead: str, most: int):
         super().__init__(known)
-        self.encoder, self.lead, self.most = encoder, lead, len(known) + MEMO
+        self.encoder, self.lead, self.most = encoder, lead, len(known) + most
 
     def __missing__(self, word: str) -> bytes:
         out = self.encoder.matches(self.lead + word)
@@ -219,9 +220,8 @@ class TextEncoder:
         self.ranks = ranks
         exact = pattern.replace(r"[^\s", rf"[^{_WHITE}").replace(r"\s", _WHITE).replace(r"\S", r"\P{White_Space}")
         self.find = regex.compile(exact).findall
-        self.memo: dict[str, bytes] = {}
-        self.inner = _Words({w[1:]: x for w, x in words.items() if w.startswith(" ")}, self, " ")
-        self.first = _Words({w: x for w, x in words.items() if not w.startswith(" ")}, self, "")
+        self.inner = _Words({w[1:]: x for w, x in words.items() if w.startswith(" ")}, self, " ", MEMO)
+        self.first = _Words({w: x for w, x in words.items() if not w.startswith(" ")}, self, "", MEMO // 8)
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
@@ -230,11 +230,13 @@ class TextEncoder:
     def matches(self, text: str) -> bytes:
         out = []
         for m in self.find(text):
-            x = self.memo.get(m)
+            # a match is also the word it would be on its own
+            table, key = (self.inner, m[1:]) if m[0] == " " else (self.first, m)
+            x = table.get(key)
             if x is None:
-                x = np.array(fold(m.encode(), self.ranks), "<u4").tobytes()
-                if len(self.memo) < MEMO and len(m) <= LONGEST:
-                    self.memo[m] = x
+                x = array("I", fold(m.encode(), self.ranks)).tobytes()
+                if len(table) < table.most and len(m) <= LONGEST:
+                    table[key] = x
             out.append(x)
         return b"".join(out)
 
@@ -274,26 +276,38 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words = line.split(" ")
                     first[words[0]] += 1
                     inner.update(words[1:])
-        if len(inner) > MEMO:
+        if len(inner) > MEMO // 2:
             yield flush()
     yield flush()
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
-    """The ``most`` most frequent words of at most ``LONGEST`` bytes, with their leading space."""
+def frequent_words(docs: DataFrame, scratch: Scratch, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
+    """At most ``most`` words of at most ``LONGEST`` bytes, with their leading space: those above the least count that leaves so many.
+
+    A histogram of the counts' magnitudes gives that count, so nothing is sorted and no
+    task gathers candidates.
+    """
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count, "word string, times long")
-    total = counted.groupBy("word").agg(F.sum("times").alias("times"))
-    return total.where((F.col("times") > 1) & (F.octet_length("word") <= LONGEST) & (F.length("word") > 0)).orderBy(F.desc("times"), "word").limit(most).select("word")
+    total = counted.groupBy("word").agg(F.sum("times").alias("times")).where((F.col("times") > 1) & (F.octet_length("word") <= LONGEST) & (F.length("word") > 0))
+    total = scratch.table(total, "counts")
+    level = F.floor(F.log2("times") * 64).cast("int")
+    hist = sorted(((r["level"], r["n"]) for r in total.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)  # some thousand levels at most
+    least, kept = None, 0
+    for at, n in hist:
+        kept += n
+        if kept > most:
+            break
+        least = at
+    return total.where(level >= least if least is not None else F.lit(False)).select("word")
 
 
 def build_dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", most: int = DICTIONARY) -> dict[str, bytes]:
     """Packed ids of the most frequent words; at most ``most`` entries come to the driver."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "bpe")
-    words = scratch.table(frequent_words(docs, text_col, most), "words")
+    words = frequent_words(docs, scratch, text_col, most)
     spread = words.repartition(max(1, 2 * spark.sparkContext.defaultParallelism))
     rows = encode_words(spread, ranks, pattern).select("word", F.concat_ws(",", "ids").alias("ids")).toArrow()
-    scratch.drop(words)
     return {w: np.array(x.split(",") if x else [], "<u4").tobytes() for w, x in zip(rows["word"].to_pylist(), rows["ids"].to_pylist())}
 
 
