@@ -27,6 +27,8 @@ from .shingles import U64, mix, text_bytes, windows, word_hashes, word_spans
 BITS = 128
 #: Words of a term.
 TERM = 3
+#: Stands for a null id: it comes before all others.
+NO_ID = -(1 << 63)
 _SIGNS = np.where(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) == 1, 1.0, -1.0)
 
 
@@ -111,14 +113,14 @@ def simhash_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # Boundaries from the ids alone; null ids get part 0, as they come first.
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # Boundaries from the ids alone.
     ids = rows.select("id")
     count = partitions(spark)
     cuts = sorted({x for x in (ids.approxQuantile("id", [k / count for k in range(1, count)], 0.2 / count) if count > 1 else [])})
-    rows = rows.withColumn("part", F.coalesce(below([int(c) for c in cuts], F.col("id")), F.lit(0)))
+    rows = rows.withColumn("part", below([int(c) for c in cuts], F.col("id")))
     first = rows.groupBy("part").agg(F.min("id").alias("head")).withColumnRenamed("part", "of")
-    heads = rows.join(F.broadcast(first), (F.col("part") == F.col("of")) & F.col("id").eqNullSafe(F.col("head")))
+    heads = rows.join(F.broadcast(first), (F.col("part") == F.col("of")) & (F.col("id") == F.col("head")))
     heads = heads.groupBy("part", "id").agg(F.min("text").alias("text"))
     circle = Window.partitionBy(F.lit(0))  # one row for each partition
     heads = heads.select("id", "text", F.lag("part").over(circle.orderBy("part")).alias("before"), F.max("part").over(circle).alias("last"))
@@ -126,7 +128,7 @@ def simhash_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     both = rows.withColumn("guest", F.lit(False)).unionByName(guests)
     dealt = both.repartitionByRange(count, "part").sortWithinPartitions("part", "guest", "id", "text").select("id", "text", "guest")
     out = dealt.mapInArrow(_pairs, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 
 def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, extra: int = 2, bits: int = BITS) -> DataFrame:
