@@ -16,7 +16,8 @@ _SQRT_PI = math.sqrt(math.pi)
 
 
 def ln_factorial(k: Column) -> Column:
-    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(_SMALL)])
+    # a folded constant: one node of the plan, however often it is used
+    table = F.split(F.lit(",".join(repr(math.lgamma(i + 1)) for i in range(_SMALL))), ",").cast("array<double>")
     x = k.cast("double")
     series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
     return F.when(k < _SMALL, F.element_at(table, k.cast("int") + 1)).otherwise(series)
@@ -75,18 +76,29 @@ def _ln_pmf(x: Column, r: Column, k: Column, n: Column) -> Column:
 
 
 def _tail(a, b, c, d, keep, start: Column | None = None) -> Column:
-    r, k, n = c + d, b + d, a + b + c + d
-    low, high = F.greatest(F.lit(0), r + k - n) if start is None else start, F.least(r, k)
-    bind = F.struct(r.alias("r"), k.alias("k"), n.alias("n"), _ln_pmf(d, r, k, n).alias("seen"))
+    """Sum of the chances of the tables that ``keep`` takes, from the start (the least possible) on.
+
+    Each step adds the logarithm of the ratio of neighbouring chances, so factorials
+    are needed for the first table and the one seen only.
+    """
+    margins = F.struct((c + d).alias("r"), (b + d).alias("k"), (a + b + c + d).alias("n"), d.alias("d"))
+
+    def bound(m: Column) -> Column:
+        low = F.greatest(F.lit(0), m["r"] + m["k"] - m["n"]) if start is None else m["d"]
+        first = _ln_pmf(low, m["r"], m["k"], m["n"])
+        return F.struct(m["r"].alias("r"), m["k"].alias("k"), m["n"].alias("n"), low.alias("low"), first.alias("first"),
+                        (first if start is not None else _ln_pmf(m["d"], m["r"], m["k"], m["n"])).alias("seen"))
 
     def total(v: Column) -> Column:
         def add(s: Column, x: Column) -> Column:
-            p = _ln_pmf(x, v["r"], v["k"], v["n"])
-            return s + F.when(keep(p, v["seen"]), F.exp(p)).otherwise(0.0)
+            ratio = (v["r"] - x).cast("double") * (v["k"] - x) / ((x + 1).cast("double") * (v["n"] - v["r"] - v["k"] + x + 1))
+            return F.struct((s["p"] + F.log(ratio)).alias("p"), (s["sum"] + F.when(keep(s["p"], v["seen"]), F.exp(s["p"])).otherwise(0.0)).alias("sum"))
 
-        return F.least(F.lit(1.0), F.aggregate(F.sequence(low, high), F.lit(0.0), add))
+        begin = F.struct(v["first"].alias("p"), F.lit(0.0).alias("sum"))
+        return F.aggregate(F.sequence(v["low"], F.least(v["r"], v["k"])), begin, add, lambda s: F.least(F.lit(1.0), s["sum"]))
 
-    return F.element_at(F.transform(F.array(bind), total), 1)
+    # arrays of one element bind values that are used several times
+    return F.element_at(F.transform(F.transform(F.array(margins), bound), total), 1)
 
 
 def fisher_p(a, b, c, d) -> Column:
