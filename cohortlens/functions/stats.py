@@ -7,6 +7,7 @@ nothing here is a Python function of rows.  Undefined results are null, never Na
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -23,8 +24,17 @@ def ln_factorial(k: Column) -> Column:
     return F.when(k < _SMALL, F.element_at(table, k.cast("int") + 1)).otherwise(series)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it uses several times: a lambda over an array of one element keeps the plan from repeating it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def erfc(z: Column) -> Column:
     """Complementary error function of z >= 0: a positive series below 2.5, a continued fraction above."""
+    return bind(z, _erfc)
+
+
+def _erfc(z: Column) -> Column:
     z2 = z * z
     start = F.struct(z.alias("term"), z.alias("total"))
 
@@ -49,7 +59,7 @@ def phi(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def _cells(a, b, c, d):
-    n = (a + b + c + d).cast("double")
+    n = F.nullif((a + b + c + d).cast("double"), F.lit(0.0))
     return [(o, r.cast("double") * k / n) for o, r, k in ((a, a + b, a + c), (b, a + b, b + d), (c, c + d, a + c), (d, c + d, b + d))]
 
 
@@ -97,8 +107,7 @@ def _tail(a, b, c, d, keep, start: Column | None = None) -> Column:
         begin = F.struct(v["first"].alias("p"), F.lit(0.0).alias("sum"))
         return F.aggregate(F.sequence(v["low"], F.least(v["r"], v["k"])), begin, add, lambda s: F.least(F.lit(1.0), s["sum"]))
 
-    # arrays of one element bind values that are used several times
-    return F.element_at(F.transform(F.transform(F.array(margins), bound), total), 1)
+    return bind(bind(margins, bound), total)
 
 
 def fisher_p(a, b, c, d) -> Column:
@@ -116,12 +125,16 @@ def association(a, b, c, d) -> Column:
 
     All null for a table with an empty margin.  Fisher reports chi2 = phi^2 n.
     """
-    f, n = phi(a, b, c, d), a + b + c + d
-    exact = least_expected(a, b, c, d) < 5
-    chi2 = F.when(exact, f * f * n).otherwise(yates_chi2(a, b, c, d))
-    p = F.when(exact, fisher_p(a, b, c, d)).otherwise(chi2_p(yates_chi2(a, b, c, d)))
-    ok = f.isNotNull()
-    return F.struct(F.when(ok, chi2).alias("chi2"), F.when(ok, p).alias("p"), f.alias("phi"), F.when(ok, F.when(exact, "fisher").otherwise("chi2")).alias("test"))
+    n = a + b + c + d
+    first = F.struct(phi(a, b, c, d).alias("phi"), (least_expected(a, b, c, d) < 5).alias("exact"))
+
+    def more(v: Column) -> Column:
+        ok = v["phi"].isNotNull()
+        chi2 = F.when(ok, F.when(v["exact"], v["phi"] * v["phi"] * n).otherwise(yates_chi2(a, b, c, d)))
+        p = F.when(ok, F.when(v["exact"], fisher_p(a, b, c, d)).otherwise(chi2_p(yates_chi2(a, b, c, d))))
+        return F.struct(chi2.alias("chi2"), p.alias("p"), v["phi"].alias("phi"), F.when(ok, F.when(v["exact"], "fisher").otherwise("chi2")).alias("test"))
+
+    return bind(first, more)
 
 
 def stars(p: Column) -> Column:

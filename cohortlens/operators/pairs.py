@@ -55,7 +55,9 @@ def _counts() -> list[Column]:
 
 def tested(tables: DataFrame) -> DataFrame:
     """Adds chi2, p, phi and test; tables without a test are dropped, before any correction."""
-    return tables.withColumn("t", stats.association(*_counts())).select("*", "t.*").drop("t").where("p is not null")
+    # The struct is read as one generated row, so a filter on it doesn't repeat its expressions.
+    out = tables.select("*", F.inline(F.array(stats.association(*_counts()))))
+    return out.where("p is not null")
 
 
 def adjust(df: DataFrame, p: str = "p", method: str = "fdr_bh", ties: tuple[str, ...] = ("item1", "item2"), out: str = "adj_p") -> DataFrame:
