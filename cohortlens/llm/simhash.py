@@ -146,7 +146,8 @@ def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, ex
         keys = F.array(*[F.struct(F.lit(n).alias("t"), F.xxhash64(*[block[i] for i in chosen]).alias("k")) for n, chosen in enumerate(combinations(range(blocks), 1 + extra))])
         return bitsof.select(name, F.explode(keys).alias("key")).select(name, "key.t", "key.k")
 
-    pairs = keyed(queries, "query").join(keyed(prints, "fingerprint"), ["t", "k"]).select("query", "fingerprint").distinct()
+    # Both sides grow with the data: never broadcast.
+    pairs = keyed(queries, "query").hint("merge").join(keyed(prints, "fingerprint"), ["t", "k"]).select("query", "fingerprint").distinct()
     return pairs.withColumn("distance", hamming(F.col("query"), F.col("fingerprint"), bits)).where(F.col("distance") <= radius)
 
 
