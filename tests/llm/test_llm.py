@@ -475,6 +475,21 @@ def test_extract(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_host_counts_do_not_depend_on_deals(spark, monkeypatch):
+    notice = "this notice of nine words is on three pages only"
+    short = "all rights reserved"
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(12))
+    rows = [(i, f"http://big.example/{i}", f"<p>{body(i)}</p>" + (f"<p>{notice}</p>" if i in (3, 20, 37) else "") + (f"<div>{short}</div>" if i in (5, 6, 30) else "")
+             + ("<p>these eight words are on two pages</p>" if i in (8, 9) else "")) for i in range(40)]
+    rows += [(100 + i, f"http://big.example/c{i}", "<p>copies of one page count as a single page here</p>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: body(i) + ("\n\nthese eight words are on two pages" if i in (8, 9) else "") for i in range(40)} | {100 + i: "copies of one page count as a single page here" for i in range(30)}
+    for deal in (256, 4, 1):
+        monkeypatch.setattr(html_extract, "DEAL", deal)
+        got = html_extract.extract_main_text(df).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+
+
 # ---- common ---------------------------------------------------------------------------------
 
 
