@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import stats
@@ -24,18 +26,19 @@ def pattern_frequencies(found: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select("pattern", "n", (F.col("n") * 100 / F.col("total")).alias("frequency"))
 
 
-def frequent_itemsets(m: BinaryMatrix, min_support: float = 0.1, longest: int = 8) -> DataFrame:
+def frequent_itemsets(m: BinaryMatrix, min_support: float = 0.1, longest: int | None = None) -> DataFrame:
     """``items`` (sorted by name), ``n``, ``support`` of the itemsets with the least support.
 
     Level by level: candidates of the next length are joins of two frequent sets with a
-    common beginning, counted by the rows that hold them.  ``longest`` bounds the length.
+    common beginning, counted by the rows that hold them, until a level is empty.  ``longest``
+    bounds the length; by default nothing does.
     """
     n = m.rows.count()
     least = min_support * n
     rows = m.ones.groupBy("row").agg(F.array_sort(F.collect_set("feature")).alias("has"))
     level = m.ones.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.array("feature").alias("items"), "n")
     found = [level]
-    for size in range(2, longest + 1):
+    for size in count(2) if longest is None else range(2, longest + 1):
         known = [tuple(r["items"]) for r in found[-1].select("items").collect()]  # bounded by the columns, not the rows
         begin: dict[tuple, list[str]] = {}
         for items in sorted(known):

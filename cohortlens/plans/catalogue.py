@@ -398,7 +398,7 @@ rules AS (SELECT p.s, p.a, p.c, x.s AS sa, y.s AS sc FROM parts_ p JOIN sets x O
 
 
 def _rules(m: BinaryMatrix, least: float) -> DataFrame:
-    r = mining.association_rules(mining.frequent_itemsets(m, least, longest=3), 1.0)
+    r = mining.association_rules(mining.frequent_itemsets(m, least), 1.0)
     return r.select(F.array_join("antecedents", ", ").alias("antecedents"), F.array_join("consequents", ", ").alias("consequents"), *r6("support", "confidence", "lift", "leverage"))
 
 

@@ -1,12 +1,15 @@
 """The driver's contract: queries and their twins, on the smallest tables."""
 
 import math
+from collections import Counter, defaultdict
+from itertools import combinations
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cohortlens.sources.matrix import star_matrix
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="the test tables aren't here")
@@ -45,3 +48,25 @@ def test_twin(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["src", "dst", "phi", "p_value", "edge_type"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_gene_rules_of_any_length(spark, con):
+    """By brute force: the SQL twin stops at three items."""
+    m = star_matrix(spark, str(SF)).role("gene")
+    n, has, times = m.rows.count(), defaultdict(set), Counter()
+    for r in m.ones.collect():
+        has[r.row].add(r.feature)
+    for f in has.values():
+        times.update(c for k in range(1, len(f) + 1) for c in combinations(sorted(f), k))
+    often = {c: k / n for c, k in times.items() if k >= 0.03 * n}
+    assert max(map(len, often)) == 4
+    want = {}
+    for c, s in often.items():
+        for a in (a for k in range(1, len(c)) for a in combinations(c, k)):
+            b = tuple(x for x in c if x not in a)
+            if s / often[a] / often[b] >= 1:
+                want[", ".join(a), ", ".join(b)] = s
+    got = {(r.antecedents, r.consequents): r for r in entry.queries()["m4_gene_rules"](spark, str(SF)).collect()}
+    assert set(got) == set(want) and all(got[k].support == round(s, 6) for k, s in want.items())
+    three = {r[:2] for r in con.execute(entry.oracle_sql()["m4_gene_rules"]).fetchall()}
+    assert three == {(a, c) for a, c in want if (a + c).count(", ") <= 1}

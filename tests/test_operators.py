@@ -1,5 +1,7 @@
 """Operators on small hand-made matrices."""
 
+from itertools import combinations
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,15 @@ def test_patterns_and_rules(toy):
     assert (r.confidence, r.lift, r.conviction) == (1.0, pytest.approx(7 / 4), float("inf"))
 
 
+def test_itemsets_of_any_length(spark):
+    names = list("ABCDEFGHI")
+    ones = spark.createDataFrame([(r, f) for r in ("1", "2", "3") for f in names if r < "3" or f < "C"], "row string, feature string")
+    m = BinaryMatrix(ones, spark.createDataFrame([("1",), ("2",), ("3",)], "row string"), None)
+    got = {tuple(r["items"]): r.n for r in mining.frequent_itemsets(m, 0.5).collect()}
+    assert got == {c: 3 if set(c) <= {"A", "B"} else 2 for k in range(1, 10) for c in combinations(names, k)}
+    assert max(len(r["items"]) for r in mining.frequent_itemsets(m, 0.5, longest=3).collect()) == 3
+
+
 @pytest.fixture(scope="module")
 def path(spark):
     return spark.createDataFrame([("Gene_A", "Gene_B", 0.8), ("Gene_B", "Phenotype_X", 0.6)], "src string, dst string, phi double")
