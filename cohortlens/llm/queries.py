@@ -12,7 +12,7 @@ from .quality_rules import apply_policy, rule_ledger
 from .scratch import Scratch
 from .secrets import scan_secrets, train as train_network
 from .shard_sort import histogram_sort_shards
-from .simhash import near_fingerprints, simhash_documents
+from .simhash import near_counts, simhash_documents
 
 from .toxicity import toxicity_scores, train
 from .warc_derivatives import derivatives, responses
@@ -57,12 +57,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``n_near``: other rows at most 3 bits away, for ids divisible by 20 (else null)."""
+    """``n_near``: other rows at most ``RADIUS`` bits away, for ids divisible by 20 (else null)."""
     rows = Scratch(spark, "simhash").table(simhash_documents(_read(spark, sf_dir, "documents")), "prints")
     queries = rows.where("doc_id % 20 = 0")
-    pairs = near_fingerprints(rows, queries, radius=3)
-    times = rows.groupBy("fingerprint").agg(F.count("*").alias("times"))
-    near = pairs.join(times, "fingerprint").groupBy("query").agg((F.sum("times") - 1).alias("found"))
+    near = near_counts(rows, queries).withColumn("found", F.col("found") - 1)
     full = rows.join(near.withColumnRenamed("query", "fingerprint"), "fingerprint", "left")
     return full.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
                        F.when(F.col("doc_id") % 20 == 0, F.col("found")).alias("n_near"))

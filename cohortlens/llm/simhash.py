@@ -5,21 +5,21 @@ where there are fewer), each weighted by 1 + ln(times it occurs).  A term's
 128-bit hash votes with its weight for each of its set bits and against each
 other; the fingerprint has the bits with more votes for than against.
 
-``near_fingerprints`` finds all fingerprints within a radius r by permuted block
-tables: the bits are cut into r + 1 + e blocks, and two fingerprints that differ
-in r bits at most agree in 1 + e blocks, so there is one equi-join for each
-choice of 1 + e blocks, and no pair is missed.
+``near_fingerprints`` finds all fingerprints within a radius r by block tables: the
+bits are cut into 8 blocks of 16, and two fingerprints that differ in r bits at most
+differ in r / 8 bits at most in one block.  There is a table for each block; the larger
+side is stored once in each, the queries look up all values of their block in that
+reach.  No pair is missed, and a pair counts in the first block that finds it.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .scratch import below, partitions, prepare
 from .shingles import U64, mix, text_bytes, windows, word_hashes, word_spans
@@ -27,6 +27,10 @@ from .shingles import U64, mix, text_bytes, windows, word_hashes, word_spans
 BITS = 128
 #: Words of a term.
 TERM = 3
+#: Bits that texts may differ in to be near: on the test documents, all pairs with 3/4 or more of their terms in common do.
+RADIUS = 28
+#: Block tables of 16 bits; the highest bits of a block that choose its task; pairs compared at once.
+BLOCKS, HIGH, AT_ONCE = 8, 4, 1 << 20
 #: Stands for a null id: it comes before all others.
 NO_ID = -(1 << 63)
 _SIGNS = np.where(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) == 1, 1.0, -1.0)
@@ -131,29 +135,88 @@ def simhash_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 
-def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, extra: int = 2, bits: int = BITS) -> DataFrame:
+def _near(prints: np.ndarray, queries: np.ndarray, t: int, g: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, print, distance) of the pairs that block ``t`` is the first to find; all prints have its highest bits ``g``.
+
+    Both are arrays of 8 blocks of 16 bits.
+    """
+    reach, low = radius // BLOCKS, (1 << 16 - HIGH) - 1
+    order = np.argsort(prints[:, t] & low, kind="stable")
+    sorted_prints = np.ascontiguousarray(prints[order])
+    begin = np.searchsorted(sorted_prints[:, t] & low, np.arange(low + 2))
+    p, q = sorted_prints.view(np.uint64), np.ascontiguousarray(queries).view(np.uint64)
+    off = np.bitwise_count((queries[:, t] >> 16 - HIGH) ^ np.uint16(g))
+    for mask in range(low + 1):
+        wide = mask.bit_count()
+        if wide > reach:
+            continue
+        some = np.flatnonzero(off + wide <= reach)
+        at = (queries[some, t] & low) ^ mask
+        first, many = begin[at], begin[at + 1] - begin[at]
+        some, first, many = some[many > 0], first[many > 0], many[many > 0]
+        ends = np.cumsum(many)
+        i = 0
+        while i < len(some):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + AT_ONCE, "right")))
+            n = many[i:j]
+            left = np.repeat(some[i:j], n)
+            right = np.arange(n.sum()) + np.repeat(first[i:j] - np.cumsum(n) + n, n)
+            distance = np.bitwise_count(q[left] ^ p[right]).sum(1)
+            hit = np.flatnonzero(distance <= radius)
+            left, right, distance = left[hit], right[hit], distance[hit]
+            new = ~(np.bitwise_count(queries[left, :t] ^ sorted_prints[right, :t]) <= reach).any(1)
+            yield left[new], order[right[new]], distance[new]
+            i = j
+
+
+def _meet(prints: DataFrame, queries: DataFrame, radius: int, solve, schema: str) -> DataFrame:
+    """``solve(t, g, prints, queries)`` for each block and its highest bits; ``prints`` has a column times."""
+    reach = radius // BLOCKS
+    nibble = [F.conv(F.substring("fingerprint", 1 + 4 * t, 1), 16, 10).cast("int") for t in range(BLOCKS)]
+    held = lambda df: df.where("fingerprint is not null")
+    own = F.array(*[F.struct(F.lit(t).alias("t"), nibble[t].alias("g")) for t in range(BLOCKS)])
+    stored = held(prints).select(F.unhex("fingerprint").alias("print"), "times", F.explode(own).alias("k")).select("k.t", "k.g", "print", "times")
+    every = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(g).alias("g")) for t in range(BLOCKS) for g in range(1 << HIGH)])
+    asked = held(queries).select("fingerprint").distinct().select("fingerprint", F.array(*nibble).alias("own"))
+    keys = F.filter(every, lambda x: F.bit_count(F.get("own", x["t"]).bitwiseXOR(x["g"])) <= reach)
+    asked = asked.select(F.unhex("fingerprint").alias("print"), F.explode(keys).alias("k")).select("k.t", "k.g", "print")
+
+    def blocks(table: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column("print").to_pylist()), ">u2").astype(np.uint16).reshape(-1, BLOCKS)
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return solve(key[0].as_py(), key[1].as_py(), left, right, blocks(left), blocks(right))
+
+    return stored.groupBy("t", "g").cogroup(asked.groupBy("t", "g")).applyInArrow(run, schema)
+
+
+def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (query, fingerprint, distance) of hex fingerprints at most ``radius`` bits apart.
 
     Both inputs have a column ``fingerprint``; nulls and repeated ones are taken once.
     """
-    blocks = radius + 1 + extra
-    edges = [bits * i // blocks for i in range(blocks + 1)]
-    binary = lambda c: F.concat(*[F.lpad(F.conv(F.substring(c, 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(bits // 32)])
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        bitsof = df.where("fingerprint is not null").select(F.col("fingerprint").alias(name)).distinct().withColumn("b", binary(F.col(name)))
-        block = [F.substring("b", edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)]
-        keys = F.array(*[F.struct(F.lit(n).alias("t"), F.xxhash64(*[block[i] for i in chosen]).alias("k")) for n, chosen in enumerate(combinations(range(blocks), 1 + extra))])
-        return bitsof.select(name, F.explode(keys).alias("key")).select(name, "key.t", "key.k")
-
-    # Both sides grow with the data: never broadcast.
-    pairs = keyed(queries, "query").hint("merge").join(keyed(prints, "fingerprint"), ["t", "k"]).select("query", "fingerprint").distinct()
-    return pairs.withColumn("distance", hamming(F.col("query"), F.col("fingerprint"), bits)).where(F.col("distance") <= radius)
-
-
-def hamming(a: Column, b: Column, bits: int = BITS) -> Column:
-    total = F.lit(0)
-    for i in range(bits // 32):
-        x, y = (F.conv(F.substring(c, 1 + 8 * i, 8), 16, 10).cast("long") for c in (a, b))
-        total = total + F.bit_count(x.bitwiseXOR(y))
-    return total
+    def solve(t, g, left, right, p, q):
+        found = list(_near(p, q, t, g, radius)) if len(p) and len(q) else []
+        one = lambda k: np.concatenate([np.zeros(0, np.int64), *[f[k].astype(np.int64) for f in found]])
+        names = lambda table, at: pa.array([table.column("print")[int(i)].as_py().hex() for i in at], pa.string())
+        return pa.table([names(right, one(0)), names(left, one(1)), pa.array(one(2).astype(np.int32))], ["query", "fingerprint", "distance"])
+
+    return _meet(prints.select("fingerprint").distinct().withColumn("times", F.lit(1).cast("long")), queries, radius, solve, "query string, fingerprint string, distance int")
+
+
+def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(query, found): the rows of ``prints``, repeated ones included, at most ``radius`` bits from each distinct query.
+
+    Pairs are counted where they are found, so their number is never that of rows.
+    """
+    def solve(t, g, left, right, p, q):
+        sums = np.zeros(len(q), np.int64)
+        if len(p) and len(q):
+            times = left.column("times").to_numpy()
+            for a, b, _ in _near(p, q, t, g, radius):
+                np.add.at(sums, a, times[b])
+        at = np.flatnonzero(sums)
+        return pa.table([pa.array([right.column("print")[int(i)].as_py().hex() for i in at], pa.string()), pa.array(sums[at])], ["query", "found"])
+
+    many = prints.groupBy("fingerprint").agg(F.count("*").alias("times"))
+    return _meet(many, queries, radius, solve, "query string, found long").groupBy("query").agg(F.sum("found").alias("found"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bestfit_packing, byte_bpe, html_extract, jaccard_join, quality_rules, secrets, shard_sort, shingles, simhash, toxicity, warc_derivatives
+from cohortlens.llm import bestfit_packing, byte_bpe, html_extract, jaccard_join, quality_rules, queries, secrets, shard_sort, shingles, simhash, toxicity, warc_derivatives
 
 tokenizers_here = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -361,6 +361,39 @@ def test_block_tables_find_all(spark):
     assert got == want
 
 
+def test_near_copies_are_found(spark, tmp_path):
+    r = random.Random(3)
+    base = [[f"w{r.randrange(3000)}" for _ in range(200)] for _ in range(40)]
+    rows = []
+    for k, words in enumerate(base):
+        for j in range(5):  # one to four changed words: 3/4 or more of the terms stay
+            copy = list(words)
+            for at in r.sample(range(200), j):
+                copy[at] = f"new{k}x{at}"
+            rows.append((5 * k + j, " ".join(copy), "en", "web", 0))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in queries.op7_simhash(spark, str(tmp_path)).collect()}
+    prints = {i: int(x.fingerprint, 16) for i, x in got.items()}
+    for i, x in got.items():
+        assert x.n_near == (sum((prints[i] ^ p).bit_count() <= simhash.RADIUS for p in prints.values()) - 1 if i % 20 == 0 else None)
+    assert sum(x.n_near == 4 for i, x in got.items() if i % 20 == 0) == 10
+
+
+def test_block_tables_find_all_in_a_wide_radius(spark):
+    r = random.Random(10)
+    base = [r.getrandbits(128) for _ in range(10)]
+    prints = sorted({f"{b ^ sum(1 << k for k in r.sample(range(128), r.randint(0, 32))):032x}" for b in base for _ in range(15)})
+    df = spark.createDataFrame([(p,) for p in prints] + [(None,)], "fingerprint string")
+    some = df.where(F.crc32(F.col("fingerprint").cast("binary")) % 3 == 0)
+    for radius in (15, 28):
+        found = [(x.query, x.fingerprint, x.distance) for x in simhash.near_fingerprints(df, some, radius).collect()]
+        asked = {x.fingerprint for x in some.collect()}
+        want = {(a, b, (int(a, 16) ^ int(b, 16)).bit_count()) for a in asked for b in prints if (int(a, 16) ^ int(b, 16)).bit_count() <= radius}
+        assert len(found) == len(set(found)) and set(found) == want
+    many = {x.query: x.found for x in simhash.near_counts(df.union(df), some, 28).collect()}
+    assert many == {a: 2 * sum(x == a for x, _, _ in want) for a in asked}
+
+
 # ---- 8 --------------------------------------------------------------------------------------
 
 
