@@ -327,6 +327,19 @@ def test_network(spark):
     assert secrets.train(empty(spark)) is None
 
 
+def test_long_runs_are_scored(spark):
+    token = "eyJ" + "aB3_" * 9 + "." + "x-Y9" * 18 + "." + "Qz1k" * 10 + "ab"
+    assert len(token) == 155
+    for run in (token, "/srv/data/key=" + token, token * 20):
+        text = f"é see {run} here"
+        assert secrets.candidates(text) == [(6, 6 + len(run))]
+        net = secrets.CharNetwork.new(1)
+        net.threshold = 0.0
+        assert secrets.find_spans([text], net) == [[(6, 3, 6 + len(run))]]
+    row = secrets.redact_secrets(spark.createDataFrame([(f"see {token} here",)], "text string"), net).first()
+    assert row.text == "see [SECRET] here"
+
+
 # ---- 7 --------------------------------------------------------------------------------------
 
 
