@@ -3,13 +3,14 @@ networks, entropy-weighted importance, stability, redundancy."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.stats import binary_entropy
 from ..sources.matrix import BinaryMatrix
-from . import bootstrap, mining, pairs
+from . import bootstrap, graph, mining, pairs
 
 
 def redundant_pairs(m: BinaryMatrix, threshold: float = 0.9) -> DataFrame:
@@ -25,7 +26,7 @@ def entropy_weighted(m: BinaryMatrix, importance: DataFrame, penalty: float = 0.
     return full.withColumn("adjusted_importance", F.col("base_importance") * (1 - penalty * (1 - F.col("entropy"))))
 
 
-def rules_with_intervals(m: BinaryMatrix, min_support: float = 0.05, min_confidence: float = 0.7, replicates: int = 100, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+def rules_with_intervals(m: BinaryMatrix, min_support: float = 0.05, min_confidence: float = 0.7, replicates: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """Rules with percentile limits of their lift over row resamples; significant if the interval excludes 1.
 
     The rows that hold both parts, the antecedent, or the consequent are counted with
@@ -34,12 +35,14 @@ def rules_with_intervals(m: BinaryMatrix, min_support: float = 0.05, min_confide
     sets = mining.frequent_itemsets(m, min_support)
     rules = mining.association_rules(sets, 0.0, min_confidence).select("antecedents", "consequents", "support", "confidence", "lift")
     names = rules.select(F.explode(F.array("antecedents", "consequents", F.array_sort(F.array_union("antecedents", "consequents")))).alias("items")).distinct()
-    wanted = names.agg(F.collect_list("items").alias("sets"))  # bounded by the rules
-    has = m.ones.groupBy("row").agg(F.collect_set("feature").alias("has"))
-    held = has.crossJoin(F.broadcast(wanted)).select("row", F.explode(F.filter("sets", lambda s: F.size(F.array_except(s, F.col("has"))) == 0)).alias("items"))
-    w = bootstrap.row_weights(m.rows, replicates, seed)
-    counts = held.join(w, "row").groupBy("items", "replicate").agg(F.sum("weight").alias("n"))
-    total = w.groupBy("replicate").agg(F.sum("weight").alias("total"))
+    listed = sorted(tuple(r["items"]) for r in names.collect())  # bounded by the rules
+    known = m.ones.sparkSession.createDataFrame([(i, list(x)) for i, x in enumerate(listed)], "key long, items array<string>")
+    wanted = known.agg(F.collect_list(F.struct("key", "items")).alias("sets"))
+    has = m.rows.join(m.ones.groupBy("row").agg(F.collect_set("feature").alias("has")), "row", "left")
+    held = F.transform(F.filter("sets", lambda s: F.size(F.array_except(s["items"], F.coalesce("has", F.array().cast("array<string>")))) == 0), lambda s: s["key"])
+    n = bootstrap.weight_sums(has.crossJoin(F.broadcast(wanted)).select("row", F.concat(F.array(F.lit(bootstrap.ALL).cast("long")), held).alias("keys")), replicates, seed)
+    counts = n.where("n > 0").join(F.broadcast(known), "key").select("items", "replicate", "n")
+    total = n.where(F.col("key") == bootstrap.ALL).select("replicate", F.col("n").alias("total"))
     key = lambda name, count: counts.select(F.col("items").alias(name), "replicate", F.col("n").alias(count))
     full = rules.withColumn("both", F.array_sort(F.array_union("antecedents", "consequents"))).join(key("both", "nb"), "both")
     full = full.join(key("antecedents", "na"), ["antecedents", "replicate"]).join(key("consequents", "nc"), ["consequents", "replicate"]).join(F.broadcast(total), "replicate")
@@ -49,36 +52,60 @@ def rules_with_intervals(m: BinaryMatrix, min_support: float = 0.05, min_confide
     return out.withColumn("is_significant", (F.col("lift_ci_lower") > 1) | (F.col("lift_ci_upper") < 1))
 
 
-def edge_confidence(m: BinaryMatrix, edge_function: Callable[[BinaryMatrix], DataFrame], replicates: int = 10, threshold: float = 0.8, seed: int = 42) -> DataFrame:
+def edge_confidence(m: BinaryMatrix, edge_function: Callable[[BinaryMatrix], DataFrame], replicates: int = 500, threshold: float = 0.8, seed: int = 42) -> DataFrame:
     """src, dst, confidence, high_confidence: how often an edge recurs over row resamples.
 
-    ``edge_function`` gives (src, dst) of a matrix; each replicate is a plan of its own.
+    ``edge_function`` gives (src, dst) of a matrix; each replicate is a plan of its own,
+    run when this is called.  For the network's edges see ``network_confidence``.
     """
-    found = None
+    found: Counter = Counter()
     for b in range(replicates):
         w = bootstrap.row_weights(m.rows, b + 1, seed).where(F.col("replicate") == b).select("row", F.explode(F.sequence(F.lit(1), "weight")).alias("copy"))
         again = w.withColumn("new", F.concat_ws("#", "row", "copy"))
         sample = BinaryMatrix(m.ones.join(again, "row").select(F.col("new").alias("row"), "feature"), again.select(F.col("new").alias("row")), m.features, m.classes)
-        e = edge_function(sample).select("src", "dst")
-        found = e if found is None else found.union(e)
-    by = found.groupBy("src", "dst").agg((F.count("*") / replicates).alias("confidence"))
+        found.update((e.src, e.dst) for e in edge_function(sample).select("src", "dst").collect())  # bounded by the columns
+    by = m.ones.sparkSession.createDataFrame([(s, d, n / replicates) for (s, d), n in sorted(found.items())], "src string, dst string, confidence double")
     return by.withColumn("high_confidence", F.col("confidence") >= threshold)
 
 
-def pattern_stability(m: BinaryMatrix, min_share: float = 0.1, replicates: int = 50, seed: int = 42) -> DataFrame:
+def network_confidence(m: BinaryMatrix, replicates: int = 500, threshold: float = 0.8, seed: int = 42, alpha: float = 0.05, method: str = "fdr_bh") -> DataFrame:
+    """``edge_confidence`` of ``graph.network_edges``: joint counts of all replicates come from one pass over the rows."""
+    size = m.features.agg(F.max("ord").alias("top")).first()["top"] + 1
+    coded = m.ones.join(F.broadcast(m.features.select("feature", "ord")), "feature").groupBy("row").agg(F.array_sort(F.collect_set("ord")).alias("f"))
+    # A pair's key is ord1 * size + ord2, a feature's is that of its pair with itself.
+    cells = F.flatten(F.transform("f", lambda a, i: F.transform(F.slice("f", i + 1, F.size("f")), lambda b: a.cast("long") * size + b)))
+    keys = F.concat(F.array(F.lit(bootstrap.ALL).cast("long")), F.coalesce(cells, F.array().cast("array<long>")))
+    n = bootstrap.weight_sums(m.rows.join(coded, "row", "left").select("row", keys.alias("keys")), replicates, seed)
+    total = n.where(F.col("key") == bootstrap.ALL).select("replicate", "n").where("n > 0")
+    cell = n.where("key >= 0").select((F.floor(F.col("key") / size)).cast("int").alias("ord1"), (F.col("key") % size).cast("int").alias("ord2"), "replicate", F.col("n").alias("n11"))
+    ones = cell.where("ord1 = ord2").select("replicate", F.col("ord1").alias("ord"), F.col("n11").alias("k"))
+    p = ones.join(F.broadcast(total), "replicate").where("k > 0 and k < n").join(F.broadcast(m.features.select("feature", "role", "ord")), "ord")
+    a = p.select("replicate", "n", F.col("feature").alias("item1"), F.col("role").alias("role1"), F.col("ord").alias("ord1"), F.col("k").alias("k1"))
+    b = p.select(F.col("replicate").alias("same"), F.col("feature").alias("item2"), F.col("role").alias("role2"), F.col("ord").alias("ord2"), F.col("k").alias("k2"))
+    full = a.join(b, (F.col("replicate") == F.col("same")) & (F.col("ord1") < F.col("ord2"))).drop("same").join(cell, ["replicate", "ord1", "ord2"], "left")
+    n11 = F.coalesce("n11", F.lit(0)).cast("long")
+    tables = full.select("replicate", "item1", "item2", "role1", "role2", "ord1", "ord2", "k1", "k2", "n", (F.col("n") - F.col("k1") - F.col("k2") + n11).alias("n00"),
+                         (F.col("k2") - n11).alias("n01"), (F.col("k1") - n11).alias("n10"), n11.alias("n11"))
+    edges = pairs.adjust(pairs.tested(tables), method=method, by=("replicate",)).where(F.col("adj_p") <= alpha)
+    by = edges.groupBy(F.col("item1").alias("src"), F.col("item2").alias("dst")).agg((F.count("*") / replicates).alias("confidence"))
+    return by.withColumn("high_confidence", F.col("confidence") >= threshold)
+
+
+def pattern_stability(m: BinaryMatrix, min_share: float = 0.1, replicates: int = 500, seed: int = 42) -> DataFrame:
     """feature, stability: percent of row resamples in which the feature's share reaches ``min_share``."""
-    w = bootstrap.row_weights(m.rows, replicates, seed)
-    total = w.groupBy("replicate").agg(F.sum("weight").alias("total"))
-    hits = m.ones.join(w, "row").groupBy("feature", "replicate").agg(F.sum("weight").alias("hits")).join(F.broadcast(total), "replicate")
-    by = hits.groupBy("feature").agg((F.sum((F.col("hits") >= min_share * F.col("total")).cast("long")) * 100 / replicates).alias("stability"))
+    n = bootstrap.feature_sums(m, replicates, seed)
+    total = n.where(F.col("key") == bootstrap.ALL).select("replicate", F.col("n").alias("total"))
+    names = m.features.select("feature", F.col("ord").cast("long").alias("key"))
+    hits = n.where("n > 0").join(F.broadcast(names), "key").join(F.broadcast(total), "replicate")
+    by = hits.groupBy("feature").agg((F.sum((F.col("n") >= min_share * F.col("total")).cast("long")) * 100 / replicates).alias("stability"))
     return m.features.select("feature").join(by, "feature", "left").na.fill(0.0, ["stability"])
 
 
-def comprehensive(m: BinaryMatrix, importance: DataFrame | None = None, edge_function: Callable | None = None, replicates: int = 50) -> dict[str, DataFrame]:
+def comprehensive(m: BinaryMatrix, importance: DataFrame | None = None, edge_function: Callable | None = None, replicates: int = 500) -> dict[str, DataFrame]:
     """Rules and redundancy always, the others where their input is given."""
     out = {"association_rules": rules_with_intervals(m, replicates=replicates), "redundancy": redundant_pairs(m)}
     if edge_function is not None:
-        out["network"] = edge_confidence(m, edge_function, min(replicates, 10))
+        out["network"] = network_confidence(m, replicates) if edge_function is graph.network_edges else edge_confidence(m, edge_function, replicates)
     if importance is not None:
         out["importance"] = entropy_weighted(m, importance)
         out["stability"] = pattern_stability(m, replicates=replicates)

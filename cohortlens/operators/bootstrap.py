@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import ln_factorial
@@ -118,11 +119,57 @@ def row_weights(rows: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     return spread.withColumn("weight", weight).where("weight > 0")
 
 
-def joint_intervals(m: BinaryMatrix, replicates: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+def weight_sums(keyed: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
+    """key, replicate, n: the weights of ``row_weights`` summed over the rows of each key, all replicates in one pass.
+
+    ``keyed`` has ``row`` and ``keys``, an array of numbers without repeats; the number
+    of keys is bounded by the columns, so a task keeps a sum for each key and replicate.
+    """
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.xxhash64(F.lit(seed), r, "row"))
+    cdf = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 12)]))
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys, many = batch.column(0).flatten().to_numpy(), batch.column(0).value_lengths().to_numpy()
+            h = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, replicates)
+            for at in range(0, len(h), 2048):
+                u = ((h[at : at + 2048] & (1 << 52) - 1) + 0.5) / float(1 << 52)
+                weight = np.searchsorted(cdf, u.ravel()).reshape(u.shape)
+                owner = np.repeat(np.arange(len(u)), many[at : at + 2048])
+                first = int(many[:at].sum())
+                k = keys[first : first + len(owner)]
+                order = np.argsort(k, kind="stable")
+                names, begin = np.unique(k[order], return_index=True)
+                for name, rows in zip(names.tolist(), np.split(owner[order], begin[1:])):
+                    got = weight[rows].sum(0)
+                    sums[name] = sums[name] + got if name in sums else got
+        if sums:
+            flat = pa.array(np.concatenate(list(sums.values())).astype(np.int64))
+            n = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * replicates, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), n], ["key", "n"])
+
+    parts = keyed.where(F.size("keys") > 0).select(F.col("keys").cast("array<long>"), hashes.alias("h")).mapInArrow(run, "key long, n array<long>")
+    return parts.select("key", F.posexplode("n").alias("replicate", "n")).groupBy("key", "replicate").agg(F.sum("n").alias("n"))
+
+
+#: The key of all rows in ``weight_sums``.
+ALL = -1
+
+
+def joint_intervals(m: BinaryMatrix, replicates: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """feature, mean, lower, upper with the same resample for all features, which keeps their dependence."""
-    w = row_weights(m.rows, replicates, seed)
-    total = w.groupBy("replicate").agg(F.sum("weight").alias("total"))
-    hits = m.ones.join(w, "row").groupBy("feature", "replicate").agg(F.sum("weight").alias("hits"))
-    grid = m.features.select("feature").crossJoin(F.broadcast(total))
+    n = feature_sums(m, replicates, seed)
+    total = n.where(F.col("key") == ALL).select("replicate", F.col("n").alias("total"))
+    names = m.features.select("feature", F.col("ord").cast("long").alias("key"))
+    hits = n.join(F.broadcast(names), "key").select("feature", "replicate", F.col("n").alias("hits"))
+    grid = m.features.select("feature").crossJoin(F.broadcast(total.where("total > 0")))
     share = grid.join(hits, ["feature", "replicate"], "left").select("feature", (F.coalesce("hits", F.lit(0)) / F.col("total")).alias("x"))
     return share.groupBy("feature").agg(F.avg("x").alias("mean"), F.percentile("x", F.lit((1 - confidence) / 2)).alias("lower"), F.percentile("x", F.lit((1 + confidence) / 2)).alias("upper"))
+
+
+def feature_sums(m: BinaryMatrix, replicates: int, seed: int = 42) -> DataFrame:
+    """``weight_sums`` by the features' ord and over all rows."""
+    has = m.ones.join(F.broadcast(m.features.select("feature", "ord")), "feature").groupBy("row").agg(F.collect_set("ord").alias("has"))
+    keyed = m.rows.join(has, "row", "left").select("row", F.concat(F.array(F.lit(ALL)), F.coalesce(F.col("has").cast("array<int>"), F.array().cast("array<int>"))).alias("keys"))
+    return weight_sums(keyed, replicates, seed)

@@ -60,13 +60,13 @@ def tested(tables: DataFrame) -> DataFrame:
     return out.where("p is not null")
 
 
-def adjust(df: DataFrame, p: str = "p", method: str = "fdr_bh", ties: tuple[str, ...] = ("item1", "item2"), out: str = "adj_p") -> DataFrame:
-    """Adjusted p-values over the whole table: fdr_bh, bonferroni or holm.
+def adjust(df: DataFrame, p: str = "p", method: str = "fdr_bh", ties: tuple[str, ...] = ("item1", "item2"), out: str = "adj_p", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adjusted p-values over the whole table, or each part of it that has equal ``by``: fdr_bh, bonferroni or holm.
 
     The table has one row for each test, so the window over all of it is bounded by the
     number of pairs of columns.
     """
-    everything = Window.partitionBy(F.lit(0))
+    everything = Window.partitionBy(*by or (F.lit(0),))
     order = everything.orderBy(F.col(p), *ties)
     ranked = df.withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(everything))
     if method == "fdr_bh":

@@ -328,12 +328,12 @@ def _(s, d):
 
 @query("t11_grouped_bootstrap")
 def _(s, d):
-    return bootstrap.grouped_statistic(_read(s, d, "events").select(F.col("event_type").alias("name"), "value"), "median", 200)
+    return bootstrap.grouped_statistic(_read(s, d, "events").select(F.col("event_type").alias("name"), "value"), "median", 1000)
 
 
 @query("t12_joint_bootstrap")
 def _(s, d):
-    return bootstrap.joint_intervals(star_matrix(s, d), 20)
+    return bootstrap.joint_intervals(star_matrix(s, d), 1000)
 
 
 @query("t13_plain_chi2", sql(f"SELECT item1, item2, round({o.PLAIN}, 6) AS statistic, round({o.erfc('sqrt((' + o.PLAIN + ') / 2)')}, 6) AS p FROM hc", o.NETWORK))
@@ -612,12 +612,12 @@ def _(s, d):
 
 @query("x1_rules_with_intervals")
 def _(s, d):
-    return advanced.rules_with_intervals(star_matrix(s, d).class_level(), 0.03, 0.2, 20).withColumns({c: F.array_join(c, ", ") for c in ("antecedents", "consequents")})
+    return advanced.rules_with_intervals(star_matrix(s, d).class_level(), 0.03, 0.2, 500).withColumns({c: F.array_join(c, ", ") for c in ("antecedents", "consequents")})
 
 
 @query("x2_edge_confidence")
 def _(s, d):
-    return advanced.edge_confidence(star_matrix(s, d).class_level(), graph.network_edges, 3)
+    return advanced.network_confidence(star_matrix(s, d).class_level(), 500)
 
 
 @query("x3_entropy_weighted", sql("""SELECT f AS feature, round(k / n, 6) AS base_importance, round(e, 6) AS entropy, round(k / n * (1 - 0.5 * (1 - e)), 6) AS adjusted_importance FROM (
@@ -629,7 +629,7 @@ def _(s, d):
 
 @query("x4_pattern_stability")
 def _(s, d):
-    return advanced.pattern_stability(star_matrix(s, d), 0.3, 10)
+    return advanced.pattern_stability(star_matrix(s, d), 0.3, 500)
 
 
 @query("x5_redundant_pairs", sql("SELECT item1 AS feature1, item2 AS feature2, round(n11 / (k1 + k2 - n11), 6) AS jaccard FROM hc WHERE n11 / (k1 + k2 - n11) > 0.25", o.NETWORK))

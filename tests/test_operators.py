@@ -1,6 +1,7 @@
 """Operators on small hand-made matrices."""
 
 from itertools import combinations
+from unittest.mock import MagicMock
 
 import pandas as pd
 import pytest
@@ -97,6 +98,32 @@ def test_itemsets_of_any_length(spark):
     assert max(len(r["items"]) for r in mining.frequent_itemsets(m, 0.5, longest=3).collect()) == 3
 
 
+def test_replicates_in_one_pass(spark):
+    m = matrix(spark, {str(i): ("AB" if i % 2 else "") + ("C" if i % 3 == 0 else "") + ("D" if i % 7 < 3 else "") + ("E" if i % 5 == 0 else "") for i in range(60)}, "ABCDE")
+    w = bootstrap.row_weights(m.rows, 6, 42)
+    want = {(r.ord, r.replicate): r.n for r in m.ones.join(m.features, "feature").join(w, "row").groupBy("ord", "replicate").agg(F.sum("weight").alias("n")).collect()}
+    want |= {(bootstrap.ALL, r.replicate): r.n for r in w.groupBy("replicate").agg(F.sum("weight").alias("n")).collect()}
+    assert {(r.key, r.replicate): r.n for r in bootstrap.feature_sums(m, 6, 42).collect() if r.n} == want
+    edges = lambda df: {(r.src, r.dst): (r.confidence, r.high_confidence) for r in df.collect()}
+    got = edges(advanced.network_confidence(m, 6))
+    assert ("A", "B") in got and got == edges(advanced.edge_confidence(m, graph.network_edges, 6))
+
+
+def test_registered_replicates(monkeypatch):
+    from cohortlens.plans import catalogue
+
+    seen = {}
+    monkeypatch.setattr(catalogue, "star_matrix", lambda *_: MagicMock())
+    monkeypatch.setattr(catalogue, "_read", lambda *_: MagicMock())
+    for owner, name in ((bootstrap, "grouped_statistic"), (bootstrap, "joint_intervals"), (advanced, "rules_with_intervals"), (advanced, "network_confidence"), (advanced, "pattern_stability")):
+        monkeypatch.setattr(owner, name, lambda *a, name=name: seen.setdefault(name, a[-1]) and MagicMock())
+    monkeypatch.setattr(catalogue.F, "col", MagicMock())
+    monkeypatch.setattr(catalogue.F, "array_join", MagicMock())
+    for q in ("t11_grouped_bootstrap", "t12_joint_bootstrap", "x1_rules_with_intervals", "x2_edge_confidence", "x4_pattern_stability"):
+        catalogue.QUERIES[q](None, "")
+    assert seen == {"grouped_statistic": 1000, "joint_intervals": 1000, "rules_with_intervals": 500, "network_confidence": 500, "pattern_stability": 500}
+
+
 @pytest.fixture(scope="module")
 def path(spark):
     return spark.createDataFrame([("Gene_A", "Gene_B", 0.8), ("Gene_B", "Phenotype_X", 0.6)], "src string, dst string, phi double")
