@@ -340,6 +340,23 @@ def test_long_runs_are_scored(spark):
     assert row.text == "see [SECRET] here"
 
 
+def test_threshold_keeps_recall():
+    net = secrets.CharNetwork.new(1)
+    x = np.stack([secrets.window("see aB3_aB3_aB3_aB3_ here", 4, 20)] * 100)
+    y = np.array([1.0] * 10 + [0.0] * 90)  # alike, so the calibrated score is 0.1
+    net.calibrate(x, y, 0.98)
+    assert net.scores(x).max() < 0.2 and (net.scores(x[y == 1]) >= net.threshold).mean() >= 0.98
+
+
+def test_unseen_kind_of_secret_is_found(spark):
+    r = random.Random(4)
+    key = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"plain words here password={key(24)}0a more" if i % 2 else f"mail to user{i}.name{i}@mail{i}.example.com now ok") for i in range(400)]
+    net = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = f"plain words here pwd={key(24)}0a more"
+    assert secrets.base_spans(text) == [] and [k for _, k, _ in secrets.find_spans([text], net)[0]] == [3]
+
+
 # ---- 7 --------------------------------------------------------------------------------------
 
 
