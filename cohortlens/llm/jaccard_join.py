@@ -22,7 +22,9 @@ Which texts link is decided exactly.  The steps:
    many links between them don't give all those pairs; the second pass verifies
    exactly whatever the trees leave.
 
-Hashes are of 64 bits (48 for candidates, where equal hashes can only add work).
+Shingles are compared by 64-bit hashes, in the verification too, and sets (classes) by
+128-bit digests: two different shingles of one pair of texts would have to collide for a
+wrong overlap, and two different sets of the whole corpus for a wrong class.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import connected_components
@@ -45,11 +47,8 @@ _FLUSH = 1 << 20
 #: A token is frequent in a run of texts (about a million tokens) from this number and this part of the texts on;
 #: so many frequent tokens are known to all workers (8 bytes each).
 FREQUENT_LEAST, FREQUENT_PART, FREQUENT_MOST = 16, 64, 1 << 20
-#: Entries of one component that a task holds of a group; larger groups are dealt out.
+#: Entries of a group that meet with as many others in a deal; larger groups have several deals.
 GROUP = 512
-_MASK48 = np.uint64((1 << 48) - 1)
-
-
 def required_overlap(na, nb, num: int, den: int):
     """Least intersection of sets of these sizes whose Jaccard similarity is num/den."""
     return -(-num * (na + nb) // (den + num))
@@ -59,47 +58,44 @@ def prefix_length(n, num: int, den: int):
     return n + (-num * n) // den + 1
 
 
-def pack48(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def unpack48(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(np.uint64)
+def set_digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def set_digest(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def number_digests(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """The place of each 16-byte digest among the distinct ones, and these in ascending order."""
+    known = sorted({packed[i : i + 16] for i in range(0, len(packed), 16)})
+    number = dict(zip(known, range(len(known))))
+    return np.fromiter((number[packed[i : i + 16]] for i in range(0, len(packed), 16)), np.int64, len(packed) // 16), known
 
 
 def _class_rows(text: str, k: int, id_type: pa.DataType):
-    """Rows (id, n, digest) of the texts, and marked rows (null, count, token) of tokens frequent among a run of texts."""
+    """Rows (id, n, digest) of the texts, and marked rows (null, count, null, token) of tokens frequent among a run of texts."""
 
-    def frequent(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
-        token, count = np.unique(np.concatenate(list(sets.values())) >> np.uint64(16), return_counts=True)
+    def frequent(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(list(sets.values())), return_counts=True)
         often = count >= max(FREQUENT_LEAST, len(sets) // FREQUENT_PART)
-        token, count = token[often].astype(np.int64), count[often].astype(np.int64)
-        return batch_of(pa.nulls(len(token), id_type), count, token, True)
+        token, count = token[often].view(np.int64), count[often].astype(np.int64)
+        return batch_of(pa.nulls(len(token), id_type), count, pa.nulls(len(token), pa.binary()), pa.array(token))
 
-    def batch_of(ids, n, digest, mark: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(digest), pa.array(np.full(len(n), mark))], ["id", "n", "digest", "frequent"])
+    def batch_of(ids, n, digest, token) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(n), digest, token], ["id", "n", "digest", "frequent"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
+        sets: dict[bytes, np.ndarray] = {}
         total = 0
         for batch in batches:
             col = batch.column(text)
-            n, digest = np.zeros(len(col), np.int64), np.zeros(len(col), np.int64)
+            n, digest = np.zeros(len(col), np.int64), [b""] * len(col)
             for i, tokens in shingle_sets(col, k):
                 n[i], digest[i] = len(tokens), set_digest(tokens)
                 if len(tokens) and digest[i] not in sets:
-                    sets[int(digest[i])] = tokens
+                    sets[digest[i]] = tokens
                     total += len(tokens)
                     if total >= _FLUSH:
                         yield frequent(sets)
                         sets, total = {}, 0
-            yield batch_of(batch.column("id"), n, digest, False)
+            yield batch_of(batch.column("id"), n, pa.array(digest, pa.binary()), pa.nulls(len(col), pa.int64()))
         if sets:
             yield frequent(sets)
 
@@ -111,7 +107,7 @@ def frequent_tokens(classes: DataFrame, scratch: Scratch, most: int) -> np.ndarr
 
     A histogram of the counts' magnitudes gives the least count, so nothing is sorted.
     """
-    by = scratch.table(classes.where("frequent").groupBy("digest").agg(F.sum("n").alias("times")), "frequent")
+    by = scratch.table(classes.where("frequent is not null").groupBy("frequent").agg(F.sum("n").alias("times")), "frequent")
     level = F.floor(F.log2("times") * 8).cast("int")
     hist = sorted(((r["level"], r["n"]) for r in by.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
     least, total = None, 0
@@ -120,9 +116,9 @@ def frequent_tokens(classes: DataFrame, scratch: Scratch, most: int) -> np.ndarr
         if total > most:
             break
         least = at
-    got = [] if least is None else [r["digest"] for r in by.where(level >= least).select("digest").collect()]
+    got = [] if least is None else by.where(level >= least).select("frequent").toArrow()["frequent"].to_numpy()
     scratch.drop(by)
-    return np.sort(np.array(got, np.uint64))
+    return np.sort(np.array(got, np.int64).view(np.uint64))
 
 
 #: Stands for the number of classes of a frequent token: it sorts behind all counts.
@@ -156,24 +152,24 @@ def _pack_tokens(text: str, k: int, buckets: int, frequent: Broadcast):
     the token space, but go to the bucket of their class (numbered from ``buckets`` on).
     """
 
-    def flush(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+    def flush(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
         known = np.frombuffer(frequent.value, np.uint64)
-        digest = np.fromiter(sets, np.int64, len(sets))
+        digest = np.frombuffer(b"".join(sets), "<u8").reshape(-1, 2)
         size = np.array([len(x) for x in sets.values()], np.int64)
-        token = np.concatenate(list(sets.values())) >> np.uint64(16)
+        token = np.concatenate(list(sets.values()))
         owner = np.repeat(np.arange(len(size)), size)
         often = np.zeros(len(token), bool)
         if len(known):
             often = known[np.minimum(np.searchsorted(known, token), len(known) - 1)] == token
-        bucket = np.where(often, buckets + np.mod(digest, buckets)[owner], ((token >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
+        bucket = np.where(often, buckets + class_bucket(digest, buckets)[owner], ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64))
         rows = []
         for b, own, many, at in _deal(bucket, owner):
             extra = np.full(len(at), _OFTEN, np.uint32).tobytes() if b >= buckets else b""
-            rows.append((b, digest[own].tobytes(), size[own].astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), pack48(token[at]), extra))
+            rows.append((b, digest[own].tobytes(), size[own].astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), token[at].tobytes(), extra))
         return _table(rows).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
+        sets: dict[bytes, np.ndarray] = {}
         total = 0
         for batch in batches:
             for _, tokens in shingle_sets(batch.column(text), k):
@@ -189,12 +185,16 @@ def _pack_tokens(text: str, k: int, buckets: int, frequent: Broadcast):
     return run
 
 
+def class_bucket(digest: np.ndarray, buckets: int) -> np.ndarray:
+    return np.mod(digest[:, 0], np.uint64(buckets)).astype(np.int64)
+
+
 def _unpack(group: pa.Table, extra: bool = False):
-    """(token, class, size of the class, extra) of every entry of a bucket's rows."""
+    """(token, class, size of the class, extra) of every entry of a bucket's rows, and the classes' digests by their numbers."""
     join = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
     many = join("counts", np.uint32)
-    return (unpack48(b"".join(group.column("tokens").to_pylist())), np.repeat(join("classes", np.int64), many),
-            np.repeat(join("sizes", np.uint32), many), join("extra", np.uint32) if extra else None)
+    number, known = number_digests(b"".join(group.column("classes").to_pylist()))
+    return join("tokens", np.uint64), np.repeat(number, many), np.repeat(join("sizes", np.uint32), many), join("extra", np.uint32) if extra else None, known
 
 
 def _shared_tokens(buckets: int):
@@ -204,7 +204,7 @@ def _shared_tokens(buckets: int):
         number = group.column("bucket")[0].as_py()
         if number >= buckets:  # a class's frequent tokens: already where they belong
             return group.set_column(0, "bucket", pa.array([number - buckets] * len(group), pa.int32()))
-        token, cls, size, _ = _unpack(group)
+        token, cls, size, _, known = _unpack(group)
         order = np.argsort(token)
         t = token[order]
         new = np.r_[True, t[1:] != t[:-1]] if len(t) else np.zeros(0, bool)
@@ -225,27 +225,28 @@ def _shared_tokens(buckets: int):
         order = np.lexsort((t, c))
         t, c, s, df = t[order], c[order], s[order], df[order].astype(np.uint32)
         head = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        cls, size, many = c[head], s[head], np.diff(np.r_[head, len(c)])
-        part = np.mod(cls, buckets)
+        size, many = s[head], np.diff(np.r_[head, len(c)])
+        digest = np.frombuffer(b"".join([known[i] for i in c[head].tolist()]), "<u8").reshape(-1, 2)
+        part = class_bucket(digest, buckets)
         rows = []
         start = np.r_[0, np.cumsum(many)]
         for p in np.unique(part):
             own = np.flatnonzero(part == p)
             at = np.concatenate([np.arange(start[i], start[i + 1]) for i in own])
-            rows.append((int(p), cls[own].tobytes(), size[own].tobytes(), many[own].astype(np.uint32).tobytes(), pack48(t[at]), df[at].tobytes()))
+            rows.append((int(p), digest[own].tobytes(), size[own].tobytes(), many[own].astype(np.uint32).tobytes(), t[at].tobytes(), df[at].tobytes()))
         return _table(rows)
 
     return run
 
 
-_ALIVE = "digest long, n int, tokens binary, prefix array<long>"
+_ALIVE = "digest binary, n int, tokens binary, prefix array<long>"
 
 
 def _prefixes(num: int, den: int):
     """Classes that can have a partner: their shared tokens and the part of their prefix in them."""
 
     def run(group: pa.Table) -> pa.Table:
-        token, cls, size, df = _unpack(group, extra=True)
+        token, cls, size, df, known = _unpack(group, extra=True)
         order = np.lexsort((token, df, cls))
         if len(order):  # copies of a class in several batches have each sent its frequent tokens
             order = order[np.r_[True, (token[order][1:] != token[order][:-1]) | (cls[order][1:] != cls[order][:-1])]]
@@ -256,9 +257,9 @@ def _prefixes(num: int, den: int):
             n = int(size[a])
             left = prefix_length(n, num, den) - (n - (b - a))
             if left > 0:
-                for col, x in zip(out, (int(cls[a]), n, np.sort(token[a:b]).tobytes(), token[a : a + left].astype(np.int64))):
+                for col, x in zip(out, (known[cls[a]], n, np.sort(token[a:b]).tobytes(), token[a : a + left].view(np.int64))):
                     col.append(x)
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+        kinds = (pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], ["digest", "n", "tokens", "prefix"])
 
     return run
@@ -279,11 +280,14 @@ def _overlaps(a: str, b: str, num: int, den: int):
     return run
 
 
+_CANDIDATES = "a binary, b binary"
+
+
 def _verified(pairs: DataFrame, alive: DataFrame, num: int, den: int) -> DataFrame:
     left = alive.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = alive.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     full = pairs.join(left, "a").join(right, "b").where(f"least(na, nb) * {den}L >= greatest(na, nb) * {num}L")
-    return full.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_overlaps("a", "b", num, den), "a long, b long")
+    return full.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_overlaps("a", "b", num, den), _CANDIDATES)
 
 
 class SignatureTree:
@@ -373,17 +377,14 @@ def fold(bits: np.ndarray) -> np.ndarray:
     return bits[:half] | bits[half:]
 
 
-_CANDIDATES = "a long, b long"
-
-
 def _tree_pairs(num: int, den: int, best: int | None):
     """Candidate pairs of a bucket's groups; with ``best``, so many of any two components."""
 
     def run(group: pa.Table) -> pa.Table:
         token = group.column("token").to_numpy()
-        digest = group.column("digest").to_numpy()
+        digest = group.column("digest").to_pylist()
         n = group.column("n").to_numpy().astype(np.int64)
-        label = group.column("root").to_numpy()
+        label = np.unique(np.array(group.column("root").to_pylist(), object), return_inverse=True)[1] if len(group) else np.zeros(0, np.int64)
         shared = group.column("shared").to_numpy().astype(np.int64)
         fine = group.column("fine").to_numpy(zero_copy_only=False)
         raw = group.column("bits")
@@ -410,7 +411,7 @@ def _tree_pairs(num: int, den: int, best: int | None):
                 bits = np.stack([maps[i] for i in own.tolist()] + [fold(maps[i]) for i in above.tolist()])
                 spare = shared[at] - np.bitwise_count(bits).sum(1, dtype=np.int64)
                 for i, j, more in SignatureTree(n[at], bits, spare, label[at]).pairs(num, den).tolist():
-                    pair = tuple(sorted((int(digest[at[i]]), int(digest[at[j]]))))
+                    pair = tuple(sorted((digest[at[i]], digest[at[j]])))
                     if best is None:
                         found.add(pair)
                         continue
@@ -420,7 +421,7 @@ def _tree_pairs(num: int, den: int, best: int | None):
                         if len(top) > best:
                             heapq.heappop(top)
         pairs = sorted(found.union(pair for top in likeliest.values() for _, pair in top))
-        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+        return pa.table([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
     return run
 
@@ -436,12 +437,28 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def set_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """(id, n, digest, frequent) of every row: size and digest of its set of k-word shingles; and marked rows (see ``_class_rows``)."""
+    """(id, n, digest) of every row: size and digest of its set of k-word shingles; and rows of frequent tokens (see ``_class_rows``)."""
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     # A separate row id isn't needed: equal rows have equal classes.
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _class_rows("text", k, to_arrow_type(kind)), f"id {kind.simpleString()}, n long, digest long, frequent boolean")
+        _class_rows("text", k, to_arrow_type(kind)), f"id {kind.simpleString()}, n long, digest binary, frequent long")
+
+
+def _deals() -> Column:
+    """Keys of the deals an entry goes to, from token, digest, root, major, big and small.
+
+    A group's largest component is cut into ``big`` parts and the rest of it into ``small``
+    ones; each part of the first meets each of the second, and those of the second meet
+    one another.  So each pair of different components meets, and no deal holds the group.
+    """
+    part = lambda many: F.pmod(F.xxhash64("digest", F.lit(1)), F.col(many)).cast("int")
+    upto = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
+    across = lambda i, j: F.xxhash64("token", F.lit(0), i, j)
+    among = lambda i, j: F.xxhash64("token", F.lit(1), F.least(i, j), F.greatest(i, j))
+    others = F.filter(upto("small"), lambda j: j != part("small"))
+    return F.when(F.col("root") == F.col("major"), F.transform(upto("small"), lambda j: across(part("big"), j))).otherwise(
+        F.concat(F.transform(upto("big"), lambda i: across(i, part("small"))), F.transform(others, lambda j: among(part("small"), j))))
 
 
 def linked_classes(docs: DataFrame, frequent: np.ndarray, text_col: str, k: int, num: int, den: int, scratch: Scratch, buckets: int | None = None) -> DataFrame:
@@ -453,24 +470,25 @@ def linked_classes(docs: DataFrame, frequent: np.ndarray, text_col: str, k: int,
     shared = packed.groupBy("bucket").applyInArrow(_shared_tokens(buckets), _PACKED)
     alive = scratch.table(shared.groupBy("bucket").applyInArrow(_prefixes(num, den), _ALIVE), "alive")
 
-    entries = alive.select(F.explode("prefix").alias("token"), "digest")
-    least = entries.groupBy("token").agg(F.min("digest").alias("b"), F.max("digest").alias("last")).where("b < last")
-    stars = entries.join(least, "token").where("digest <> b").select(F.col("digest").alias("a"), "b").distinct()
+    # The salt divides a frequent token's entries among all tasks; a token has one row at most for each salt where it is looked up.
+    salt = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("salt")
+    entries = alive.select(F.explode("prefix").alias("token"), "digest").select("token", "digest", salt)
+    parts = entries.groupBy("token", "salt").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+    least = parts.groupBy("token").agg(F.min("least").alias("b"), F.max("most").alias("last")).where("b < last").select("token", "b")
+    stars = entries.join(parts.select("token", "salt").join(least, "token"), ["token", "salt"]).where("digest <> b").select(F.col("digest").alias("a"), "b").distinct()
     links = scratch.table(_verified(stars, alive, num, den), "links")
     roots = scratch.table(connected_components(links, scratch), "roots")
-    marks = alive.select("digest", "n", "tokens").mapInArrow(_bitmaps, "digest long, n int, shared int, coarse binary, places binary")
+    marks = alive.select("digest", "n", "tokens").mapInArrow(_bitmaps, "digest binary, n int, shared int, coarse binary, places binary")
 
     for best in (LIKELIEST, None):
-        labelled = entries.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("token", "digest", F.coalesce("root", "digest").alias("root"))
+        labelled = entries.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("token", "salt", "digest", F.coalesce("root", "digest").alias("root"))
         labelled = scratch.table(labelled, "labelled")
-        # Of a large group, the entries of its largest component are dealt out and the others go to every deal:
-        # each pair of different components still meets, and no task holds the group.
-        by = labelled.groupBy("token", "root").agg(F.count("*").alias("n"))
+        salted = labelled.groupBy("token", "salt", "root").agg(F.count("*").alias("n"))
+        by = salted.groupBy("token", "root").agg(F.sum("n").alias("n"))
         mixed = by.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("many"), F.count("*").alias("roots")).where("roots > 1")
-        mixed = mixed.select("token", "major", (F.col("many") > LARGE_GROUP).alias("fine"), F.ceil(F.col("most") / GROUP).cast("int").alias("deals"))
-        dealt = labelled.join(mixed, "token")
-        deal = F.when(F.col("root") == F.col("major"), F.array(F.pmod(F.xxhash64("digest"), F.col("deals")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("deals") - 1))
-        dealt = dealt.select("digest", "root", "fine", F.explode(F.transform(deal, lambda d: F.xxhash64("token", d))).alias("token"))
+        mixed = mixed.select("token", "major", (F.col("many") > LARGE_GROUP).alias("fine"), F.ceil(F.col("most") / GROUP).cast("int").alias("big"), F.ceil((F.col("many") - F.col("most")) / GROUP).cast("int").alias("small"))
+        labelled = labelled.join(salted.select("token", "salt").distinct().join(mixed, "token"), ["token", "salt"])
+        dealt = labelled.select("digest", "root", "fine", F.explode(_deals()).alias("token"))
         rest = dealt.join(marks, "digest").select("token", "digest", "root", "n", "shared", "fine", F.when(F.col("fine"), F.col("places")).otherwise(F.col("coarse")).alias("bits"),
                                                   F.expr(f"pmod(token, {4 * buckets})").alias("bucket"))
         pairs = rest.groupBy("bucket").applyInArrow(_tree_pairs(num, den, best), _CANDIDATES).distinct()
@@ -501,7 +519,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     scanned = scratch.table(set_classes(docs, id_col, text_col, k), "classes")
-    rows = scanned.where("not frequent")
+    rows = scanned.where("frequent is null")
     nodes = linked_classes(docs, frequent_tokens(scanned, scratch, FREQUENT_MOST), text_col, k, num, den, scratch, buckets)
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"))
     rooted = classes.join(nodes.withColumnRenamed("node", "digest"), "digest", "left")

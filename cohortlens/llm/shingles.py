@@ -9,51 +9,31 @@ white space, so that the tables stay a few MB.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15)
-_MULT = np.array(
-    [0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3,
-     0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3, 0xC2B2AE3D27D4EB4F],
-    dtype=U64,
-)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SAME = np.arange(256, dtype=np.uint8)
 _BLOCK = 1 << 20
-_powers: dict[str, np.ndarray] = {}
+#: Bytes of the longest word that is hashed with all others; a longer one gets a digest of its own.
+_LONG = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64: spreads every input bit over the word."""
+    """Finaliser of splitmix64: a bijection that spreads every input bit over the word."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> U64(27))) * U64(0x94D049BB133111EB)
     return h ^ (h >> U64(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, _BLOCK + 1)
-        inverse = pow(int(_BASE), -1, 1 << 64)
-        for name, base in (("up", int(_BASE)), ("down", inverse)):
-            t = np.empty(size, U64)
-            t[0] = 1
-            filled = 1
-            step = base
-            while filled < size:  # doubling: t[k:2k] = t[:k] * base**k
-                m = min(filled, size - filled)
-                t[filled : filled + m] = t[:m] * U64(step & 0xFFFFFFFFFFFFFFFF)
-                filled += m
-                step = step * step & 0xFFFFFFFFFFFFFFFF
-            _powers[name] = t
-    return _powers["up"], _powers["down"]
+#: Odd multipliers whose differences have few factors of two, so that swapped words of a window differ.
+_MULT = (mix(np.arange(1, 9, dtype=U64)) & ~U64(15)) | np.arange(1, 17, 2, dtype=U64)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,19 +76,38 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word's bytes (A-Z lowered if asked)."""
-    out = np.empty(len(s), U64)
-    fold = _LOWER if lower else _SAME
-    i = 0
-    while i < len(s):
-        j = max(i + 1, int(np.searchsorted(e, s[i] + _BLOCK, "right")))
-        lo, hi = int(s[i]), int(e[j - 1])
-        up, down = _tables(hi - lo + 1)
-        run = np.zeros(hi - lo + 1, U64)
-        np.cumsum((fold[raw[lo:hi]].astype(U64) + U64(1)) * up[: hi - lo], out=run[1:])
-        a, b = s[i:j] - lo, e[i:j] - lo
-        out[i:j] = mix((run[b] - run[a]) * down[a] + (b - a).astype(U64))
-        i = j
+    """64-bit hash of each word's bytes (A-Z lowered if asked).
+
+    The bytes are chained eight at a time through ``mix``, and words of more than
+    ``_LONG`` bytes are digested (BLAKE2b), so no family of words collides by its form
+    as those of a polynomial modulo 2**64 do.  Words of up to eight bytes and of equal
+    length can't collide at all.
+    """
+    size = e - s
+    out = mix(size.astype(U64) * _MULT[1] + _MULT[0])
+    if not len(s):
+        return out
+    text = np.zeros(len(raw) + 8, np.uint8)
+    text[: len(raw)] = _LOWER[raw] if lower else raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", text, strides=(1,))  # the eight bytes from each place on
+    at, left, rows = s, size, None
+    short = size <= _LONG
+    if not short.all():
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(text[s[i] : e[i]], digest_size=8).digest(), "little")
+        rows = np.flatnonzero(short)
+        at, left = s[rows], size[rows]
+    while len(at):
+        x = eight[at]
+        if (tail := left < 8).any():
+            x[tail] &= (U64(1) << (left[tail] * 8).astype(U64)) - U64(1)
+        if rows is None:
+            out = mix((out ^ x) * _MULT[2])
+            rows = np.arange(len(out))
+        else:
+            out[rows] = mix((out[rows] ^ x) * _MULT[2])
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
     return out
 
 

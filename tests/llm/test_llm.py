@@ -107,6 +107,40 @@ def test_jaccard_join_odd(spark):
     assert jaccard_join.ngram_jaccard_join(empty(spark)).count() == 0
 
 
+def thue_morse(steps=10):
+    """Two texts that collide under any polynomial hash with an odd base modulo 2**64."""
+    a, b = "a", "b"
+    for _ in range(steps):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_texts_that_collide_in_polynomial_hashes(spark):
+    a, b = thue_morse()
+    got = jaccard_join.ngram_jaccard_join(spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1}
+    m = quality_rules.measure(pa.array([f"{a}\n{b}\n{a}", f"{a} {b}"]))
+    names = [n for n, _ in quality_rules._FIXED]
+    assert m[0, names.index("n_dup_lines")] == 1 and m[1, names.index("n_distinct_words")] == 2
+
+
+def test_deals_of_many_small_components(spark, monkeypatch):
+    """No component of the group is large, so its parts meet pairwise."""
+    for name, value in (("FREQUENT_LEAST", 3), ("GROUP", 4), ("LARGE_GROUP", 3)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(12)]
+    rows = []
+    for g in range(40):
+        own = [f"g{g}w{i}" for i in range(20)]
+        for c in range(2):
+            w = passage + own
+            w[12 + 19 * c] = f"x{r.randrange(1000)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.ngram_jaccard_join(df).collect()} == brute_components(rows)
+
+
 def test_signature_tree_loses_nothing():
     r = np.random.default_rng(3)
     base = [r.integers(0, 2**48, 60, dtype=np.uint64) for _ in range(6)]
