@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -527,38 +528,55 @@ def test_shards_of_one_row_repeated(spark):
 # ---- 10 -------------------------------------------------------------------------------------
 
 
+def texts_of(html, role=None):
+    x = html_extract.classify(html)
+    return x.blocks if role is None else [t for t, r in zip(x.stream, x.roles) if r == role]
+
+
 def test_page_blocks():
     html = ("<html><head><title>x</title><script>var a='</p>';</script></head><body class='menu-open'><nav><a href=1>Home</a></nav><header>Site</header><article class=post><header><h1>Big &amp; small</h1>by me</header>"
             "<p>One <b>two\n three<br>four<p>Five &eacute;<ul><li>six<li>seven</ul><div class='ad box'>Buy</div><aside>Side</aside><form><label>mail</label></form><section id=comments><p>first!</p></section></article>"
             "<article class=comment>me too</article><footer>&copy; x</footer>")
-    content, rest = html_extract.classify(html)
-    assert content == ["Big & small", "One two three four", "Five é", "six", "seven"]
-    assert {t for r, t in rest if r == html_extract.CHROME} >= {"Home", "Site", "Buy", "Side", "mail", "first!", "me too", "© x"}
-    assert html_extract.classify("") == ([], []) and html_extract.classify("plain &am")[1] == [(html_extract.UNMARKED, "plain &am")]
-    assert html_extract.classify("<main><p>a</p></main><p>b</p>")[0] == ["a"]
-    assert html_extract.classify("<article><p>cut off in a <a href='x")[0] == ["cut off in a"] and html_extract.classify("<article><p title=\"it's>a < b")[0] == ["a < b"]
+    assert texts_of(html) == ["Big & small", "One two three four", "Five é", "six", "seven"]
+    assert set(texts_of(html, html_extract.CHROME)) >= {"Home", "Site", "Buy", "Side", "mail", "first!", "me too", "© x"}
+    assert texts_of("") == [] and texts_of("plain &am", html_extract.UNMARKED) == ["plain &am"]
+    assert texts_of("<main><p>a</p></main><p>b</p>") == ["a"]
+    assert texts_of("<article><p>cut off in a <a href='x") == ["cut off in a"] and texts_of("<article><p title=\"it's>a < b") == ["a < b"]
+    kept = "<article><figure><img><figcaption>A map</figcaption></figure><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><div class='related-work'>Earlier work</div></article>"
+    assert texts_of(kept) == ["A map", "so x=2", "Earlier work"] and texts_of(kept, html_extract.WEAK) == ["Earlier work"]
 
 
-def test_repeated_runs_by_brute_force():
+def test_hostile_pages_take_linear_time():
+    r = random.Random(1)
+    for html in ("<b>" * 120_000 + "</i>" * 120_000, "<b>" * 120_000 + "<p>x" * 120_000, "<div>" * 90_000 + "</p>" * 90_000, "<a '\">" * 150_000, "<!--" * 250_000,
+                 "".join(r.choice(["<a \"", "'", ">", "<b ", '"', "x", "<p>", "</p>"]) for _ in range(300_000))):
+        start = time.process_time()
+        html_extract.classify(html)
+        assert time.process_time() - start < 15
+
+
+def test_runs_by_brute_force():
+    """Streams of several pages each."""
     r = random.Random(8)
     block = lambda: [r.choice("ab") for _ in range(r.randint(1, 25))]
-    pages = [[block() for _ in range(r.randint(0, 3))] for _ in range(12)] + [[list("abababab"), list("ab")]] * 3
-    got = html_extract.repeated_tokens(pages, run=5, least=3)
+    streams = [[block() for _ in range(r.randint(0, 3))] for _ in range(12)] + [[list("abababab"), list("ab")]]
+    pages = [r.randint(1, 2) for _ in streams]
+    found = html_extract.suffix_array(streams, pages, 5)
     runs = lambda b: [tuple(b)] if len(b) < 5 else [tuple(b[i : i + 5]) for i in range(len(b) - 4)]
     where = collections.defaultdict(set)
-    for p in pages:
-        for b in p:
-            for x in runs(b):
-                where[x].add(str(p))
-    for p, c in zip(pages, got):
+    for i, x in enumerate(streams):
+        for b in x:
+            for y in runs(b):
+                where[y].add(i)
+    for x, got in zip(streams, found.covered(found.pages >= 3)):
         want = []
-        for b in p:
+        for b in x:
             mark = np.zeros(len(b), bool)
-            for i, x in enumerate(runs(b)):
-                if len(where[x]) >= 3:
+            for i, y in enumerate(runs(b)):
+                if sum(pages[k] for k in where[y]) >= 3:
                     mark[i : i + 5] = True
             want += mark.tolist()
-        assert want == c.tolist()
+        assert want == got.tolist()
 
 
 def test_extract(spark):
@@ -587,6 +605,31 @@ def test_host_counts_do_not_depend_on_deals(spark, monkeypatch):
         assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
 
 
+def test_arrays_decide_in_articles(spark, monkeypatch):
+    """Weak blocks go if the host repeats them, and else stay; without the arrays all would stay."""
+    offer = "see also our other pages on this and that subject"
+    words = lambda i, k: " ".join(f"w{i}x{k}x{j}" for j in range(12))
+    copied = "this passage is quoted in every article of the host as it stands here"
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>{words(i, 0)}</p><p>{copied}</p><div class=related>{offer if i % 2 else words(i, 2)}</div><p>{words(i, 1)}</p></article></body>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(20)], "page_id long, url string, html string")
+    want = {i: "\n\n".join([f"Title {i}", words(i, 0), copied] + ([] if i % 2 else [words(i, 2)]) + [words(i, 1)]) for i in range(20)}
+    assert {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()} == want
+    monkeypatch.setattr(html_extract, "FEW_CHANGES", 2)  # the way beyond the broadcast
+    monkeypatch.setattr(html_extract, "DEAL", 4)
+    assert {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()} == want
+    monkeypatch.setattr(html_extract, "PAGES", 10**9)
+    worse = {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()}
+    assert all((worse[i] == want[i]) == (i % 2 == 0) and (offer in worse[i]) == (i % 2 == 1) for i in want)
+
+
+def test_large_hosts_lose_the_same_note(spark):
+    """A note on three pages goes from a host of 2,000 pages as it does from one of 200."""
+    note = "the office is closed on the first monday of each month"
+    rows = [(n * 10_000 + i, f"http://h{n}.example/{i}", f"<p>{' '.join(f'w{i}x{j}' for j in range(9))}</p>" + (f"<div>{note}</div>" if i in (5, n // 2, n - 1) else "")) for n in (200, 2000) for i in range(n)]
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert len(got) == 2200 and not any(note in r.text for r in got)
+
+
 # ---- common ---------------------------------------------------------------------------------
 
 
