@@ -53,7 +53,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = scan_secrets(docs, train_network(docs), keep=["doc_id"])
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_network")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_network", "n_confirmed")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
