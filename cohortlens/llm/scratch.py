@@ -8,11 +8,14 @@ temporary folder set.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows handed to a Python worker at once; texts may be long.
@@ -40,11 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written by one operator call; ``drop`` removes those no longer read."""
+    """Tables written by one operator call; ``drop`` removes those no longer read.
+
+    A returned DataFrame may still read the rest: ``released`` removes what was written
+    inside it, and what is left goes when the application ends with its session running.
+    """
+
+    known: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        Scratch.known.append(self)
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write and read back: the same rows, without lineage."""
@@ -56,12 +66,38 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
+        self._delete([t._scratch_path for t in tables])
+
+    def release(self) -> None:
+        """Remove all tables of this call."""
+        self._delete([self.base])
+        Scratch.known.remove(self)
+
+    def _delete(self, paths: list[str]) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def released():
+    """Scratch tables of operators called inside are removed at the end: what reads them has to be written by then."""
+    before = len(Scratch.known)
+    try:
+        yield
+    finally:
+        for s in Scratch.known[before:]:
+            s.release()
+
+
+@atexit.register
+def _release_all() -> None:
+    for s in list(Scratch.known):
+        if SparkContext._active_spark_context is s.spark.sparkContext:
+            s.release()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -698,3 +698,20 @@ def test_pipeline_by_brute_force(spark, tmp_path):
         assert x.text == secrets.redact(texts[i], brute_spans(texts[i])) and x.n_chars == len(x.text)
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in rows} == set(seen[3]) and check_packing(rows) == -(-sum(x.length for x in rows) // 4096)
+
+
+def test_pipeline_keeps_rows(spark, tmp_path):
+    """Rows that share an id or have none, repeated rows, extra columns, empty tables."""
+    import corpus_pipeline
+
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    rows = [(5, a), (5, b), (9, b), (None, a + " eight"), (None, "x y z"), (None, "x y z"), (7, ""), (7, ""), (3, "p q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(extra())
+    got = corpus_pipeline.one_of_each(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(5, a), (5, b), (None, "x y z"), (7, ""), (7, ""), (3, "p q")], key=str)
+    assert corpus_pipeline.one_of_each(spark, docs.limit(0), "").count() == 0
+    assert corpus_pipeline.no_secrets(spark, docs, "").columns == docs.columns
+    empty(spark).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(0)}).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
