@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm import bestfit_packing, jaccard_join, quality_rules, secrets, toxicity
-from cohortlens.llm.scratch import Scratch
+from cohortlens.llm.scratch import Scratch, released
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,21 +28,29 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates.
+    """One document of each group of near duplicates: the one with the smallest id.
 
-    Of rows that share that id one stays; rows without an id stay, as they can't be told apart.
+    Rows are told apart by all their columns, so different rows that share an id, or have
+    none, are documents of their own; they come in order of the id (null last), then of a
+    digest of the row.  Of wholly equal rows one stays, but for those without words, which
+    link with nothing.  Extra columns may have any names but the two used here.
     """
-    groups = jaccard_join.ngram_jaccard_join(docs)
-    heads = groups.where("doc_id = component_id").select("doc_id").distinct()
-    # The join leaves the rows of an id together, so this needs no exchange of its own.
-    kept = docs.join(heads, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.union(docs.where("doc_id is null"))
+    row = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).cast("binary"))
+    keyed = docs.withColumn("__row", row)
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__row")
+    groups = jaccard_join.ngram_jaccard_join(keyed.select(order.alias("__key"), "text"), "__key")
+    heads = groups.where("__key.__row = component_id.__row").groupBy(F.col("__key.__row").alias("__row")).agg(F.max("n_shingles").alias("__n"))
+    # The join leaves equal rows together, so this needs no exchange of its own.
+    kept = keyed.join(heads, "__row").withColumn("__n", F.when(F.col("__n") == 0, F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["__row", "__n"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked and their length brought up to date."""
+    """All documents, with their secrets masked and their length (where there is such a column) brought up to date."""
     masked = secrets.redact_secrets(docs, secrets.train(docs))
-    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(docs.columns)
+    if "n_chars" not in docs.columns:
+        return masked
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +69,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with released():
+            docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
