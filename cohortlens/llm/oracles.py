@@ -1,8 +1,5 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express on whole tables."""
 
-from . import warc_derivatives as w
-
-
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -13,13 +10,13 @@ def _urn(expr: str) -> str:
 
 
 def _text() -> str:
-    out = f"regexp_replace(payload, {_quote(w.HIDDEN)}, ' ', 'g')"
-    out = f"regexp_replace({out}, {_quote(w.BREAKS)}, chr(10), 'g')"
-    out = f"regexp_replace({out}, {_quote(w.TAGS)}, '', 'g')"
-    for name, char in w.REFERENCES:
-        out = f"replace({out}, {_quote(name)}, {_quote(char)})"
-    out = f"regexp_replace({out}, {_quote(w.BLANKS)}, ' ', 'g')"
-    return f"trim(regexp_replace({out}, {_quote(w.LINES)}, chr(10), 'g'), ' ' || chr(10))"
+    """Text of the tables' pages, whose markup is plain: no nested quotes, and references of a few kinds."""
+    out = "regexp_replace(replace(payload, chr(10), ' '), '<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '', 'g')"
+    out = f"regexp_replace({out}, '</?(?:p|div|br|li|ul|h1|nav|footer|article|title|head|body|html)(?: [^>]*)?>', chr(10), 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '<!?[a-zA-Z/][^>]*>', '', 'g'), '[ ' || chr(9) || chr(13) || ']+', ' ', 'g')"
+    for name, char in (("&quot;?", '"'), ("&#(39|x27);", "'"), ("&lt;?", "<"), ("&gt;?", ">"), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
+        out = f"regexp_replace({out}, {_quote(name)}, {_quote(char)}, 'g')"
+    return f"array_to_string(list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -66,7 +63,7 @@ d AS (
   FROM r
   UNION ALL
   SELECT page_id, refers_to, target_uri, source_digest, 'conversion', 'text/plain; charset=utf-8', {_text()} FROM r)
-SELECT page_id, record_type, {_urn("record_type || '|' || refers_to")} AS record_id, refers_to, target_uri, '{w.NO_DATE}' AS warc_date, content_type,
+SELECT page_id, record_type, {_urn("record_type || '|' || refers_to")} AS record_id, refers_to, target_uri, '1970-01-01T00:00:00Z' AS warc_date, content_type,
        source_digest, block, strlen(block)::BIGINT AS block_length, 'sha256:' || sha256(block) AS block_digest
 FROM d""",
     # The tables' pages have one plain article each; general markup is tested on fixtures.

@@ -486,31 +486,126 @@ def test_block_tables_find_all_in_a_wide_radius(spark):
 # ---- 8 --------------------------------------------------------------------------------------
 
 
+def slow_text(html):
+    """Plain text by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.skip = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style")
+            self.out.append("\n" if tag in warc_derivatives._BREAKS else " " if tag in ("td", "th") else "")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style")
+            self.handle_starttag(tag, []) if tag not in ("script", "style") else None
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out.append(data.replace("\n", " "))
+
+    p = P()
+    p.feed(html)
+    p.close()
+    return "\n".join(x for x in (" ".join(y.split()) for y in "".join(p.out).split("\n")) if x)
+
+
+def test_plain_text():
+    cases = {
+        "<table><tr><td>a</td><td>b</td></tr><tr><th>c</th></tr></table>": "a b\nc", "it&#8217;s caf&eacute; &amp;lt; &nbsp;x": "it’s café &lt; x", "a<script>var x='<p>';": "a",
+        "a<link rel=x>b<picture>c</picture><track>d": "abcd", "a<blockquote>b</blockquote><dl><dt>c<dd>d</dl><main>e</main><hr>f": "a\nb\nc\nd\ne\nf", "<p title='x>y'>z": "z", "one\n two": "one two",
+        "<pre>one\n  two</pre>": "one\ntwo", "x<!-- y": "x", "<style>p{}</style >q": "q", "": "",
+    }
+    for html, want in cases.items():
+        assert warc_derivatives.plain_text(html) == want, html
+    r = random.Random(3)
+    parts = ["<p>", "</p>", "<td>", "</td>", "<b>", "</b>", "<br>", "<br/>", "<div class='a>b'>", "</div>", "&amp;", "&eacute;", "&#65;", "word", " ", "\n", "é", "<script>x<p>y</script>", "<style>q</style>", "<!-- c -->", "<li>", "<h2>", "<picture>"]
+    for _ in range(300):
+        html = "".join(r.choices(parts, k=r.randint(1, 30)))
+        assert warc_derivatives.plain_text(html) == slow_text(html), html
+    long = "<td>x</td>" * 100_000 + "<b>" * 100_000
+    assert warc_derivatives.plain_text(long) == " ".join("x" * 100_000)
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = "<html><head><title>T &amp; t</title><script>x<y</script></head><body><p>One  é<br>two</p><!-- no --></body></html>"
-    rows = [(1, "http://a/b", html), (2, None, None), (1, "http://a/b", html)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("block", F.lit(1))
+    rows = [(1, "http://a/b", html), (2, None, None), (1, "http://a/b", html), (3, "http://a/long", "<p>" + "x" * 300_000 + "</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("block", "text", "payload", "record_type")})
     source = warc_derivatives.responses(pages)
     out = warc_derivatives.derivatives(source)
     got = out.collect()
-    assert len(got) == 6
+    assert len(got) == 8
     texts = {r.record_id: r for r in got}
     first = next(r for r in got if r.source_key == 1 and r.record_type == "conversion")
     assert first.block == "T & t\nOne é\ntwo"
     src = {r.source_key: r for r in source.collect()}
     assert all(r.refers_to == src[r.source_key].source_id and r.source_digest == src[r.source_key].payload_digest for r in got)
-    warc_derivatives.write_warc(out, f"{tmp_path}/w")
+    warc_derivatives.write_warc(out.repartition(2), f"{tmp_path}/w", per_file=1000)
     back = warc_derivatives.read_warc(spark, f"{tmp_path}/w").collect()
-    assert len(back) == 6
+    assert len(back) == 8
     for r in back:
         want = texts[r.headers["WARC-Record-ID"]]
         assert bytes(r.block).decode() == want.block and r.headers["WARC-Refers-To"] == want.refers_to
         assert r.headers["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(bytes(r.block)).hexdigest()
-    files = list((tmp_path / "w").glob("*.gz"))
-    assert sum(len(list(warc_derivatives.parse_records(gzip.decompress(f.read_bytes())))) for f in files) == 6
+    files = list((tmp_path / "w").iterdir())
+    assert len(files) > 2 and not [f for f in files if f.name.startswith("_writing")]
+    for f in files:  # a member for each record
+        assert f.read_bytes().count(b"\x1f\x8b\x08") >= len(list(warc_derivatives.parse_records(iter([gzip.decompress(f.read_bytes())]))))
     assert warc_derivatives.derivatives(warc_derivatives.responses(pages.limit(0))).count() == 0
 
 
+def warc_file(records, members=True):
+    out = []
+    for fields, block in records:
+        head = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + f"Content-Length: {len(block)}\r\n\r\n"
+        raw = head.encode() + block + b"\r\n\r\n"
+        out.append(gzip.compress(raw) if members else raw)
+    return b"".join(out)
+
+
+def test_derivatives_of_warc_files(spark, tmp_path):
+    """Own headers, dates and digests of read responses; chunks, compression and charsets."""
+    page = "<p>Grüße &amp; <b>mehr</b></p>"
+    body = gzip.compress(page.encode("latin-1"))
+    chunked = b"%x\r\n" % 5 + body[:5] + b"\r\n%x;a=b\r\n" % (len(body) - 5) + body[5:] + b"\r\n0\r\n\r\n"
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked"
+    records = [
+        ({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:0>"}, b"software: x"),
+        ({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:1>", "WARC-Target-URI": "http://a/", "WARC-Date": "2020-01-02T03:04:05Z", "WARC-Payload-Digest": "sha1:ABC"}, head.encode() + b"\r\n\r\n" + chunked),
+        ({"warc-type": "response", "WARC-Record-ID": "<urn:uuid:2>"}, b"HTTP/1.0 404 Not Found\r\nContent-Type: text/plain; charset=nonsense\r\n\r\nplain \xff"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(warc_file(records))
+    (tmp_path / "b.warc").write_bytes(warc_file(records[2:], members=False))
+    source = warc_derivatives.responses_of(warc_derivatives.read_warc(spark, str(tmp_path)))
+    got = {(r.refers_to, r.record_type): r for r in warc_derivatives.derivatives(source).collect()}
+    assert set(got) == {(f"<urn:uuid:{k}>", t) for k in (1, 2) for t in ("metadata", "conversion")} and source.count() == 3
+    one = got["<urn:uuid:1>", "conversion"]
+    assert (one.block, one.target_uri, one.warc_date, one.source_digest) == ("Grüße & mehr", "http://a/", "2020-01-02T03:04:05Z", "sha1:ABC")
+    about = got["<urn:uuid:1>", "metadata"].block
+    assert about.startswith(f"source-digest: sha1:ABC\r\nsource-length: {len(chunked)}\r\nsource-header: HTTP/1.1 200 OK\r\n") and "source-header: Content-Encoding: gzip\r\n" in about
+    two = got["<urn:uuid:2>", "conversion"]
+    assert (two.block, two.source_digest) == ("plain \ufffd", "sha256:" + hashlib.sha256(b"plain \xff").hexdigest())
+
+
+def test_records_in_any_pieces():
+    r = random.Random(2)
+    records = [({"WARC-Type": "response", "WARC-Record-ID": f"<{i}>"}, r.randbytes(r.randrange(3000)) + b"\r\n\r\nWARC/1.0 inside") for i in range(30)]
+    raw = warc_file(records, members=False)
+    for size in (1, 7, 1000, len(raw)):
+        got = list(warc_derivatives.parse_records(raw[i : i + size] for i in range(0, len(raw), size)))
+        assert [(f["WARC-Record-ID"], b) for f, b in got] == [(f["WARC-Record-ID"], b) for f, b in records]
+    packed = warc_file(records)
+    for chunk in (1, 50, 1 << 20):
+        warc_derivatives.CHUNK, old = chunk, warc_derivatives.CHUNK
+        try:
+            assert b"".join(warc_derivatives.inflated(packed)) == raw
+        finally:
+            warc_derivatives.CHUNK = old
+
+
 # ---- 9 --------------------------------------------------------------------------------------
 
 
