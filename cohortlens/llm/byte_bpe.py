@@ -12,6 +12,9 @@ Rarer words, and texts with other white space than single spaces and line feeds,
 folded by the same rule where they occur: there is no bound on the number of distinct
 words, so they can't all be handed to every worker, and a join on every occurrence
 would shuffle several times the text.
+
+Decoding is Spark's: each id's piece is looked up in a literal table, and the pieces
+are concatenated.
 """
 
 from __future__ import annotations
@@ -222,9 +225,6 @@ class TextEncoder:
         self.find = regex.compile(exact).findall
         self.inner = _Words({w[1:]: x for w, x in words.items() if w.startswith(" ")}, self, " ", MEMO)
         self.first = _Words({w: x for w, x in words.items() if not w.startswith(" ")}, self, "", MEMO // 8)
-        self.pieces = [b""] * (max(ranks.values()) + 1)
-        for piece, rank in ranks.items():
-            self.pieces[rank] = piece
         self.feed = self.matches("\n")
 
     def matches(self, text: str) -> bytes:
@@ -253,12 +253,9 @@ class TextEncoder:
             out.extend(map(self.inner.__getitem__, words[1:]))
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, times) of texts whose words can be told by splitting."""
+    """(word, times); in texts with other white space than single spaces and line feeds, of the words that it leaves."""
     first: Counter = Counter()
     inner: Counter = Counter()
 
@@ -276,6 +273,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words = line.split(" ")
                     first[words[0]] += 1
                     inner.update(words[1:])
+            elif text:
+                for line in text.split("\n"):
+                    words = line.split()
+                    if words and line[0] == words[0][0]:
+                        first[words.pop(0)] += 1
+                    inner.update(words)
         if len(inner) > MEMO // 2:
             yield flush()
     yield flush()
@@ -315,7 +318,7 @@ _encoders: dict[int, TextEncoder] = {}
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY, ids: bool = False) -> DataFrame:
-    """One row for each input row: id, n_tokens, ids_sha256, decoded_sha256, and ``ids`` (packed) if asked.
+    """One row for each input row: id, n_tokens, ids_sha256, decoded_sha256, and ``ids array<int>`` if asked.
 
     ``ranks_path`` is read on the driver.  Null texts count as empty (no tokens).  Null
     ids and repeated rows stay; other columns are ignored; an empty table gives no rows.
@@ -335,20 +338,24 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         encoder = _encoders[key]
         for batch in batches:
             packed = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
-            cols = [batch.column("id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in packed]),
-                    pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in packed])]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(packed, pa.binary())] * ids, ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
+            n = np.array([len(x) // 4 for x in packed], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()), lists], ["id", "n_tokens", "ids_sha256", "ids"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, ids array<int>")
+    out = out.select("id", "n_tokens", "ids_sha256", F.sha2(decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"), *["ids"] * ids)
     return out.withColumnRenamed("id", id_col)
 
 
-def decode_ids(ids: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """Adds ``decoded binary``: the pieces of an ``array<int>`` of ids, concatenated in Spark; null ids give null."""
-    ranks = load_ranks(ranks_path)
+def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of an array of ids: their pieces, from a table that is one literal of the plan, concatenated."""
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
     table = F.split(F.lit(",".join(pieces)), ",")
-    return ids.withColumn("decoded", F.unhex(F.array_join(F.transform(F.col(ids_col), lambda i: F.element_at(table, i + 1)), "")))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))
+
+
+def decode_ids(ids: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
+    """Adds ``decoded binary`` of an ``array<int>`` of ids; null ids give null."""
+    return ids.withColumn("decoded", decoded(F.col(ids_col), load_ranks(ranks_path)))

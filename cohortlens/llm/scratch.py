@@ -18,13 +18,18 @@ from pathlib import Path
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows handed to a Python worker at once; texts may be long.
-ARROW_ROWS = 512
+#: Rows, and bytes, handed to a Python worker at once; a text that is longer comes alone.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, as one row may hold a long text; workers can import this package."""
+    """Small Arrow batches, as one row may hold a long text; workers can import this package.
+
+    These are settings of the session and stay: Spark reads them when a plan runs, which
+    may be long after an operator returned it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

@@ -1,14 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses.  A lexical transducer maps each word to a symbol:
-insult, harm verb, intent, target, negation, report, quotation or other.  Its insult arcs
-are words and stems learned from labelled rows; the closed classes are fixed lists.
-Five transducers read the symbols of a clause: insult, threat (intent, then harm),
-target, negation (its scope is the next few words) and reported speech (to the end of
-the clause).  They are composed into one automaton whose output for a clause is the
-weight of its insults and threats by reading: direct, aimed at a target, negated,
-reported.  A logistic model, fitted on the same labelled rows, turns the clauses'
-sums into a score; how much a negated or reported insult counts is learned there.
+A text is cut into clauses.  A lexical transducer maps each word to a symbol: insult,
+harm, intent, target, negation, report, quotation, break or other.  Its insult arcs are
+words and stems learned from labelled rows; the closed classes are short lists of verbs
+and particles, verbs with their regular endings.  Five transducers read the symbols of a
+clause: insult, threat (intent, then harm), target, negation (from its word to the next
+break) and reported speech (to the end of the clause, or of the quotation).  They are
+composed into one automaton whose output for a clause is the weight of its insults and
+threats by reading: direct, aimed at a target, negated, reported.  A logistic model,
+fitted on the same labelled rows, turns the clauses' sums into a score; how much a
+negated or reported match counts is learned there.
 """
 
 from __future__ import annotations
@@ -33,21 +34,49 @@ STEMS = (4, 5, 6, 7)
 MEMO = 200_000
 #: Arcs expected by chance among all stems tried; with more stems an arc needs more evidence.
 BY_CHANCE = 3
-
-OTHER, INSULT, HARM, INTENT, TARGET, NEGATION, REPORT, QUOTE = range(8)
-
-# Closed word classes in English, German, French and Spanish.
-HARM_WORDS = "kill hurt destroy beat stab shoot burn hang murder töten schlagen umbringen tuer frapper brûler matar golpear quemar".split()
-INTENT_WORDS = "will gonna going should must shall want werde werden sollte soll vais veux dois voy quiero debería".split()
+#: Likely stems that the driver chooses arcs from at most: the most frequent ones (about 10 MB).
+CANDIDATES = 1 << 16
+
+OTHER, INSULT, HARM, INTENT, TARGET, NEGATION, REPORT, QUOTE, BREAK = range(9)
+
+# Closed word classes in English, German, French and Spanish; verbs by their base forms.
+HARM_VERBS = {"en": "kill hurt destroy beat stab shoot burn hang murder strangle punch".split(), "de": "töten schlagen umbringen verbrennen erschießen".split(),
+              "fr": "tuer frapper brûler étrangler".split(), "es": "matar golpear quemar estrangular".split()}
+REPORT_VERBS = {"en": "say call claim quote report state allege".split(), "de": "sagen behaupten zitieren nennen".split(), "fr": "appeler citer déclarer raconter".split(), "es": "llamar afirmar declarar contar".split()}
+IRREGULAR = {HARM: "shot hung burnt umgebracht erschossen".split(),
+             REPORT: "said wrote writes write written told tell tells according sagte schrieb schreibt nannte laut zufolge dit disent écrit selon dijo dice dicen escribió según".split()}
+INTENT_WORDS = "will gonna going should must shall want i'll we'll werde werden sollte soll will vais veux dois va voy quiero debería va".split()
 TARGET_WORDS = "you your yours he she him her they them their those people du dich dir sie ihr ihn tu toi vous il elle ils tú usted él ella ellos".split()
-NEGATION_WORDS = "not no never neither nor without don't isn't aren't wasn't won't nicht kein keine nie ohne ne pas jamais sans nunca jamás sin".split()
-REPORT_WORDS = "said says wrote called claimed quoted reported according sagte schrieb nannte laut dit écrit appelé selon dijo escribió llamó según".split()
+NEGATION_WORDS = "not no never neither nor without don't doesn't didn't isn't aren't wasn't weren't won't can't cannot nicht kein keine keinen nie niemals ohne ne pas jamais sans nunca jamás sin".split()
+BREAK_WORDS = ", but aber sondern mais pero sino".split()
 QUOTES = "\"“”„«»"
+_ENDINGS = {"de": ("e", "st", "t", "en", "te", "ten", "end"), "fr": ("er", "e", "es", "ons", "ez", "ent", "é", "ait", "era", "erai", "ant"), "es": ("ar", "o", "as", "a", "amos", "an", "é", "ó", "aron", "ando", "ado", "aré", "ará")}
 
-_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n\"“”„«»]")
+_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n,\"“”„«»]")
 _ENDS = frozenset(".!?;:\n")
 
 
+def inflected(verb: str, language: str) -> set[str]:
+    """A verb's regular forms."""
+    if language != "en":
+        stem = verb[:-2]
+        return {stem + x for x in _ENDINGS[language]} | ({f"ge{stem}t", f"ge{stem}en"} if language == "de" else set())
+    stem = verb[:-1] if verb.endswith("e") else verb
+    double = verb + verb[-1] if re.fullmatch(r".*[^aeiou][aeiou][bdgnpt]", verb) else stem
+    return {verb, verb + "s", verb + "es", stem + "ed", stem + "ing", stem + "er", double + "ed", double + "ing"}
+
+
+def closed_words() -> dict[str, int]:
+    out = {q: QUOTE for q in QUOTES}
+    for symbol, words in ((BREAK, BREAK_WORDS), (TARGET, TARGET_WORDS), (INTENT, INTENT_WORDS), (NEGATION, NEGATION_WORDS), *IRREGULAR.items()):
+        out |= dict.fromkeys(words, symbol)
+    for symbol, verbs in ((HARM, HARM_VERBS), (REPORT, REPORT_VERBS)):
+        for language, names in verbs.items():
+            for v in names:
+                out |= dict.fromkeys(inflected(v, language), symbol)
+    return out
+
+
 @dataclass
 class Transducer:
     """Deterministic: (state, symbol) -> (state, output); missing arcs stay and say nothing."""
@@ -58,23 +87,16 @@ class Transducer:
         return self.arcs.get((state, symbol), (state, ""))
 
 
-def _scope(opening: int, words: int, label: str) -> Transducer:
-    """After the opening symbol, the next ``words`` symbols are in its scope."""
-    arcs = {(s, opening): (words, "") for s in range(words + 1)}
-    for s in range(1, words + 1):
-        for symbol in range(8):
-            if symbol != opening:
-                arcs[s, symbol] = (s - 1, label)
-    return Transducer(arcs)
-
-
 def grammar() -> dict[str, Transducer]:
+    """The parts; no arc reads OTHER, so such words change nothing.  The report's state comes last."""
+    hits = (INSULT, HARM)
     insult = Transducer({(0, INSULT): (0, "insult")})
-    threat = Transducer({(0, INTENT): (1, ""), (1, HARM): (0, "threat"), (1, NEGATION): (0, "")})
-    target = Transducer({(0, TARGET): (1, "aimed"), **{(1, s): (1, "aimed") for s in range(8)}})
-    report = Transducer({(0, REPORT): (1, ""), (0, QUOTE): (2, ""), (2, QUOTE): (0, ""), (1, QUOTE): (1, "reported"),
-                         **{(1, s): (1, "reported") for s in range(7)}, **{(2, s): (2, "reported") for s in range(7)}})
-    return {"insult": insult, "threat": threat, "target": target, "negation": _scope(NEGATION, 3, "negated"), "report": report}
+    threat = Transducer({(0, INTENT): (1, ""), (1, HARM): (0, "threat"), (1, NEGATION): (0, ""), (1, BREAK): (0, "")})
+    target = Transducer({(0, TARGET): (1, "aimed")})
+    negation = Transducer({(0, NEGATION): (1, ""), (1, BREAK): (0, ""), **{(1, x): (1, "negated") for x in hits}})
+    # 1: after a verb of speech, 2: in a quotation, 3: in one after such a verb
+    report = Transducer({(0, REPORT): (1, ""), (0, QUOTE): (2, ""), (1, QUOTE): (3, ""), (2, QUOTE): (0, ""), (3, QUOTE): (0, ""), **{(s, x): (s, "reported") for s in (1, 2, 3) for x in hits}})
+    return {"insult": insult, "threat": threat, "target": target, "negation": negation, "report": report}
 
 
 class Composition:
@@ -111,8 +133,7 @@ class ToxicGrammar:
         self.lexicon = lexicon
         self.weights = weights
         self.machine = Composition(grammar())
-        self.closed = {w: c for c, words in ((HARM, HARM_WORDS), (INTENT, INTENT_WORDS), (TARGET, TARGET_WORDS), (NEGATION, NEGATION_WORDS), (REPORT, REPORT_WORDS)) for w in words}
-        self.closed |= {q: QUOTE for q in QUOTES}
+        self.closed = closed_words()
         self.memo: dict[str, tuple[int, float]] = {}
 
     def symbol(self, word: str) -> tuple[int, float]:
@@ -127,37 +148,39 @@ class ToxicGrammar:
 
     def clauses(self, text: str) -> Iterator[tuple[int, dict[str, float]]]:
         """(number of words, weight of each reading) of every clause that has a match."""
-        state, words = self.machine.start, 0
+        state, words, aimed = self.machine.start, 0, False
         heard: list[tuple[frozenset[str], float]] = []
 
         def close():
-            aimed = any("aimed" in x for x, _ in heard)
             out: dict[str, float] = {}
             for said, weight in heard:
-                if "insult" in said:
+                if "threat" in said:
+                    kind = "negated" if "negated" in said else "reported" if "reported" in said else "threat"
+                    weight = 1.0 if aimed else 0.5
+                else:
                     kind = "negated" if "negated" in said else "reported" if "reported" in said else "aimed" if aimed else "direct"
-                    out[kind] = out.get(kind, 0.0) + weight
-                if "threat" in said and "negated" not in said:
-                    out["threat"] = out.get("threat", 0.0) + (1.0 if aimed else 0.5)
+                out[kind] = out.get(kind, 0.0) + weight
             return out
 
         for token in _TOKEN.findall(text.lower()):
             if token in _ENDS:
-                if heard and (sums := close()):
-                    yield words, sums
-                # an open quotation goes on in the next clause
-                state = (*self.machine.start[:-1], 2 if state[-1] == 2 else 0)
-                heard, words = [], 0
+                if heard:
+                    yield words, close()
+                # an open quotation goes on in the next clause, to the end of the line
+                state = (*self.machine.start[:-1], state[-1] if state[-1] > 1 and token != "\n" else 0)
+                heard, words, aimed = [], 0, False
                 continue
             symbol, weight = self.symbol(token)
             words += 1
-            if symbol == OTHER and state == self.machine.start:
+            if symbol == OTHER:
                 continue
             state, said = self.machine.step(state, symbol)
             if said:
-                heard.append((said, weight))
-        if heard and (sums := close()):
-            yield words, sums
+                aimed = aimed or "aimed" in said
+                if "insult" in said or "threat" in said:
+                    heard.append((said, weight))
+        if heard:
+            yield words, close()
 
     def features(self, text: str) -> np.ndarray:
         total: Counter = Counter()
@@ -237,7 +260,9 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> ToxicGrammar:
     """Learn from at most ``rows`` labelled rows whose crc32 of the id isn't divisible by 5.
 
-    Near copies are taken once (by the smallest hash of three words in a row), so that
+    Rows without an id, text or label are left out; an id with several labels counts as
+    toxic if one says so; ties of hashes go by the id; other columns, of any names, are
+    ignored.  Empty tables, or labels of one kind, give a grammar without insults.  Near copies are taken once (by the smallest hash of three words in a row), so that
     the words of one much-copied text don't look like insults.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
@@ -260,8 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return ToxicGrammar({}, DEFAULT_WEIGHTS)
     counted = scratch.table(counted.where((F.col("gram") != "") & (F.col("toxic") >= 3)), "counted")
     likely = counted.where(F.col("clean") * 4 <= F.col("toxic"))
-    # Rows of the sample bound this list; the most frequent arcs are enough for the lexicon.
-    got = likely.orderBy(F.desc("toxic"), "gram").limit(16 * LEXICON).collect()
+    got = likely.orderBy(F.desc("toxic"), "gram").limit(CANDIDATES).collect()
     model = ToxicGrammar(choose_lexicon({r["gram"]: (r["toxic"], r["clean"]) for r in got}, n_toxic, n_clean, counted.count()))
     lexicon = model.lexicon
 
@@ -284,7 +308,8 @@ def toxicity_scores(docs: DataFrame, model: ToxicGrammar, text_col: str = "text"
     """``keep`` columns (all by default) with ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5).
 
     Null and empty texts get the score of a text without matches.  Columns named like
-    the results are replaced; repeated rows stay; an empty table gives no rows.
+    the results are replaced; repeated rows stay; an empty table gives no rows.  A text of
+    any length is read whole, clause by clause, in linear time.
     """
     prepare(docs.sparkSession)
     lexicon, weights = model.lexicon, model.weights

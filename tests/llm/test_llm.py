@@ -225,7 +225,77 @@ def test_grammar_readings():
     assert reading("What an idiot.") == ["direct"] and reading("you idiot") == ["aimed"] and reading("not an idiot") == ["negated"]
     assert reading('She said idiot. Fine.') == ["reported"] and reading("moronic; idiot") == ["direct", "direct"]
     assert reading("I will kill you") == ["threat"] and reading("nothing here") == []
+    assert reading("I will be killing you") == ["threat"] and reading("they say he is an idiot") == ["reported"]
+    assert reading("not once did anyone ever call him an idiot") == ["negated"] and reading("that is not nice, you idiot") == ["aimed"]
+    assert reading("I will not kill you") == [] and reading("nobody said: I will murder him") == ["threat"] and reading('he wrote "I will stab them all. You idiot" and left') == ["reported", "reported"]
+    assert reading("ich werde dich töten") == ["threat"] and reading("je vais te frapper") == ["threat"] and reading("dijo que es un idiot") == ["reported"]
+    assert reading('"\nidiot') == ["direct"]
     assert g.score("you idiot you moron") > 0.5 > g.score("") == g.score("plain words")
+    long = "plain words and " * 200_000 + "you idiot"
+    assert [k for _, s in g.clauses(long) for k in s] == ["aimed"]
+
+
+def slow_reading(symbols):
+    """The readings of one clause straight from the rules."""
+    out = []
+    for i, x in enumerate(symbols):
+        before = symbols[:i]
+        since = before[len(before) - before[::-1].index(toxicity.BREAK) :] if toxicity.BREAK in before else before
+        threat = False
+        if x == toxicity.HARM:
+            ready = False
+            for y in before:  # an intent that nothing has taken up or called off
+                ready = y == toxicity.INTENT or ready and y not in (toxicity.HARM, toxicity.NEGATION, toxicity.BREAK)
+            threat = ready
+        if x != toxicity.INSULT and not threat:
+            continue
+        spoken = quoted = False
+        for y in before:
+            if y == toxicity.QUOTE:
+                quoted, spoken = not quoted, False if quoted else spoken
+            elif y == toxicity.REPORT and not quoted:
+                spoken = True
+        kind = "negated" if toxicity.NEGATION in since else "reported" if spoken or quoted else "threat" if threat else "aimed" if toxicity.TARGET in symbols else "direct"
+        out.append(kind)
+    return collections.Counter(out)
+
+
+def test_grammar_by_brute_force():
+    words = {toxicity.OTHER: "word", toxicity.INSULT: "idiot", toxicity.HARM: "kill", toxicity.INTENT: "will", toxicity.TARGET: "you", toxicity.NEGATION: "not", toxicity.REPORT: "says", toxicity.QUOTE: '"', toxicity.BREAK: ","}
+    g = toxicity.ToxicGrammar({"=idiot": 1.0})
+    r = random.Random(6)
+    for _ in range(3000):
+        symbols = [r.randrange(9) for _ in range(r.randint(1, 12))]
+        found = collections.Counter()
+        for _, sums in g.clauses(" ".join(words[x] for x in symbols)):
+            for k, v in sums.items():
+                found[k] += v
+        want = slow_reading(symbols)
+        assert set(found) == set(want), symbols
+        insults_only = toxicity.HARM not in symbols
+        assert not insults_only or found == want
+
+
+def test_readings_decide_labels(spark):
+    """Every text has the same words: only who says what to whom tells toxic from clean."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(150)]
+    some = lambda n: " ".join(r.choices(words, k=n))
+    rows, labels = [], []
+    for i in range(900):
+        kind = i % 6
+        said = {0: "I will kill you", 1: 'the paper reported "I will kill you"', 2: "you zzgrub", 3: "they say he is no zzgrub", 4: "you are not once a zzgrub", 5: "we will see you kill time"}[kind]
+        rows.append((i, f"{some(15)}. {said}. {some(15)}."))
+        labels.append((i, int(kind in (0, 2))))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fitted = toxicity.ToxicGrammar({"=zzgrub": 1.0})
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    learn = [i for i, _ in rows if i not in set(held)]
+    fitted.weights = toxicity.fit_logistic(np.stack([fitted.features(rows[i][1]) for i in learn]), np.array([labels[i][1] for i in learn], float))
+    right = lambda kinds: np.mean([(fitted.score(rows[i][1]) >= 0.5) == labels[i][1] for i in held if i % 6 in kinds])
+    assert right((0, 1)) == 1 and right((2, 3, 4)) == 1
+    model = toxicity.train(docs, lab)
+    assert model.weights.shape == (8,)
 
 
 def test_toxicity_learns(spark):
@@ -305,7 +375,7 @@ def test_byte_bpe(spark, docs):
     got = {r.doc_id: r for r in byte_bpe.encode_documents(df, path, pattern, ids=True).collect()}
     for i, t in rows:
         want = np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()
-        assert bytes(got[i].ids) == want and got[i].n_tokens == len(want) // 4 and got[i].ids_sha256 == hashlib.sha256(want).hexdigest()
+        assert np.array(got[i].ids, "<u4").tobytes() == want and got[i].n_tokens == len(want) // 4 and got[i].ids_sha256 == hashlib.sha256(want).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     words = sorted({" " + w for _, t in corpus() for w in (t or "").split()} | {"it's", " x'll9!"})
     for r in byte_bpe.encode_words(spark.createDataFrame([(w,) for w in words if len(w) < 40], "word string"), ranks, pattern).collect():
