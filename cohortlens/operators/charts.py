@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from . import graph
+from .ordering import quantiles
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -29,8 +30,7 @@ def extremes(df: DataFrame, value: str, name: str, k: int = 10) -> DataFrame:
 
 def spread_by_group(df: DataFrame, value: str, group: str) -> DataFrame:
     """Five numbers of a box for each group: least, quartiles, largest."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(group).agg(F.min(value).alias("least"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(value).alias("largest"))
+    return quantiles(df, value, {"least": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "largest": 1.0}, (group,))
 
 
 def network_nodes(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.matrix import BinaryMatrix
+from ..sources.shared import settled
 from . import pairs
+from .ordering import percentile_rank, quantiles
 
 #: Nodes that iterative algorithms take as one group at most: a dense matrix of this size is 200 MB.
 MAX_NODES = 5_000
@@ -58,49 +60,51 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
 
     A level joins the frontier with the edges, so the number of joins is the diameter.
     """
-    step = _settled(both_ways(edges))
+    step = settled(both_ways(edges))
     seen = step.select("src", "dst", F.lit(1).alias("distance"), F.lit(1).cast("long").alias("paths"))
     front, level = seen, 1
     ids = step.select(F.col("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(0).alias("distance"), F.lit(1).cast("long").alias("paths"))
-    seen = _settled(ids.union(seen))
+    seen = settled(ids.union(seen))
     while True:
         level += 1
         new = front.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").groupBy("src", F.col("next").alias("dst")).agg(F.sum("paths").alias("paths"))
         new = new.join(seen, ["src", "dst"], "left_anti").select("src", "dst", F.lit(level).alias("distance"), "paths")
-        new = _settled(new)
+        new = settled(new)
         if new.isEmpty():
             return seen
-        seen, front = _settled(seen.union(new)), new
+        seen, front = settled(seen.union(new)), new
         if level > MAX_NODES:
             raise RuntimeError("a path longer than the number of nodes")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Lineage cut through the checkpoint folder; node tables are small."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="cohortlens-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.coalesce(4).checkpoint()
-
-
 def betweenness(paths: DataFrame) -> DataFrame:
-    """id, betweenness: the share of shortest paths through a node, over pairs without it, normalised."""
-    a = paths.where("src <> dst")
-    left = a.select(F.col("src").alias("s"), F.col("dst").alias("id"), F.col("distance").alias("d1"), F.col("paths").alias("p1"))
-    right = a.select(F.col("src").alias("id"), F.col("dst").alias("t"), F.col("distance").alias("d2"), F.col("paths").alias("p2"))
-    whole = a.select(F.col("src").alias("s"), F.col("dst").alias("t"), F.col("distance").alias("d"), F.col("paths").alias("p"))
-    through = left.join(right, "id").where("s < t").join(whole, ["s", "t"]).where("d1 + d2 = d")
-    score = through.groupBy("id").agg(F.sum(F.col("p1") * F.col("p2") / F.col("p")).alias("b"))
+    """id, betweenness: the share of shortest paths through a node, over pairs without it, normalised.
+
+    A source's dependencies are added up from its farthest level inwards, along the edges
+    that its shortest paths use: a join with the edges for each level, of one row for each
+    pair of nodes at that distance.
+    """
+    step = settled(paths.where("distance = 1").select(F.col("src").alias("v"), F.col("dst").alias("w")))
+    top = paths.agg(F.max("distance")).first()[0] or 0
+    level = lambda d, node, count: paths.where(F.col("distance") == d).select(F.col("src").alias("s"), F.col("dst").alias(node), F.col("paths").alias(count))
+    below, found = None, []
+    for d in range(top - 1, 0, -1):
+        far = level(d + 1, "w", "pw")
+        if below is not None:
+            far = far.join(below.select("s", F.col("v").alias("w"), F.col("b").alias("bw")), ["s", "w"], "left")
+        through = (1 + F.coalesce(F.col("bw"), F.lit(0.0)) if below is not None else F.lit(1.0)) / F.col("pw")
+        near = far.select("s", "w", through.alias("share")).join(step, "w").join(level(d, "v", "pv"), ["s", "v"])
+        below = settled(near.groupBy("s", "v").agg(F.sum(F.col("pv") * F.col("share")).alias("b")))
+        found.append(below)
     ids = paths.where("src = dst").select(F.col("src").alias("id"))
     n = ids.agg(F.count("*").alias("n"))
-    norm = F.when(F.col("n") > 2, 2 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0)
+    norm = F.when(F.col("n") > 2, 1 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0)
+    if not found:
+        return ids.select("id", F.lit(0.0).alias("betweenness"))
+    every = found[0]
+    for x in found[1:]:
+        every = every.union(x)
+    score = every.groupBy(F.col("v").alias("id")).agg(F.sum("b").alias("b"))
     return ids.join(score, "id", "left").crossJoin(F.broadcast(n)).select("id", (F.coalesce("b", F.lit(0.0)) * norm).alias("betweenness"))
 
 
@@ -205,16 +209,6 @@ def ci_weights(intervals: DataFrame) -> DataFrame:
     return w.crossJoin(F.broadcast(top)).select("feature", F.when(F.col("top") > 0, F.col("w") / F.col("top")).otherwise(F.col("w")).alias("weight"))
 
 
-def percentile_rank(df: DataFrame, value: str, out: str = "percentile_rank") -> DataFrame:
-    """Average-tie rank in percent.  Ranks come from the counts of distinct values, so no window holds the rows."""
-    by = df.groupBy(value).agg(F.count("*").alias("_c"))
-    # Distinct values only; they are cut into ranges first where they are many.
-    run = by.withColumn("_below", F.coalesce(F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = df.agg(F.count("*").alias("_n"))
-    ranks = run.crossJoin(F.broadcast(n)).select(F.col(value).alias("_v"), ((F.col("_below") + (F.col("_c") + 1) / 2) / F.col("_n") * 100).alias(out))
-    return df.join(ranks, df[value].eqNullSafe(ranks["_v"])).drop("_v")
-
-
 def row_risk(m: BinaryMatrix, scores: DataFrame, intervals: DataFrame | None = None, percentile: float = 75.0) -> DataFrame:
     """row, risk, percentile_rank, predicted: sum over a row's nodes of score times confidence weight.
 
@@ -226,6 +220,7 @@ def row_risk(m: BinaryMatrix, scores: DataFrame, intervals: DataFrame | None = N
     risk = m.ones.join(F.broadcast(s), "feature").groupBy("row").agg(F.sum("node_score").alias("risk"))
     # rounding makes equal sums equal, in whatever order they were added
     full = m.rows.join(risk, "row", "left").select("row", F.round(F.coalesce("risk", F.lit(0.0)), 12).alias("risk"))
-    limit = full.agg(F.percentile("risk", F.lit(percentile / 100)).alias("_limit"))
+    full = settled(full)
+    limit = quantiles(full, "risk", {"_limit": percentile / 100})
     ranked = percentile_rank(full, "risk")
     return ranked.crossJoin(F.broadcast(limit)).select("row", "risk", "percentile_rank", (F.col("risk") > F.col("_limit")).alias("predicted"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import stats
 from ..sources.matrix import BinaryMatrix
+from ..sources.shared import settled
 from . import pairs
 
 NO_PHENOTYPE, NO_GENOTYPE = "No_Resistance", "No_Genes"
@@ -29,38 +28,18 @@ def pattern_frequencies(found: DataFrame) -> DataFrame:
 def frequent_itemsets(m: BinaryMatrix, min_support: float = 0.1, longest: int | None = None) -> DataFrame:
     """``items`` (sorted by name), ``n``, ``support`` of the itemsets with the least support.
 
-    Level by level: candidates of the next length are joins of two frequent sets with a
-    common beginning, counted by the rows that hold them, until a level is empty.  ``longest``
-    bounds the length; by default nothing does.
+    Spark's parallel FP-growth: two passes over the rows, whatever the length of the
+    sets, and no candidates on the driver.  ``longest`` bounds the length; by default
+    nothing does.
     """
-    n = m.rows.count()
-    least = min_support * n
-    rows = m.ones.groupBy("row").agg(F.array_sort(F.collect_set("feature")).alias("has"))
-    level = m.ones.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.array("feature").alias("items"), "n")
-    found = [level]
-    for size in count(2) if longest is None else range(2, longest + 1):
-        known = [tuple(r["items"]) for r in found[-1].select("items").collect()]  # bounded by the columns, not the rows
-        begin: dict[tuple, list[str]] = {}
-        for items in sorted(known):
-            begin.setdefault(items[:-1], []).append(items[-1])
-        have = set(known)
-        wanted = [(*head, a, b) for head, tails in begin.items() for i, a in enumerate(tails) for b in tails[i + 1 :]
-                  if all((*head, a, b)[:k] + (*head, a, b)[k + 1 :] in have for k in range(size))]
-        if not wanted:
-            break
-        spark = m.ones.sparkSession
-        candidates = spark.createDataFrame([(list(c),) for c in wanted], "items array<string>")
-        # A row is matched by its first pair of a candidate, so only candidates it may hold are looked at.
-        keyed = candidates.select("items", F.element_at("items", 1).alias("a"), F.element_at("items", 2).alias("b"))
-        pair = F.flatten(F.transform("has", lambda x, i: F.transform(F.slice("has", i + 2, F.size("has")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        spread = rows.select("has", F.explode(pair).alias("p")).select("has", "p.a", "p.b")
-        hit = spread.join(F.broadcast(keyed), ["a", "b"]).where(F.size(F.array_except("items", "has")) == 0)
-        level = hit.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        found.append(level)
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.select("items", "n", (F.col("n") / n).alias("support"))
+    from pyspark.ml.fpm import FPGrowth
+
+    has = m.ones.groupBy("row").agg(F.collect_set("feature").alias("items"))
+    rows = settled(m.rows.join(has, "row", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+    n = rows.count()
+    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(rows).freqItemsets if n else rows.withColumn("freq", F.lit(0).cast("long")).limit(0)
+    out = found.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"), (F.col("freq") / max(n, 1)).alias("support"))
+    return settled(out if longest is None else out.where(F.size("items") <= longest))
 
 
 def association_rules(itemsets: DataFrame, min_lift: float = 1.0, min_confidence: float = 0.0) -> DataFrame:
@@ -77,7 +56,7 @@ def association_rules(itemsets: DataFrame, min_lift: float = 1.0, min_confidence
     known = itemsets.select("items", "support")
     a = known.select(F.col("items").alias("antecedents"), F.col("support").alias("sa"))
     c = known.select(F.col("items").alias("consequents"), F.col("support").alias("sc"))
-    full = rules.join(F.broadcast(a), "antecedents").join(F.broadcast(c), "consequents")
+    full = rules.join(a, "antecedents").join(c, "consequents")
     confidence = F.col("support") / F.col("sa")
     out = full.withColumn("confidence", confidence).withColumn("lift", F.col("confidence") / F.col("sc"))
     out = out.withColumn("leverage", F.col("support") - F.col("sa") * F.col("sc"))
@@ -91,9 +70,14 @@ def rule_view(rules: DataFrame) -> DataFrame:
     return rules.select(F.array_join("antecedents", ", ").alias("antecedents"), F.array_join("consequents", ", ").alias("consequents"), *num).orderBy(F.desc("lift"), "antecedents", "consequents")
 
 
-def directed_edges(m: BinaryMatrix, min_r: float = 0.3) -> DataFrame:
+def pair_tables(m: BinaryMatrix) -> DataFrame:
+    """Tables of all pairs of features with their correlation ``r``, settled: one pass over the rows for all that follows."""
+    return settled(pairs.contingency(m, every=True).withColumn("r", stats.phi(*[F.col(c) for c in ("n00", "n01", "n10", "n11")])))
+
+
+def directed_edges(tables: DataFrame, min_r: float = 0.3) -> DataFrame:
     """Both directions of each pair with a correlation above the limit: a, b, oa, ob, r, na, nb, n_ab, n."""
-    t = pairs.contingency(m, every=True).withColumn("r", stats.phi(*[F.col(c) for c in ("n00", "n01", "n10", "n11")])).where(F.col("r") > min_r)
+    t = tables.where(F.col("r") > min_r)
     ab = t.select(F.col("item1").alias("a"), F.col("item2").alias("b"), F.col("ord1").alias("oa"), F.col("ord2").alias("ob"), "r", F.col("k1").alias("na"), F.col("k2").alias("nb"), F.col("n11").alias("n_ab"), "n")
     ba = t.select(F.col("item2").alias("a"), F.col("item1").alias("b"), F.col("ord2").alias("oa"), F.col("ord1").alias("ob"), "r", F.col("k2").alias("na"), F.col("k1").alias("nb"), F.col("n11").alias("n_ab"), "n")
     return ab.union(ba)
@@ -104,34 +88,39 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return edges.orderBy(F.desc(F.round("r", 10)), "oa", "ob").limit(k)
 
 
-def ordered_pairs(m: BinaryMatrix, min_support: float = 0.1, min_confidence: float = 0.5, min_r: float = 0.3, top: int = 50) -> DataFrame:
+def ordered_pairs(m: BinaryMatrix, min_support: float = 0.1, min_confidence: float = 0.5, min_r: float = 0.3, top: int = 50, tables: DataFrame | None = None) -> DataFrame:
     """A→B among the ``top`` directed edges: path, support, confidence, lift, p_value.
 
     p is the exact chance, with A and B shuffled against each other, of as many joint rows or more.
+    ``tables``: the matrix's ``pair_tables``, where they are at hand.
     """
-    e = _top(directed_edges(m, min_r), top)
+    e = _top(directed_edges(pair_tables(m) if tables is None else tables, min_r), top)
     support, confidence = F.col("n_ab") / F.col("n"), F.col("n_ab") / F.col("na")
     p = stats.upper_tail_p(F.col("n") - F.col("na") - F.col("nb") + F.col("n_ab"), F.col("nb") - F.col("n_ab"), F.col("na") - F.col("n_ab"), F.col("n_ab"))
     out = e.select(F.array("a", "b").alias("path"), support.alias("support"), confidence.alias("confidence"), (confidence / (F.col("nb") / F.col("n"))).alias("lift"), p.alias("p_value"))
     return out.where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
 
 
-def ordered_triplets(m: BinaryMatrix, min_support: float = 0.1, min_confidence: float = 0.5, min_r: float = 0.3, top: int = 20) -> DataFrame:
+def ordered_triplets(m: BinaryMatrix, min_support: float = 0.1, min_confidence: float = 0.5, min_r: float = 0.3, top: int = 20, tables: DataFrame | None = None) -> DataFrame:
     """A→B→C: an edge A→B and a C that starts an edge, both among the ``top``; each path once.
 
     confidence = P(B|A) P(C|B), lift = confidence / P(C); p_value is the reference's constant 0.05.
+    Joint counts of B and C are in the pair tables; those of all three come from one pass,
+    in which rows with the same of these features are one.
     """
-    e = _top(directed_edges(m, min_r), top)
-    third = e.select(F.col("a").alias("c"), F.col("na").alias("nc")).distinct()
+    tables = pair_tables(m) if tables is None else tables
+    e = settled(_top(directed_edges(tables, min_r), top))
+    third = e.select(F.col("a").alias("c"), F.col("oa").alias("oc"), F.col("na").alias("nc")).distinct()
     n_edges = e.agg(F.count("*").alias("edges"))
-    want = e.join(third, (F.col("c") != F.col("a")) & (F.col("c") != F.col("b"))).crossJoin(n_edges).where("edges >= 3").select("a", "b", "c", "na", "nb", "nc", "n_ab", "n").distinct()
-    rows = m.ones.groupBy("row").agg(F.collect_set("feature").alias("has"))
-    names = want.agg(F.collect_set(F.struct("a", "b", "c")).alias("w"))  # at most top * top
-    held = rows.crossJoin(F.broadcast(names)).select(F.explode(F.filter("w", lambda x: F.array_contains("has", x["a"]) & F.array_contains("has", x["b"]) & F.array_contains("has", x["c"]))).alias("t"), "has")
-    abc = held.groupBy("t.a", "t.b", "t.c").agg(F.count("*").alias("n_abc"))
-    bc = rows.crossJoin(F.broadcast(names)).select(F.explode(F.array_distinct(F.transform(F.filter("w", lambda x: F.array_contains("has", x["b"]) & F.array_contains("has", x["c"])), lambda x: F.struct(x["b"].alias("b"), x["c"].alias("c"))))).alias("t"))
-    bc = bc.groupBy("t.b", "t.c").agg(F.count("*").alias("n_bc"))
-    full = want.join(abc, ["a", "b", "c"], "left").join(bc, ["b", "c"], "left").na.fill(0, ["n_abc", "n_bc"])
+    want = e.join(third, (F.col("c") != F.col("a")) & (F.col("c") != F.col("b"))).crossJoin(n_edges).where("edges >= 3").select("a", "b", "c", "oa", "ob", "oc", "na", "nb", "nc", "n_ab", "n").distinct()
+    want = settled(want)  # at most top * top rows
+    used = want.select(F.explode(F.array(F.struct(F.col("a").alias("feature"), F.col("oa").alias("ord")), F.struct(F.col("b").alias("feature"), F.col("ob").alias("ord")))).alias("x")).select("x.*").distinct()
+    codes = m.ones.join(F.broadcast(used), "feature").groupBy("row").agg(F.array_sort(F.collect_set("ord")).alias("has")).groupBy("has").agg(F.count("*").alias("times"))
+    names = want.agg(F.collect_set(F.struct("oa", "ob", "oc")).alias("w"))
+    held = F.filter("w", lambda x: F.array_contains("has", x["oa"]) & F.array_contains("has", x["ob"]) & F.array_contains("has", x["oc"]))
+    abc = codes.crossJoin(F.broadcast(names)).select(F.explode(held).alias("t"), "times").groupBy("t.oa", "t.ob", "t.oc").agg(F.sum("times").alias("n_abc"))
+    bc = tables.select(F.least("ord1", "ord2").alias("lo"), F.greatest("ord1", "ord2").alias("hi"), F.col("n11").alias("n_bc"))
+    full = want.withColumn("lo", F.least("ob", "oc")).withColumn("hi", F.greatest("ob", "oc")).join(abc, ["oa", "ob", "oc"], "left").join(bc, ["lo", "hi"], "left").na.fill(0, ["n_abc", "n_bc"])
     confidence = (F.col("n_ab") / F.col("na")) * (F.col("n_bc") / F.col("nb"))
     out = full.select(F.array("a", "b", "c").alias("path"), (F.col("n_abc") / F.col("n")).alias("support"), confidence.alias("confidence"), (confidence / (F.col("nc") / F.col("n"))).alias("lift"), F.lit(0.05).alias("p_value"))
     return out.where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
@@ -139,6 +128,7 @@ def ordered_triplets(m: BinaryMatrix, min_support: float = 0.1, min_confidence:
 
 def ordered_patterns(m: BinaryMatrix, min_support: float = 0.1, min_confidence: float = 0.5, min_r: float = 0.3) -> DataFrame:
     """Pairs and triplets: pattern ("A→B→C"), support, confidence, lift, p_value."""
-    both = ordered_pairs(m, min_support, min_confidence, min_r).union(ordered_triplets(m, min_support, min_confidence, min_r))
+    tables = pair_tables(m)
+    both = ordered_pairs(m, min_support, min_confidence, min_r, tables=tables).union(ordered_triplets(m, min_support, min_confidence, min_r, tables=tables))
     return both.select(F.concat_ws("→", "path").alias("pattern"), "support", "confidence", "lift", "p_value")
 

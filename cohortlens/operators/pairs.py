@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import stats
 from ..sources.matrix import BinaryMatrix
+from ..sources.shared import settled
+from . import ordering
 
 
 def prevalence(m: BinaryMatrix) -> DataFrame:
@@ -63,21 +65,32 @@ def tested(tables: DataFrame) -> DataFrame:
 def adjust(df: DataFrame, p: str = "p", method: str = "fdr_bh", ties: tuple[str, ...] = ("item1", "item2"), out: str = "adj_p", by: tuple[str, ...] = ()) -> DataFrame:
     """Adjusted p-values over the whole table, or each part of it that has equal ``by``: fdr_bh, bonferroni or holm.
 
-    The table has one row for each test, so the window over all of it is bounded by the
-    number of pairs of columns.
+    The whole table is ranked part by part where it is large (see ``ordering``); a part
+    with equal ``by`` is one resample's tests, as many as pairs of columns.
     """
-    everything = Window.partitionBy(*by or (F.lit(0),))
-    order = everything.orderBy(F.col(p), *ties)
-    ranked = df.withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count("*").over(everything))
-    if method == "fdr_bh":
-        value = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(everything.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-    elif method == "holm":
-        value = F.max(F.col(p) * (F.col("_m") - F.col("_r") + 1)).over(everything.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
-    elif method == "bonferroni":
-        value = F.col(p) * F.col("_m")
-    else:
+    if method not in ("fdr_bh", "holm", "bonferroni"):
         raise ValueError(f"unknown method: {method}")
-    return ranked.withColumn(out, F.least(F.lit(1.0), value)).drop("_r", "_m")
+    names = df.columns
+    here, several = list(by), False
+    if by:
+        many, base = F.count("*").over(Window.partitionBy(*by)), F.lit(0)
+    else:
+        df, several = ordering.in_parts(df, [F.col(c) for c in (p, *ties)])
+        here, many, base = ["_part"], F.lit(df.count()), F.lit(0)
+        if several:
+            df, base = ordering.with_parts_before(df, F.lit(1), "_base"), F.coalesce("_base", F.lit(0))
+    window = Window.partitionBy(*here)
+    ranked = df.withColumn("_r", F.row_number().over(window.orderBy(F.col(p), *ties)) + base).withColumn("_m", many)
+    if method == "bonferroni":
+        return ranked.select(*names, F.least(F.lit(1.0), F.col(p) * F.col("_m")).alias(out))
+    down = method == "fdr_bh"
+    raw = F.col(p) * F.col("_m") / F.col("_r") if down else F.col(p) * (F.col("_m") - F.col("_r") + 1)
+    how, either = (F.min, F.least) if down else (F.max, F.greatest)
+    value = how(raw).over(window.orderBy(F.desc("_r") if down else F.col("_r")).rowsBetween(Window.unboundedPreceding, 0))
+    if several:
+        ranked = ordering.with_parts_before(settled(ranked), raw, "_rest", how, later=down)
+        value = either(value, F.col("_rest"))
+    return ranked.withColumn("_v", value).select(*names, F.least(F.lit(1.0), F.col("_v")).alias(out))
 
 
 def cooccurrence(m: BinaryMatrix, alpha: float = 0.05, method: str = "fdr_bh", cross_roles: bool = False, tests: DataFrame | None = None) -> DataFrame:

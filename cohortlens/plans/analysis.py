@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import Settings
 from ..operators import advanced, bootstrap, graph, mining, pairs, report, resistance, scores, validation
 from ..sources.matrix import BinaryMatrix, discover, from_wide, join_files, read_delimited
+from ..sources.shared import settled
 
 log = logging.getLogger(__name__)
 
@@ -44,14 +45,14 @@ def load(spark: SparkSession, settings: Settings, files: list[str] | None = None
 
 def results(m: BinaryMatrix, c: Settings) -> list[Result]:
     """All results, in the order of the report."""
-    m = BinaryMatrix(graph._settled(m.ones), graph._settled(m.rows), m.features, m.classes)
+    m = BinaryMatrix(settled(m.ones), settled(m.rows), m.features, m.classes)
     flags = resistance.multiresistance(m, c.mdr_threshold)
     sub = resistance.mdr_subset(m, c.mdr_threshold)
     classes, genes = m.class_level(), m.role("gene")
     sub_classes, sub_genes = sub.class_level(), sub.role("gene")
     mixed = classes.union(BinaryMatrix(genes.ones, genes.rows, genes.features.withColumn("ord", F.col("ord") + 1000)))
-    everything = graph._settled(pairs.tested(pairs.contingency(m)))
-    edges = graph._settled(graph.network_edges(m, c.alpha, c.fdr_method, everything))
+    everything = settled(pairs.tested(pairs.contingency(m)))
+    edges = settled(graph.network_edges(m, c.alpha, c.fdr_method, everything))
     ci = lambda x: bootstrap.bootstrap_ci(x, c.n_iterations, c.confidence, c.seed)
     out = [
         Result("overview", validation.overview(m, flags), "Isolates and multiresistant isolates"),
@@ -72,12 +73,12 @@ def results(m: BinaryMatrix, c: Settings) -> list[Result]:
         Result("network", graph.edge_list(edges), "Significant pairs of all features"),
     ]
     if not edges.isEmpty():
-        paths, groups = graph.shortest_paths(edges), graph._settled(graph.louvain(edges))
+        paths, groups = graph.shortest_paths(edges), settled(graph.louvain(edges))
         # Co-selection takes what is significant among multiresistant isolates, targets what ties genes to classes.
         together = lambda x: pairs.cooccurrence(x, c.alpha, c.fdr_method).select("item1", "item2", F.bround("phi", 3).alias("phi"))
-        tests = graph._settled(together(sub_classes).union(together(sub_genes)))
+        tests = settled(together(sub_classes).union(together(sub_genes)))
         tied = pairs.cooccurrence(mixed, c.alpha, c.fdr_method, cross_roles=True)
-        tied = graph._settled(tied.select(F.col("item2").alias("item1"), "item2", F.bround("phi", 3).alias("phi"), F.bround("adj_p", 3).alias("p")))
+        tied = settled(tied.select(F.col("item2").alias("item1"), "item2", F.bround("phi", 3).alias("phi"), F.bround("adj_p", 3).alias("p")))
         modules = scores.coselection_modules(tests, paths, groups)
         intervals = bootstrap.binomial_intervals(pairs.prevalence(mixed), c.n_iterations, c.confidence, c.seed).select("feature", F.col("lower").alias("lo"), F.col("upper").alias("hi"))
         out += [

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import stats, text
-from ..operators import advanced, bootstrap, charts, graph, mining, pairs, patterns, resistance, scores, synth, validation
+from ..operators import advanced, bootstrap, charts, graph, mining, ordering, pairs, patterns, resistance, scores, synth, validation
 from ..sources.matrix import FEATURES, BinaryMatrix, star_matrix
+from ..sources.shared import settled
 from . import oracles as o
 from .oracles import sql
 
@@ -53,7 +54,7 @@ def _classes_and_genes(m: BinaryMatrix) -> BinaryMatrix:
 
 
 def _edges(m: BinaryMatrix) -> DataFrame:
-    return graph._settled(graph.network_edges(m))
+    return settled(graph.network_edges(m))
 
 
 def _communities(m: BinaryMatrix) -> DataFrame:
@@ -62,7 +63,7 @@ def _communities(m: BinaryMatrix) -> DataFrame:
 
 
 def _tests(m: BinaryMatrix) -> DataFrame:
-    return graph._settled(pairs.tested(pairs.contingency(m)))
+    return settled(pairs.tested(pairs.contingency(m)))
 
 
 # ---- sources, projections, filters ------------------------------------------------------------
@@ -257,8 +258,7 @@ def _(s, d):
 
 @query("a15_percentiles", "SELECT event_type, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.975), 6) AS upper FROM events GROUP BY event_type")
 def _(s, d):
-    q = lambda x, n: F.round(F.percentile("value", F.lit(x)), 6).alias(n)
-    return _read(s, d, "events").groupBy("event_type").agg(q(0.025, "lower"), q(0.5, "median"), q(0.975, "upper"))
+    return ordering.quantiles(_read(s, d, "events"), "value", {"lower": 0.025, "median": 0.5, "upper": 0.975}, ("event_type",)).select("event_type", *r6("lower", "median", "upper"))
 
 
 @query("a17_strongest_association", sql("SELECT gene, round(abs(v.phi), 6) AS association, round(v.p, 6) AS p_value FROM (SELECT gene, arg_max({phi: phi, p: p}, {a: abs(phi), b: -p}) AS v FROM (SELECT item1 AS gene, phi, p FROM ht UNION ALL SELECT item2, phi, p FROM ht) GROUP BY gene)", o.NETWORK))
@@ -507,7 +507,7 @@ def _(s, d):
 def _network(s: SparkSession, d: str):
     m = star_matrix(s, d)
     tests = _tests(m)  # one pass over the rows for all that follows
-    e = graph._settled(graph.network_edges(m, tests=tests))
+    e = settled(graph.network_edges(m, tests=tests))
     return m, e, tests, graph.shortest_paths(e), _communities(m)
 
 
@@ -568,13 +568,13 @@ def _(s, d):
 
 @query("w1_percentile_rank", "SELECT o_orderkey, round((rank() OVER (ORDER BY o_orderpriority) - 1 + (count(*) OVER (PARTITION BY o_orderpriority) + 1) / 2) / count(*) OVER () * 100, 6) AS percentile_rank FROM orders")
 def _(s, d):
-    return graph.percentile_rank(_read(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority").select("o_orderkey", *r6("percentile_rank"))
+    return ordering.percentile_rank(_read(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority").select("o_orderkey", *r6("percentile_rank"))
 
 
 @query("w2_above_quantile", "SELECT o_orderkey, o_totalprice > (SELECT quantile_cont(o_totalprice, 0.75) FROM orders) AS high FROM orders")
 def _(s, d):
     orders = _read(s, d, "orders")
-    return orders.crossJoin(F.broadcast(orders.agg(F.percentile("o_totalprice", F.lit(0.75)).alias("q")))).select("o_orderkey", (F.col("o_totalprice") > F.col("q")).alias("high"))
+    return orders.crossJoin(F.broadcast(ordering.quantiles(orders, "o_totalprice", {"q": 0.75}))).select("o_orderkey", (F.col("o_totalprice") > F.col("q")).alias("high"))
 
 
 @query("w8_extremes", "(SELECT o_orderkey, o_totalprice, 'top' AS side FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10) UNION ALL (SELECT o_orderkey, o_totalprice, 'bottom' FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10)")
