@@ -2,40 +2,54 @@
 
 A resample of n rows of a 0/1 column has Binomial(n, k / n) ones, so replicates need only
 (n, k) of each feature: no row moves.  Statistics of several columns at once share row
-weights: a row's number of draws in replicate b, Poisson(1) from a hash of (seed, b, row),
-which is the distributed form of the same resample.
+weights: a row's number of draws in replicate b, Poisson(1) from (seed, b, row), which is
+the distributed form of the same resample.  All draws are functions of what they are for
+(see ``functions.draws``), so SQL can repeat them.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import draws
 from ..functions.stats import ln_factorial
 from ..sources.matrix import BinaryMatrix
 from . import pairs
 
 
-def _seed(seed: int, name: str) -> np.random.Generator:
-    import zlib
-
-    return np.random.default_rng([seed, zlib.crc32(name.encode())])
+def binomial_draws(n: int, k: int, u: np.ndarray) -> np.ndarray:
+    """Binomial(n, k / n) numbers by the inverse of its distribution function, summed ten deviations around the mean."""
+    if k <= 0 or k >= n:
+        return np.full(len(u), max(0, min(k, n)), np.int64)
+    p = k / n
+    wide = 10 * math.sqrt(n * p * (1 - p)) + 20
+    low, high = max(0, math.floor(n * p - wide)), min(n, math.ceil(n * p + wide))
+    x = np.arange(low, high)
+    steps = np.log((n - x) / (x + 1)) + math.log(p / (1 - p))
+    first = math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) + low * math.log(p) + (n - low) * math.log1p(-p)
+    cdf = np.cumsum(np.exp(first + np.r_[0.0, np.cumsum(steps)]))
+    return low + np.minimum(np.searchsorted(cdf, u), high - low)
 
 
 def binomial_intervals(counts: DataFrame, n_iter: int = 5000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """feature, mean, lower, upper (fractions) of (feature, k, n): percentiles of seeded replicates.
 
-    ``mean`` is the mean of the replicates.  One seed for each (seed, feature), so the
-    result doesn't depend on partitions.
+    ``mean`` is the mean of the replicates.  A replicate depends on (seed, feature, its
+    number) only, so the result doesn't depend on partitions.
     """
 
     def run(batches):
         for pdf in batches:
             rows = []
             for f, k, n in zip(pdf["feature"], pdf["k"], pdf["n"]):
-                x = _seed(seed, f).binomial(n, k / n, n_iter) / n if n else np.zeros(1)
+                u = np.array([draws.unit_md5(seed, f, b) for b in range(n_iter)])
+                x = binomial_draws(int(n), int(k), u) / n if n else np.zeros(1)
                 lo, hi = np.percentile(x, [50 * (1 - confidence), 50 * (1 + confidence)])
                 rows.append((f, x.mean(), lo, hi))
             yield pd.DataFrame(rows, columns=["feature", "mean", "lower", "upper"])
@@ -89,34 +103,38 @@ def pattern_intervals(frequencies: DataFrame, n_iter: int = 5000, confidence: fl
 
 
 _STATISTICS = {"mean": np.mean, "median": np.median, "std": np.std}
+#: Values of the largest group that ``grouped_statistic`` takes, as one task resamples it (8 bytes each, and as much again).
+GROUP_VALUES = 50_000_000
+
+
+def name_seed(seed: int, name: str) -> int:
+    return seed + int(hashlib.md5(name.encode()).hexdigest()[:6], 16)
 
 
 def grouped_statistic(values: DataFrame, statistic: str = "mean", n_iter: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """name, estimate, lower, upper of a statistic of (name, value), for groups that fit one task."""
+    """name, estimate, lower, upper of a statistic of (name, value), for groups of at most GROUP_VALUES values."""
     if statistic not in _STATISTICS:
         raise ValueError(f"unknown statistic: {statistic}")
     f = _STATISTICS[statistic]
+    largest = values.groupBy("name").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > GROUP_VALUES:
+        raise ValueError(f"a group of {largest} values; at most {GROUP_VALUES} are resampled as one")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         name, x = pdf["name"].iloc[0], np.sort(pdf["value"].to_numpy(float))
-        r = _seed(seed, str(name))
-        reps = np.array([f(x[r.integers(0, len(x), len(x))]) for _ in range(n_iter)])
+        own, at = name_seed(seed, str(name)), np.arange(len(x), dtype=np.int64)
+        reps = np.array([f(x[(draws.unit(at, b, own) * len(x)).astype(np.int64)]) for b in range(n_iter)])
         lo, hi = np.percentile(reps, [50 * (1 - confidence), 50 * (1 + confidence)])
         return pd.DataFrame({"name": [name], "estimate": [float(f(x))], "lower": [lo], "upper": [hi]})
 
-    return values.select(F.col("name").cast("string"), F.col("value").cast("double")).groupBy("name").applyInPandas(lambda pdf: solve(pdf), "name string, estimate double, lower double, upper double")
+    return values.select(F.col("name").cast("string"), F.col("value").cast("double")).where("value is not null").groupBy("name").applyInPandas(lambda pdf: solve(pdf), "name string, estimate double, lower double, upper double")
 
 
 def row_weights(rows: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     """row, replicate, weight: how often a row is drawn; rows that aren't drawn are left out."""
     spread = rows.select("row", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "replicate", "row"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weight, cdf, mass = F.lit(0), 0.0, np.exp(-1.0)
-    for x in range(12):
-        cdf += mass
-        weight = weight + F.when(u > cdf, 1).otherwise(0)
-        mass /= x + 1
-    return spread.withColumn("weight", weight).where("weight > 0")
+    key = draws.row_key(F.col("row"), rows.schema["row"].dataType)
+    return spread.withColumn("weight", draws.poisson_column(draws.unit(key, F.col("replicate"), seed))).where("weight > 0")
 
 
 def weight_sums(keyed: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
@@ -124,19 +142,20 @@ def weight_sums(keyed: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
 
     ``keyed`` has ``row`` and ``keys``, an array of numbers without repeats; the number
     of keys is bounded by the columns, so a task keeps a sum for each key and replicate.
+    A row's weights are one array in its task, and nothing but sums is exchanged.
     """
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.xxhash64(F.lit(seed), r, "row"))
-    cdf = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 12)]))
+    row = draws.row_key(F.col("row"), keyed.schema["row"].dataType)
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
+        replicate = np.arange(replicates, dtype=np.int64)[None, :]
         for batch in batches:
             keys, many = batch.column(0).flatten().to_numpy(), batch.column(0).value_lengths().to_numpy()
-            h = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, replicates)
-            for at in range(0, len(h), 2048):
-                u = ((h[at : at + 2048] & (1 << 52) - 1) + 0.5) / float(1 << 52)
-                weight = np.searchsorted(cdf, u.ravel()).reshape(u.shape)
-                owner = np.repeat(np.arange(len(u)), many[at : at + 2048])
+            r = batch.column(1).to_numpy()
+            for at in range(0, len(r), 1024):
+                u = draws.unit(r[at : at + 1024, None], replicate, seed)
+                weight = np.searchsorted(draws.POISSON, u.ravel()).reshape(u.shape)
+                owner = np.repeat(np.arange(len(u)), many[at : at + 1024])
                 first = int(many[:at].sum())
                 k = keys[first : first + len(owner)]
                 order = np.argsort(k, kind="stable")
@@ -149,7 +168,7 @@ def weight_sums(keyed: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
             n = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * replicates, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), n], ["key", "n"])
 
-    parts = keyed.where(F.size("keys") > 0).select(F.col("keys").cast("array<long>"), hashes.alias("h")).mapInArrow(run, "key long, n array<long>")
+    parts = keyed.where(F.size("keys") > 0).select(F.col("keys").cast("array<long>"), row.alias("r")).mapInArrow(run, "key long, n array<long>")
     return parts.select("key", F.posexplode("n").alias("replicate", "n")).groupBy("key", "replicate").agg(F.sum("n").alias("n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import draws
 from ..sources.matrix import DRUG_CLASSES, FEATURES, BinaryMatrix
 
 
@@ -17,7 +18,7 @@ def beta_prevalences(n: int, mean: float, sd: float, seed: int = 42) -> list[flo
 
 def uniform(seed: int, name: str) -> Column:
     """A number in [0, 1) from the row's id: the same however the rows are partitioned."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "row"), F.lit(1 << 52)) / float(1 << 52)
+    return draws.unit_md5_column(F.lit(seed), F.lit(name), F.col("row"))
 
 
 def bernoulli(name: str, p: float, seed: int) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import stats, text
+from ..functions import draws, stats, text
 from ..operators import advanced, bootstrap, charts, graph, mining, ordering, pairs, patterns, resistance, scores, synth, validation
 from ..sources.matrix import FEATURES, BinaryMatrix, star_matrix
 from ..sources.shared import settled
@@ -315,25 +315,48 @@ def _(s, d):
     return bootstrap.exact_intervals(pairs.prevalence(star_matrix(s, d))).select("feature", *r6("mean", "lower", "upper"))
 
 
-@query("t9_bootstrap_ci")
+def _binomial_sql(counts: str) -> str:
+    """Replicates x of (f, k, n) by the inverse distribution function."""
+    return f"""
+cdf AS (SELECT f, k, n, x, sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(k / n) + (n - x) * ln(1 - k / n))) OVER (PARTITION BY f ORDER BY x) AS cdf
+        FROM {counts}, LATERAL (SELECT unnest(range(0, n + 1)) AS x) WHERE k > 0 AND k < n),
+us AS (SELECT f, b, {draws.unit_md5_sql("'42'", 'f', 'b')} AS u FROM {counts}, range(0, 5000) AS g(b) WHERE k > 0 AND k < n),
+reps AS (SELECT us.f, cdf.x / cdf.n AS x FROM us ASOF JOIN cdf ON us.f = cdf.f AND us.u <= cdf.cdf UNION ALL SELECT f, (k = n)::INT::DOUBLE FROM {counts} WHERE k = 0 OR k = n)"""
+
+
+@query("t9_bootstrap_ci", sql("SELECT f AS feature, round_even(avg(x) * 100, 3) AS mean, round_even(quantile_cont(x, 0.025) * 100, 3) AS lower, round_even(quantile_cont(x, 0.975) * 100, 3) AS upper FROM reps GROUP BY f", o.NETWORK, _binomial_sql("hk")))
 def _(s, d):
     return bootstrap.bootstrap_ci(star_matrix(s, d))
 
 
-@query("t10_pattern_bootstrap")
+@query("t10_pattern_bootstrap", sql("""SELECT pats.f AS pattern, k AS n, round(k * 100 / n, 6) AS frequency, round(lo * 100, 6) AS lower, round(hi * 100, 6) AS upper
+    FROM pats JOIN (SELECT f, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM reps GROUP BY f) q ON q.f = pats.f""", """
+pats AS (SELECT f, count(*) AS k, sum(count(*)) OVER ()::BIGINT AS n FROM (SELECT mrows.r, coalesce(string_agg(f, ', ' ORDER BY f), 'No_Resistance') AS f FROM mrows LEFT JOIN mcones ON mcones.r = mrows.r GROUP BY mrows.r) GROUP BY f)""", _binomial_sql("pats")))
 def _(s, d):
     found = mining.patterns(resistance.mdr_subset(star_matrix(s, d)).class_level())
-    return bootstrap.pattern_intervals(mining.pattern_frequencies(found))
+    return bootstrap.pattern_intervals(mining.pattern_frequencies(found)).select("pattern", "n", *r6("frequency", "lower", "upper"))
 
 
-@query("t11_grouped_bootstrap")
+@query("t11_grouped_bootstrap", f"""WITH vals AS (SELECT event_type AS name, list(value ORDER BY value) AS v, count(*) AS n, 42 + ('0x' || substr(md5(event_type), 1, 6))::BIGINT AS seed FROM events WHERE value IS NOT NULL GROUP BY event_type),
+    reps AS (SELECT name, b, median(v[floor(u * n)::BIGINT + 1]) AS x FROM ({draws.unit_sql("(SELECT * FROM vals, range(0, 1000) AS g(b), LATERAL (SELECT unnest(range(0, n)) AS i))", "i", "b", "seed")}) GROUP BY name, b)
+    SELECT vals.name, round(list_median(v), 6) AS estimate, round(lo, 6) AS lower, round(hi, 6) AS upper FROM vals JOIN (SELECT name, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM reps GROUP BY name) q ON q.name = vals.name""")
 def _(s, d):
-    return bootstrap.grouped_statistic(_read(s, d, "events").select(F.col("event_type").alias("name"), "value"), "median", 1000)
+    return bootstrap.grouped_statistic(_read(s, d, "events").select(F.col("event_type").alias("name"), "value"), "median", 1000).select("name", *r6("estimate", "lower", "upper"))
+
+
+def _weights_sql(replicates: int) -> str:
+    return f"""
+wts AS MATERIALIZED (SELECT r, b, w FROM (SELECT r, b, {draws.poisson_sql('u')} AS w FROM ({draws.unit_sql(f"(SELECT r, b FROM rws, range(0, {replicates}) AS g(b))", "r", "b", "42")})) WHERE w > 0),
+tot AS (SELECT b, sum(w)::BIGINT AS total FROM wts GROUP BY b)"""
+
+
+_FEATURE_SUMS = "sums AS (SELECT f, b, sum(w)::BIGINT AS n FROM wts JOIN ones ON ones.r = wts.r GROUP BY f, b)"
 
 
-@query("t12_joint_bootstrap")
+@query("t12_joint_bootstrap", sql("""SELECT feats.f AS feature, round(avg(coalesce(n, 0) / total), 6) AS mean, round(quantile_cont(coalesce(n, 0) / total, 0.025), 6) AS lower, round(quantile_cont(coalesce(n, 0) / total, 0.975), 6) AS upper
+    FROM feats CROSS JOIN tot LEFT JOIN sums ON sums.f = feats.f AND sums.b = tot.b GROUP BY feats.f""", _weights_sql(1000), _FEATURE_SUMS))
 def _(s, d):
-    return bootstrap.joint_intervals(star_matrix(s, d), 1000)
+    return bootstrap.joint_intervals(star_matrix(s, d), 1000).select("feature", *r6("mean", "lower", "upper"))
 
 
 @query("t13_plain_chi2", sql(f"SELECT item1, item2, round({o.PLAIN}, 6) AS statistic, round({o.erfc('sqrt((' + o.PLAIN + ') / 2)')}, 6) AS p FROM hc", o.NETWORK))
@@ -383,31 +406,37 @@ def _(s, d):
     return mining.patterns(star_matrix(s, d).role("gene"), mining.NO_GENOTYPE).select(F.col("row").alias("isolate"), F.array_join("pattern", ", ").alias("pattern"))
 
 
-def _rules_sql(ones: str, least: float, top: int) -> str:
-    """Itemsets of 1 to 3 items by joins; all two-part rules of them."""
-    return sql(f"""SELECT array_to_string(a, ', ') AS antecedents, array_to_string(c, ', ') AS consequents, round(s, 6) AS support, round(s / sa, 6) AS confidence, round(s / sa / sc, 6) AS lift,
-        round(s - sa * sc, 6) AS leverage FROM rules WHERE s / sa / sc >= 1.0""", f"""
+def _itemsets_sql(ones: str, least: float) -> str:
+    """Itemsets of any length, each with the rows that hold it."""
+    return f"""
 n_ AS (SELECT count(*) AS n FROM rws),
-i1 AS (SELECT [f] AS items, count(*) / any_value(n) AS s FROM {ones}, n_ GROUP BY f HAVING count(*) >= {least} * any_value(n)),
-i2 AS (SELECT [a.f, b.f] AS items, count(*) / any_value(n) AS s FROM {ones} a JOIN {ones} b ON a.r = b.r AND a.f < b.f, n_ GROUP BY a.f, b.f HAVING count(*) >= {least} * any_value(n)),
-i3 AS (SELECT [a.f, b.f, c.f] AS items, count(*) / any_value(n) AS s FROM {ones} a JOIN {ones} b ON a.r = b.r AND a.f < b.f JOIN {ones} c ON a.r = c.r AND b.f < c.f, n_ GROUP BY a.f, b.f, c.f HAVING count(*) >= {least} * any_value(n)),
-sets AS (SELECT * FROM i1 UNION ALL SELECT * FROM i2 UNION ALL SELECT * FROM i3),
+i1 AS (SELECT f, list(r) AS tids FROM {ones} GROUP BY f HAVING count(*) >= {least} * (SELECT n FROM n_)),
+grown AS (SELECT [f] AS items, f AS last, tids FROM i1
+          UNION ALL SELECT list_append(g.items, i1.f), i1.f, list_intersect(g.tids, i1.tids) FROM grown g JOIN i1 ON i1.f > g.last WHERE len(list_intersect(g.tids, i1.tids)) >= {least} * (SELECT n FROM n_)),
+sets AS (SELECT items, tids, len(tids) / n AS s FROM grown, n_),
 cut AS (SELECT items, s, unnest(range(1, (1 << len(items)) - 1)) AS m FROM sets WHERE len(items) > 1),
-parts_ AS (SELECT s, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS a, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 0) AS c FROM cut),
-rules AS (SELECT p.s, p.a, p.c, x.s AS sa, y.s AS sc FROM parts_ p JOIN sets x ON x.items = p.a JOIN sets y ON y.items = p.c)""")
+parts_ AS (SELECT items, s, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS a, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 0) AS c FROM cut),
+rules AS (SELECT p.items, p.s, p.a, p.c, x.s AS sa, y.s AS sc FROM parts_ p JOIN sets x ON x.items = p.a JOIN sets y ON y.items = p.c)"""
+
+
+def _rules_sql(ones: str, least: float) -> str:
+    return sql("""SELECT array_to_string(a, ', ') AS antecedents, array_to_string(c, ', ') AS consequents, round(s, 6) AS support, round(s / sa, 6) AS confidence, round(s / sa / sc, 6) AS lift,
+        round(s - sa * sc, 6) AS leverage, CASE WHEN s / sa >= 1 THEN NULL ELSE round((1 - sc) / (1 - s / sa), 6) END AS conviction FROM rules WHERE s / sa / sc >= 1.0""", _itemsets_sql(ones, least))
 
 
 def _rules(m: BinaryMatrix, least: float) -> DataFrame:
+    """Conviction is null where it is infinite."""
     r = mining.association_rules(mining.frequent_itemsets(m, least), 1.0)
-    return r.select(F.array_join("antecedents", ", ").alias("antecedents"), F.array_join("consequents", ", ").alias("consequents"), *r6("support", "confidence", "lift", "leverage"))
+    return r.select(F.array_join("antecedents", ", ").alias("antecedents"), F.array_join("consequents", ", ").alias("consequents"), *r6("support", "confidence", "lift", "leverage"),
+                    F.when(F.col("confidence") < 1, F.round("conviction", 6)).alias("conviction"))
 
 
-@query("m3_class_rules", _rules_sql("cones", 0.01, 3))
+@query("m3_class_rules", _rules_sql("cones", 0.01))
 def _(s, d):
     return _rules(star_matrix(s, d).class_level(), 0.01)
 
 
-@query("m4_gene_rules", _rules_sql("gones", 0.03, 3))
+@query("m4_gene_rules", _rules_sql("gones", 0.03))
 def _(s, d):
     return _rules(star_matrix(s, d).role("gene"), 0.03)
 
@@ -465,7 +494,15 @@ def _(s, d):
     return graph.betweenness(graph.shortest_paths(_edges(star_matrix(s, d)))).select("id", *r6("betweenness"))
 
 
-@query("g6_eigenvector")
+#: Power iteration of A + I on the edges, as many steps as make all digits that are shown settle.
+_EIGEN = """
+pw AS (SELECT 0 AS step, id, 1 / sqrt((SELECT count(*) FROM vs)) AS v FROM vs
+       UNION ALL SELECT step, id, y / sqrt(sum(y * y) OVER ()) FROM (
+           SELECT pw.step + 1 AS step, adj.src AS id, sum(pw.v) AS y FROM pw JOIN (SELECT src, dst FROM bi UNION ALL SELECT id, id FROM vs) adj ON adj.dst = pw.id WHERE pw.step < 400 GROUP BY pw.step, adj.src)),
+eig AS (SELECT id, v FROM pw WHERE step = 400)"""
+
+
+@query("g6_eigenvector", sql("SELECT id, round(v, 6) AS eigenvector FROM eig", o.NETWORK, _EIGEN))
 def _(s, d):
     return graph.eigenvector_centrality(_edges(star_matrix(s, d))).select("id", *r6("eigenvector"))
 
@@ -490,7 +527,8 @@ def _(s, d):
     return graph.row_risk(m, score, ci).select(F.col("row").alias("isolate"), *r6("risk", "percentile_rank"), "predicted")
 
 
-@query("g8_node_scores")
+@query("g8_node_scores", sql("""SELECT deg.id, round(degree_centrality, 6) AS degree_centrality, round(betweenness, 6) AS betweenness, round(v, 6) AS eigenvector, round(0.4 * degree_centrality + 0.3 * betweenness + 0.3 * v, 6) AS node_score
+    FROM deg JOIN btw ON btw.id = deg.id JOIN eig ON eig.id = deg.id""", o.NETWORK, _EIGEN))
 def _(s, d):
     return graph.node_scores(_edges(star_matrix(s, d))).select("id", *r6("degree_centrality", "betweenness", "eigenvector", "node_score"))
 
@@ -610,14 +648,31 @@ def _(s, d):
     return validation.data_summary(star_matrix(s, d)).select("n_samples", "n_features", *r6("mean_prevalence", "min_prevalence", "max_prevalence"))
 
 
-@query("x1_rules_with_intervals")
+_ITEM_SUMS = """
+used AS (SELECT DISTINCT unnest([items, a, c]) AS items FROM rules WHERE s / sa >= 0.2),
+hits AS (SELECT items, b, sum(w)::BIGINT AS n FROM (SELECT sets.items, unnest(tids) AS r FROM sets JOIN used ON used.items = sets.items) t JOIN wts ON wts.r = t.r GROUP BY items, b),
+lifts AS (SELECT rules.a, rules.c, quantile_cont(z.n * total / (x.n * y.n), 0.025) AS lo, quantile_cont(z.n * total / (x.n * y.n), 0.975) AS hi
+          FROM rules JOIN hits z ON z.items = rules.items JOIN hits x ON x.items = rules.a AND x.b = z.b JOIN hits y ON y.items = rules.c AND y.b = z.b JOIN tot ON tot.b = z.b WHERE s / sa >= 0.2 GROUP BY rules.a, rules.c)"""
+
+
+@query("x1_rules_with_intervals", sql("""SELECT array_to_string(rules.a, ', ') AS antecedents, array_to_string(rules.c, ', ') AS consequents, round(s, 6) AS support, round(s / sa, 6) AS confidence, round(s / sa / sc, 6) AS lift,
+    round(lo, 6) AS lift_ci_lower, round(hi, 6) AS lift_ci_upper, lo > 1 OR hi < 1 AS is_significant FROM rules JOIN lifts ON lifts.a = rules.a AND lifts.c = rules.c""", _itemsets_sql("cones", 0.03), _weights_sql(500), _ITEM_SUMS))
 def _(s, d):
-    return advanced.rules_with_intervals(star_matrix(s, d).class_level(), 0.03, 0.2, 500).withColumns({c: F.array_join(c, ", ") for c in ("antecedents", "consequents")})
+    out = advanced.rules_with_intervals(star_matrix(s, d).class_level(), 0.03, 0.2, 500)
+    return out.select(*[F.array_join(c, ", ").alias(c) for c in ("antecedents", "consequents")], *r6("support", "confidence", "lift", "lift_ci_lower", "lift_ci_upper"), "is_significant")
 
 
-@query("x2_edge_confidence")
+@query("x2_edge_confidence", sql("SELECT item1 AS src, item2 AS dst, round(count(*) / 500, 6) AS confidence, count(*) / 500 >= 0.8 AS high_confidence FROM xa WHERE adj_p <= 0.05 GROUP BY item1, item2", _weights_sql(500), f"""
+xk AS (SELECT cfeats.f, cfeats.ord, tot.b, total AS n, coalesce(k, 0) AS k FROM cfeats CROSS JOIN tot LEFT JOIN (SELECT f, b, sum(w)::BIGINT AS k FROM cones JOIN wts ON wts.r = cones.r GROUP BY f, b) q ON q.f = cfeats.f AND q.b = tot.b),
+xj AS (SELECT x.f AS f1, y.f AS f2, b, sum(w)::BIGINT AS n11 FROM cones x JOIN cones y ON x.r = y.r AND x.f <> y.f JOIN wts ON wts.r = x.r GROUP BY x.f, y.f, b),
+xc AS (SELECT x.b, x.f AS item1, y.f AS item2, x.n, x.n - x.k - y.k + coalesce(n11, 0) AS n00, y.k - coalesce(n11, 0) AS n01, x.k - coalesce(n11, 0) AS n10, coalesce(n11, 0) AS n11
+       FROM xk x JOIN xk y ON x.ord < y.ord AND x.b = y.b LEFT JOIN xj ON f1 = x.f AND f2 = y.f AND xj.b = x.b WHERE x.k > 0 AND x.k < x.n AND y.k > 0 AND y.k < y.n),
+xv AS (SELECT *, {o.LEAST_E} < 5 AS exact, {o.YATES} AS y FROM xc),
+xt AS (SELECT *, CASE WHEN exact THEN {o.FISHER} ELSE {o.erfc('sqrt(y / 2)')} END AS p FROM xv),
+xr AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY p, item1, item2) AS rk, count(*) OVER (PARTITION BY b) AS m FROM xt),
+xa AS (SELECT *, least(1, min(p * m / rk) OVER (PARTITION BY b ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS adj_p FROM xr)"""))
 def _(s, d):
-    return advanced.network_confidence(star_matrix(s, d).class_level(), 500)
+    return advanced.network_confidence(star_matrix(s, d).class_level(), 500).select("src", "dst", *r6("confidence"), "high_confidence")
 
 
 @query("x3_entropy_weighted", sql("""SELECT f AS feature, round(k / n, 6) AS base_importance, round(e, 6) AS entropy, round(k / n * (1 - 0.5 * (1 - e)), 6) AS adjusted_importance FROM (
@@ -627,9 +682,9 @@ def _(s, d):
     return advanced.entropy_weighted(m, pairs.prevalence(m).select("feature", F.col("prevalence").alias("importance"))).select("feature", *r6("base_importance", "entropy", "adjusted_importance"))
 
 
-@query("x4_pattern_stability")
+@query("x4_pattern_stability", sql("SELECT feats.f AS feature, round(coalesce(sum((n >= 0.3::DOUBLE * total)::INT), 0) * 100 / 500, 6) AS stability FROM feats CROSS JOIN tot LEFT JOIN sums ON sums.f = feats.f AND sums.b = tot.b GROUP BY feats.f", _weights_sql(500), _FEATURE_SUMS))
 def _(s, d):
-    return advanced.pattern_stability(star_matrix(s, d), 0.3, 500)
+    return advanced.pattern_stability(star_matrix(s, d), 0.3, 500).select("feature", *r6("stability"))
 
 
 @query("x5_redundant_pairs", sql("SELECT item1 AS feature1, item2 AS feature2, round(n11 / (k1 + k2 - n11), 6) AS jaccard FROM hc WHERE n11 / (k1 + k2 - n11) > 0.25", o.NETWORK))
@@ -637,7 +692,36 @@ def _(s, d):
     return advanced.redundant_pairs(star_matrix(s, d), 0.25).select("feature1", "feature2", *r6("jaccard"))
 
 
-@query("y5_synthetic_matrix")
+def _synthetic_sql(n_rows: int, columns: list[tuple], noise: float) -> list[str]:
+    """CTEs yrows and yones of generated columns: (name, chance, name of the column it depends on or null, chance where that is 1)."""
+    values = ", ".join(f"('{name}', {p!r}, {'NULL::VARCHAR' if base is None else repr(base)}, {p1!r}, {i})" for i, (name, p, base, p1) in enumerate(columns))
+    u = lambda name: draws.unit_md5_sql("'42'", name, "r")
+    return [f"""
+yrows AS (SELECT printf('Strain_%04d', i + 1) AS r FROM range(0, {n_rows}) AS g(i)),
+ycols(f, p0, base, p1, ord) AS (VALUES {values}),
+yfree AS (SELECT r, f, ({u('f')} < p0)::INT AS v FROM yrows, ycols WHERE base IS NULL),
+ytied AS (SELECT yrows.r, c.f, ({draws.unit_md5_sql("'42'", "c.f", "yrows.r")} < CASE WHEN x.v = 1 THEN c.p1 ELSE c.p0 END)::INT AS v FROM yrows, ycols c JOIN yfree x ON x.f = c.base WHERE x.r = yrows.r),
+yall AS (SELECT * FROM yfree UNION ALL SELECT * FROM ytied),
+yones AS (SELECT r, f FROM yall WHERE CASE WHEN {u("f || '/noise'")} < {noise!r} THEN 1 - v ELSE v END = 1),
+yfeats AS (SELECT f, 'gene' AS role, ord, NULL::VARCHAR AS class FROM ycols)"""]
+
+
+def _tied(p: float, rho: float) -> tuple[float, float]:
+    return max(0.05, p - rho * p), min(0.95, p + rho * (1 - p))
+
+
+def _synthetic_columns() -> list[tuple]:
+    drugs = [x for c in o.DRUG_CLASSES.values() for x in c]
+    names = drugs + [f"AMR_Gene_{i:02d}" for i in range(1, 31)] + [f"Virulence_{i:02d}" for i in range(1, 21)]
+    out = []
+    for i, (name, p) in enumerate(zip(names, synth.beta_prevalences(len(names), 0.35, 0.2, 42))):
+        at = i - len(drugs)
+        low, high = _tied(p, 0.7)
+        out.append((name, low, drugs[at], high) if 0 <= at < len(drugs) and at % 3 == 0 else (name, p, None, p))
+    return out
+
+
+@query("y5_synthetic_matrix", "WITH " + ",".join(_synthetic_sql(200, _synthetic_columns(), 0.05)) + " SELECT f AS feature, count(*) AS k FROM yones GROUP BY f")
 def _(s, d):
     return synth.synthetic_matrix(s, n_rows=200)[0].ones.groupBy("feature").agg(F.count("*").alias("k"))
 
@@ -693,11 +777,27 @@ def _(s, d):
     return _read(s, d, "lineitem").agg(F.bool_and(F.col("l_linenumber").isin(0, 1)).alias("linenumber"), F.bool_and((F.col("l_returnflag") == "R").cast("int").isin(0, 1)).alias("flag"))
 
 
-@query("y6_clustered_matrix")
+def _clustered_sql() -> str:
+    drugs = [x for c in o.DRUG_CLASSES.values() for x in c]
+    rates = [synth.beta_prevalences(len(drugs), m, 0.15, 42 + i) for i, m in enumerate((0.25, 0.6))]
+    values = ", ".join(f"('{x}', {a!r}, {b!r}, {i})" for i, (x, a, b) in enumerate(zip(drugs, *rates)))
+    u = lambda name: draws.unit_md5_sql("'42'", name, "r")
+    noisy = lambda name: f"CASE WHEN {u(name + chr(32) + '||' + chr(32) + repr('/noise'))} < 0.05 THEN 1 - v ELSE v END"
+    return f"""WITH yrows AS (SELECT r, {u("'cluster'")} < 0.5 AS second FROM (SELECT printf('Strain_%04d', i + 1) AS r FROM range(0, 200) AS g(i))),
+ydrugs(f, a, b, ord) AS (VALUES {values}),
+d AS (SELECT r, f, ({u('f')} < CASE WHEN second THEN b ELSE a END)::INT AS v FROM yrows, ydrugs),
+g AS (SELECT r, 'gene_' || f AS f, ({u("'gene_' || f")} < least(0.95, 0.2 + 0.3 * v))::INT AS v FROM d)
+SELECT f AS feature, sum({noisy('f')})::BIGINT AS k FROM (SELECT * FROM d UNION ALL SELECT * FROM g) GROUP BY f"""
+
+
+@query("y6_clustered_matrix", _clustered_sql())
 def _(s, d):
     return pairs.prevalence(synth.clustered_matrix(s)[0]).select("feature", "k")
 
 
-@query("y7_cooccurring_matrix")
+_COOCCURRING = [(f"F{i:02d}", 0.4, None, 0.4) if i % 2 == 0 else (f"F{i:02d}", _tied(0.4, 0.6)[0], f"F{i - 1:02d}", _tied(0.4, 0.6)[1]) for i in range(10)]
+
+
+@query("y7_cooccurring_matrix", "WITH RECURSIVE " + ",".join([*_synthetic_sql(1000, _COOCCURRING, 0.0), o.pairs("y", "yones", "yrows", "yfeats")]) + " SELECT item1, item2, round(phi, 6) AS phi FROM ya WHERE adj_p <= 0.05")
 def _(s, d):
     return pairs.cooccurrence(synth.cooccurring_matrix(s, 1000)[0]).select("item1", "item2", *r6("phi"))
