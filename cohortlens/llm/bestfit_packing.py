@@ -15,6 +15,7 @@ ranks go to which sequences at which offset.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import sys
 import zlib
@@ -30,8 +31,8 @@ from .scratch import Scratch, prepare
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks whose ids a worker remembers; others are tokenised once for each batch.
-MEMO = 1_000_000
+#: Chunks whose ids a worker remembers, and the longest of them in characters; others are tokenised once for each batch.
+MEMO, MEMO_LONGEST = 1_000_000, 64
 
 
 def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -109,13 +110,26 @@ def plan_intervals(plan: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndar
     return {x: tuple(np.array(c, np.int64) for c in zip(*r)) for x, r in rows.items()}
 
 
-class ChunkEncoder:
-    """Packed little-endian 32-bit ids of a text, chunk by chunk between spaces.
+def splits_at_spaces(spec: dict) -> bool:
+    """Is a text's encoding that of its parts between spaces, by the tokenizer's own description.
 
-    For a tokenizer whose normaliser turns white space into a space and whose
-    pre-tokenizer drops it, no merge crosses a space, so a text's ids are those of its
-    chunks one after the other.
+    So it is if the normaliser works on characters and turns white space into a space,
+    and the first pre-tokenizer drops white space: then no merge crosses a space.
     """
+    def parts(x: dict | None, name: str) -> list[dict]:
+        return [] if x is None else [y for z in x[name] for y in parts(z, name)] if x["type"] == "Sequence" else [x]
+
+    plain = ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents")
+    norm, pre = parts(spec.get("normalizer"), "normalizers"), parts(spec.get("pre_tokenizer"), "pretokenizers")
+    if not pre or not all(n["type"] in plain or n["type"] == "Replace" and n.get("pattern") == {"Regex": "\\s+"} and n.get("content") == " " for n in norm):
+        return False
+    first = pre[0]
+    drops = first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") or first["type"] == "Split" and first.get("behavior") == "Removed" and first.get("invert")
+    return bool(drops) and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens") or [])
+
+
+class ChunkEncoder:
+    """Packed little-endian 32-bit ids of a text: chunk by chunk between spaces where the tokenizer allows it, else as a whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
@@ -125,8 +139,14 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         assert sys.byteorder == "little" and array("I").itemsize == 4
         self.known = _Memo()
+        # A pattern may still cross spaces: ask the pre-tokenizer, too.
+        found = self.tokenizer.pre_tokenizer.pre_tokenize_str("it's a b  c1 ,d") if self.tokenizer.pre_tokenizer else [(" ", (0, 15))]
+        with open(path, encoding="utf-8") as f:
+            self.by_chunk = splits_at_spaces(json.load(f)) and not any(" " in "it's a b  c1 ,d"[a:b] for _, (a, b) in found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_chunk:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         chunked = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
         new = [c for c in set().union(*chunked) if c not in known]
@@ -135,13 +155,11 @@ class ChunkEncoder:
             part = new[i : i + 4096]
             for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 fresh[word] = array("I", e.ids).tobytes()
-        room = max(0, MEMO - len(self.known))
-        if room >= len(fresh):
-            self.known.update(fresh)
-        else:
-            self.known.batch = fresh
-        out = [b"".join(map(self.known.__getitem__, words)) for words in chunked]
-        self.known.batch = {}
+        known.batch = fresh
+        out = [b"".join(map(known.__getitem__, words)) for words in chunked]
+        if len(known) + len(fresh) <= MEMO:
+            known.update((w, x) for w, x in fresh.items() if len(w) <= MEMO_LONGEST)
+        known.batch = {}
         return out
 
 
@@ -212,7 +230,7 @@ def _places(intervals: dict[int, tuple[np.ndarray, ...]]) -> Callable:
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``tokenizer`` is the path of a tokenizers file on every executor.  A document is its
+    ``tokenizer`` is the path of a tokenizers file on every executor, of any shape.  A document is its
     ids followed by ``end_id``; null texts count as empty (one piece of ``end_id`` alone).
     Longer documents are cut into full pieces and a last one.  Repeated rows and null
     ids are packed like others; other columns are ignored; an empty table gives no rows.

@@ -12,7 +12,7 @@ Then every row is exchanged once, by range of the shard and the key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .scratch import Scratch, partitions
 
@@ -112,7 +112,7 @@ def histogram_sort_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_
     ``size`` is the UTF-8 length plus 1 (null text: 1).  Law ``bytes``: the shards'
     sizes differ from their mean by little more than the tolerance or one row.  Equal
     texts lie together, but for those across a boundary.  ``slot`` counts from 0 in each
-    shard without gaps.  Null ids come first among equal texts; repeated rows are
+    shard without gaps.  Ids that aren't whole numbers count by their hash; null ids come first among equal texts; repeated rows are
     rows of their own; columns named like the results are replaced; an empty table
     gives no rows.
     """
@@ -122,8 +122,9 @@ def histogram_sort_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_
     # The kept columns travel as one struct, so none of their names can meet a name used here.
     row = F.struct(*[F.col(f"`{c}`") for c in names], F.lit(0).alias("_end"))
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, T.IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
     rows = docs.select(row.alias("row"), F.octet_length(body).cast("long").alias("_size"), F.crc32(body.cast("binary")).alias("_crc"),
-                       F.xxhash64(body).alias("_h"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"),
+                       F.xxhash64(body).alias("_h"), F.coalesce(own, F.lit(-(1 << 63))).alias("_id"),
                        F.monotonically_increasing_id().alias("_place"))
     rows = scratch.table(rows.withColumn("_size", F.col("_size") + 1), "keys")
     keys = rows.select(F.col("_size").alias("size"), F.col("_h").alias("h"), F.col("_id").alias("id_key"), F.col("_place").alias("place"))

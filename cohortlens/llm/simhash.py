@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .scratch import below, partitions, prepare
 from .shingles import U64, mix, text_bytes, windows, word_hashes, word_spans
@@ -110,13 +110,16 @@ def simhash_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows are in a circle by ascending id (null ids first, equal ids by text); each is
     compared with its neighbour and with itself edited (see ``edited``).  Null texts
     count as empty; texts without words have a fingerprint of zeros; a single row is
-    its own neighbour.  Other columns are ignored; an empty table gives no rows.
+    its own neighbour.  Ids are whole numbers (others raise); texts of any length are read
+    whole; other columns are ignored; an empty table gives no rows.
 
     One exchange by range of the id brings neighbours together; only the first row of
     each partition is sent once more, to the partition before it.
     """
     spark = docs.sparkSession
     prepare(spark)
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} has to be a whole number: its order makes the circle")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # Boundaries from the ids alone.
     ids = rows.select("id")

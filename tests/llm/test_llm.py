@@ -216,6 +216,22 @@ def test_chunks_equal_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in bestfit_packing.ChunkEncoder(path).encode(texts)] == want
 
 
+def test_other_tokenizers_are_asked_for_whole_texts(tmp_path):
+    """One that merges across spaces, and one that doesn't."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = {"a": 0, "b": 1, " ": 2, "a ": 3, "a b": 4}
+    for pre, by_chunk in ((pre_tokenizers.Split("x", "isolated"), False), (pre_tokenizers.WhitespaceSplit(), True), (None, False)):
+        tk = Tokenizer(models.BPE(vocab, [("a", " "), ("a ", "b")]))
+        if pre:
+            tk.pre_tokenizer = pre
+        tk.save(f"{tmp_path}/t.json")
+        enc = bestfit_packing.ChunkEncoder(f"{tmp_path}/t.json")
+        texts = ["a b", "ab a", "", "b b"]
+        assert enc.by_chunk == by_chunk and [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [tk.encode(t).ids for t in texts]
+    assert bestfit_packing.ChunkEncoder(tokenizers_here.path("word_bpe_49k.json")).by_chunk
+
+
 # ---- 3 --------------------------------------------------------------------------------------
 
 
@@ -510,6 +526,34 @@ def test_simhash(spark, docs):
     assert one.near_next == 1.0
 
 
+def test_votes_by_brute_force():
+    """Every bit of every term counted on its own; only the hash of a term is shared."""
+    texts = [t or "" for _, t in corpus()][:14] + ["", "one", "two words", "É é A a", "x " * 50]
+    for t in texts:
+        w = [x.translate(LOWER) for x in WORD.findall(t)]
+        terms = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else collections.Counter([tuple(w)] if w else [])
+        votes = [0.0] * 128
+        for term, times in terms.items():
+            raw, at = shingles.text_bytes(pa.array([" ".join(term)]))
+            s, e, first = shingles.word_spans(raw, at)
+            h, _ = shingles.windows(shingles.word_hashes(raw, s, e), first, 3)
+            second = shingles.mix(h + np.uint64(0x632BE59BD9B4E019))
+            bits = "".join(f"{byte:08b}" for byte in h.astype("<u8").tobytes() + second.astype("<u8").tobytes())
+            for k, bit in enumerate(bits):
+                votes[k] += (1 + np.log(times)) * (1 if bit == "1" else -1)
+        want = int("".join("1" if v > 1e-9 else "0" for v in votes), 2).to_bytes(16, "big")
+        assert simhash.fingerprints([t.encode()])[0] == want
+    with pytest.raises(TypeError):
+        simhash.simhash_documents(type("D", (), {"sparkSession": FakeSession(), "schema": {"doc_id": type("F", (), {"dataType": None})}})())
+
+
+class FakeSession:
+    """Enough of a session for ``prepare``."""
+
+    conf = type("C", (), {"set": staticmethod(lambda *_: None)})()
+    sparkContext = type("S", (), {"environment": {}})()
+
+
 def test_block_tables_find_all(spark):
     r = random.Random(9)
     base = [r.getrandbits(128) for _ in range(20)]
@@ -710,6 +754,8 @@ def test_shards_of_one_row_repeated(spark):
     size = check_shards(shard_sort.histogram_sort_shards(df, 4).collect(), 4)
     assert max(size.values()) - min(size.values()) <= 8
     assert check_shards(shard_sort.histogram_sort_shards(odd(spark), 3).collect(), 3).total() == 3 * 14 + 3 + 1
+    named = df.limit(9).withColumn("doc_id", F.format_string("id-%d", F.monotonically_increasing_id()))
+    assert check_shards(shard_sort.histogram_sort_shards(named, 2).collect(), 2).total() == 36
     assert shard_sort.histogram_sort_shards(empty(spark), 3).count() == 0
     assert check_shards(shard_sort.histogram_sort_shards(df.limit(1), 16).collect(), 16).total() == 4
 
