@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import binary_entropy
 from ..sources.matrix import BinaryMatrix
@@ -91,13 +91,18 @@ def network_confidence(m: BinaryMatrix, replicates: int = 500, threshold: float
     return by.withColumn("high_confidence", F.col("confidence") >= threshold)
 
 
-def pattern_stability(m: BinaryMatrix, min_share: float = 0.1, replicates: int = 500, seed: int = 42) -> DataFrame:
-    """feature, stability: percent of row resamples in which the feature's share reaches ``min_share``."""
+def pattern_stability(m: BinaryMatrix, min_share: float = 0.1, replicates: int = 500, seed: int = 42, found: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """feature, stability: percent of row resamples in which a feature is found.
+
+    ``found`` says so from a resample's count of the feature and of rows; by default it is
+    a share of ``min_share`` or more.
+    """
+    test = found or (lambda n, total: n >= min_share * total)
     n = bootstrap.feature_sums(m, replicates, seed)
     total = n.where(F.col("key") == bootstrap.ALL).select("replicate", F.col("n").alias("total"))
     names = m.features.select("feature", F.col("ord").cast("long").alias("key"))
     hits = n.where("n > 0").join(F.broadcast(names), "key").join(F.broadcast(total), "replicate")
-    by = hits.groupBy("feature").agg((F.sum((F.col("n") >= min_share * F.col("total")).cast("long")) * 100 / replicates).alias("stability"))
+    by = hits.groupBy("feature").agg((F.sum(test(F.col("n"), F.col("total")).cast("long")) * 100 / replicates).alias("stability"))
     return m.features.select("feature").join(by, "feature", "left").na.fill(0.0, ["stability"])
 
 

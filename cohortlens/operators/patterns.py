@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
 def query_patterns(df: DataFrame, min_support: float | None = None, min_confidence: float | None = None, genes: list[str] | None = None, page: int | None = None, page_size: int = 100) -> DataFrame:
@@ -41,3 +41,37 @@ def process_large(spark, path: str, out: str, top_n: int = 1000) -> dict:
     df, info = load_patterns(spark, path)
     export_top_patterns(df, f"{out}/top_patterns", top_n)
     return {**info, "statistics": pattern_statistics(df).first().asDict()}
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    """Columns of numbers, in order: what a heat map can show."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+
+
+def query_table(df: DataFrame, columns: list[str] | None = None, where: str | None = None, order: str | None = None, limit: int | None = None) -> DataFrame:
+    """Some columns and rows of a store, by SQL expressions."""
+    if where:
+        df = df.where(where)
+    if order:
+        df = df.orderBy(F.expr(order) if not order.lower().endswith(" desc") else F.expr(order[:-5]).desc())
+    return (df.select(*columns) if columns else df) if limit is None else (df.select(*columns) if columns else df).limit(limit)
+
+
+def export_filtered(df: DataFrame, path: str, where: str | None = None, form: str = "parquet") -> int:
+    """Write the rows that a condition keeps, as Parquet or CSV; their number."""
+    if form not in ("parquet", "csv"):
+        raise ValueError(f"unknown form: {form}")
+    kept = query_table(df, where=where)
+    writer = kept.write.mode("overwrite")
+    writer.option("header", True).csv(path) if form == "csv" else writer.parquet(path)
+    back = df.sparkSession.read
+    return (back.option("header", True).csv(path) if form == "csv" else back.parquet(path)).count()
+
+
+def tiles(cells: DataFrame, rows: str, cols: str, value: str, size: int = 100) -> DataFrame:
+    """A matrix of cells (rows and cols from 0) as tiles of ``size`` squared: tile_row, tile_col, n, mean, least, largest.
+
+    The overview of a matrix that is too large to draw; a tile's own cells are a filter away.
+    """
+    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    return cells.groupBy(at(rows).alias("tile_row"), at(cols).alias("tile_col")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("largest"))

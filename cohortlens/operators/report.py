@@ -21,11 +21,12 @@ def bounded(df: DataFrame) -> pd.DataFrame:
     return rows
 
 
-def table_html(t: pd.DataFrame, caption: str) -> str:
+def table_html(t: pd.DataFrame, caption: str, level: str = "h2") -> str:
     """A table with three digits; the caller's frame isn't changed."""
+    head = f"<{level}>{html.escape(caption)}</{level}>" if caption else ""
     if t.empty:
-        return f"<h2>{html.escape(caption)}</h2><p>No data available.</p>"
-    return f"<h2>{html.escape(caption)}</h2>" + t.round(3).to_html(index=False, border=0, escape=True)
+        return f"{head}<p>No data available.</p>"
+    return head + t.round(3).to_html(index=False, border=0, escape=True)
 
 
 def write_csv(tables: list[tuple[str, str, pd.DataFrame]], out: Path) -> list[str]:
@@ -36,23 +37,59 @@ def write_csv(tables: list[tuple[str, str, pd.DataFrame]], out: Path) -> list[st
     return paths
 
 
-def write_html(tables: list[tuple[str, str, pd.DataFrame]], out: Path, title: str) -> str:
-    body = "".join(table_html(t, note) for _, note, t in tables)
+#: The report's sections in their order: title, what it shows, tables (by name, with a title where there are several), chart.
+SECTIONS: list[tuple[str, str, list[tuple[str, str]], str | None]] = [
+    ("Resistance to classes, all isolates", "Share of isolates that resist each class of drugs, with bootstrap limits.", [("class_ci_all", "")], "class_ci_all"),
+    ("Resistance to classes, multiresistant isolates", "The same among isolates that resist enough classes to count as multiresistant.", [("class_ci_mdr", "")], None),
+    ("Genes, all isolates", "Share of isolates that carry each gene, with bootstrap limits.", [("gene_ci_all", "")], "gene_ci_all"),
+    ("Genes, multiresistant isolates", "The same among multiresistant isolates.", [("gene_ci_mdr", "")], None),
+    ("Patterns of classes", "Combinations of classes that multiresistant isolates resist, and how frequent they are.", [("class_patterns", "")], None),
+    ("Patterns of genes", "Combinations of genes that multiresistant isolates carry.", [("gene_patterns", "")], None),
+    ("Classes that occur together", "Pairs that stay significant after the correction for many tests, with phi.", [("class_pairs", "")], None),
+    ("Genes that occur together", "Pairs of genes, tested in the same way.", [("gene_pairs", "")], None),
+    ("Classes and genes", "Pairs of a class and a gene over all isolates.", [("class_gene_pairs", "")], None),
+    ("Rules among classes", "If these, then those: support, confidence, lift, leverage and conviction.", [("class_rules", "")], None),
+    ("Rules among genes", "The same for genes.", [("gene_rules", "")], None),
+    ("Network of all features", "Significant pairs of classes, drugs and genes as edges.", [("network_summary", "Size and density"), ("network", "Edges"), ("communities", "Communities"), ("redundancy", "Nearly equal features")], "network"),
+    ("Risk by network", "Isolates by the sum of their features' places in the network, weighted by how well each is known.", [("risk_top", "Highest risk")], "risk"),
+    ("Ordered patterns", "Chains A→B and A→B→C of correlated features.", [("gene_sequences", "Genes"), ("class_sequences", "Classes")], None),
+    ("Co-selection and targets", "Groups of genes that travel together, and nodes by priority.", [("coselection_modules", "Modules"), ("coselection_ranking", "Potential"), ("targets", "Targets")], "targets"),
+]
+
+#: What the workbook and the report say about how numbers come about.
+METHODS = [
+    "Values are 0 or 1; an isolate resists a class if it resists any of its drugs, and is multiresistant from the set number of classes on.",
+    "Limits are percentiles of binomial resamples of each column; a resample depends on the seed, the column and its number only.",
+    "Pairs: chi-square with Yates' correction, or Fisher's exact test where an expected count is below 5; phi is the strength.",
+    "All tests of a table are corrected together; pairs without a defined test are left out before.",
+    "Rules come from all frequent itemsets, of any length; lift above 1 means that the parts occur together more often than by chance.",
+    "Network measures: degree, betweenness and eigenvector centrality; communities by modularity.",
+    "Shown numbers are rounded copies; files have full precision.",
+]
+
+
+def write_html(tables: list[tuple[str, str, pd.DataFrame]], out: Path, title: str, figures: dict[str, tuple[str, str]] | None = None) -> str:
+    """Numbered sections in the order of SECTIONS, with their charts; tables of no section come last."""
+    by = {name: (note, t) for name, note, t in tables}
+    left, body = dict(by), []
+    if "overview" in by:
+        body.append(table_html(left.pop("overview")[1], "Overview"))
+    for i, (name, text, parts, chart) in enumerate(SECTIONS, 1):
+        if not any(p in by for p, _ in parts):
+            continue
+        body.append(f"<section id='s{i}'><h2>{i}) {html.escape(name)}</h2><p>{html.escape(text)}</p>")
+        if chart and figures and chart in figures:
+            body.append(f"<figure>{figures[chart][0]}<figcaption>{html.escape(figures[chart][1])}</figcaption></figure>")
+        for k, (p, what) in enumerate(parts):
+            if p in by:
+                left.pop(p, None)
+                body.append(table_html(by[p][1], f"{i}{chr(97 + k)}) {what}" if what else "", "h3"))
+        body.append("</section>")
+    body += [table_html(t, note) for note, t in left.values()]
+    body.append("<section><h2>Methods</h2><ul>" + "".join(f"<li>{html.escape(x)}</li>" for x in METHODS) + "</ul></section>")
     path = out / "report.html"
-    path.write_text(f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{body}</body></html>")
-    return str(path)
-
-
-def write_workbook(tables: list[tuple[str, str, pd.DataFrame]], out: Path) -> str | None:
-    """One sheet for each table, four digits; None where no workbook library is installed."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError:
-        return None
-    path = out / "report.xlsx"
-    with pd.ExcelWriter(path) as book:
-        for name, _, t in tables:
-            t.round(4).to_excel(book, sheet_name=name[:31], index=False)
+    style = "body{font-family:sans-serif;max-width:70em;margin:2em auto}table{border-collapse:collapse}td,th{padding:.2em .6em;border-bottom:1px solid #ccc;text-align:left}svg{max-width:100%}"
+    path.write_text(f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style></head><body><h1>{html.escape(title)}</h1>{''.join(body)}</body></html>")
     return str(path)
 
 

@@ -75,6 +75,24 @@ def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
 TARGET_WEIGHTS = {"association": 0.3, "degree": 0.2, "betweenness": 0.2, "prevalence": 0.2, "mobility": 0.1}
 
 
+def named_associations(df: DataFrame) -> DataFrame:
+    """item1, item2, phi, p of a table of associations in any of its usual shapes.
+
+    The names are in ``gene`` (a row belongs to it alone), in ``feature1`` and ``feature2``,
+    in ``item1`` and ``item2``, or else in the first column; case doesn't matter.  phi and p
+    are 0 and 1 where the table has none.
+    """
+    by = {c.lower(): c for c in df.columns}
+    pick = lambda *names: next((F.col(f"`{by[n]}`") for n in names if n in by), None)
+    one = pick("gene")
+    first, second = (one, one) if one is not None else (pick("feature1", "item1"), pick("feature2", "item2"))
+    if first is None:
+        first = F.col(f"`{df.columns[0]}`")
+    phi, p = pick("phi", "association", "mdr_association"), pick("p", "p_value", "raw_p", "adj_p")
+    return df.select(first.cast("string").alias("item1"), (first if second is None else second).cast("string").alias("item2"),
+                     F.coalesce(phi.cast("double"), F.lit(0.0)).alias("phi") if phi is not None else F.lit(0.0).alias("phi"), F.coalesce(p.cast("double"), F.lit(1.0)).alias("p") if p is not None else F.lit(1.0).alias("p"))
+
+
 def intervention_targets(edges: DataFrame, paths: DataFrame, communities: DataFrame, associations: DataFrame, modules: DataFrame, prevalence: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """Nodes by priority, a weighted sum of association, degree, betweenness, prevalence and mobility.
 
@@ -82,6 +100,7 @@ def intervention_targets(edges: DataFrame, paths: DataFrame, communities: DataFr
     degree / (nodes - 1); mobility: 1 in a module, .5 in a community of 3 or more, else 0.
     """
     w = TARGET_WEIGHTS | (weights or {})
+    associations = named_associations(associations)
     node = graph.degree_centrality(edges).join(graph.betweenness(paths), "id")
     both = associations.select(F.col("item1").alias("id"), "phi", "p").union(associations.select(F.col("item2").alias("id"), "phi", "p"))
     best = both.groupBy("id").agg(F.max_by(F.struct("phi", "p"), F.struct(F.abs("phi"), -F.col("p"))).alias("b")).select("id", F.abs("b.phi").alias("association"), F.col("b.p").alias("p_value"))

@@ -72,6 +72,32 @@ def adversarial(spark: SparkSession, n_rows: int = 200) -> DataFrame:
         half.alias("Perfect_Pos_A"), half.alias("Perfect_Pos_B"), half.alias("Perfect_Neg_A"), (1 - half).alias("Perfect_Neg_B"), (i % 2).cast("int").alias("Alternating"))
 
 
+def clean_set(spark: SparkSession, n_rows: int = 200, n_features: int = 20, seed: int = 42) -> DataFrame:
+    """Wide table of independent features, a perfectly correlated pair and a moderately correlated column."""
+    names = [f"Feature_{i:02d}" for i in range(n_features)]
+    wide = spark.range(n_rows).select(F.format_string("Strain_%04d", F.col("id")).alias("row"))
+    wide = wide.withColumns({c: bernoulli(c, p, seed) for c, p in zip(names, beta_prevalences(n_features, 0.4, 0.2, seed))})
+    wide = wide.withColumns({"Perfect_Corr_A": bernoulli("Perfect_Corr", 0.5, seed), "Mod_Corr_A": correlated(F.col(names[0]), "Mod_Corr_A", 0.4, 0.5, seed)})
+    return wide.withColumn("Perfect_Corr_B", F.col("Perfect_Corr_A")).withColumnRenamed("row", "Strain_ID")
+
+
+def noisy_set(clean: DataFrame, rate: float = 0.1, seed: int = 42, id_col: str = "Strain_ID") -> DataFrame:
+    """The same table with each value of each column flipped at the rate."""
+    rows = clean.withColumnRenamed(id_col, "row")
+    return rows.select(F.col("row").alias(id_col), *[flipped(F.col(f"`{c}`"), rate, c, seed).alias(c) for c in clean.columns if c != id_col])
+
+
+def random_tree(names: list[str], seed: int = 42) -> str:
+    """A random binary tree of the names in Newick form, with branch lengths; leaves are few, so it is made at once."""
+    r = np.random.default_rng(seed)
+    parts = [f"{n}:{r.exponential(0.1):.4f}" for n in names]
+    while len(parts) > 1:
+        a, b = sorted(r.choice(len(parts), 2, replace=False).tolist())
+        joined = f"({parts[a]},{parts[b]})"
+        parts = [p for i, p in enumerate(parts) if i not in (a, b)] + [f"{joined}:{r.exponential(0.1):.4f}" if len(parts) > 2 else joined]
+    return (parts[0] if parts else "") + ";"
+
+
 def clustered_matrix(spark: SparkSession, n_rows: int = 200, bonus: float = 0.3, noise: float = 0.05, seed: int = 42) -> tuple[BinaryMatrix, dict]:
     """Two clusters of isolates with drug rates of their own; a gene is likelier by ``bonus`` where its drug is 1.
 

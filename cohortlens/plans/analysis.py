@@ -11,10 +11,13 @@ import logging
 from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Settings
-from ..operators import advanced, bootstrap, graph, mining, pairs, report, resistance, scores, validation
+from ..operators import advanced, bootstrap, charts, graph, mining, pairs, report, resistance, scores, validation
+from ..operators.figures import bars_svg, histogram_svg, network_svg, save
+from ..operators.workbook import report_workbook
 from ..sources.matrix import BinaryMatrix, discover, from_wide, join_files, read_delimited
 from ..sources.shared import settled
 
@@ -28,15 +31,22 @@ class Result:
     note: str
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        raise FileNotFoundError(f"no such folder: {folder}")
+    return [f.getPath().getName() for f in store.listStatus(at)]
+
+
 def load(spark: SparkSession, settings: Settings, files: list[str] | None = None) -> BinaryMatrix:
     """The preferred file of the folder, or the named files joined by their id."""
-    folder = Path(settings.data_dir).resolve()
-    if not folder.is_dir():
-        raise FileNotFoundError(f"no such folder: {folder}")
-    names = files or [discover([p.name for p in folder.iterdir()])]
+    base = settings.data_dir if "://" in settings.data_dir else f"file://{Path(settings.data_dir).resolve()}"
+    names = files or [discover(listed(spark, base))]
     if names == [None]:
-        raise FileNotFoundError(f"no CSV files in {folder}")
-    tables = [read_delimited(spark, f"file://{folder / n}") for n in names]
+        raise FileNotFoundError(f"no CSV files in {base}")
+    tables = [read_delimited(spark, f"{base.rstrip('/')}/{n}") for n in names]
     wide = tables[0]
     for t in tables[1:]:
         wide = join_files(wide, t)
@@ -81,10 +91,12 @@ def results(m: BinaryMatrix, c: Settings) -> list[Result]:
         tied = settled(tied.select(F.col("item2").alias("item1"), "item2", F.bround("phi", 3).alias("phi"), F.bround("adj_p", 3).alias("p")))
         modules = scores.coselection_modules(tests, paths, groups)
         intervals = bootstrap.binomial_intervals(pairs.prevalence(mixed), c.n_iterations, c.confidence, c.seed).select("feature", F.col("lower").alias("lo"), F.col("upper").alias("hi"))
+        risk = settled(graph.row_risk(m, graph.node_scores(edges), intervals))
         out += [
             Result("communities", groups.orderBy("community", "id"), "Communities of the network"),
             Result("network_summary", graph.network_summary(edges, m), "Size and density of the network"),
-            Result("risk_top", graph.row_risk(m, graph.node_scores(edges), intervals).orderBy(F.desc("risk"), "row").limit(20), "Isolates at the highest risk"),
+            Result("risk_top", risk.orderBy(F.desc("risk"), "row").limit(20), "Isolates at the highest risk"),
+            Result("risk_bins", charts.histogram(risk, "risk").orderBy("bin"), "Isolates by risk"),
             Result("coselection_modules", modules.withColumn("genes", F.array_join("genes", ", ")), "Modules of co-selected genes"),
             Result("coselection_ranking", scores.rank_by_potential(tests, paths, groups), "Genes by co-selection potential"),
             Result("targets", scores.intervention_targets(edges, paths, groups, tied, modules, pairs.prevalence(m)).limit(20), "Targets by priority"),
@@ -92,6 +104,30 @@ def results(m: BinaryMatrix, c: Settings) -> list[Result]:
     return out
 
 
+def charts_of(tables: list[tuple[str, str, pd.DataFrame]]) -> dict[str, tuple[str, str]]:
+    """Charts of the tables that are there: name -> (svg, what it shows)."""
+    by = {name: t for name, _, t in tables if len(t)}
+    out = {}
+    for name, what in (("class_ci_all", "Share of isolates that resist each class, in percent"), ("gene_ci_all", "Share of isolates that carry each gene, in percent")):
+        if name in by:
+            t = by[name].head(40)
+            out[name] = (bars_svg(t["feature"].tolist(), t["mean"].tolist(), what, t["lower"].tolist(), t["upper"].tolist()), what)
+    if "network" in by:
+        e = by["network"]
+        kinds = {"gene-gene": ("gene", "gene"), "pheno-pheno": ("phenotype", "phenotype")}
+        roles: dict[str, str] = {}
+        for r in e.itertuples(index=False):
+            for x, role in zip((r.src, r.dst), kinds.get(r.edge_type, ("phenotype", "gene"))):
+                roles.setdefault(x, role)
+        out["network"] = (network_svg(e, roles, "Significant pairs"), "Significant pairs of features; dashed where they avoid each other")
+    if "risk_bins" in by:
+        out["risk"] = (histogram_svg(by["risk_bins"], "Isolates by risk"), "Isolates by risk")
+    if "targets" in by:
+        t = by["targets"]
+        out["targets"] = (bars_svg(t["gene"].tolist(), t["priority"].tolist(), "Targets by priority"), "Targets by priority")
+    return out
+
+
 def analyse(spark: SparkSession, settings: Settings, files: list[str] | None = None) -> dict:
     """Run everything and write CSV, JSON and HTML; a stage that fails is logged and left out."""
     out = Path(settings.output_dir).resolve()
@@ -104,7 +140,10 @@ def analyse(spark: SparkSession, settings: Settings, files: list[str] | None = N
             log.exception("%s failed", r.name)
             failed[r.name] = str(e).splitlines()[0]
     csv = report.write_csv(tables, out)
-    page = report.write_html(tables, out, "Multiresistance analysis")
-    book = report.write_workbook(tables, out)
+    figures = charts_of(tables)
+    page = report.write_html(tables, out, "Multiresistance analysis", figures)
+    about = {"Analysis": "Multiresistance analysis", **{k: v for k, v in settings.__dict__.items() if k != "classes"}}
+    index = save(figures, out)
+    book = report_workbook(out / "report.xlsx", tables, about, report.METHODS, index)
     (out / "summary.json").write_text(json.dumps({"settings": {k: v for k, v in settings.__dict__.items()}, "rows": {n: len(t) for n, _, t in tables}, "failed": failed}, indent=1))
-    return {"status": "success" if not failed else "partial", "output_dir": str(out), "html_reports": [page], "excel_reports": [book] if book else [], "csv_files": csv, "failed": failed, "total_files": len(csv) + 2 + bool(book)}
+    return {"status": "success" if not failed else "partial", "output_dir": str(out), "html_reports": [page], "excel_reports": [book], "csv_files": csv, "charts": [f for f, _ in index], "failed": failed, "total_files": len(csv) + len(index) + 3}
