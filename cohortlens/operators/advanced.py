@@ -37,9 +37,12 @@ def rules_with_intervals(m: BinaryMatrix, min_support: float = 0.05, min_confide
     names = rules.select(F.explode(F.array("antecedents", "consequents", F.array_sort(F.array_union("antecedents", "consequents")))).alias("items")).distinct()
     listed = sorted(tuple(r["items"]) for r in names.collect())  # bounded by the rules
     known = m.ones.sparkSession.createDataFrame([(i, list(x)) for i, x in enumerate(listed)], "key long, items array<string>")
-    wanted = known.agg(F.collect_list(F.struct("key", "items")).alias("sets"))
-    has = m.rows.join(m.ones.groupBy("row").agg(F.collect_set("feature").alias("has")), "row", "left")
-    held = F.transform(F.filter("sets", lambda s: F.size(F.array_except(s["items"], F.coalesce("has", F.array().cast("array<string>")))) == 0), lambda s: s["key"])
+    # Sets by their first item, so that a row looks at those only that begin with one of its features.
+    first = known.groupBy(F.col("items")[0].alias("first")).agg(F.collect_list(F.struct("key", "items")).alias("sets"))
+    wanted = first.agg(F.map_from_entries(F.collect_list(F.struct("first", "sets"))).alias("by"))
+    has = m.rows.join(m.ones.groupBy("row").agg(F.collect_set("feature").alias("has")), "row", "left").withColumn("has", F.coalesce("has", F.array().cast("array<string>")))
+    near = F.flatten(F.filter(F.transform("has", lambda f: F.try_element_at("by", f)), lambda x: x.isNotNull()))
+    held = F.transform(F.filter(near, lambda s: F.size(F.array_except(s["items"], F.col("has"))) == 0), lambda s: s["key"])
     n = bootstrap.weight_sums(has.crossJoin(F.broadcast(wanted)).select("row", F.concat(F.array(F.lit(bootstrap.ALL).cast("long")), held).alias("keys")), replicates, seed)
     counts = n.where("n > 0").join(F.broadcast(known), "key").select("items", "replicate", "n")
     total = n.where(F.col("key") == bootstrap.ALL).select("replicate", F.col("n").alias("total"))

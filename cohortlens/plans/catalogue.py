@@ -533,9 +533,9 @@ def _(s, d):
     return graph.node_scores(_edges(star_matrix(s, d))).select("id", *r6("degree_centrality", "betweenness", "eigenvector", "node_score"))
 
 
-@query("g9_isolated_nodes", sql("SELECT f AS id FROM feats WHERE f NOT IN (SELECT id FROM vs)", o.NETWORK))
+@query("g9_isolated_nodes", sql("SELECT f AS id FROM pfeats WHERE f NOT IN (SELECT item1 FROM za WHERE adj_p <= 0.05 UNION SELECT item2 FROM za WHERE adj_p <= 0.05)", o.pairs("z", "pones", "rws", "pfeats")))
 def _(s, d):
-    m = star_matrix(s, d)
+    m = star_matrix(s, d).role("phenotype")
     return m.features.select(F.col("feature").alias("id")).join(graph.nodes(_edges(m)), "id", "left_anti")
 
 
