@@ -27,6 +27,20 @@ def _count(pattern: str) -> str:
     return f"length(regexp_replace(coalesce(text, ''), {_quote(pattern)}, '', 'g'))"
 
 
+#: Measurements and failure bits of every document, up to the relation f.
+_LEDGER = f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM w WHERE len(w) >= 8),
+again AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n, length(array_to_string(w, '')) AS chars, length(text) - {_count('[#*$%&|<>]')} AS symbols, len(lines) - len(list_distinct(lines)) AS dup, coalesce(cover.n, 0) AS repeated,
+      length(text) - {_count('!')} AS shouts, length(text) - {_count('[A-Za-z]|[^' + chr(92) + 'x{0}-' + chr(92) + 'x{BF}]')} AS letters, length(text) - {_count('[A-Z]')} AS capitals,
+      len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS near, len(list_distinct(w)) AS distinct_, len(lines) AS lines FROM w LEFT JOIN cover USING (doc_id)),
+f AS (SELECT *, (n < 20)::BIGINT + 2 * (100 * repeated > 30 * n)::BIGINT + 4 * (100 * symbols > 25 * n)::BIGINT + 8 * (100 * shouts > 30 * n)::BIGINT + 16 * (n >= 20 AND 100 * capitals > 50 * letters)::BIGINT
+      + 32 * (100 * near > 20 * n)::BIGINT + 64 * (n >= 20 AND 1000 * distinct_ < 250 * least(n, 400))::BIGINT + 128 * (lines >= 4 AND 100 * dup > 50 * lines)::BIGINT
+      + 256 * (n >= 20 AND (100 * chars < 180 * n OR 100 * chars > 2500 * n))::BIGINT + 512 * (n >= 20 AND 100 * letters < 40 * chars)::BIGINT AS failed FROM m)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, list_transform({_WORDS}, lambda x: translate(x, '{_UPPER}', '{_LOWER}')) AS w FROM documents),
@@ -38,18 +52,10 @@ links AS (SELECT x, y FROM j JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id =
 bi AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, bi.y FROM reach JOIN bi ON bi.x = reach.r)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, r.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)""",
-    "op4_quality_rules": f"""
-WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
-win AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM w WHERE len(w) >= 8),
-again AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
-cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY doc_id),
-m AS (SELECT doc_id, len(w) AS n, length(array_to_string(w, '')) AS chars, length(text) - {_count('[#*$%&|<>]')} AS symbols, len(lines) - len(list_distinct(lines)) AS dup, coalesce(cover.n, 0) AS repeated,
-      length(text) - {_count('!')} AS shouts, length(text) - {_count('[A-Za-z]|[^' + chr(92) + 'x{0}-' + chr(92) + 'x{BF}]')} AS letters, length(text) - {_count('[A-Z]')} AS capitals,
-      len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS near, len(list_distinct(w)) AS distinct_, len(lines) AS lines FROM w LEFT JOIN cover USING (doc_id)),
-f AS (SELECT *, (n < 20)::BIGINT + 2 * (100 * repeated > 30 * n)::BIGINT + 4 * (100 * symbols > 25 * n)::BIGINT + 8 * (100 * shouts > 30 * n)::BIGINT + 16 * (n >= 20 AND 100 * capitals > 50 * letters)::BIGINT
-      + 32 * (100 * near > 20 * n)::BIGINT + 64 * (n >= 20 AND 1000 * distinct_ < 250 * least(n, 400))::BIGINT + 128 * (lines >= 4 AND 100 * dup > 50 * lines)::BIGINT
-      + 256 * (n >= 20 AND (100 * chars < 180 * n OR 100 * chars > 2500 * n))::BIGINT + 512 * (n >= 20 AND 100 * letters < 40 * chars)::BIGINT AS failed FROM m)
-SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, repeated::BIGINT AS n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f""",
+    "op4_quality_rules": _LEDGER + """SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, repeated::BIGINT AS n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f""",
+    "quality_ablations": _LEDGER + """SELECT rule, count(*) AS rows, sum((failed & bit <> 0)::INT)::BIGINT AS failing, sum((failed = bit)::INT)::BIGINT AS only_failing, sum((failed = 0 OR failed = bit)::INT)::BIGINT AS kept_without
+FROM f, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('exclamation', 8), ('capitals', 16), ('same_neighbours', 32), ('few_distinct', 64), ('repeated_lines', 128), ('word_length', 256), ('letters', 512)) AS v(rule, bit)
+GROUP BY rule""",
     "op8_warc_derivatives": f"""
 WITH r AS (
   SELECT page_id, {_urn("'response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')")} AS refers_to, coalesce(url, '') AS target_uri,

@@ -8,7 +8,7 @@ from .bestfit_packing import pack_documents
 from .byte_bpe import encode_documents
 from .html_extract import extract_main_text
 from .jaccard_join import ngram_jaccard_join
-from .quality_rules import apply_policy, rule_ledger
+from .quality_rules import ablations, apply_policy, rule_ledger
 from .scratch import Scratch
 from .secrets import scan_secrets, train as train_network
 from .shard_sort import histogram_sort_shards
@@ -44,6 +44,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, alone or with others: from operator 4's ledger only."""
+    return ablations(rule_ledger(_read(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op2_bestfit_packing": op2_bestfit_packing,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "quality_ablations": quality_ablations,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
