@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
+from pathlib import Path
+
+
+def prepare_environment(data_dir: str = ".", output_dir: str = "output", verbose: bool = False) -> tuple[str, str]:
+    """Absolute places of input and output (URIs stay as they are); the output folder is made, the log is set up."""
+    logging.basicConfig(level=logging.INFO if verbose else logging.WARNING)
+    place = lambda p: p if "://" in p else str(Path(p).expanduser().resolve())
+    if "://" not in output_dir:
+        Path(place(output_dir)).mkdir(parents=True, exist_ok=True)
+    return place(data_dir), place(output_dir)
 
 
 @dataclass(frozen=True)

@@ -21,14 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .scratch import below, partitions, prepare
+from .scratch import below, partitions, prepare, tidy
 from .shingles import U64, mix, text_bytes, windows, word_hashes, word_spans
 
 BITS = 128
 #: Words of a term.
 TERM = 3
-#: Bits that texts may differ in to be near: on the test documents, all pairs with 3/4 or more of their terms in common do.
-RADIUS = 28
+#: Bits that texts may differ in to be near: the widest radius at which one of 8 blocks differs in 3 bits at most, so wider
+#: costs more lookups and narrower loses pairs with 3/4 or more of their terms in common (see README).
+RADIUS = 31
 #: Block tables of 16 bits; the highest bits of a block that choose its task; pairs compared at once.
 BLOCKS, HIGH, AT_ONCE = 8, 4, 1 << 20
 #: Stands for a null id: it comes before all others.
@@ -134,7 +135,7 @@ def simhash_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     guests = heads.select("id", "text", F.coalesce("before", "last").alias("part"), F.lit(True).alias("guest"))
     both = rows.withColumn("guest", F.lit(False)).unionByName(guests)
     dealt = both.repartitionByRange(count, "part").sortWithinPartitions("part", "guest", "id", "text").select("id", "text", "guest")
-    out = dealt.mapInArrow(_pairs, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = dealt.mapInArrow(tidy(_pairs), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 

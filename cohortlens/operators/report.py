@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import time
 from pathlib import Path
 
 import pandas as pd
@@ -29,14 +30,38 @@ def table_html(t: pd.DataFrame, caption: str, level: str = "h2") -> str:
     return head + t.round(3).to_html(index=False, border=0, escape=True)
 
 
+#: Files that have a name of their own.
+FILES = {"targets": "intervention_targets_top20"}
+
+
 def write_csv(tables: list[tuple[str, str, pd.DataFrame]], out: Path) -> list[str]:
     paths = []
     for name, _, t in tables:
-        t.to_csv(out / f"{name}.csv", index=False)
-        paths.append(str(out / f"{name}.csv"))
+        path = out / f"{FILES.get(name, name)}.csv"
+        t.to_csv(path, index=False)
+        paths.append(str(path))
     return paths
 
 
+def save_page(text: str, out: Path, prefix: str = "analysis", now: float | None = None) -> str:
+    """A page under a name with the time in seconds, so that runs don't overwrite each other."""
+    out.mkdir(parents=True, exist_ok=True)
+    path = out / f"{prefix}_{int(time.time() if now is None else now)}.html"
+    path.write_text(text)
+    return str(path)
+
+
+def light_html(values: dict[str, object], title: str) -> str:
+    """A short page of names and values."""
+    rows = "".join(f"<tr><th>{html.escape(str(k))}</th><td>{html.escape(str(v))}</td></tr>" for k, v in values.items())
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table>{rows}</table></body></html>"
+
+
+def collect_results(out: Path) -> dict[str, list[str]]:
+    """What an analysis left in its folder, by kind, in order of the names."""
+    return {kind: sorted(str(p) for p in out.glob(f"*.{kind}")) for kind in ("html", "xlsx", "csv", "json", "svg")}
+
+
 #: The report's sections in their order: title, what it shows, tables (by name, with a title where there are several), chart.
 SECTIONS: list[tuple[str, str, list[tuple[str, str]], str | None]] = [
     ("Resistance to classes, all isolates", "Share of isolates that resist each class of drugs, with bootstrap limits.", [("class_ci_all", "")], "class_ci_all"),

@@ -131,15 +131,19 @@ def cooccurring_matrix(spark: SparkSession, n_rows: int = 200, n_features: int =
 
 
 def save_synthetic(m: BinaryMatrix, truth: dict, path: str) -> None:
-    """Phenotypes, genes and the whole as CSV folders, and the truth as JSON, under ``path``."""
+    """Phenotypes, genes, virulence factors and the whole as CSV folders, the truth as JSON and a note as Markdown, under ``path``."""
+    import json
+
     from ..sources.matrix import to_wide
 
     spark = m.ones.sparkSession
     names = [(r["feature"], r["role"]) for r in m.features.orderBy("ord").collect()]
-    for part, keep in (("phenotypes", "phenotype"), ("genes", "gene"), ("merged", None)):
-        cols = [n for n, role in names if keep in (None, role)]
+    kind = lambda n, role: "virulence" if n.startswith("Virulence_") else "phenotypes" if role == "phenotype" else "genes"
+    parts = {p: [n for n, role in names if p in ("merged", kind(n, role))] for p in ("phenotypes", "genes", "virulence", "merged")}
+    for part, cols in parts.items():
         to_wide(m, cols).withColumnRenamed("row", "Strain_ID").write.mode("overwrite").option("header", True).csv(f"{path}/{part}")
-    import json
-
     text = json.dumps({str(k): (v if not isinstance(v, dict) else {str(a): b for a, b in v.items()}) for k, v in truth.items()})
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/truth")
+    rows = m.rows.count()
+    note = ["# Synthetic isolates", "", f"{rows} isolates.", ""] + [f"- `{p}`: {len(cols)} columns" for p, cols in parts.items()] + ["- `truth`: the rates and ties that the columns were drawn with", ""]
+    for name, lines in (("truth", [text]), ("README.md", note)):
+        spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).orderBy("i").select("value").write.mode("overwrite").text(f"{path}/{name}")

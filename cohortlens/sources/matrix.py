@@ -8,10 +8,13 @@ their own, as a row of zeros has no ones.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+log = logging.getLogger(__name__)
+
 # Drugs of each antibiotic class, in order.
 DRUG_CLASSES: dict[str, list[str]] = {
     "Tetracyclines": ["Oxytetracycline", "Doxycycline"],
@@ -82,6 +85,15 @@ def read_delimited(spark: SparkSession, path: str, id_col: str = "Strain_ID") ->
     return spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).csv(path)
 
 
+def try_read_delimited(spark: SparkSession, path: str, id_col: str = "Strain_ID") -> DataFrame | None:
+    """``read_delimited``, or None, with the reason in the log, where the file can't be read."""
+    try:
+        return read_delimited(spark, path, id_col)
+    except Exception as e:  # noqa: BLE001 - whatever the reader says
+        log.error("%s can't be read: %s", path, str(e).splitlines()[0])
+        return None
+
+
 def feature_roles(columns: list[str], classes: dict[str, list[str]] | None = None, skipped: tuple[str, ...] = SKIPPED) -> list[tuple[str, str, int, str | None]]:
     """(feature, role, ord, class) of the columns that aren't skipped: drugs of a class are phenotypes, the rest genes."""
     of = {d: c for c, drugs in (classes or DRUG_CLASSES).items() for d in drugs}

@@ -87,3 +87,25 @@ def test_generators_and_hook(spark):
     m = BinaryMatrix(spark.createDataFrame([("1", "A"), ("2", "A"), ("3", "B")], "row string, feature string"), spark.createDataFrame([("1",), ("2",), ("3",)], "row string"),
                      spark.createDataFrame([("A", "gene", 0, None), ("B", "gene", 1, None)], FEATURES))
     assert {r.feature: r.stability for r in advanced.pattern_stability(m, replicates=20, found=lambda n, total: n >= 0).collect()}["A"] > 60
+
+
+def test_pages_and_environment(spark, tmp_path):
+    from cohortlens.config import prepare_environment
+    from cohortlens.sources.matrix import try_read_delimited
+
+    assert prepare_environment(str(tmp_path), str(tmp_path / "a/b"))[1] == str(tmp_path / "a/b") and (tmp_path / "a/b").is_dir()
+    assert prepare_environment("s3://x/y", str(tmp_path / "o"))[0] == "s3://x/y"
+    path = report.save_page(report.light_html({"isolates": 3, "<x>": "&"}, "T"), tmp_path / "a/b", now=17.9)
+    assert path.endswith("analysis_17.html") and "&lt;x&gt;" in open(path).read()
+    report.write_csv([("targets", "", pd.DataFrame({"a": [1]}))], tmp_path / "a/b")
+    found = report.collect_results(tmp_path / "a/b")
+    assert found["html"] == [path] and found["csv"][0].endswith("intervention_targets_top20.csv") and found["xlsx"] == []
+    assert try_read_delimited(spark, f"file://{tmp_path}/none.csv") is None
+
+
+def test_saved_generator(spark, tmp_path):
+    m, truth = synth.synthetic_matrix(spark, 20, 4, 3)
+    synth.save_synthetic(m, truth, f"file://{tmp_path}/s")
+    cols = {p: len(spark.read.option("header", True).csv(f"file://{tmp_path}/s/{p}").columns) - 1 for p in ("phenotypes", "genes", "virulence", "merged")}
+    assert cols == {"phenotypes": 13, "genes": 4, "virulence": 3, "merged": 20}
+    assert "20 isolates" in "".join(r.value for r in spark.read.text(f"file://{tmp_path}/s/README.md").collect()) and spark.read.text(f"file://{tmp_path}/s/truth").count() == 1
