@@ -119,6 +119,8 @@ def from_wide(df: DataFrame, id_col: str = "Strain_ID", classes: dict[str, list[
 
 def to_wide(m: BinaryMatrix, names: list[str]) -> DataFrame:
     """``row`` and an int column for each name; rows without ones are kept."""
+    if not names:
+        return m.rows
     wide = m.ones.groupBy("row").agg(*[F.max(F.when(F.col("feature") == n, 1).otherwise(0)).alias(n) for n in names])
     return m.rows.join(wide, "row", "left").na.fill(0, names)
 
