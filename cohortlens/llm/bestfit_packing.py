@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .scratch import Scratch, prepare
+from .scratch import Scratch, prepare, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -241,13 +241,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     kind = docs.schema[id_col].dataType.simpleString()
     # Written once: a piece's partition and rank must not change if a task runs again.
     pieces = scratch.table(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _cut(tokenizer, capacity, end_id), f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, rank long"), "pieces")
+        tidy(_cut(tokenizer, capacity, end_id)), f"id {kind}, piece int, start long, length long, ids_crc32 long, part long, rank long"), "pieces")
     counts = scratch.table(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = counts.select("part", "length", before.alias("base"))
     # the counts grow with the partitions: never broadcast
     ranked = pieces.join(base.hint("merge"), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("rank"))
-    out = ranked.mapInArrow(_places(plan_intervals(plan_packing(histogram, capacity))),
+    out = ranked.mapInArrow(tidy(_places(plan_intervals(plan_packing(histogram, capacity)))),
                             f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .scratch import Scratch, prepare
+from .scratch import Scratch, prepare, tidy
 
 #: Words in the dictionary, and the longest, in bytes.
 DICTIONARY = 1 << 16
@@ -290,7 +290,7 @@ def frequent_words(docs: DataFrame, scratch: Scratch, text_col: str = "text", mo
     A histogram of the counts' magnitudes gives that count, so nothing is sorted and no
     task gathers candidates.
     """
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count, "word string, times long")
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_count), "word string, times long")
     total = counted.groupBy("word").agg(F.sum("times").alias("times")).where((F.col("times") > 1) & (F.octet_length("word") <= LONGEST) & (F.length("word") > 0))
     total = scratch.table(total, "counts")
     level = F.floor(F.log2("times") * 64).cast("int")
@@ -342,7 +342,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()), lists], ["id", "n_tokens", "ids_sha256", "ids"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, ids array<int>")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, n_tokens long, ids_sha256 string, ids array<int>")
     out = out.select("id", "n_tokens", "ids_sha256", F.sha2(decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"), *["ids"] * ids)
     return out.withColumnRenamed("id", id_col)
 

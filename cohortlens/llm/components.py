@@ -31,6 +31,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     now = scratch.table(edges.where("a is not null and b is not null and a <> b")
                         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     sign, first = None, now
     while True:
         after = scratch.table(_star(_star(now, True), False), "star")

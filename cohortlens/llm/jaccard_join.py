@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import connected_components
-from .scratch import Scratch, partitions, prepare
+from .scratch import Scratch, partitions, prepare, tidy
 from .shingles import shingle_sets
 
 _FLUSH = 1 << 20
@@ -166,6 +166,7 @@ def _pack_tokens(text: str, k: int, buckets: int, frequent: Broadcast):
         for b, own, many, at in _deal(bucket, owner):
             extra = np.full(len(at), _OFTEN, np.uint32).tobytes() if b >= buckets else b""
             rows.append((b, digest[own].tobytes(), size[own].astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), token[at].tobytes(), extra))
+        pa.default_memory_pool().release_unused()
         return _table(rows).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +192,7 @@ def class_bucket(digest: np.ndarray, buckets: int) -> np.ndarray:
 
 def _unpack(group: pa.Table, extra: bool = False):
     """(token, class, size of the class, extra) of every entry of a bucket's rows, and the classes' digests by their numbers."""
+    pa.default_memory_pool().release_unused()  # of the bucket before
     join = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
     many = join("counts", np.uint32)
     number, known = number_digests(b"".join(group.column("classes").to_pylist()))
@@ -280,14 +282,14 @@ def _overlaps(a: str, b: str, num: int, den: int):
     return run
 
 
-_CANDIDATES = "a binary, b binary"
+_CANDIDATES = "a long, b long"
 
 
 def _verified(pairs: DataFrame, alive: DataFrame, num: int, den: int) -> DataFrame:
-    left = alive.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = alive.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    left = alive.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    right = alive.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     full = pairs.join(left, "a").join(right, "b").where(f"least(na, nb) * {den}L >= greatest(na, nb) * {num}L")
-    return full.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_overlaps("a", "b", num, den), _CANDIDATES)
+    return full.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(tidy(_overlaps("a", "b", num, den)), _CANDIDATES)
 
 
 class SignatureTree:
@@ -382,9 +384,9 @@ def _tree_pairs(num: int, den: int, best: int | None):
 
     def run(group: pa.Table) -> pa.Table:
         token = group.column("token").to_numpy()
-        digest = group.column("digest").to_pylist()
+        cls = group.column("cls").to_numpy()
         n = group.column("n").to_numpy().astype(np.int64)
-        label = np.unique(np.array(group.column("root").to_pylist(), object), return_inverse=True)[1] if len(group) else np.zeros(0, np.int64)
+        label = group.column("root").to_numpy()
         shared = group.column("shared").to_numpy().astype(np.int64)
         fine = group.column("fine").to_numpy(zero_copy_only=False)
         raw = group.column("bits")
@@ -411,7 +413,7 @@ def _tree_pairs(num: int, den: int, best: int | None):
                 bits = np.stack([maps[i] for i in own.tolist()] + [fold(maps[i]) for i in above.tolist()])
                 spare = shared[at] - np.bitwise_count(bits).sum(1, dtype=np.int64)
                 for i, j, more in SignatureTree(n[at], bits, spare, label[at]).pairs(num, den).tolist():
-                    pair = tuple(sorted((digest[at[i]], digest[at[j]])))
+                    pair = tuple(sorted((int(cls[at[i]]), int(cls[at[j]]))))
                     if best is None:
                         found.add(pair)
                         continue
@@ -421,7 +423,7 @@ def _tree_pairs(num: int, den: int, best: int | None):
                         if len(top) > best:
                             heapq.heappop(top)
         pairs = sorted(found.union(pair for top in likeliest.values() for _, pair in top))
-        return pa.table([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
+        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
     return run
 
@@ -432,8 +434,8 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("tokens")]
         coarse = [bitmap(t, width_class(k)).tobytes() for t, k in zip(sets, n)]
         fine = [t.astype(np.uint16).tobytes() for t in sets]
-        cols = [batch.column("digest"), batch.column("n"), pa.array([len(t) for t in sets], pa.int32()), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["digest", "n", "shared", "coarse", "places"])
+        cols = [batch.column("cls"), batch.column("n"), pa.array([len(t) for t in sets], pa.int32()), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["cls", "n", "shared", "coarse", "places"])
 
 
 def set_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -442,7 +444,7 @@ def set_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType
     # A separate row id isn't needed: equal rows have equal classes.
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _class_rows("text", k, to_arrow_type(kind)), f"id {kind.simpleString()}, n long, digest binary, frequent long")
+        tidy(_class_rows("text", k, to_arrow_type(kind))), f"id {kind.simpleString()}, n long, digest binary, frequent long")
 
 
 def _deals() -> Column:
@@ -452,7 +454,7 @@ def _deals() -> Column:
     ones; each part of the first meets each of the second, and those of the second meet
     one another.  So each pair of different components meets, and no deal holds the group.
     """
-    part = lambda many: F.pmod(F.xxhash64("digest", F.lit(1)), F.col(many)).cast("int")
+    part = lambda many: F.pmod(F.xxhash64("cls", F.lit(1)), F.col(many)).cast("int")
     upto = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
     across = lambda i, j: F.xxhash64("token", F.lit(0), i, j)
     among = lambda i, j: F.xxhash64("token", F.lit(1), F.least(i, j), F.greatest(i, j))
@@ -462,35 +464,36 @@ def _deals() -> Column:
 
 
 def linked_classes(docs: DataFrame, frequent: np.ndarray, text_col: str, k: int, num: int, den: int, scratch: Scratch, buckets: int | None = None) -> DataFrame:
-    """(node, root): every class that links to another one, and its component."""
+    """(digest, root): every class that links to another one, and a number that its component shares."""
     spark = docs.sparkSession
     prepare(spark)
     buckets = buckets or partitions(spark)
-    packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_pack_tokens("text", k, buckets, spark.sparkContext.broadcast(frequent.tobytes())), _PACKED)
+    packed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_pack_tokens("text", k, buckets, spark.sparkContext.broadcast(frequent.tobytes()))), _PACKED)
     shared = packed.groupBy("bucket").applyInArrow(_shared_tokens(buckets), _PACKED)
-    alive = scratch.table(shared.groupBy("bucket").applyInArrow(_prefixes(num, den), _ALIVE), "alive")
+    # A class has one row here, so from the written table on a number stands for its digest.
+    alive = scratch.table(shared.groupBy("bucket").applyInArrow(_prefixes(num, den), _ALIVE).withColumn("cls", F.monotonically_increasing_id()), "alive")
 
     # The salt divides a frequent token's entries among all tasks; a token has one row at most for each salt where it is looked up.
-    salt = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("salt")
-    entries = alive.select(F.explode("prefix").alias("token"), "digest").select("token", "digest", salt)
-    parts = entries.groupBy("token", "salt").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+    salt = F.pmod(F.xxhash64("cls"), F.lit(buckets)).cast("int").alias("salt")
+    entries = alive.select(F.explode("prefix").alias("token"), "cls").select("token", "cls", salt)
+    parts = entries.groupBy("token", "salt").agg(F.min("cls").alias("least"), F.max("cls").alias("most"))
     least = parts.groupBy("token").agg(F.min("least").alias("b"), F.max("most").alias("last")).where("b < last").select("token", "b")
-    stars = entries.join(parts.select("token", "salt").join(least, "token"), ["token", "salt"]).where("digest <> b").select(F.col("digest").alias("a"), "b").distinct()
+    stars = entries.join(parts.select("token", "salt").join(least, "token"), ["token", "salt"]).where("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
     links = scratch.table(_verified(stars, alive, num, den), "links")
     roots = scratch.table(connected_components(links, scratch), "roots")
-    marks = alive.select("digest", "n", "tokens").mapInArrow(_bitmaps, "digest binary, n int, shared int, coarse binary, places binary")
+    marks = alive.select("cls", "n", "tokens").mapInArrow(tidy(_bitmaps), "cls long, n int, shared int, coarse binary, places binary")
 
     for best in (LIKELIEST, None):
-        labelled = entries.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("token", "salt", "digest", F.coalesce("root", "digest").alias("root"))
+        labelled = entries.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("token", "salt", "cls", F.coalesce("root", "cls").alias("root"))
         labelled = scratch.table(labelled, "labelled")
         salted = labelled.groupBy("token", "salt", "root").agg(F.count("*").alias("n"))
         by = salted.groupBy("token", "root").agg(F.sum("n").alias("n"))
         mixed = by.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("many"), F.count("*").alias("roots")).where("roots > 1")
         mixed = mixed.select("token", "major", (F.col("many") > LARGE_GROUP).alias("fine"), F.ceil(F.col("most") / GROUP).cast("int").alias("big"), F.ceil((F.col("many") - F.col("most")) / GROUP).cast("int").alias("small"))
         labelled = labelled.join(salted.select("token", "salt").distinct().join(mixed, "token"), ["token", "salt"])
-        dealt = labelled.select("digest", "root", "fine", F.explode(_deals()).alias("token"))
-        rest = dealt.join(marks, "digest").select("token", "digest", "root", "n", "shared", "fine", F.when(F.col("fine"), F.col("places")).otherwise(F.col("coarse")).alias("bits"),
-                                                  F.expr(f"pmod(token, {4 * buckets})").alias("bucket"))
+        dealt = labelled.select("cls", "root", "fine", F.explode(_deals()).alias("token"))
+        rest = dealt.join(marks, "cls").select("token", "cls", "root", "n", "shared", "fine", F.when(F.col("fine"), F.col("places")).otherwise(F.col("coarse")).alias("bits"),
+                                               F.expr(f"pmod(token, {4 * buckets})").alias("bucket"))
         pairs = rest.groupBy("bucket").applyInArrow(_tree_pairs(num, den, best), _CANDIDATES).distinct()
         more = _verified(pairs, alive, num, den)
         lifted = (more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
@@ -501,7 +504,7 @@ def linked_classes(docs: DataFrame, frequent: np.ndarray, text_col: str, k: int,
         composed = roots.join(lift, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         # classes that only this pass linked aren't among the nodes so far
         roots = scratch.table(composed.union(above.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
-    return roots
+    return alive.select(F.col("cls").alias("node"), "digest").join(roots, "node").select("digest", "root")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100,
@@ -522,7 +525,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = scanned.where("frequent is null")
     nodes = linked_classes(docs, frequent_tokens(scanned, scratch, FREQUENT_MOST), text_col, k, num, den, scratch, buckets)
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"))
-    rooted = classes.join(nodes.withColumnRenamed("node", "digest"), "digest", "left")
+    rooted = classes.join(nodes, "digest", "left")
     top = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("top"))
     named = rooted.join(top, "root", "left").select("digest", F.coalesce("top", "least").alias("component_id"))
     full = rows.where("n > 0").join(named, "digest").select("id", "n", "component_id")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import prepare
+from .scratch import prepare, tidy
 from .shingles import slices, text_bytes, windows, word_hashes, word_spans
 
 #: Rules in order of their bits.  The first two are the base rules.
@@ -149,7 +149,7 @@ def rule_ledger(docs: DataFrame, text_col: str = "text", keep: list[str] | None
             cols = [batch.column(i) for i in range(len(names))] + [pa.array(c) for c in m.T] + [pa.array(failures(m))]
             yield pa.RecordBatch.from_arrays(cols, [*names, *fixed])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, ", ".join(kinds))
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("__text")).mapInArrow(tidy(run), ", ".join(kinds))
 
 
 def apply_policy(ledger: DataFrame, version: int = CURRENT) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import Scratch, prepare
+from .scratch import Scratch, prepare, tidy
 
 #: Labelled rows used for training at most, taken by smallest hash of the id.
 TRAIN_ROWS = 20_000
@@ -278,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.withColumn("words", words)
     key = F.array_min(F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))))
     known = scratch.table(known.groupBy(key.alias("key")).agg(F.min_by(F.struct("text", "toxic"), F.struct("id", "text")).alias("r")).select("r.text", "r.toxic"), "sample")
-    counted = known.mapInArrow(_sample_counts, "gram string, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = known.mapInArrow(tidy(_sample_counts), "gram string, toxic long, clean long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     total = known.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     n_toxic, n_clean = total[0], total[1] - total[0]
     if not n_toxic or not n_clean:
@@ -295,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = [own.features(t or "").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column("toxic")], ["x", "toxic"])
 
-    got = known.mapInArrow(features, "x binary, toxic int").collect()
+    got = known.mapInArrow(tidy(features), "x binary, toxic int").collect()
     x = np.stack([np.frombuffer(r["x"]) for r in got])
     y = np.array([r["toxic"] for r in got], float)
     order = np.lexsort((y, *x.T))  # the order of collected rows must not matter
@@ -323,4 +323,4 @@ def toxicity_scores(docs: DataFrame, model: ToxicGrammar, text_col: str = "text"
             cols = [batch.column(i) for i in range(len(names))] + [pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, [*names, "score", "predicted"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, kinds)
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("__text")).mapInArrow(tidy(run), kinds)

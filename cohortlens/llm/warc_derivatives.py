@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .markup import BLOCKS, events
-from .scratch import prepare
+from .scratch import prepare, tidy
 
 CRLF = "\r\n"
 #: Date of records whose source has none.
@@ -71,7 +71,7 @@ def text_column(source: DataFrame, html_col: str = "payload", out: str = "text")
             text = pa.array([None if x is None else plain_text(x) for x in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*names, out])
 
-    return source.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, kinds)
+    return source.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(tidy(run), kinds)
 
 
 def record_id(*parts: Column) -> Column:
@@ -160,7 +160,7 @@ def responses_of(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names)
 
     kept = records.where(F.exists(F.map_entries("headers"), lambda e: (F.lower(e["key"]) == "warc-type") & (e["value"] == "response"))).select("headers", "block")
-    return kept.mapInArrow(run, ", ".join(f"{c} {'long' if c == 'payload_length' else 'string'}" for c in names))
+    return kept.mapInArrow(tidy(run), ", ".join(f"{c} {'long' if c == 'payload_length' else 'string'}" for c in names))
 
 
 def derivatives(source: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def write_warc(records: DataFrame, path: str, per_file: int = 256 << 20) -> None
             close()
             yield pa.RecordBatch.from_arrays([pa.array([k + 1], pa.int64())], ["files"])
 
-    record_text(records).mapInArrow(run, "files long").agg(F.sum("files")).collect()
+    record_text(records).mapInArrow(tidy(run), "files long").agg(F.sum("files")).collect()
 
 
 def inflated(data: bytes) -> Iterator[bytes]:
@@ -318,4 +318,4 @@ def read_warc(spark, path: str) -> DataFrame:
                     yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content")
-    return files.mapInArrow(run, "headers map<string,string>, block binary")
+    return files.mapInArrow(tidy(run), "headers map<string,string>, block binary")

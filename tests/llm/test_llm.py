@@ -376,6 +376,23 @@ def test_policies_and_ablations(spark, docs):
     assert quality_rules.ablations(quality_rules.rule_ledger(empty(spark))).first().rows == 0
 
 
+def test_ablation_query_and_twin(spark, tmp_path):
+    import duckdb
+
+    from cohortlens.llm import oracles
+
+    texts = [t for _, t in corpus()] + ["# * $ % " * 30, "word! " * 5, "a b c d e f g h " * 8, "x\n" * 40, "THE CAPITALS " + "OF MANY WORDS " * 12]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("quality_ablations", "op4_quality_rules"):
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        found = con.execute(oracles.ORACLES[name])
+        names = [c[0] for c in found.description]
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(found.fetchall())
+
+
 # ---- 5 --------------------------------------------------------------------------------------
 
 ODD_TEXTS = ["", "a  b\n\n c", "a\x1cb c\x1d", "x\xa0y  z", "it's we'll 'tis  's", "a" * 300 + " " + "ab" * 200, "é́ ñ 中文字", "12345 6a7 \t\n x ", "\n", "tail ", "a　b  c"]
