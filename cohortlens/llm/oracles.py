@@ -41,6 +41,10 @@ f AS (SELECT *, (n < 20)::BIGINT + 2 * (100 * repeated > 30 * n)::BIGINT + 4 * (
       + 256 * (n >= 20 AND (100 * chars < 180 * n OR 100 * chars > 2500 * n))::BIGINT + 512 * (n >= 20 AND 100 * letters < 40 * chars)::BIGINT AS failed FROM m)
 """
 
+#: CRC-32 of the decimal id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))))"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, list_transform({_WORDS}, lambda x: translate(x, '{_UPPER}', '{_LOWER}')) AS w FROM documents),
@@ -79,4 +83,19 @@ b AS (SELECT page_id, url, list_transform(string_split_regex(replace(a, '<br>',
 c AS (SELECT page_id, url, list_transform(b, lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&#(39|x27);', '''', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')) AS b FROM b),
 d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(x, '[ ' || chr(9) || chr(10) || chr(13) || ']+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d""",
+    # Equal words of a text at each lag, their unbroken stretches, the least lag of each stretch.
+    "op11_periodic_runs": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w, {_CRC} AS h FROM documents),
+p AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 END AS g FROM d),
+v AS (SELECT doc_id, n, CASE WHEN g IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < g % n THEN i ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END]) END AS w FROM p),
+pos AS MATERIALIZED (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS x FROM v),
+eq AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+isl AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM eq) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS MATERIALIZED (SELECT doc_id, s, l, min(q) AS q FROM isl GROUP BY doc_id, s, l),
+r AS (SELECT doc_id, count(*) AS n_runs, arg_max({{s: s, l: l, q: q}}, [l, -s, -q]) AS b, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+c AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM pos ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.l // b.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id)""",
 }

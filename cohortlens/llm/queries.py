@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bestfit_packing import pack_documents
 from .byte_bpe import encode_documents
+from .graph_search import build_index, search_index
 from .html_extract import extract_main_text
 from .jaccard_join import ngram_jaccard_join
 from .quality_rules import ablations, apply_policy, rule_ledger
+from .run_detection import crc_repeated, longest, periodic_runs
 from .scratch import Scratch
 from .secrets import scan_secrets, train as train_network
 from .shard_sort import histogram_sort_shards
@@ -84,6 +86,20 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_read(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(crc_repeated(_read(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = found.withColumn("best", longest(F.col("runs")))
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+                       F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    index, shards = build_index(vectors)
+    return search_index(index, shards, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_bestfit_packing": op2_bestfit_packing,
@@ -96,4 +112,6 @@ QUERIES = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_shard_sort": op9_shard_sort,
     "op10_html_extract": op10_html_extract,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_graph_search": op12_graph_search,
 }
