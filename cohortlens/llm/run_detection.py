@@ -22,9 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import partitions, prepare, tidy
+from .scratch import Scratch, partitions, prepare, tidy
 from .shingles import text_bytes, word_spans
 
 MIN_LENGTH, MIN_EXPONENT = 6, 4
@@ -53,27 +54,54 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int32), first, raw, s, e
 
 
+def _hits(codes: np.ndarray, q: int, min_exponent: int) -> np.ndarray:
+    """Places, multiples of q, from which ``min_exponent`` words q apart are equal."""
+    every = codes[::q]
+    same = every[1:] == every[:-1]
+    row = same[min_exponent - 2 :]
+    for k in range(min_exponent - 2):
+        row = row & same[k : k + len(row)]
+    return np.flatnonzero(row) * q
+
+
+def _stretches(codes: np.ndarray, q: int, need: int) -> list[tuple[int, int]]:
+    """(start, length) of the stretches with period q of which ``need`` words in a row equal the words q later."""
+    equal = np.zeros(len(codes) - q + 2, np.int8)
+    equal[1:-1] = codes[q:] == codes[:-q]
+    edge = np.flatnonzero(np.diff(equal))
+    start, stop = edge[::2], edge[1::2]
+    return [(int(start[i]), int(stop[i] - start[i] + q)) for i in np.flatnonzero(stop - start >= need)]
+
+
 def scan_lags(codes: np.ndarray, low: int, high: int, min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT) -> dict[tuple[int, int], int]:
     """{(start, length): least period} of the runs whose lag is in low..high - 1."""
-    n, found = len(codes), {}
-    for q in range(max(1, low), min(high, n // min_exponent + 1)):
-        need = max(min_length - q, (min_exponent - 1) * q)
-        if need > n - q:
-            continue
-        if q > 1:
-            every = codes[::q]
-            same = every[1:] == every[:-1]
-            row = same[min_exponent - 2 :]
-            for k in range(min_exponent - 2):
-                row = row & same[k : k + len(row)]
-            if not row.any():
-                continue
-        equal = np.zeros(n - q + 2, np.int8)
-        equal[1:-1] = codes[q:] == codes[:-q]
-        edge = np.flatnonzero(np.diff(equal))
-        start, stop = edge[::2], edge[1::2]
-        for i in np.flatnonzero(stop - start >= need).tolist():
-            found.setdefault((int(start[i]), int(stop[i] - start[i] + q)), q)
+    found = {}
+    for q in range(max(1, low), min(high, len(codes) // min_exponent + 1)):
+        if len(_hits(codes, q, min_exponent)):
+            for x in _stretches(codes, q, max(min_length - q, (min_exponent - 1) * q)):
+                found.setdefault(x, q)
+    return found
+
+
+def scan_texts(codes: np.ndarray, first: np.ndarray, min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT) -> list[dict[tuple[int, int], int]]:
+    """The same for all lags of many texts at once: a lag is first compared in all texts that are long enough for it.
+
+    The texts stand in one array, longest first, with codes that no two texts share.
+    """
+    size = np.diff(first)
+    found: list[dict] = [{} for _ in size]
+    order = np.argsort(-size, kind="stable")
+    at = np.concatenate([[0], np.cumsum(size[order])])
+    place = np.repeat(first[:-1][order] - at[:-1], size[order]) + np.arange(at[-1])
+    flat = codes[place] + np.repeat(np.arange(len(order)), size[order]) * (int(codes.max(initial=0)) + 1)
+    reach = size[order] // min_exponent
+    for q in range(1, int(reach.max(initial=0)) + 1):
+        many = int(np.searchsorted(-reach, -q, "right"))
+        hits = _hits(flat[: at[many]], q, min_exponent)
+        if len(hits):
+            for r in np.unique(np.searchsorted(at, hits, "right") - 1).tolist():
+                for x in _stretches(flat[at[r] : at[r + 1]], q, max(min_length - q, (min_exponent - 1) * q)):
+                    found[order[r]].setdefault(x, q)
     return found
 
 
@@ -86,8 +114,7 @@ def kept_words(n: int, runs: list[tuple[int, int, int]]) -> np.ndarray:
     return np.cumsum(change[:-1]) == 0
 
 
-def _collapsed(raw: np.ndarray, s: np.ndarray, e: np.ndarray, keep: np.ndarray) -> str:
-    view = raw.tobytes()
+def _collapsed(view: bytes, s: np.ndarray, e: np.ndarray, keep: np.ndarray) -> str:
     return b" ".join(view[a:b] for a, b in zip(s[keep].tolist(), e[keep].tolist())).decode()
 
 
@@ -101,16 +128,16 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 
 def _finish(texts: pa.Array, runs_of) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """(n_words, runs, collapsed) of texts; ``runs_of(row, codes)`` gives a row's {(start, length): period}."""
+    """(n_words, runs, collapsed) of texts; ``runs_of(row, codes, first)`` gives {(start, length): period} of each text from a row on."""
     words, runs, out = [], [], []
     for base, some in _chunks(texts):
         codes, first, raw, s, e = word_codes(some)
-        for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-            own = sorted((x[0], x[1], p) for x, p in runs_of(base + r, codes[a:b]).items())
-            own.sort(key=lambda x: (x[0], x[2]))
+        view = raw.tobytes()
+        for a, b, found in zip(first[:-1].tolist(), first[1:].tolist(), runs_of(base, codes, first)):
+            own = sorted(((x[0], x[1], p) for x, p in found.items()), key=lambda x: (x[0], x[2]))
             words.append(b - a)
             runs.append([{"start": x, "length": y, "period": p} for x, y, p in own])
-            out.append(_collapsed(raw, s[a:b], e[a:b], kept_words(b - a, own)))
+            out.append(_collapsed(view, s[a:b], e[a:b], kept_words(b - a, own)))
     return pa.array(words, pa.int64()), pa.array(runs, _RUN), pa.array(out, pa.string())
 
 
@@ -134,14 +161,16 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = _finish(batch.column("text"), lambda _, codes: scan_lags(codes, 1, len(codes), min_length, min_exponent))
+            # told apart here, as a condition before would be computed with the text's whole expression once more
+            batch = batch.filter(pc.less_equal(pc.binary_length(batch.column("text")), whole_bytes))
+            done = _finish(batch.column("text"), lambda _, codes, first: scan_texts(codes, first, min_length, min_exponent))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *done], ["id", "n_words", "runs", "collapsed"])
 
     schema = f"id {key}, n_words long, runs {RUNS}, collapsed string"
-    short = rows.where(~long).mapInArrow(tidy(scan), schema)
+    short = rows.mapInArrow(tidy(scan), schema)
 
     # Long texts: ranges of lags, of texts told apart by id and digest.
-    held = rows.where(long).withColumn("digest", F.sha2("text", 256))
+    held = Scratch(spark, "runs").table(rows.where(long).withColumn("digest", F.sha2("text", 256)), "long")
     at_most = F.floor(F.octet_length("text") / 2).cast("long") + 1  # words
     step = F.greatest(F.lit(range_lags), F.ceil(F.lit(range_work) / at_most)).cast("long")
     dealt = held.dropDuplicates(["digest"]).select("digest", "text", step.alias("step"), F.explode(F.sequence(F.lit(1).cast("long"), F.floor(at_most / min_exponent) + 1, step)).alias("low"))
@@ -164,7 +193,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column("runs").to_pylist()
-            done = _finish(batch.column("text"), lambda r, _: {(x["start"], x["length"]): x["period"] for x in runs[r] or ()})
+            done = _finish(batch.column("text"), lambda r, *_: ({(x["start"], x["length"]): x["period"] for x in some or ()} for some in runs[r:]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *done], ["id", "n_words", "runs", "collapsed"])
 
     joined = held.join(listed, "digest", "left").select("id", "text", "runs")
@@ -178,20 +207,18 @@ def crc_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Where h % 10 = 0, with g = floor(h / 10) and n > 0 words, each word i >= a becomes word a + (i - a) % p, a = g % n and
     p = 1 + floor((n - a) / (3 + g % 8)), and the words are joined by a space.  Texts of a null id stay.
     """
-    h = F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), h.alias("h"))
-    chosen = F.col("h").isNotNull() & (F.col("h") % 10 == 0)
-    words = F.when(chosen, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    rows = rows.select("id", "text", F.expr("h div 10").alias("g"), words.alias("w")).withColumn("n", F.size("w").cast("long"))
-    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
-    p = F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))
-    rows = rows.withColumn("p", p)
+    let = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  (computed once, however often it is used)
+    text, h = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary"))
     whole = lambda c: c.cast("int")
-    rest = F.col("n") - F.col("a")
-    block = F.slice("w", whole(F.col("a") + 1), whole(F.col("p")))
-    tail = F.slice(F.flatten(F.array_repeat(block, whole(F.ceil(rest / F.col("p"))))), F.lit(1), whole(rest))
-    changed = F.array_join(F.concat(F.slice("w", F.lit(1), whole(F.col("a"))), tail), " ")
-    return rows.select(F.col("id").alias(id_col), F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias(text_col))
+
+    def repeat(w: Column, n: Column, a: Column, g: Column) -> Column:
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        tail = let(p, lambda p: F.slice(F.flatten(F.array_repeat(F.slice(w, whole(a + 1), whole(p)), whole(F.ceil((n - a) / p)))), F.lit(1), whole(n - a)))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), whole(a)), tail), " ")
+
+    g, long = F.floor(h / 10).cast("long"), lambda c: c.cast("long")
+    changed = let(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w: F.when(F.size(w) > 0, repeat(w, long(F.size(w)), g % long(F.size(w)), g)))
+    return docs.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.when(h % 10 == 0, changed), text).alias(text_col))
 
 
 def longest(runs: Column) -> Column:
