@@ -1,25 +1,19 @@
-"""Co-occurrence networks: edges, centralities, shortest paths, communities, row risk.
+"""Co-occurrence networks: edges, centralities, shortest paths, row risk (communities: see ``communities``).
 
-A network has at most as many nodes as the matrix has columns.  Everything on the rows'
-side is DataFrame work; what iterates (paths, eigenvectors, communities) runs on the
-node tables, whose size is checked before they are handled as one group.
+A network has at most as many nodes as the matrix has columns.  What iterates (paths,
+eigenvectors) does so by joins on the node tables, whatever their size.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import stats
 from ..sources.matrix import BinaryMatrix
 from ..sources.shared import settled
 from . import pairs
 from .ordering import percentile_rank, quantiles
 
-#: Nodes that iterative algorithms take as one group at most: a dense matrix of this size is 200 MB.
-MAX_NODES = 5_000
-
-
 def network_edges(m: BinaryMatrix, alpha: float = 0.05, method: str = "fdr_bh", tests: DataFrame | None = None) -> DataFrame:
     """Significant pairs of all features, tested together: src, dst, phi, p_value, edge_type."""
     e = pairs.cooccurrence(m, alpha, method, tests=tests)
@@ -61,20 +55,16 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
     A level joins the frontier with the edges, so the number of joins is the diameter.
     """
     step = settled(both_ways(edges))
-    seen = step.select("src", "dst", F.lit(1).alias("distance"), F.lit(1).cast("long").alias("paths"))
-    front, level = seen, 1
-    ids = step.select(F.col("src")).distinct().select("src", F.col("src").alias("dst"), F.lit(0).alias("distance"), F.lit(1).cast("long").alias("paths"))
-    seen = settled(ids.union(seen))
+    front = step.select("src", "dst", F.lit(1).alias("distance"), F.lit(1).cast("long").alias("paths"))
+    seen, level = step.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0).alias("distance"), F.lit(1).cast("long").alias("paths")).union(front), 1
+    on = step.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     while True:
         level += 1
-        new = front.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").groupBy("src", F.col("next").alias("dst")).agg(F.sum("paths").alias("paths"))
-        new = new.join(seen, ["src", "dst"], "left_anti").select("src", "dst", F.lit(level).alias("distance"), "paths")
-        new = settled(new)
-        if new.isEmpty():
+        new = front.join(on, "dst").groupBy("src", F.col("next").alias("dst")).agg(F.sum("paths").alias("paths"))
+        front = settled(new.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(level).alias("distance"), "paths"))
+        if front.isEmpty():
             return seen
-        seen, front = settled(seen.union(new)), new
-        if level > MAX_NODES:
-            raise RuntimeError("a path longer than the number of nodes")
+        seen = seen.union(front)  # one table for each level: nothing is written twice
 
 
 def betweenness(paths: DataFrame) -> DataFrame:
@@ -108,82 +98,61 @@ def betweenness(paths: DataFrame) -> DataFrame:
     return ids.join(score, "id", "left").crossJoin(F.broadcast(n)).select("id", (F.coalesce("b", F.lit(0.0)) * norm).alias("betweenness"))
 
 
-def _checked(edges: DataFrame) -> DataFrame:
-    n = nodes(edges).count()
-    if n > MAX_NODES:
-        raise ValueError(f"{n} nodes; at most {MAX_NODES} are handled as one group")
-    return edges
-
-
-def eigenvector_centrality(edges: DataFrame, iterations: int = 1000, tolerance: float = 1e-10) -> DataFrame:
-    """id, eigenvector by power iteration of A + I from equal weights; length 1."""
+#: Edges, in both directions, that power iteration takes as arrays of one row; more are joined with the vector in each step.
+FEW_EDGES = 1 << 15
+#: Products of a job where there are more.
+STEPS = 8
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
-        at = {x: i for i, x in enumerate(ids)}
-        a = np.eye(len(ids))
-        i, j = pdf["src"].map(at).to_numpy(), pdf["dst"].map(at).to_numpy()
-        a[i, j] = a[j, i] = 1
-        x = np.full(len(ids), 1 / np.sqrt(len(ids)))
-        for _ in range(iterations):
-            y = a @ x
-            y /= np.linalg.norm(y)
-            if np.abs(y - x).sum() < len(ids) * tolerance:
-                break
-            x = y
-        return pd.DataFrame({"id": ids, "eigenvector": y})
 
-    e = _checked(edges).select("src", "dst", F.lit(0).alias("g"))
-    return e.groupBy("g").applyInPandas(lambda pdf: solve(pdf), "id string, eigenvector double")
+def eigenvector_centrality(edges: DataFrame, iterations: int = 1000, tolerance: float = 1e-10, few: int = FEW_EDGES) -> DataFrame:
+    """id, eigenvector by power iteration of A + I from equal weights; length 1.
 
-
-def louvain(edges: DataFrame, weight: str | None = "phi") -> DataFrame:
-    """id, community (from 1): two-phase modularity optimisation, nodes in order of their names.
-
-    Communities are numbered by size, then by their first node; weights may be negative.
+    It ends when a step changes less than ``tolerance`` a node, or after ``iterations``.
+    Larger networks take the product of edges and vector as a join and a grouped sum.
     """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(pdf["src"]) | set(pdf["dst"]))
-        at = {x: i for i, x in enumerate(ids)}
-        w = np.zeros((len(ids), len(ids)))
-        for s, d, x in zip(pdf["src"], pdf["dst"], pdf["w"]):
-            w[at[s], at[d]] += x
-            w[at[d], at[s]] += x
-        groups = [[i] for i in range(len(ids))]
-        while True:
-            total, k = w.sum(), w.sum(1)
-            label = np.arange(len(w))
-            moved = True
-            rounds = 0
-            while moved and total > 0 and rounds < 100:
-                moved, rounds = False, rounds + 1
-                for i in range(len(w)):
-                    own = label[i]
-                    links = np.bincount(label, w[i] - np.where(np.arange(len(w)) == i, w[i, i], 0), len(w))
-                    mass = np.bincount(label, k, len(w))
-                    mass[own] -= k[i]
-                    gain = links - k[i] * mass / total
-                    best = int(np.argmax(np.where((links != 0) | (np.arange(len(w)) == own), gain, -np.inf)))
-                    if gain[best] > gain[own] + 1e-12:
-                        label[i], moved = best, True
-            kept = np.unique(label)
-            if len(kept) == len(w):
-                break
-            groups = [[i for c in np.flatnonzero(label == g) for i in groups[c]] for g in kept]
-            one = (label[:, None] == kept[None, :]).astype(float)
-            w = one.T @ w @ one
-        groups.sort(key=lambda g: (-len(g), min(ids[i] for i in g)))
-        return pd.DataFrame([(ids[i], n + 1) for n, g in enumerate(groups) for i in g], columns=["id", "community"])
-
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    e = _checked(edges).select("src", "dst", w.alias("w"), F.lit(0).alias("g"))
-    return e.groupBy("g").applyInPandas(lambda pdf: solve(pdf), "id string, community int")
-
-
-def components(paths: DataFrame) -> DataFrame:
-    """id, component: the smallest name that a path reaches."""
-    return paths.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("component"))
+    step = settled(both_ways(edges))
+    loops = step.select("src", F.col("src").alias("dst")).distinct()
+    return (_eigen_arrays if step.limit(few + 1).count() <= few else _eigen_joins)(step.union(loops), iterations, tolerance)
+
+
+def _eigen_arrays(step: DataFrame, iterations: int, tolerance: float) -> DataFrame:
+    ids = step.select(F.col("src").alias("id")).distinct()
+    place = ids.withColumn("at", F.row_number().over(Window.orderBy("id")))
+    near = step.join(F.broadcast(place.withColumnRenamed("id", "dst")), "dst").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("at")).alias("near"))
+    one = near.agg(F.array_sort(F.collect_list(F.struct("id", "near"))).alias("rows")).select(F.col("rows.id").alias("ids"), F.col("rows.near").alias("near"))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda t, v: t + v)
+
+    def product(x: Column) -> Column:
+        return F.transform("near", lambda row: F.aggregate(row, F.lit(0.0), lambda t, at: t + F.element_at(x, at)))
+
+    def unit(y: Column) -> Column:
+        return stats.bind(F.sqrt(total(F.transform(y, lambda v: v * v))), lambda size: F.transform(y, lambda v: v / size))
+
+    def more(s: Column, _: Column) -> Column:
+        moved = lambda x: total(F.zip_with(x, s["x"], lambda a, b: F.abs(a - b)))
+        following = stats.bind(stats.bind(product(s["x"]), unit), lambda x: F.struct(x.alias("x"), (moved(x) < F.size(x) * tolerance).alias("done")))
+        return F.when(s["done"], s).otherwise(following)
+
+    equal = F.transform("ids", lambda _: 1 / F.sqrt(F.size("ids").cast("double")))
+    solved = one.where(F.size("ids") > 0).select("ids", F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), F.struct(equal.alias("x"), F.lit(False).alias("done")), more, lambda s: s["x"]).alias("x"))
+    return solved.select(F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("x").alias("eigenvector"))))
+
+
+def _eigen_joins(step: DataFrame, iterations: int, tolerance: float) -> DataFrame:
+    step = settled(step)
+    x = step.groupBy(F.col("src").alias("id")).agg(F.lit(1.0).alias("v"))
+    n = x.count()
+    for _ in range(0, iterations, STEPS):
+        for k in range(STEPS):
+            # a node's own value comes along with its loop
+            old = [F.max(F.when(F.col("src") == F.col("dst"), F.col("v"))).alias("old")] if k == STEPS - 1 else []
+            x = step.join(x.select(F.col("id").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("v").alias("v"), *old)
+        x = settled(x)
+        size, before = x.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))), F.sqrt(F.sum(F.col("old") * F.col("old")))).first()
+        x = x.select("id", (F.col("v") / size).alias("v"), (F.col("old") / before).alias("old"))
+        if x.agg(F.sum(F.abs(F.col("v") - F.col("old")))).first()[0] < n * tolerance:
+            break
+    return x.select("id", F.col("v").alias("eigenvector"))
 
 
 def network_summary(edges: DataFrame, m: BinaryMatrix) -> DataFrame:

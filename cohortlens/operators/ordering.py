@@ -35,6 +35,16 @@ def with_parts_before(rows: DataFrame, value: Column, out: str, how=F.sum, later
     return rows.join(F.broadcast(by.select("_part", how("_v").over(w).alias(out))), "_part")
 
 
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """The rows with their place (from 1) along the order, which has to tell all rows apart."""
+    rows, several = in_parts(df, _names(*order))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*_names(*order)))
+    if several:
+        rows = with_parts_before(rows, F.lit(1), "_base")
+        return rows.withColumn(out, inside + F.coalesce("_base", F.lit(0))).drop("_part", "_base")
+    return rows.withColumn(out, inside).drop("_part")
+
+
 def ordered_counts(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct (by, value) with ``_c`` rows, ``_below`` rows of the group with smaller values and ``_n`` rows of the group."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))

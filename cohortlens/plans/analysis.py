@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Settings
-from ..operators import advanced, bootstrap, charts, graph, mining, pairs, report, resistance, scores, validation
+from ..operators import advanced, bootstrap, charts, communities, graph, mining, pairs, report, resistance, scores, validation
 from ..operators.figures import bars_svg, histogram_svg, network_svg, save
 from ..operators.workbook import report_workbook
 from ..sources.matrix import BinaryMatrix, discover, from_wide, join_files, read_delimited
@@ -83,7 +83,7 @@ def results(m: BinaryMatrix, c: Settings) -> list[Result]:
         Result("network", graph.edge_list(edges), "Significant pairs of all features"),
     ]
     if not edges.isEmpty():
-        paths, groups = graph.shortest_paths(edges), settled(graph.louvain(edges))
+        paths, groups = graph.shortest_paths(edges), settled(communities.louvain(edges))
         # Co-selection takes what is significant among multiresistant isolates, targets what ties genes to classes.
         together = lambda x: pairs.cooccurrence(x, c.alpha, c.fdr_method).select("item1", "item2", F.bround("phi", 3).alias("phi"))
         tests = settled(together(sub_classes).union(together(sub_genes)))

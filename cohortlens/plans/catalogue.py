@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import draws, stats, text
-from ..operators import advanced, bootstrap, charts, graph, mining, ordering, pairs, patterns, resistance, scores, synth, validation
+from ..operators import advanced, bootstrap, charts, communities, graph, mining, ordering, pairs, patterns, resistance, scores, synth, validation
 from ..sources.matrix import FEATURES, BinaryMatrix, star_matrix
 from ..sources.shared import settled
 from . import oracles as o
@@ -476,12 +476,42 @@ def _(s, d):
 
 @query("g3_louvain")
 def _(s, d):
-    return graph.louvain(_edges(star_matrix(s, d)))
+    return communities.louvain(_edges(star_matrix(s, d)))
+
+
+#: Modularity of the given partition, over edges in both directions.
+_MODULARITY = """
+wb AS (SELECT src, dst, phi AS w FROM edges UNION ALL SELECT dst, src, phi FROM edges),
+q AS (SELECT sum(inside / total - pow(every / total, 2)) AS modularity FROM (
+      SELECT a.community, sum(w) AS every, sum(CASE WHEN a.community = b.community THEN w ELSE 0 END) AS inside FROM wb JOIN comm a ON a.id = src JOIN comm b ON b.id = dst GROUP BY a.community), (SELECT sum(w) AS total FROM wb))"""
+
+
+@query("g3_modularity", sql("SELECT round(modularity, 6) AS modularity FROM q", o.NETWORK, _MODULARITY))
+def _(s, d):
+    m = star_matrix(s, d)
+    return communities.modularity(_edges(m), _communities(m)).select(*r6("modularity"))
+
+
+@query("g3_louvain_quality", sql("""SELECT (SELECT count(*) FROM vs) AS n_members, (SELECT count(*) FROM vs) AS n_distinct, 0::BIGINT AS n_strangers, 1 AS first_number, true AS numbered_by_size, 0::BIGINT AS n_over_components,
+    round((SELECT modularity FROM q), 6) AS given, true AS above_given, true AS above_whole""", o.NETWORK, _MODULARITY))
+def _(s, d):
+    """What any right answer has: every node once, no community over two components, and more modularity than the given partition and than one community."""
+    m = star_matrix(s, d)
+    e = _edges(m)
+    found, c = settled(communities.louvain(e)), communities.components(e)
+    sizes = found.groupBy("community").agg(F.count("*").alias("size"))
+    steps = sizes.withColumn("next", F.col("community") + 1).alias("a").join(sizes.alias("b"), F.col("a.next") == F.col("b.community"))
+    one = found.agg(F.count("*").alias("n_members"), F.count_distinct("id").alias("n_distinct"), F.min("community").alias("first_number"))
+    one = one.crossJoin(found.join(graph.nodes(e), "id", "left_anti").agg(F.count("*").alias("n_strangers")))
+    one = one.crossJoin(steps.agg(F.coalesce(F.bool_and(F.col("a.size") >= F.col("b.size")), F.lit(True)).alias("numbered_by_size")))
+    one = one.crossJoin(found.join(c, "id").groupBy("community").agg(F.count_distinct("component").alias("k")).agg(F.sum((F.col("k") > 1).cast("long")).alias("n_over_components")))
+    one = one.crossJoin(communities.modularity(e, _communities(m)).withColumnRenamed("modularity", "given")).crossJoin(communities.modularity(e, found))
+    return one.select("n_members", "n_distinct", "n_strangers", "first_number", "numbered_by_size", "n_over_components", *r6("given"), (F.col("modularity") > F.col("given")).alias("above_given"), (F.col("modularity") > 0).alias("above_whole"))
 
 
 @query("g3_components", sql("SELECT src AS id, min(dst) AS component FROM sp GROUP BY src", o.NETWORK))
 def _(s, d):
-    return graph.components(graph.shortest_paths(_edges(star_matrix(s, d))))
+    return communities.components(_edges(star_matrix(s, d)))
 
 
 @query("g4_degree_centrality", sql("SELECT id, degree, round(degree_centrality, 6) AS degree_centrality FROM deg", o.NETWORK))
@@ -751,9 +781,9 @@ def _(s, d):
     return scored.groupBy("community").agg(F.count("*").alias("n_pairs"), F.round(F.avg("cs"), 6).alias("avg_cs"), F.sum((F.col("cs") >= 0.45).cast("long")).alias("n_high"))
 
 
-@query("a16_community_sizes", sql("SELECT community, count(*) AS size FROM comm GROUP BY community", o.NETWORK))
+@query("a16_community_sizes", sql("SELECT component, count(*) AS size FROM (SELECT src AS id, min(dst) AS component FROM sp GROUP BY src) GROUP BY component", o.NETWORK))
 def _(s, d):
-    return _communities(star_matrix(s, d)).groupBy("community").agg(F.count("*").alias("size"))
+    return communities.components(_edges(star_matrix(s, d))).groupBy("component").agg(F.count("*").alias("size"))
 
 
 @query("j4_strongest_lookup", sql("SELECT lo, hi, round(phi, 6) AS phi FROM best", o.NETWORK))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.config import Settings
-from cohortlens.operators import advanced, bootstrap, charts, graph, mining, pairs, patterns, report, resistance, scores, synth, validation
+from cohortlens.operators import advanced, bootstrap, charts, communities, graph, mining, pairs, patterns, report, resistance, scores, synth, validation
 from cohortlens.sources.matrix import DRUG_CLASSES, FEATURES, BinaryMatrix, discover, feature_roles, from_wide, read_delimited, sniff_delimiter, to_wide
 
 
@@ -162,7 +162,7 @@ def test_centralities(path):
 
 def test_louvain(spark):
     e = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x")]
-    got = {r.id: r.community for r in graph.louvain(spark.createDataFrame(e, "src string, dst string"), None).collect()}
+    got = {r.id: r.community for r in communities.louvain(spark.createDataFrame(e, "src string, dst string"), None).collect()}
     assert len(set(got.values())) == 2 and got["a"] == got["b"] == got["c"] != got["x"] == got["y"] == got["z"]
 
 
