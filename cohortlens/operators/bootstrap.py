@@ -9,18 +9,18 @@ the distributed form of the same resample.  All draws are functions of what they
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import draws
 from ..functions.stats import ln_factorial
 from ..sources.matrix import BinaryMatrix
-from . import pairs
+from ..sources.shared import settled
+from . import ordering, pairs
 
 
 def binomial_draws(n: int, k: int, u: np.ndarray) -> np.ndarray:
@@ -102,32 +102,100 @@ def pattern_intervals(frequencies: DataFrame, n_iter: int = 5000, confidence: fl
     return frequencies.join(ci, "pattern")
 
 
-_STATISTICS = {"mean": np.mean, "median": np.median, "std": np.std}
-#: Values of the largest group that ``grouped_statistic`` takes, as one task resamples it (8 bytes each, and as much again).
-GROUP_VALUES = 50_000_000
+STATISTICS = ("mean", "median", "std")
+#: Cuts of a group's values for medians, sums that a task keeps before it hands them on.
+CUTS, KEPT_KEYS = 256, 2048
 
 
-def name_seed(seed: int, name: str) -> int:
-    return seed + int(hashlib.md5(name.encode()).hexdigest()[:6], 16)
+def _moments(keyed: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """key, replicate, n, s1, s2: sums of the weights of ``row_weights``, and of them times value and its square, over the rows of each key.
+
+    A task keeps the sums of at most ``KEPT_KEYS`` keys and hands them on when there are
+    more, so its memory doesn't grow with the keys; the rows of a key are spread over all tasks.
+    """
+    row = draws.row_key(F.col("row"), keyed.schema["row"].dataType)
+
+    def run(batches):
+        replicate, sums = np.arange(replicates, dtype=np.int64)[None, :], {}
+
+        def hand_on() -> pa.RecordBatch:
+            flat = [pa.array(np.concatenate([x[c] for x in sums.values()])) for c in range(3)]
+            ends = pa.array(np.arange(len(sums) + 1) * replicates, pa.int32())
+            out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *[pa.ListArray.from_arrays(ends, x) for x in flat]], ["key", "n", "s1", "s2"])
+            sums.clear()
+            return out
+
+        for batch in batches:
+            key, r, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            order = np.argsort(key, kind="stable")
+            for at in range(0, len(r), 1024):
+                some = order[at : at + 1024]
+                weight = np.searchsorted(draws.POISSON, draws.unit(r[some, None], replicate, seed).ravel()).reshape(-1, replicates).astype(float)
+                names, begin = np.unique(key[some], return_index=True)
+                value = x[some, None]
+                for name, *parts in zip(names.tolist(), *[np.add.reduceat(y, begin, 0) for y in (weight, weight * value, weight * value * value)]):
+                    sums[name] = [a + b for a, b in zip(sums[name], parts)] if name in sums else parts
+                if len(sums) > KEPT_KEYS:
+                    yield hand_on()
+        if sums:
+            yield hand_on()
+
+    kind = "array<double>"
+    parts = keyed.select(F.col("key").cast("long"), row.alias("r"), F.col("value").cast("double")).mapInArrow(run, f"key long, n {kind}, s1 {kind}, s2 {kind}")
+    each = parts.select("key", F.posexplode(F.arrays_zip("n", "s1", "s2")).alias("replicate", "s")).select("key", "replicate", "s.*")
+    return each.groupBy("key", "replicate").agg(F.sum("n").cast("long").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
 
 
 def grouped_statistic(values: DataFrame, statistic: str = "mean", n_iter: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """name, estimate, lower, upper of a statistic of (name, value), for groups of at most GROUP_VALUES values."""
-    if statistic not in _STATISTICS:
+    """name, estimate, lower, upper of a statistic of (name, row, value), for groups of any number and size.
+
+    A replicate weighs each row by ``row_weights``; ``row`` tells all rows apart.  Null
+    values are left out, and replicates that draw no row of a group.  Means and deviations
+    (of the whole, not of a sample) come from sums.  A median comes from the weights summed
+    in up to ``CUTS`` ranges of the group's values: they tell which range holds each
+    replicate's middle, and only that range's values are then ordered.
+    """
+    if statistic not in STATISTICS:
         raise ValueError(f"unknown statistic: {statistic}")
-    f = _STATISTICS[statistic]
-    largest = values.groupBy("name").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > GROUP_VALUES:
-        raise ValueError(f"a group of {largest} values; at most {GROUP_VALUES} are resampled as one")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, x = pdf["name"].iloc[0], np.sort(pdf["value"].to_numpy(float))
-        own, at = name_seed(seed, str(name)), np.arange(len(x), dtype=np.int64)
-        reps = np.array([f(x[(draws.unit(at, b, own) * len(x)).astype(np.int64)]) for b in range(n_iter)])
-        lo, hi = np.percentile(reps, [50 * (1 - confidence), 50 * (1 + confidence)])
-        return pd.DataFrame({"name": [name], "estimate": [float(f(x))], "lower": [lo], "upper": [hi]})
-
-    return values.select(F.col("name").cast("string"), F.col("value").cast("double")).where("value is not null").groupBy("name").applyInPandas(lambda pdf: solve(pdf), "name string, estimate double, lower double, upper double")
+    known = values.select(F.col("name").cast("string").alias("name"), "row", F.col("value").cast("double").alias("value")).where("value is not null")
+    names = settled(ordering.numbered(known.groupBy("name").agg(F.avg("value").alias("center"), F.stddev_pop("value").alias("std"), F.percentile_approx("value", [k / CUTS for k in range(1, CUTS)], 10_000).alias("cuts")).where("name is not null"), ["name"], "number"))
+    base = known.join(names.select("name", "number", "center", "cuts"), "name")
+    if statistic == "median":
+        estimate = ordering.quantiles(known, "value", {"estimate": 0.5}, ("name",))
+        reps = _medians(base, n_iter, seed)
+    else:
+        estimate = names.select("name", F.col("center" if statistic == "mean" else "std").alias("estimate"))
+        # values are taken from the group's mean, so that squares don't swamp the deviations
+        sums = _moments(base.select(F.col("number").alias("key"), "row", (F.col("value") - F.col("center")).alias("value")), n_iter, seed).where("n > 0")
+        mean = F.col("s1") / F.col("n")
+        x = mean if statistic == "mean" else F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean * mean))
+        reps = sums.select(F.col("key").alias("number"), x.alias("x"))
+    limits = reps.groupBy("number").agg(F.percentile("x", F.lit((1 - confidence) / 2)).alias("lower"), F.percentile("x", F.lit((1 + confidence) / 2)).alias("upper"))
+    shift = F.col("center") if statistic == "mean" else F.lit(0.0)
+    out = names.select("name", "number", "center").join(limits, "number").select("name", (F.col("lower") + shift).alias("lower"), (F.col("upper") + shift).alias("upper"))
+    return estimate.join(out, "name").select("name", "estimate", "lower", "upper")
+
+
+def _medians(base: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """number, x: the weighted median of each group and replicate."""
+    # a value's range is the number of cuts below it, so equal values share one
+    ranged = settled(base.select("number", "row", "value", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("range")))
+    sums = _moments(ranged.select((F.col("number") * CUTS + F.col("range")).alias("key"), "row", F.lit(0.0).alias("value")), replicates, seed)
+    sums = sums.select(F.floor(F.col("key") / CUTS).alias("number"), (F.col("key") % CUTS).alias("range"), "replicate", "n")
+    # a group and replicate have as many rows as ranges
+    over = Window.partitionBy("number", "replicate")
+    cum = sums.withColumn("before", F.sum("n").over(over.orderBy("range")) - F.col("n")).withColumn("all", F.sum("n").over(over)).where("all > 0")
+    middles = F.array(F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2))
+    wanted = cum.select("number", "range", "replicate", "before", "n", F.posexplode(middles).alias("side", "at")).where("before <= at and at < before + n")
+    wanted = settled(wanted.select("number", "range", "replicate", "side", (F.col("at") - F.col("before")).alias("at")))
+    asked = wanted.select("number", "range", "replicate").distinct()
+    key = draws.row_key(F.col("row"), base.schema["row"].dataType)
+    drawn = ranged.join(asked, ["number", "range"]).withColumn("w", draws.poisson_column(draws.unit(key, F.col("replicate"), seed))).where("w > 0")
+    by = drawn.groupBy("number", "range", "replicate", "value").agg(F.sum("w").alias("w"))
+    inside = Window.partitionBy("number", "range", "replicate").orderBy("value")
+    reached = by.withColumn("upto", F.sum("w").over(inside)).join(wanted, ["number", "range", "replicate"]).where("upto > at")
+    ends = reached.groupBy("number", "replicate", "side").agg(F.min("value").alias("value"))
+    return ends.groupBy("number", "replicate").agg(F.avg("value").alias("x")).select("number", "x")
 
 
 def row_weights(rows: DataFrame, replicates: int, seed: int = 42) -> DataFrame:

@@ -337,19 +337,35 @@ def _(s, d):
     return bootstrap.pattern_intervals(mining.pattern_frequencies(found)).select("pattern", "n", *r6("frequency", "lower", "upper"))
 
 
-@query("t11_grouped_bootstrap", f"""WITH vals AS (SELECT event_type AS name, list(value ORDER BY value) AS v, count(*) AS n, 42 + ('0x' || substr(md5(event_type), 1, 6))::BIGINT AS seed FROM events WHERE value IS NOT NULL GROUP BY event_type),
-    reps AS (SELECT name, b, median(v[floor(u * n)::BIGINT + 1]) AS x FROM ({draws.unit_sql("(SELECT * FROM vals, range(0, 1000) AS g(b), LATERAL (SELECT unnest(range(0, n)) AS i))", "i", "b", "seed")}) GROUP BY name, b)
-    SELECT vals.name, round(list_median(v), 6) AS estimate, round(lo, 6) AS lower, round(hi, 6) AS upper FROM vals JOIN (SELECT name, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM reps GROUP BY name) q ON q.name = vals.name""")
-def _(s, d):
-    return bootstrap.grouped_statistic(_read(s, d, "events").select(F.col("event_type").alias("name"), "value"), "median", 1000).select("name", *r6("estimate", "lower", "upper"))
-
-
 def _weights_sql(replicates: int) -> str:
     return f"""
 wts AS MATERIALIZED (SELECT r, b, w FROM (SELECT r, b, {draws.poisson_sql('u')} AS w FROM ({draws.unit_sql(f"(SELECT r, b FROM rws, range(0, {replicates}) AS g(b))", "r", "b", "42")})) WHERE w > 0),
 tot AS (SELECT b, sum(w)::BIGINT AS total FROM wts GROUP BY b)"""
 
 
+def _drawn_sql(estimate: str, replicate: str) -> str:
+    """``estimate`` and percentiles of ``replicate`` over the drawn values x (weights w) of each event type."""
+    return f"""WITH vals AS (SELECT event_type AS name, event_id AS r, value AS x FROM events WHERE value IS NOT NULL),
+    rws AS (SELECT r FROM vals), {_weights_sql(1000)},
+    reps AS (SELECT name, b, {replicate} AS v FROM vals JOIN wts ON wts.r = vals.r GROUP BY name, b)
+    SELECT e.name, round(e.estimate, 6) AS estimate, round(lo, 6) AS lower, round(hi, 6) AS upper FROM (SELECT name, {estimate} AS estimate FROM vals GROUP BY name) e
+    JOIN (SELECT name, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM reps GROUP BY name) q ON q.name = e.name"""
+
+
+def _events(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("row"), "value")
+
+
+@query("t11_grouped_bootstrap", _drawn_sql("median(x)", "list_median(flatten(list(list_transform(range(w), lambda i: x))))"))
+def _(s, d):
+    return bootstrap.grouped_statistic(_events(s, d), "median", 1000).select("name", *r6("estimate", "lower", "upper"))
+
+
+@query("t11_grouped_deviations", _drawn_sql("stddev_pop(x)", "sqrt(greatest(0, sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2)))"))
+def _(s, d):
+    return bootstrap.grouped_statistic(_events(s, d), "std", 1000).select("name", *r6("estimate", "lower", "upper"))
+
+
 _FEATURE_SUMS = "sums AS (SELECT f, b, sum(w)::BIGINT AS n FROM wts JOIN ones ON ones.r = wts.r GROUP BY f, b)"
 
 
