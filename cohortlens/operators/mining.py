@@ -14,13 +14,12 @@ NO_PHENOTYPE, NO_GENOTYPE = "No_Resistance", "No_Genes"
 
 def patterns(m: BinaryMatrix, empty: str = NO_PHENOTYPE) -> DataFrame:
     """``row, pattern``: the sorted names of a row's ones, or the fallback's name alone."""
-    has = m.ones.groupBy("row").agg(F.array_sort(F.collect_set("feature")).alias("pattern"))
-    return m.rows.join(has, "row", "left").select("row", F.coalesce("pattern", F.array(F.lit(empty))).alias("pattern"))
+    return m.by_row().select("row", F.when(F.size("has") > 0, F.array_sort("has")).otherwise(F.array(F.lit(empty))).alias("pattern"))
 
 
 def pattern_frequencies(found: DataFrame) -> DataFrame:
     """``pattern`` (joined by ", "), ``n`` and ``frequency`` in percent."""
-    by = found.groupBy(F.array_join("pattern", ", ").alias("pattern")).agg(F.count("*").alias("n"))
+    by = settled(found.groupBy(F.array_join("pattern", ", ").alias("pattern")).agg(F.count("*").alias("n")))
     total = by.agg(F.sum("n").alias("total"))
     return by.crossJoin(F.broadcast(total)).select("pattern", "n", (F.col("n") * 100 / F.col("total")).alias("frequency"))
 
@@ -34,8 +33,7 @@ def frequent_itemsets(m: BinaryMatrix, min_support: float = 0.1, longest: int |
     """
     from pyspark.ml.fpm import FPGrowth
 
-    has = m.ones.groupBy("row").agg(F.collect_set("feature").alias("items"))
-    rows = settled(m.rows.join(has, "row", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+    rows = settled(m.by_row().select(F.col("has").alias("items")))
     n = rows.count()
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(rows).freqItemsets if n else rows.withColumn("freq", F.lit(0).cast("long")).limit(0)
     out = found.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"), (F.col("freq") / max(n, 1)).alias("support"))

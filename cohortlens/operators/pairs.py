@@ -1,8 +1,8 @@
 """Pairs of features: joint counts, tests of association, correction for many tests.
 
-Joint counts need one pass: a row's features are gathered in an array (as wide as the
-matrix at most), its pairs are made inside the row, and counted with a partial sum on
-the map side.  No pair of features costs a scan, and no join runs over rows.
+All counts need one pass: a row's features are an array, its pairs are made inside the
+row, and counted with a partial sum on the map side (see ``cells``).  No pair of features
+costs a scan, and no join runs over rows.
 """
 
 from __future__ import annotations
@@ -15,21 +15,61 @@ from ..sources.shared import settled
 from . import ordering
 
 
-def prevalence(m: BinaryMatrix) -> DataFrame:
-    """``feature, ord, k, n, prevalence`` of all features, those without ones included."""
-    k = m.ones.groupBy("feature").agg(F.count("*").alias("k"))
-    n = m.rows.agg(F.count("*").alias("n"))
+#: Features of a row whose pairs are made at once; those of more are dealt out by pairs of such blocks.
+BLOCK = 512
+
+
+def cells(m: BinaryMatrix) -> DataFrame:
+    """item1, item2, n: rows of the matrix (no items), with a feature (item1), and with two (item1 < item2).
+
+    A row's cells are made inside the row and summed before the exchange.  A row with more
+    than ``BLOCK`` features gives pairs of blocks instead; these are dealt over the tasks
+    by the first sum and multiplied out afterwards, so no task holds all pairs of a row.
+    """
+    text, texts = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    cell = lambda a=text, b=text, left=texts, right=texts: F.struct(a.alias("item1"), b.alias("item2"), left.alias("left"), right.alias("right"))
+    rows = m.by_row().select(F.array_sort("has").alias("f"))
+    size = F.size("f")
+    after = lambda a, i: F.slice("f", i + 2, F.greatest(size, F.lit(1)))
+    two = F.flatten(F.transform("f", lambda a, i: F.transform(after(a, i), lambda b: cell(a, b))))
+    block = lambda i: F.slice("f", i * BLOCK + 1, F.lit(BLOCK))
+    last = F.floor((size - 1) / BLOCK).cast("int")
+    blocks = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: cell(left=block(i), right=block(j)))))
+    made = F.concat(F.array(cell()), F.transform("f", lambda a: cell(a)), F.when(size > BLOCK, blocks).otherwise(two))
+    first = rows.select(F.inline(made)).groupBy("item1", "item2", "left", "right").agg(F.count("*").alias("n"))
+    pair = lambda a, b: F.struct(a.alias("item1"), b.alias("item2"))
+    out = F.flatten(F.transform("left", lambda a: F.transform(F.filter("right", lambda b: a < b), lambda b: pair(a, b))))
+    every = first.select(F.inline(F.when(F.col("left").isNull(), F.array(pair(F.col("item1"), F.col("item2")))).otherwise(out)), "n")
+    return every.groupBy("item1", "item2").agg(F.sum("n").alias("n"))
+
+
+def _prevalence(m: BinaryMatrix, found: DataFrame, *more: str) -> DataFrame:
+    """Of ``cells``, or of those of single features."""
+    k = found.where("item1 is not null and item2 is null").select(F.col("item1").alias("feature"), F.col("n").alias("k"))
+    n = found.where("item1 is null").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
     full = m.features.join(F.broadcast(k), "feature", "left").crossJoin(F.broadcast(n))
     k0 = F.coalesce("k", F.lit(0)).cast("long")
-    return full.select("feature", "ord", k0.alias("k"), "n", F.when(F.col("n") > 0, k0 / F.col("n")).otherwise(0.0).alias("prevalence"))
+    return full.select("feature", "ord", *more, k0.alias("k"), "n", F.when(F.col("n") > 0, k0 / F.col("n")).otherwise(0.0).alias("prevalence"))
+
+
+def prevalence(m: BinaryMatrix) -> DataFrame:
+    """``feature, ord, k, n, prevalence`` of all features, those without ones included."""
+    none = F.array(F.lit(None).cast("string"))
+    one = m.by_row().select(F.explode(F.concat(none, "has")).alias("item1")).groupBy("item1").agg(F.count("*").alias("n"))
+    return _prevalence(m, settled(one.withColumn("item2", F.lit(None).cast("string"))))
+
+
+def _joint(m: BinaryMatrix, found: DataFrame) -> DataFrame:
+    """``ord1 < ord2, n11`` of the pairs among ``cells``."""
+    name = m.features.select("feature", "ord")
+    both = found.where("item2 is not null").join(F.broadcast(name.select(F.col("feature").alias("item1"), F.col("ord").alias("a"))), "item1").join(
+        F.broadcast(name.select(F.col("feature").alias("item2"), F.col("ord").alias("b"))), "item2")
+    return both.select(F.least("a", "b").alias("ord1"), F.greatest("a", "b").alias("ord2"), F.col("n").alias("n11"))
 
 
 def joint_counts(m: BinaryMatrix) -> DataFrame:
     """``ord1 < ord2, n11`` of the pairs that occur together in a row."""
-    coded = m.ones.join(F.broadcast(m.features.select("feature", "ord")), "feature").select("row", "ord")
-    rows = coded.groupBy("row").agg(F.array_sort(F.collect_set("ord")).alias("f"))
-    pairs = F.flatten(F.transform("f", lambda a, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda b: F.struct(a.alias("ord1"), b.alias("ord2")))))
-    return rows.select(F.explode(pairs).alias("p")).groupBy("p.ord1", "p.ord2").agg(F.count("*").alias("n11"))
+    return _joint(m, cells(m))
 
 
 def contingency(m: BinaryMatrix, cross_roles: bool = False, every: bool = False) -> DataFrame:
@@ -38,14 +78,18 @@ def contingency(m: BinaryMatrix, cross_roles: bool = False, every: bool = False)
     Pairs with a feature that is constant over the rows are left out unless ``every``.
     Rows: item1, item2, role1, role2, ord1, ord2, k1, k2, n, n00, n01, n10, n11.
     """
-    p = prevalence(m).join(m.features.select("feature", "role"), "feature")
+    found = settled(cells(m))  # sums, of at most all pairs of columns: the rows are read once
+    p = _prevalence(m, found, "role")
     if not every:
         p = p.where("k > 0 and k < n")
     a = p.select(F.col("feature").alias("item1"), F.col("role").alias("role1"), F.col("ord").alias("ord1"), F.col("k").alias("k1"), "n")
     b = p.select(F.col("feature").alias("item2"), F.col("role").alias("role2"), F.col("ord").alias("ord2"), F.col("k").alias("k2"))
     rule = (F.col("role1") != "gene") & (F.col("role2") == "gene") if cross_roles else F.col("ord1") < F.col("ord2")
     # As many rows as the matrix has pairs of columns, however many rows it has.
-    full = a.join(b, rule).join(joint_counts(m), ["ord1", "ord2"], "left")
+    joint = _joint(m, found)
+    if cross_roles:  # a gene may come before a phenotype
+        joint = joint.union(joint.select(F.col("ord2"), F.col("ord1"), "n11"))
+    full = a.join(b, rule).join(joint, ["ord1", "ord2"], "left")
     n11 = F.coalesce("n11", F.lit(0)).cast("long")
     return full.select("item1", "item2", "role1", "role2", "ord1", "ord2", "k1", "k2", "n", (F.col("n") - F.col("k1") - F.col("k2") + n11).alias("n00"),
                        (F.col("k2") - n11).alias("n01"), (F.col("k1") - n11).alias("n10"), n11.alias("n11"))
@@ -110,11 +154,12 @@ def report_view(pairs: DataFrame) -> DataFrame:
 
 def cooccurrence_matrix(m: BinaryMatrix) -> DataFrame:
     """All cells of X'X that aren't 0, the diagonal included: item1, item2, n."""
-    name = m.features.select("feature", "ord")
-    half = joint_counts(m).join(F.broadcast(name.select(F.col("feature").alias("item1"), F.col("ord").alias("ord1"))), "ord1").join(
-        F.broadcast(name.select(F.col("feature").alias("item2"), F.col("ord").alias("ord2"))), "ord2").select("item1", "item2", F.col("n11").alias("n"))
-    diagonal = m.ones.groupBy("feature").agg(F.count("*").alias("n")).select(F.col("feature").alias("item1"), F.col("feature").alias("item2"), "n")
-    return half.union(half.select("item2", "item1", "n")).union(diagonal)
+    known = m.features.select("feature")
+    found = settled(cells(m)).where("item1 is not null").join(F.broadcast(known.withColumnRenamed("feature", "item1")), "item1", "left_semi")
+    found = found.join(F.broadcast(known.withColumnRenamed("feature", "item2")), "item2", "left_semi").select("item1", "item2", "n").union(found.where("item2 is null").select("item1", F.col("item1"), "n"))
+    # each pair both ways, from one pass
+    ways = F.when(F.col("item1") == F.col("item2"), F.array(F.struct("item1", "item2"))).otherwise(F.array(F.struct("item1", "item2"), F.struct(F.col("item2").alias("item1"), F.col("item1").alias("item2"))))
+    return found.select(F.inline(ways), "n")
 
 
 def phi_matrix(m: BinaryMatrix) -> DataFrame:

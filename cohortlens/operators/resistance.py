@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..sources.matrix import BinaryMatrix
+from ..sources.matrix import BinaryMatrix, packed
 
 
 def class_resistance(m: BinaryMatrix) -> DataFrame:
@@ -26,6 +26,9 @@ def class_resistance_wide(df: DataFrame, classes: dict[str, list[str]], id_col:
 
 def multiresistance(m: BinaryMatrix, threshold: int = 3) -> DataFrame:
     """``row, n_classes, is_mdr``: resistant to ``threshold`` classes or more."""
+    arrays = m.class_arrays()
+    if arrays is not None:
+        return arrays.select("row", F.size("has").cast("long").alias("n_classes")).withColumn("is_mdr", F.col("n_classes") >= threshold)
     of = m.features.where("class is not null").select("feature", F.col("class").alias("name"))
     n = m.ones.join(F.broadcast(of), "feature").groupBy("row").agg(F.count_distinct("name").alias("n_classes"))
     full = m.rows.join(n, "row", "left").select("row", F.coalesce("n_classes", F.lit(0)).alias("n_classes"))
@@ -33,14 +36,17 @@ def multiresistance(m: BinaryMatrix, threshold: int = 3) -> DataFrame:
 
 
 def mdr_subset(m: BinaryMatrix, threshold: int = 3) -> BinaryMatrix:
-    return m.only_rows(multiresistance(m, threshold).where("is_mdr"))
+    if m.arrays is None:
+        return m.only_rows(multiresistance(m, threshold).where("is_mdr"))
+    of = m.features.where("class is not null").agg(F.map_from_entries(F.collect_list(F.struct("feature", "class"))).alias("_of"))
+    many = F.size(F.array_distinct(F.array_compact(F.transform("has", lambda f: F.try_element_at("_of", f)))))
+    return packed(m.arrays.crossJoin(F.broadcast(of)).where(many >= threshold).select("row", "has"), m.features, m.classes)
 
 
 def fast_mdr_count(m: BinaryMatrix, threshold: int = 3) -> DataFrame:
     """One row ``n_mdr, prevalence``: rows with ``threshold`` ones or more, over raw columns."""
-    per = m.rows.join(m.ones.groupBy("row").agg(F.count("*").alias("k")), "row", "left")
-    flag = F.coalesce(F.col("k"), F.lit(0)) >= threshold
-    return per.agg(F.coalesce(F.sum(flag.cast("long")), F.lit(0)).alias("n_mdr"), F.coalesce(F.avg(flag.cast("double")), F.lit(0.0)).alias("prevalence"))
+    flag = F.size("has") >= threshold
+    return m.by_row().agg(F.coalesce(F.sum(flag.cast("long")), F.lit(0)).alias("n_mdr"), F.coalesce(F.avg(flag.cast("double")), F.lit(0.0)).alias("prevalence"))
 
 
 def hybrid_binary(value: Column, null_is_one: bool = False) -> Column:

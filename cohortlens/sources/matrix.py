@@ -35,35 +35,79 @@ PREFERRED = ("merged_resistance_data.csv", "merged_data.csv", "data.csv", "MIC.c
 FEATURES = T.StructType([T.StructField("feature", T.StringType()), T.StructField("role", T.StringType()), T.StructField("ord", T.IntegerType()), T.StructField("class", T.StringType())])
 
 
+#: Columns up to which features are looked up in a table that each row carries along; wider matrices join.
+FEW_FEATURES = 1000
+
+
 @dataclass
 class BinaryMatrix:
-    """``ones(row, feature)`` without repeats, ``rows(row)``, ``features`` (see module)."""
+    """``ones(row, feature)`` without repeats, ``rows(row)``, ``features`` (see module).
+
+    ``arrays(row, has)``, where known, has each row's features as one array: what concerns
+    a row alone (its pattern, classes, pairs, flags) is then a projection, without an exchange.
+    """
 
     ones: DataFrame
     rows: DataFrame
     features: DataFrame
     classes: list[str] = field(default_factory=lambda: list(DRUG_CLASSES))
+    arrays: DataFrame | None = None
+
+    def by_row(self) -> DataFrame:
+        """``row, has`` of all rows, those without ones included."""
+        if self.arrays is not None:
+            return self.arrays
+        has = self.ones.groupBy("row").agg(F.collect_set("feature").alias("has"))
+        return self.rows.join(has, "row", "left").select("row", F.coalesce("has", F.array().cast("array<string>")).alias("has"))
+
+    def with_arrays(self) -> BinaryMatrix:
+        return self if self.arrays is not None else packed(self.by_row(), self.features, self.classes)
 
     def role(self, role: str) -> BinaryMatrix:
         f = self.features.where(F.col("role") == role)
+        if self.arrays is not None and _few(f):
+            names = f.agg(F.collect_list("feature").alias("_names"))
+            kept = self.arrays.crossJoin(F.broadcast(names)).select("row", F.array_intersect("has", "_names").alias("has"))
+            return packed(kept, f, self.classes)
         return BinaryMatrix(self.ones.join(F.broadcast(f.select("feature")), "feature").select("row", "feature"), self.rows, f, self.classes)
 
     def only_rows(self, rows: DataFrame) -> BinaryMatrix:
         rows = rows.select("row")
         return BinaryMatrix(self.ones.join(rows, "row", "left_semi"), rows, self.features, self.classes)
 
+    def class_arrays(self) -> DataFrame | None:
+        """``row, has`` with the classes of each row, where arrays are known."""
+        of = self.features.where("class is not null")
+        if self.arrays is None or not _few(of):
+            return None
+        named = of.agg(F.map_from_entries(F.collect_list(F.struct("feature", "class"))).alias("_of"))
+        found = F.transform("has", lambda f: F.try_element_at("_of", f))
+        return self.arrays.crossJoin(F.broadcast(named)).select("row", F.array_distinct(F.array_compact(found)).alias("has"))
+
     def class_level(self) -> BinaryMatrix:
         """Classes as features: a class is one where any of its drugs is."""
+        spark = self.features.sparkSession
+        f = spark.createDataFrame([(c, "class", i, None) for i, c in enumerate(self.classes)], FEATURES)
+        arrays = self.class_arrays()
+        if arrays is not None:
+            return packed(arrays, f, self.classes)
         named = F.broadcast(self.features.where("class is not null").select("feature", F.col("class").alias("name")))
         ones = self.ones.join(named, "feature").select("row", F.col("name").alias("feature")).distinct()
-        spark = self.ones.sparkSession
-        f = spark.createDataFrame([(c, "class", i, None) for i, c in enumerate(self.classes)], FEATURES)
         return BinaryMatrix(ones, self.rows, f, self.classes)
 
     def union(self, other: BinaryMatrix) -> BinaryMatrix:
         return BinaryMatrix(self.ones.unionByName(other.ones), self.rows, self.features.unionByName(other.features), self.classes)
 
 
+def _few(features: DataFrame) -> bool:
+    return features.limit(FEW_FEATURES + 1).count() <= FEW_FEATURES
+
+
+def packed(arrays: DataFrame, features: DataFrame, classes: list[str] | None = None) -> BinaryMatrix:
+    """A matrix from ``arrays(row, has)`` with a row for each row, without repeats in ``has``."""
+    return BinaryMatrix(arrays.select("row", F.explode("has").alias("feature")), arrays.select("row"), features, classes or list(DRUG_CLASSES), arrays)
+
+
 def discover(names: list[str]) -> str | None:
     """The preferred CSV of a folder's file names, else the first by name."""
     files = sorted(n for n in names if n.lower().endswith(".csv"))
@@ -167,6 +211,7 @@ def star_matrix(spark: SparkSession, sf_dir: str) -> BinaryMatrix:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
     both = lines.join(part, lines.l_partkey == part.p_partkey, "left")
-    cells = both.select(F.col("l_orderkey").alias("row"), F.explode(F.array_compact(F.array(F.col("p_brand"), F.concat(F.lit("flag_"), "l_returnflag", "l_linestatus")))).alias("feature"))
-    roles = feature_roles(BRANDS + FLAGS, brand_classes())
-    return BinaryMatrix(cells.distinct(), lines.select(F.col("l_orderkey").alias("row")).distinct(), spark.createDataFrame(roles, FEATURES))
+    # the one exchange of the rows: everything about an order comes from its arrays
+    flag = F.concat(F.lit("flag_"), "l_returnflag", "l_linestatus")
+    arrays = both.groupBy(F.col("l_orderkey").alias("row")).agg(F.collect_set("p_brand").alias("b"), F.collect_set(flag).alias("f")).select("row", F.concat("b", "f").alias("has"))
+    return packed(arrays, spark.createDataFrame(feature_roles(BRANDS + FLAGS, brand_classes()), FEATURES))
