@@ -10,6 +10,12 @@ bits are cut into 8 blocks of 16, and two fingerprints that differ in r bits at
 differ in r / 8 bits at most in one block.  There is a table for each block; the larger
 side is stored once in each, the queries look up all values of their block in that
 reach.  No pair is missed, and a pair counts in the first block that finds it.
+
+A table is dealt out by as many of its block's highest bits as its rows ask for
+(``GROUP_ROWS``); a group that is still too large, as many fingerprints share those bits,
+is split by a salt, and so are the queries where there are many.  A task so meets at most
+about ``MOST_ROWS`` stored fingerprints and as many queries, whatever the number of rows.
+For random bits a query meets 697 / 65536 of each table, 8.5% of all rows in the eight.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .scratch import below, partitions, prepare, tidy
+from .scratch import Scratch, below, partitions, prepare, tidy
 from .shingles import U64, mix, text_bytes, windows, word_hashes, word_spans
 
 BITS = 128
@@ -30,8 +36,10 @@ TERM = 3
 #: Bits that texts may differ in to be near: the widest radius at which one of 8 blocks differs in 3 bits at most, so wider
 #: costs more lookups and narrower loses pairs with 3/4 or more of their terms in common (see README).
 RADIUS = 31
-#: Block tables of 16 bits; the highest bits of a block that choose its task; pairs compared at once.
-BLOCKS, HIGH, AT_ONCE = 8, 4, 1 << 20
+#: Block tables of 16 bits; pairs compared at once.
+BLOCKS, AT_ONCE = 8, 1 << 20
+#: Rows of a group that are aimed at, the bits at most that make groups, and rows of a group and queries that a task meets at most.
+GROUP_ROWS, MOST_BITS, MOST_ROWS = 1 << 14, 12, 1 << 20
 #: Stands for a null id: it comes before all others.
 NO_ID = -(1 << 63)
 _SIGNS = np.where(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) == 1, 1.0, -1.0)
@@ -139,23 +147,23 @@ def simhash_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 
-def _near(prints: np.ndarray, queries: np.ndarray, t: int, g: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, print, distance) of the pairs that block ``t`` is the first to find; all prints have its highest bits ``g``.
+def _near(prints: np.ndarray, queries: np.ndarray, t: int, g: int, bits: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, print, distance) of the pairs that block ``t`` is the first to find; all prints have its highest ``bits`` ``g``.
 
     Both are arrays of 8 blocks of 16 bits.
     """
-    reach, low = radius // BLOCKS, (1 << 16 - HIGH) - 1
+    reach, low = radius // BLOCKS, (1 << 16 - bits) - 1
     order = np.argsort(prints[:, t] & low, kind="stable")
     sorted_prints = np.ascontiguousarray(prints[order])
     begin = np.searchsorted(sorted_prints[:, t] & low, np.arange(low + 2))
     p, q = sorted_prints.view(np.uint64), np.ascontiguousarray(queries).view(np.uint64)
-    off = np.bitwise_count((queries[:, t] >> 16 - HIGH) ^ np.uint16(g))
+    off = np.bitwise_count((queries[:, t] >> 16 - bits) ^ np.uint16(g))
     for mask in range(low + 1):
         wide = mask.bit_count()
         if wide > reach:
             continue
         some = np.flatnonzero(off + wide <= reach)
-        at = (queries[some, t] & low) ^ mask
+        at = ((queries[some, t] & low) ^ mask).astype(np.int64)
         first, many = begin[at], begin[at + 1] - begin[at]
         some, first, many = some[many > 0], first[many > 0], many[many > 0]
         ends = np.cumsum(many)
@@ -174,33 +182,47 @@ def _near(prints: np.ndarray, queries: np.ndarray, t: int, g: int, radius: int)
 
 
 def _meet(prints: DataFrame, queries: DataFrame, radius: int, solve, schema: str) -> DataFrame:
-    """``solve(t, g, prints, queries)`` for each block and its highest bits; ``prints`` has a column times."""
+    """``solve(t, g, bits, prints, queries)`` for each block and value of its highest bits; ``prints`` are distinct and have a column times."""
+    spark, scratch = prints.sparkSession, Scratch(prints.sparkSession, "blocks")
+    prepare(spark)
     reach = radius // BLOCKS
-    nibble = [F.conv(F.substring("fingerprint", 1 + 4 * t, 1), 16, 10).cast("int") for t in range(BLOCKS)]
     held = lambda df: df.where("fingerprint is not null")
-    own = F.array(*[F.struct(F.lit(t).alias("t"), nibble[t].alias("g")) for t in range(BLOCKS)])
-    stored = held(prints).select(F.unhex("fingerprint").alias("print"), "times", F.explode(own).alias("k")).select("k.t", "k.g", "print", "times")
-    every = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(g).alias("g")) for t in range(BLOCKS) for g in range(1 << HIGH)])
-    asked = held(queries).select("fingerprint").distinct().select("fingerprint", F.array(*nibble).alias("own"))
-    keys = F.filter(every, lambda x: F.bit_count(F.get("own", x["t"]).bitwiseXOR(x["g"])) <= reach)
-    asked = asked.select(F.unhex("fingerprint").alias("print"), F.explode(keys).alias("k")).select("k.t", "k.g", "print")
+    stored = scratch.table(held(prints).select("fingerprint", "times"), "stored")
+    asked = scratch.table(held(queries).select("fingerprint").distinct(), "asked")
+    n = stored.count()
+    bits = min(MOST_BITS, max(0, (max(1, n) - 1) // GROUP_ROWS).bit_length())
+    masks = [m for m in range(1 << bits) if m.bit_count() <= reach]
+    # queries of a group: all, by the share of the groups that each of them looks into
+    parts = max(1, -(-asked.count() * len(masks) // ((1 << bits) * MOST_ROWS)))
+    block = lambda t: F.shiftright(F.conv(F.substring("fingerprint", 1 + 4 * t, 4), 16, 10).cast("int"), 16 - bits)
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), block(t).alias("g")) for t in range(BLOCKS)])
+    stored = stored.select("fingerprint", "times", F.inline(keys))
+    # groups too large for a task: at most one for each MOST_ROWS rows of a table, so their list is short
+    hot = scratch.table(stored.groupBy("t", "g").agg(F.count("*").alias("n")).where(F.col("n") > MOST_ROWS).select("t", "g", F.ceil(F.col("n") / MOST_ROWS).cast("int").alias("salts")), "hot")
+    salted = lambda df: df.join(F.broadcast(hot), ["t", "g"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    digest = lambda seed: F.xxhash64("fingerprint", F.lit(seed))
+    stored = salted(stored).select("t", "g", F.pmod(digest(1), F.col("salts")).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.unhex("fingerprint").alias("print"), "times")
+    asked = asked.select("fingerprint", F.inline(keys)).select("fingerprint", "t", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("g").bitwiseXOR(m))).alias("g"))
+    asked = salted(asked).select("t", "g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.pmod(digest(2), F.lit(parts)).cast("int").alias("part"), F.unhex("fingerprint").alias("print"))
 
     def blocks(table: pa.Table) -> np.ndarray:
         return np.frombuffer(b"".join(table.column("print").to_pylist()), ">u2").astype(np.uint16).reshape(-1, BLOCKS)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return solve(key[0].as_py(), key[1].as_py(), left, right, blocks(left), blocks(right))
+        return solve(key[0].as_py(), key[1].as_py(), bits, left, right, blocks(left), blocks(right))
 
-    return stored.groupBy("t", "g").cogroup(asked.groupBy("t", "g")).applyInArrow(run, schema)
+    by = ["t", "g", "salt", "part"]
+    return stored.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, schema)
 
 
 def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (query, fingerprint, distance) of hex fingerprints at most ``radius`` bits apart.
 
-    Both inputs have a column ``fingerprint``; nulls and repeated ones are taken once.
+    Both inputs have a column ``fingerprint``; nulls are left out, repeated ones taken once;
+    without rows on either side there are none.
     """
-    def solve(t, g, left, right, p, q):
-        found = list(_near(p, q, t, g, radius)) if len(p) and len(q) else []
+    def solve(t, g, bits, left, right, p, q):
+        found = list(_near(p, q, t, g, bits, radius)) if len(p) and len(q) else []
         one = lambda k: np.concatenate([np.zeros(0, np.int64), *[f[k].astype(np.int64) for f in found]])
         names = lambda table, at: pa.array([table.column("print")[int(i)].as_py().hex() for i in at], pa.string())
         return pa.table([names(right, one(0)), names(left, one(1)), pa.array(one(2).astype(np.int32))], ["query", "fingerprint", "distance"])
@@ -211,13 +233,14 @@ def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = RADIU
 def near_counts(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(query, found): the rows of ``prints``, repeated ones included, at most ``radius`` bits from each distinct query.
 
-    Pairs are counted where they are found, so their number is never that of rows.
+    Pairs are counted where they are found, so their number is never that of rows.  Nulls
+    are left out; queries that find nothing, and all where a side is empty, give no row.
     """
-    def solve(t, g, left, right, p, q):
+    def solve(t, g, bits, left, right, p, q):
         sums = np.zeros(len(q), np.int64)
         if len(p) and len(q):
             times = left.column("times").to_numpy()
-            for a, b, _ in _near(p, q, t, g, radius):
+            for a, b, _ in _near(p, q, t, g, bits, radius):
                 np.add.at(sums, a, times[b])
         at = np.flatnonzero(sums)
         return pa.table([pa.array([right.column("print")[int(i)].as_py().hex() for i in at], pa.string()), pa.array(sums[at])], ["query", "found"])
