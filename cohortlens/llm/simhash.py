@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .scratch import Scratch, below, partitions, prepare, tidy
-from .shingles import U64, mix, text_bytes, windows, word_hashes, word_spans
+from .shingles import U64, mix, slices, text_bytes, windows, word_hashes, word_spans
 
 BITS = 128
 #: Words of a term.
@@ -42,6 +42,8 @@ BLOCKS, AT_ONCE = 8, 1 << 20
 GROUP_ROWS, MOST_BITS, MOST_ROWS = 1 << 14, 12, 1 << 20
 #: Stands for a null id: it comes before all others.
 NO_ID = -(1 << 63)
+#: Bytes of text whose terms are hashed together: some 100 bytes of tables for each.
+TOGETHER = 1 << 18
 _SIGNS = np.where(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) == 1, 1.0, -1.0)
 
 
@@ -51,7 +53,7 @@ def fingerprints(texts: list[bytes]) -> list[bytes]:
     i = 0
     while i < len(texts):
         j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 20):
+        while j < len(texts) and (j == i or size + len(texts[j]) <= TOGETHER):
             size += len(texts[j])
             j += 1
         out += _some(pa.array(texts[i:j], pa.binary()))
@@ -100,7 +102,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", *_OUT])
 
-    for batch in batches:
+    for batch in (b.slice(i, j - i) for b in batches for i, j in slices(b.column("text"), 4 * TOGETHER)):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         own = fingerprints([t.encode() for t in texts])
         chain = ([held] if held else []) + list(zip(batch.column("id").to_pylist(), texts, own, batch.column("guest").to_pylist()))
