@@ -67,10 +67,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n_near``: other rows at most ``RADIUS`` bits away, for ids divisible by 20 (else null)."""
     rows = Scratch(spark, "simhash").table(simhash_documents(_read(spark, sf_dir, "documents")), "prints")
     queries = rows.where("doc_id % 20 = 0")
-    near = near_counts(rows, queries).withColumn("found", F.col("found") - 1)
-    full = rows.join(near.withColumnRenamed("query", "fingerprint"), "fingerprint", "left")
-    return full.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
-                       F.when(F.col("doc_id") % 20 == 0, F.col("found")).alias("n_near"))
+    near = near_counts(rows, queries).select("query", (F.col("found") - 1).alias("n_near"))
+    # many queries may share a fingerprint: it is dealt out by a salt, and other rows take no part
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")
+    counted = queries.withColumn("salt", salt).join(near.select(F.col("query").alias("fingerprint"), "n_near", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")), ["fingerprint", "salt"], "left")
+    rest = rows.where(F.coalesce(F.col("doc_id") % 20 != 0, F.lit(True))).withColumn("n_near", F.lit(None).cast("long"))
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near"]
+    return counted.select(columns).union(rest.select(columns))
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

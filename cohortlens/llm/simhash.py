@@ -38,8 +38,9 @@ TERM = 3
 RADIUS = 31
 #: Block tables of 16 bits; pairs compared at once.
 BLOCKS, AT_ONCE = 8, 1 << 20
-#: Rows of a group that are aimed at, the bits at most that make groups, and rows of a group and queries that a task meets at most.
-GROUP_ROWS, MOST_BITS, MOST_ROWS = 1 << 14, 12, 1 << 20
+#: Rows of a group that are aimed at, the bits at least (so that a small table is spread too) and at most that make groups,
+#: and rows of a group and queries that a task meets at most.
+GROUP_ROWS, LEAST_BITS, MOST_BITS, MOST_ROWS = 1 << 16, 4, 12, 1 << 20
 #: Stands for a null id: it comes before all others.
 NO_ID = -(1 << 63)
 #: Bytes of text whose terms are hashed together: some 100 bytes of tables for each.
@@ -192,7 +193,7 @@ def _meet(prints: DataFrame, queries: DataFrame, radius: int, solve, schema: str
     stored = scratch.table(held(prints).select("fingerprint", "times"), "stored")
     asked = scratch.table(held(queries).select("fingerprint").distinct(), "asked")
     n = stored.count()
-    bits = min(MOST_BITS, max(0, (max(1, n) - 1) // GROUP_ROWS).bit_length())
+    bits = min(MOST_BITS, max(LEAST_BITS, ((max(1, n) - 1) // GROUP_ROWS).bit_length()))
     masks = [m for m in range(1 << bits) if m.bit_count() <= reach]
     # queries of a group: all, by the share of the groups that each of them looks into
     parts = max(1, -(-asked.count() * len(masks) // ((1 << bits) * MOST_ROWS)))

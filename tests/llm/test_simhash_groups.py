@@ -21,6 +21,7 @@ def prints(seed=11):
 def test_shipped_radius_by_brute_force(spark, monkeypatch, group, most):
     monkeypatch.setattr(simhash, "GROUP_ROWS", group)
     monkeypatch.setattr(simhash, "MOST_ROWS", most)
+    monkeypatch.setattr(simhash, "LEAST_BITS", 0)
     monkeypatch.setattr(simhash, "MOST_BITS", 6)
     all_ = prints()
     asked = all_[::9]
