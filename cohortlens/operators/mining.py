@@ -46,11 +46,7 @@ def association_rules(itemsets: DataFrame, min_lift: float = 1.0, min_confidence
     antecedents, consequents (arrays), support, confidence, lift, leverage, conviction
     (infinite where the confidence is 1).
     """
-    many = itemsets.where(F.size("items") >= 2)
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("items")).cast("int") - 2)
-    cut = many.select("items", "support", F.explode(masks).alias("mask"))
-    side = lambda bit: F.filter("items", lambda x, i: F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2), i)), F.lit(2)) == bit)
-    rules = cut.select("support", side(1).alias("antecedents"), side(0).alias("consequents"))
+    rules = _divided(itemsets.where(F.size("items") >= 2).select("items", "support"))
     known = itemsets.select("items", "support")
     a = known.select(F.col("items").alias("antecedents"), F.col("support").alias("sa"))
     c = known.select(F.col("items").alias("consequents"), F.col("support").alias("sc"))
@@ -62,6 +58,32 @@ def association_rules(itemsets: DataFrame, min_lift: float = 1.0, min_confidence
     return out.where((F.col("lift") >= min_lift) & (F.col("confidence") >= min_confidence)).select("antecedents", "consequents", "support", "confidence", "lift", "leverage", "conviction")
 
 
+#: Length of sets that are divided at once, by the numbers below 2^length; longer ones are divided item by item.
+AT_ONCE = 12
+
+
+def _divided(sets: DataFrame) -> DataFrame:
+    """support, antecedents, consequents: all ways to part a set in two, each side in the set's order.
+
+    Longer sets start with one consequent and move one item after another, each behind
+    the last moved, so that every division is made once and no row is wider than its set.
+    """
+    short = sets.where(F.size("items") <= AT_ONCE)
+    cut = short.select("items", "support", F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("items")).cast("int") - 2)).alias("mask"))
+    side = lambda bit: F.filter("items", lambda x, i: F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2), i)), F.lit(2)) == bit)
+    out = cut.select("support", side(1).alias("antecedents"), side(0).alias("consequents"))
+    longest = sets.agg(F.max(F.size("items"))).first()[0] or 0
+    if longest <= AT_ONCE:
+        return out
+    level = sets.where(F.size("items") > AT_ONCE).select("support", F.col("items").alias("antecedents"), F.array().cast("array<string>").alias("consequents"))
+    for _ in range(longest - 1):
+        last = F.coalesce(F.try_element_at("consequents", F.lit(-1)), F.lit(""))
+        moved = level.where(F.size("antecedents") > 1).select("*", F.explode(F.filter("antecedents", lambda x: (F.size("consequents") == 0) | (x > last))).alias("x"))
+        level = settled(moved.select("support", F.array_remove("antecedents", F.col("x")).alias("antecedents"), F.concat("consequents", F.array("x")).alias("consequents")))
+        out = out.union(level)
+    return out
+
+
 def rule_view(rules: DataFrame) -> DataFrame:
     """Three digits, as reports show them; parts joined by ", "."""
     num = [F.bround(c, 3).alias(c) for c in ("support", "confidence", "lift", "leverage", "conviction")]

@@ -106,14 +106,29 @@ def tested(tables: DataFrame) -> DataFrame:
     return out.where("p is not null")
 
 
-def adjust(df: DataFrame, p: str = "p", method: str = "fdr_bh", ties: tuple[str, ...] = ("item1", "item2"), out: str = "adj_p", by: tuple[str, ...] = ()) -> DataFrame:
-    """Adjusted p-values over the whole table, or each part of it that has equal ``by``: fdr_bh, bonferroni or holm.
+#: Corrections for many tests, by the names of the usual statistics packages.
+METHODS = ("bonferroni", "sidak", "holm", "holm-sidak", "simes-hochberg", "fdr_bh", "fdr_by", "fdr_tsbh", "fdr_tsbky")
 
-    The whole table is ranked part by part where it is large (see ``ordering``); a part
-    with equal ``by`` is one resample's tests, as many as pairs of columns.
+
+def _harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m: summed below 64, by its expansion above, exact to double precision."""
+    x = m.cast("double")
+    small = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(m.cast("long"), F.lit(64))), F.lit(0.0), lambda s, i: s + 1 / i)
+    return F.when(m <= 64, small).otherwise(F.log(x) + 0.57721566490153286 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6))
+
+
+def adjust(df: DataFrame, p: str = "p", method: str = "fdr_bh", ties: tuple[str, ...] = ("item1", "item2"), out: str = "adj_p", by: tuple[str, ...] = (), alpha: float = 0.05) -> DataFrame:
+    """Adjusted p-values over the whole table, or each part of it that has equal ``by``, by one of ``METHODS``.
+
+    ``alpha`` matters to the two-stage methods only: what a first pass rejects at it tells
+    how many hypotheses may hold.  The whole table is ranked part by part where it is
+    large (see ``ordering``); a part with equal ``by`` is one resample's tests, as many as
+    pairs of columns.
     """
-    if method not in ("fdr_bh", "holm", "bonferroni"):
+    if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
+    if method in ("fdr_tsbh", "fdr_tsbky"):
+        return _two_stages(df, p, method, ties, out, by, alpha)
     names = df.columns
     here, several = list(by), False
     if by:
@@ -125,10 +140,13 @@ def adjust(df: DataFrame, p: str = "p", method: str = "fdr_bh", ties: tuple[str,
             df, base = ordering.with_parts_before(df, F.lit(1), "_base"), F.coalesce("_base", F.lit(0))
     window = Window.partitionBy(*here)
     ranked = df.withColumn("_r", F.row_number().over(window.orderBy(F.col(p), *ties)) + base).withColumn("_m", many)
-    if method == "bonferroni":
-        return ranked.select(*names, F.least(F.lit(1.0), F.col(p) * F.col("_m")).alias(out))
-    down = method == "fdr_bh"
-    raw = F.col(p) * F.col("_m") / F.col("_r") if down else F.col(p) * (F.col("_m") - F.col("_r") + 1)
+    m, left = F.col("_m"), F.col("_m") - F.col("_r") + 1
+    of_many = lambda k: F.when(F.col(p) < 1, -F.expm1(k * F.log1p(-F.col(p)))).otherwise(1.0)
+    raw = {"bonferroni": F.col(p) * m, "sidak": of_many(m), "holm": F.col(p) * left, "holm-sidak": of_many(left), "simes-hochberg": F.col(p) * left,
+           "fdr_bh": F.col(p) * m / F.col("_r"), "fdr_by": F.col(p) * m / F.col("_r") * _harmonic(m)}[method]
+    if method in ("bonferroni", "sidak"):
+        return ranked.select(*names, F.least(F.lit(1.0), raw).alias(out))
+    down = method in ("fdr_bh", "fdr_by", "simes-hochberg")
     how, either = (F.min, F.least) if down else (F.max, F.greatest)
     value = how(raw).over(window.orderBy(F.desc("_r") if down else F.col("_r")).rowsBetween(Window.unboundedPreceding, 0))
     if several:
@@ -137,6 +155,21 @@ def adjust(df: DataFrame, p: str = "p", method: str = "fdr_bh", ties: tuple[str,
     return ranked.withColumn("_v", value).select(*names, F.least(F.lit(1.0), F.col("_v")).alias(out))
 
 
+def _two_stages(df: DataFrame, p: str, method: str, ties: tuple[str, ...], out: str, by: tuple[str, ...], alpha: float) -> DataFrame:
+    """Adjusted for the hypotheses that a first pass leaves: times their share, unless it rejects none or all."""
+    factor = 1 + alpha if method == "fdr_tsbky" else 1.0
+    first = adjust(df, p, "fdr_bh", ties, "_bh", by)
+    first = first if by else settled(first)
+    gone, every = F.sum((F.col("_bh") <= alpha / factor).cast("long")), F.count("*")
+    if by:
+        part = Window.partitionBy(*by)
+        full = first.withColumn("_gone", gone.over(part)).withColumn("_m", every.over(part))
+    else:
+        full = first.crossJoin(F.broadcast(first.agg(gone.alias("_gone"), every.alias("_m"))))
+    share = F.when((F.col("_gone") == 0) | (F.col("_gone") == F.col("_m")), 1.0).otherwise((F.col("_m") - F.col("_gone")) / F.col("_m"))
+    return full.select(*df.columns, F.least(F.lit(1.0), F.col("_bh") * share * factor).alias(out))
+
+
 def cooccurrence(m: BinaryMatrix, alpha: float = 0.05, method: str = "fdr_bh", cross_roles: bool = False, tests: DataFrame | None = None) -> DataFrame:
     """Significant pairs with full precision: item1, item2, role1, role2, phi, raw_p, adj_p.
 

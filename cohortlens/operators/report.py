@@ -10,16 +10,23 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Rows of a table that a report shows at most; more than that is a table to write with Spark.
-MOST = 100_000
+#: Rows of a table that a report shows at most, and how a note on the others begins.
+MOST, _CUT = 100_000, "The first "
 
 
-def bounded(df: DataFrame) -> pd.DataFrame:
-    """The rows of a report's table; refuses one that grows with the data."""
-    rows = df.limit(MOST + 1).toPandas()
-    if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} rows; write it with DataFrame.write")
-    return rows
+def shown(df: DataFrame, place: str, most: int | None = None) -> tuple[pd.DataFrame, str]:
+    """A report's rows of a table, and what is to be said of the others.
+
+    A table of more rows is written whole, as Parquet by Spark, at ``place``; the report
+    has its first rows in their order and names their true number and that place.
+    """
+    most = MOST if most is None else most
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) <= most:
+        return rows, ""
+    df.write.mode("overwrite").parquet(place)
+    total = df.sparkSession.read.parquet(place).count()
+    return rows.head(most), f"{_CUT}{most} of {total} rows; all are in {place}."
 
 
 def table_html(t: pd.DataFrame, caption: str, level: str = "h2") -> str:
@@ -108,7 +115,10 @@ def write_html(tables: list[tuple[str, str, pd.DataFrame]], out: Path, title: st
         for k, (p, what) in enumerate(parts):
             if p in by:
                 left.pop(p, None)
-                body.append(table_html(by[p][1], f"{i}{chr(97 + k)}) {what}" if what else "", "h3"))
+                note, rows = by[p]
+                body.append(table_html(rows, f"{i}{chr(97 + k)}) {what}" if what else "", "h3"))
+                if _CUT in note:
+                    body.append(f"<p>{html.escape(note[note.index(_CUT):])}</p>")
         body.append("</section>")
     body += [table_html(t, note) for note, t in left.values()]
     body.append("<section><h2>Methods</h2><ul>" + "".join(f"<li>{html.escape(x)}</li>" for x in METHODS) + "</ul></section>")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import logging
+import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -19,7 +20,7 @@ from ..operators import advanced, bootstrap, charts, communities, graph, mining,
 from ..operators.figures import bars_svg, histogram_svg, network_svg, save
 from ..operators.workbook import report_workbook
 from ..sources.matrix import BinaryMatrix, discover, from_wide, join_files, read_delimited
-from ..sources.shared import settled
+from ..sources.shared import settled, shared_dir
 
 log = logging.getLogger(__name__)
 
@@ -132,10 +133,13 @@ def analyse(spark: SparkSession, settings: Settings, files: list[str] | None = N
     """Run everything and write CSV, JSON and HTML; a stage that fails is logged and left out."""
     out = Path(settings.output_dir).resolve()
     out.mkdir(parents=True, exist_ok=True)
+    # executors write there: the output folder itself only where they share it
+    large = f"{out.as_uri()}/tables" if spark.sparkContext.master.startswith("local") else f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
     tables, failed = [], {}
     for r in results(load(spark, settings, files), settings):
         try:
-            tables.append((r.name, r.note, report.bounded(r.frame)))
+            rows, more = report.shown(r.frame, f"{large}/{r.name}")
+            tables.append((r.name, f"{r.note}. {more}" if more else r.note, rows))
         except Exception as e:  # noqa: BLE001 - a stage on its own
             log.exception("%s failed", r.name)
             failed[r.name] = str(e).splitlines()[0]

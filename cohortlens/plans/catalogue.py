@@ -289,6 +289,17 @@ def _(s, d):
     return t.select("item1", "item2", *r6("fdr_bh", "bonferroni", "holm"))
 
 
+@query("t4_more_methods", sql("""SELECT item1, item2, round(CASE WHEN p < 1 THEN 1 - pow(1 - p, m) ELSE 1 END, 6) AS sidak, round(max(1 - pow(1 - p, m - rk + 1)) OVER (ORDER BY rk ROWS UNBOUNDED PRECEDING), 6) AS holm_sidak,
+    round(least(1, min(p * (m - rk + 1)) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 6) AS hochberg, round(least(1, min(p * m / rk * h) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 6) AS fdr_by,
+    round(least(1, adj_p * CASE WHEN g1 IN (0, m) THEN 1 ELSE (m - g1) / m END), 6) AS fdr_tsbh, round(least(1, adj_p * 1.05::DOUBLE * CASE WHEN g2 IN (0, m) THEN 1 ELSE (m - g2) / m END), 6) AS fdr_tsbky
+    FROM (SELECT *, sum((adj_p <= 0.05)::INT) OVER () AS g1, sum((adj_p <= 0.05::DOUBLE / 1.05::DOUBLE)::INT) OVER () AS g2, list_sum(list_transform(range(1, m + 1), lambda i: 1 / i)) AS h FROM ha)""", o.NETWORK))
+def _(s, d):
+    t = settled(pairs.tested(pairs.contingency(star_matrix(s, d))))
+    for method, out in (("sidak", "sidak"), ("holm-sidak", "holm_sidak"), ("simes-hochberg", "hochberg"), ("fdr_by", "fdr_by"), ("fdr_tsbh", "fdr_tsbh"), ("fdr_tsbky", "fdr_tsbky")):
+        t = pairs.adjust(t, method=method, out=out)
+    return t.select("item1", "item2", *r6("sidak", "holm_sidak", "hochberg", "fdr_by", "fdr_tsbh", "fdr_tsbky"))
+
+
 @query("t5_class_cooccurrence", sql("SELECT item1, item2, round(phi, 6) AS phi, round(p, 6) AS raw_p, round(adj_p, 6) AS adj_p FROM ka WHERE adj_p <= 0.05", o.pairs("k", "mcones", "mrows", "cfeats")))
 def _(s, d):
     return pairs.cooccurrence(resistance.mdr_subset(star_matrix(s, d)).class_level()).select("item1", "item2", *r6("phi", "raw_p", "adj_p"))

@@ -275,4 +275,4 @@ def test_reports(spark, toy, tmp_path):
     assert len(report.write_triple(t, tmp_path / "r", "one", "said", {"ok": True})) == 3
     page = report.advanced_html({"redundancy": advanced.redundant_pairs(toy)}, f"{tmp_path}/a.html")
     assert "Redundancy" in open(page).read()
-    assert report.bounded(toy.ones).shape[1] == 2
+    assert report.shown(toy.ones, "unused")[0].shape[1] == 2
