@@ -37,14 +37,21 @@ def correlated(base: Column, name: str, p: float, rho: float, seed: int) -> Colu
     return (uniform(seed, name) < F.when(base == 1, high).otherwise(low)).cast("int")
 
 
-def synthetic_matrix(spark: SparkSession, n_rows: int = 200, n_genes: int = 30, n_virulence: int = 20, noise: float = 0.05, seed: int = 42) -> tuple[BinaryMatrix, dict]:
-    """The matrix and its truth: drugs, genes (every third of the first 13 tied to its drug) and virulence factors."""
+def _strains(spark: SparkSession, n_rows: int) -> DataFrame:
+    return spark.range(n_rows).select(F.format_string("Strain_%04d", F.col("id") + 1).alias("row"))
+
+
+def synthetic_matrix(spark: SparkSession, n_rows: int = 200, n_genes: int = 30, n_virulence: int = 20, noise: float = 0.05, seed: int = 42, rows: DataFrame | None = None) -> tuple[BinaryMatrix, dict]:
+    """The matrix and its truth: drugs, genes (every third of the first 13 tied to its drug) and virulence factors.
+
+    ``rows`` (row: string) gives known isolates synthetic values, in place of ``n_rows`` new ones.
+    """
     drugs = [d for c in DRUG_CLASSES.values() for d in c]
     genes = [f"AMR_Gene_{i:02d}" for i in range(1, n_genes + 1)]
     factors = [f"Virulence_{i:02d}" for i in range(1, n_virulence + 1)]
     p = dict(zip(drugs + genes + factors, beta_prevalences(len(drugs) + n_genes + n_virulence, 0.35, 0.2, seed)))
     rho = {}
-    rows = spark.range(n_rows).select(F.format_string("Strain_%04d", F.col("id") + 1).alias("row"))
+    rows = _strains(spark, n_rows) if rows is None else rows.select("row")
     wide = rows.withColumns({d: bernoulli(d, p[d], seed) for d in drugs})
     cols = {}
     for i, g in enumerate(genes):
@@ -98,15 +105,15 @@ def random_tree(names: list[str], seed: int = 42) -> str:
     return (parts[0] if parts else "") + ";"
 
 
-def clustered_matrix(spark: SparkSession, n_rows: int = 200, bonus: float = 0.3, noise: float = 0.05, seed: int = 42) -> tuple[BinaryMatrix, dict]:
+def clustered_matrix(spark: SparkSession, n_rows: int = 200, bonus: float = 0.3, noise: float = 0.05, seed: int = 42, rows: DataFrame | None = None) -> tuple[BinaryMatrix, dict]:
     """Two clusters of isolates with drug rates of their own; a gene is likelier by ``bonus`` where its drug is 1.
 
-    The truth holds each cluster's rates.
+    The truth holds each cluster's rates.  ``rows``: see ``synthetic_matrix``.
     """
     drugs = [d for c in DRUG_CLASSES.values() for d in c]
     rates = [beta_prevalences(len(drugs), m, 0.15, seed + i) for i, m in enumerate((0.25, 0.6))]
     cluster = (uniform(seed, "cluster") < 0.5).cast("int")
-    rows = spark.range(n_rows).select(F.format_string("Strain_%04d", F.col("id") + 1).alias("row")).withColumn("cluster", cluster)
+    rows = (_strains(spark, n_rows) if rows is None else rows.select("row")).withColumn("cluster", cluster)
     wide = rows.withColumns({d: (uniform(seed, d) < F.when(F.col("cluster") == 0, a).otherwise(b)).cast("int") for d, a, b in zip(drugs, *rates)})
     genes = {f"gene_{d}": (uniform(seed, f"gene_{d}") < F.least(F.lit(0.95), 0.2 + bonus * F.col(d))).cast("int") for d in drugs}
     wide = wide.withColumns(genes)
@@ -118,10 +125,10 @@ def clustered_matrix(spark: SparkSession, n_rows: int = 200, bonus: float = 0.3,
     return BinaryMatrix(ones, rows.select("row"), features), {"rates": dict(zip(drugs, zip(*rates))), "bonus": bonus, "noise": noise}
 
 
-def cooccurring_matrix(spark: SparkSession, n_rows: int = 200, n_features: int = 10, p: float = 0.4, rho: float = 0.6, seed: int = 42) -> tuple[BinaryMatrix, list[tuple[str, str]]]:
-    """Features of which every odd one is tied to the one before; the truth is the tied pairs."""
+def cooccurring_matrix(spark: SparkSession, n_rows: int = 200, n_features: int = 10, p: float = 0.4, rho: float = 0.6, seed: int = 42, rows: DataFrame | None = None) -> tuple[BinaryMatrix, list[tuple[str, str]]]:
+    """Features of which every odd one is tied to the one before; the truth is the tied pairs.  ``rows``: see ``synthetic_matrix``."""
     names = [f"F{i:02d}" for i in range(n_features)]
-    rows = spark.range(n_rows).select(F.format_string("Strain_%04d", F.col("id") + 1).alias("row"))
+    rows = _strains(spark, n_rows) if rows is None else rows.select("row")
     wide = rows.withColumns({n: bernoulli(n, p, seed) for n in names[::2]})
     tied = [(a, b) for a, b in zip(names[::2], names[1::2])]
     wide = wide.withColumns({b: correlated(F.col(a), b, p, rho, seed) for a, b in tied})

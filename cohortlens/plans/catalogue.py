@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import draws, stats, text
 from ..operators import advanced, bootstrap, charts, communities, graph, mining, ordering, pairs, patterns, resistance, scores, synth, validation
-from ..sources.matrix import FEATURES, BinaryMatrix, star_matrix
+from ..sources.matrix import FEATURES, BinaryMatrix, feature_roles, star_matrix
 from ..sources.shared import settled
 from . import oracles as o
 from .oracles import sql
@@ -69,9 +69,24 @@ def _tests(m: BinaryMatrix) -> DataFrame:
 # ---- sources, projections, filters ------------------------------------------------------------
 
 
-@query("s3_feature_roles", sql("SELECT f AS feature, role, ord, class FROM feats"))
+def _seen(m: BinaryMatrix) -> DataFrame:
+    """The features that occur in the rows."""
+    return m.features.join(m.ones.select("feature").distinct(), "feature", "left_semi")
+
+
+@query("s3_feature_roles", sql("SELECT f AS feature, role, ord, class FROM feats WHERE f IN (SELECT f FROM ones)"))
 def _(s, d):
-    return star_matrix(s, d).features
+    return _seen(star_matrix(s, d)).select("feature", "role", "ord", "class")
+
+
+@query("u3_skipped_columns", """SELECT unnest(['o_custkey', 'o_orderdate', 'o_orderkey', 'o_orderstatus', 'o_totalprice']) AS feature, unnest([2, 5, 1, 3, 4]) - 1 AS ord, unnest([n1, n2, n3, n4, n5]) AS n_values FROM (
+    SELECT count(o_custkey) AS n1, count(o_orderdate) AS n2, count(o_orderkey) AS n3, count(o_orderstatus) AS n4, count(o_totalprice) AS n5 FROM orders)""")
+def _(s, d):
+    """The columns of a wide table that aren't skipped, with the values they hold."""
+    orders = _read(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    roles = feature_roles(orders.columns, skipped=("o_orderpriority",))
+    counts = orders.agg(*[F.count(name).alias(name) for name, *_ in roles])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("feature"), F.lit(at).alias("ord"), F.col(name).alias("n_values")) for name, _, at, _ in roles])))
 
 
 @query("s6_full_outer_align", sql("""SELECT coalesce(a.r, b.r) AS isolate, a.n_pheno, b.n_gene FROM (SELECT r, count(*) AS n_pheno FROM pones GROUP BY r) a
@@ -136,16 +151,16 @@ def _(s, d):
 # ---- joins and aggregates ---------------------------------------------------------------------
 
 
-@query("j1_feature_pairs", sql("SELECT a.f AS item1, b.f AS item2 FROM feats a JOIN feats b ON a.ord < b.ord"))
+@query("j1_feature_pairs", sql("SELECT a.f AS item1, b.f AS item2 FROM feats a JOIN feats b ON a.ord < b.ord WHERE a.f IN (SELECT f FROM ones) AND b.f IN (SELECT f FROM ones)"))
 def _(s, d):
-    f = star_matrix(s, d).features
+    f = settled(_seen(star_matrix(s, d)))
     a, b = f.select(F.col("feature").alias("item1"), F.col("ord").alias("o1")), f.select(F.col("feature").alias("item2"), F.col("ord").alias("o2"))
     return a.join(b, F.col("o1") < F.col("o2")).select("item1", "item2")
 
 
-@query("j2_phenotype_gene_pairs", sql("SELECT a.f AS phenotype, b.f AS gene FROM pfeats a CROSS JOIN gfeats b"))
+@query("j2_phenotype_gene_pairs", sql("SELECT a.f AS phenotype, b.f AS gene FROM pfeats a CROSS JOIN gfeats b WHERE a.f IN (SELECT f FROM ones) AND b.f IN (SELECT f FROM ones)"))
 def _(s, d):
-    f = star_matrix(s, d).features
+    f = settled(_seen(star_matrix(s, d)))
     return f.where("role = 'phenotype'").select(F.col("feature").alias("phenotype")).crossJoin(f.where("role = 'gene'").select(F.col("feature").alias("gene")))
 
 
@@ -749,12 +764,17 @@ def _(s, d):
     return advanced.redundant_pairs(star_matrix(s, d), 0.25).select("feature1", "feature2", *r6("jaccard"))
 
 
-def _synthetic_sql(n_rows: int, columns: list[tuple], noise: float) -> list[str]:
+def _isolates(s: SparkSession, d: str) -> DataFrame:
+    """Orders as isolates that get synthetic values."""
+    return _read(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("row"))
+
+
+def _synthetic_sql(columns: list[tuple], noise: float) -> list[str]:
     """CTEs yrows and yones of generated columns: (name, chance, name of the column it depends on or null, chance where that is 1)."""
     values = ", ".join(f"('{name}', {p!r}, {'NULL::VARCHAR' if base is None else repr(base)}, {p1!r}, {i})" for i, (name, p, base, p1) in enumerate(columns))
     u = lambda name: draws.unit_md5_sql("'42'", name, "r")
     return [f"""
-yrows AS (SELECT printf('Strain_%04d', i + 1) AS r FROM range(0, {n_rows}) AS g(i)),
+yrows AS (SELECT o_orderkey::VARCHAR AS r FROM orders),
 ycols(f, p0, base, p1, ord) AS (VALUES {values}),
 yfree AS (SELECT r, f, ({u('f')} < p0)::INT AS v FROM yrows, ycols WHERE base IS NULL),
 ytied AS (SELECT yrows.r, c.f, ({draws.unit_md5_sql("'42'", "c.f", "yrows.r")} < CASE WHEN x.v = 1 THEN c.p1 ELSE c.p0 END)::INT AS v FROM yrows, ycols c JOIN yfree x ON x.f = c.base WHERE x.r = yrows.r),
@@ -778,9 +798,9 @@ def _synthetic_columns() -> list[tuple]:
     return out
 
 
-@query("y5_synthetic_matrix", "WITH " + ",".join(_synthetic_sql(200, _synthetic_columns(), 0.05)) + " SELECT f AS feature, count(*) AS k FROM yones GROUP BY f")
+@query("y5_synthetic_matrix", "WITH " + ",".join(_synthetic_sql(_synthetic_columns(), 0.05)) + " SELECT f AS feature, count(*) AS k FROM yones GROUP BY f")
 def _(s, d):
-    return synth.synthetic_matrix(s, n_rows=200)[0].ones.groupBy("feature").agg(F.count("*").alias("k"))
+    return synth.synthetic_matrix(s, rows=_isolates(s, d))[0].ones.groupBy("feature").agg(F.count("*").alias("k"))
 
 
 @query("v17_histogram", """WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders)
@@ -840,7 +860,7 @@ def _clustered_sql() -> str:
     values = ", ".join(f"('{x}', {a!r}, {b!r}, {i})" for i, (x, a, b) in enumerate(zip(drugs, *rates)))
     u = lambda name: draws.unit_md5_sql("'42'", name, "r")
     noisy = lambda name: f"CASE WHEN {u(name + chr(32) + '||' + chr(32) + repr('/noise'))} < 0.05 THEN 1 - v ELSE v END"
-    return f"""WITH yrows AS (SELECT r, {u("'cluster'")} < 0.5 AS second FROM (SELECT printf('Strain_%04d', i + 1) AS r FROM range(0, 200) AS g(i))),
+    return f"""WITH yrows AS (SELECT r, {u("'cluster'")} < 0.5 AS second FROM (SELECT o_orderkey::VARCHAR AS r FROM orders)),
 ydrugs(f, a, b, ord) AS (VALUES {values}),
 d AS (SELECT r, f, ({u('f')} < CASE WHEN second THEN b ELSE a END)::INT AS v FROM yrows, ydrugs),
 g AS (SELECT r, 'gene_' || f AS f, ({u("'gene_' || f")} < least(0.95, 0.2 + 0.3 * v))::INT AS v FROM d)
@@ -849,12 +869,12 @@ SELECT f AS feature, sum({noisy('f')})::BIGINT AS k FROM (SELECT * FROM d UNION
 
 @query("y6_clustered_matrix", _clustered_sql())
 def _(s, d):
-    return pairs.prevalence(synth.clustered_matrix(s)[0]).select("feature", "k")
+    return pairs.prevalence(synth.clustered_matrix(s, rows=_isolates(s, d))[0]).select("feature", "k")
 
 
 _COOCCURRING = [(f"F{i:02d}", 0.4, None, 0.4) if i % 2 == 0 else (f"F{i:02d}", _tied(0.4, 0.6)[0], f"F{i - 1:02d}", _tied(0.4, 0.6)[1]) for i in range(10)]
 
 
-@query("y7_cooccurring_matrix", "WITH RECURSIVE " + ",".join([*_synthetic_sql(1000, _COOCCURRING, 0.0), o.pairs("y", "yones", "yrows", "yfeats")]) + " SELECT item1, item2, round(phi, 6) AS phi FROM ya WHERE adj_p <= 0.05")
+@query("y7_cooccurring_matrix", "WITH RECURSIVE " + ",".join([*_synthetic_sql(_COOCCURRING, 0.0), o.pairs("y", "yones", "yrows", "yfeats")]) + " SELECT item1, item2, round(phi, 6) AS phi FROM ya WHERE adj_p <= 0.05")
 def _(s, d):
-    return pairs.cooccurrence(synth.cooccurring_matrix(s, 1000)[0]).select("item1", "item2", *r6("phi"))
+    return pairs.cooccurrence(synth.cooccurring_matrix(s, rows=_isolates(s, d))[0]).select("item1", "item2", *r6("phi"))
