@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import draws, stats, text
-from ..operators import advanced, bootstrap, charts, communities, graph, mining, ordering, pairs, patterns, resistance, scores, synth, validation
+from ..operators import advanced, bootstrap, charts, communities, graph, mining, ordering, pages, pairs, patterns, resistance, scores, synth, tiles, validation
 from ..sources.matrix import FEATURES, BinaryMatrix, feature_roles, star_matrix
 from ..sources.shared import settled
 from . import oracles as o
@@ -878,3 +878,21 @@ _COOCCURRING = [(f"F{i:02d}", 0.4, None, 0.4) if i % 2 == 0 else (f"F{i:02d}", _
 @query("y7_cooccurring_matrix", "WITH RECURSIVE " + ",".join([*_synthetic_sql(_COOCCURRING, 0.0), o.pairs("y", "yones", "yrows", "yfeats")]) + " SELECT item1, item2, round(phi, 6) AS phi FROM ya WHERE adj_p <= 0.05")
 def _(s, d):
     return pairs.cooccurrence(synth.cooccurring_matrix(s, rows=_isolates(s, d))[0]).select("item1", "item2", *r6("phi"))
+
+
+#: Tiles of the finest of the levels shown, and how many levels.
+_FINEST, _LEVELS = 6, 3
+
+
+@query("x8_tile_pyramid", f"""WITH e AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem),
+    t AS (SELECT least(floor((l_quantity - x0) / (x1 - x0) * {1 << _FINEST}), {(1 << _FINEST) - 1})::BIGINT AS x, least(floor((l_extendedprice - y0) / (y1 - y0) * {1 << _FINEST}), {(1 << _FINEST) - 1})::BIGINT AS y, l_returnflag, l_discount FROM lineitem, e)
+    SELECT ({_FINEST} - k)::INT AS level, x >> k AS tile_x, y >> k AS tile_y, l_returnflag AS category, count(*) AS n, round(sum(l_discount), 6) AS total FROM t, range(0, {_LEVELS}) AS g(k) GROUP BY k, x >> k, y >> k, l_returnflag""")
+def _(s, d):
+    found = tiles.pyramid(_read(s, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag", "l_discount", finest=_FINEST, levels=_LEVELS)
+    return found.select("level", "tile_x", "tile_y", "category", "n", *r6("total"))
+
+
+@query("w9_deep_page", "SELECT l_orderkey, l_linenumber, round(l_extendedprice, 6) AS l_extendedprice FROM lineitem ORDER BY lineitem.l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 5 OFFSET 49995")
+def _(s, d):
+    lines = _read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return pages.paged(lines, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")]).page(10_000, 5).select("l_orderkey", "l_linenumber", *r6("l_extendedprice"))
