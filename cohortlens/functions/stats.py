@@ -250,6 +250,20 @@ def upper_tail_p(a, b, c, d, whole_support: int = WHOLE_SUPPORT) -> Column:
     return _by_support(a, b, c, d, _tail(a, b, c, d, lambda p, seen: F.lit(True), start=d), _upper_wide, whole_support)
 
 
+def hypergeometric(x: Column, r: Column, k: Column, n: Column) -> Column:
+    """Chance of x joint ones of margins r and k of n, whatever their size."""
+    m = F.struct(r.cast("long").alias("r"), k.cast("long").alias("k"), n.cast("long").alias("n"), (k.cast("double") / n).alias("p"), ((n - k).cast("double") / n).alias("q"))
+    return F.exp(bind(m, lambda v: _ln_pmf_wide(x.cast("long"), v)))
+
+
+def likely_support(r: Column, k: Column, n: Column) -> Column:
+    """struct(low, high) of the joint ones whose chance counts in double precision."""
+    long, real = lambda c: c.cast("long"), lambda c: c.cast("double")
+    sd = F.sqrt(real(r) / n * k / n * (n - r) * real(n - k) / F.greatest(n - 1, F.lit(1)))
+    wide, mode = F.ceil(_DEVIATIONS * sd) + _MORE_STEPS, F.floor(real(r + 1) * (k + 1) / (n + 2))
+    return F.struct(long(F.greatest(F.lit(0), r + k - n, mode - wide)).alias("low"), long(F.least(r, k, mode + wide)).alias("high"))
+
+
 def association(a, b, c, d) -> Column:
     """struct(chi2, p, phi, test) of the reference's rule: Fisher if an expected count is below 5, else Yates.
 

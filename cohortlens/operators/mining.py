@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import stats
+from ..functions import draws, stats
 from ..sources.matrix import BinaryMatrix
 from ..sources.shared import settled
 from . import pairs
@@ -108,7 +108,7 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return edges.orderBy(F.desc(F.round("r", 10)), "oa", "ob").limit(k)
 
 
-def ordered_pairs(m: BinaryMatrix, min_support: float = 0.1, min_confidence: float = 0.5, min_r: float = 0.3, top: int = 50, tables: DataFrame | None = None) -> DataFrame:
+def ordered_pairs(m: BinaryMatrix, min_support: float = 0.1, min_confidence: float = 0.5, min_r: float = 0.3, top: int = 50, tables: DataFrame | None = None, shuffles: int = 0, seed: int = 42) -> DataFrame:
     """A→B among the ``top`` directed edges: path, support, confidence, lift, p_value.
 
     p is the exact chance, with A and B shuffled against each other, of as many joint rows or more.
@@ -117,14 +117,20 @@ def ordered_pairs(m: BinaryMatrix, min_support: float = 0.1, min_confidence: flo
     e = _top(directed_edges(pair_tables(m) if tables is None else tables, min_r), top)
     support, confidence = F.col("n_ab") / F.col("n"), F.col("n_ab") / F.col("na")
     p = stats.upper_tail_p(F.col("n") - F.col("na") - F.col("nb") + F.col("n_ab"), F.col("nb") - F.col("n_ab"), F.col("na") - F.col("n_ab"), F.col("n_ab"))
+    if shuffles:
+        # a shuffle of B has a joint count from this distribution: its draw u tells whether the count reaches the one seen
+        u = lambda b: draws.unit_md5_column(F.lit(seed), F.concat_ws("→", "a", "b"), b)
+        reached = lambda p: F.aggregate(F.sequence(F.lit(0), F.lit(shuffles - 1)), F.lit(0), lambda s, b: s + (u(b) > 1 - p).cast("int"))
+        p = stats.bind(p, reached) / shuffles
     out = e.select(F.array("a", "b").alias("path"), support.alias("support"), confidence.alias("confidence"), (confidence / (F.col("nb") / F.col("n"))).alias("lift"), p.alias("p_value"))
     return out.where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
 
 
-def ordered_triplets(m: BinaryMatrix, min_support: float = 0.1, min_confidence: float = 0.5, min_r: float = 0.3, top: int = 20, tables: DataFrame | None = None) -> DataFrame:
+def ordered_triplets(m: BinaryMatrix, min_support: float = 0.1, min_confidence: float = 0.5, min_r: float = 0.3, top: int = 20, tables: DataFrame | None = None, exact_p: bool = False) -> DataFrame:
     """A→B→C: an edge A→B and a C that starts an edge, both among the ``top``; each path once.
 
-    confidence = P(B|A) P(C|B), lift = confidence / P(C); p_value is the reference's constant 0.05.
+    confidence = P(B|A) P(C|B), lift = confidence / P(C); p_value is the constant 0.05, or with
+    ``exact_p`` that of ``chain_p``.
     Joint counts of B and C are in the pair tables; those of all three come from one pass,
     in which rows with the same of these features are one.
     """
@@ -142,10 +148,30 @@ def ordered_triplets(m: BinaryMatrix, min_support: float = 0.1, min_confidence:
     bc = tables.select(F.least("ord1", "ord2").alias("lo"), F.greatest("ord1", "ord2").alias("hi"), F.col("n11").alias("n_bc"))
     full = want.withColumn("lo", F.least("ob", "oc")).withColumn("hi", F.greatest("ob", "oc")).join(abc, ["oa", "ob", "oc"], "left").join(bc, ["lo", "hi"], "left").na.fill(0, ["n_abc", "n_bc"])
     confidence = (F.col("n_ab") / F.col("na")) * (F.col("n_bc") / F.col("nb"))
-    out = full.select(F.array("a", "b", "c").alias("path"), (F.col("n_abc") / F.col("n")).alias("support"), confidence.alias("confidence"), (confidence / (F.col("nc") / F.col("n"))).alias("lift"), F.lit(0.05).alias("p_value"))
+    p = F.lit(0.05)
+    if exact_p:
+        full, p = chain_p(full), F.col("p")
+    out = full.select(F.array("a", "b", "c").alias("path"), (F.col("n_abc") / F.col("n")).alias("support"), confidence.alias("confidence"), (confidence / (F.col("nc") / F.col("n"))).alias("lift"), p.alias("p_value"))
     return out.where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
 
 
+def chain_p(paths: DataFrame) -> DataFrame:
+    """Adds p to (a, b, c, na, nb, nc, n, n_ab, n_bc): the chance that shuffles give P(B|A) P(C|B) at least as large.
+
+    A and C are shuffled against B, each on its own, so both joint counts are
+    hypergeometric and independent: for each count of A and B that has a chance, the
+    tail of the counts of B and C that make up the product.
+    """
+    seen = F.col("n_ab") * F.col("n_bc")
+    spread = paths.withColumn("s", stats.likely_support(F.col("na"), F.col("nb"), F.col("n"))).withColumn("x", F.explode(F.sequence("s.low", "s.high")))
+    low, high = F.greatest(F.lit(0), F.col("nb") + F.col("nc") - F.col("n")), F.least("nb", "nc")
+    y = F.greatest(low, F.when(seen == 0, F.lit(0)).otherwise(F.ceil(seen / F.col("x")))).cast("long")
+    spread = spread.withColumn("y", F.when((F.col("x") > 0) | (seen == 0), y)).where(F.col("y") <= high)
+    tail = stats.upper_tail_p(F.col("n") - F.col("nb") - F.col("nc") + F.col("y"), F.col("nc") - F.col("y"), F.col("nb") - F.col("y"), F.col("y"))
+    by = spread.withColumn("_p", stats.hypergeometric(F.col("x"), F.col("na"), F.col("nb"), F.col("n")) * tail).groupBy("a", "b", "c").agg(F.sum("_p").alias("_p"))
+    return paths.join(by, ["a", "b", "c"], "left").withColumn("p", F.least(F.lit(1.0), F.coalesce("_p", F.lit(0.0)))).drop("_p")
+
+
 def ordered_patterns(m: BinaryMatrix, min_support: float = 0.1, min_confidence: float = 0.5, min_r: float = 0.3) -> DataFrame:
     """Pairs and triplets: pattern ("A→B→C"), support, confidence, lift, p_value."""
     tables = pair_tables(m)

@@ -503,6 +503,26 @@ def _(s, d):
     return mining.ordered_triplets(star_matrix(s, d), 0.001, 0.01, 0.02).select(F.concat_ws("→", "path").alias("pattern"), *r6("support", "confidence", "lift"))
 
 
+def _hyper_sql(x: str, r: str, k: str) -> str:
+    g = lambda v: f"lgamma({v} + 1)"
+    return f"exp({g(r)} + {g(f'n - {r}')} + {g(k)} + {g(f'n - {k}')} - {g('n')} - {g(x)} - {g(f'{r} - {x}')} - {g(f'{k} - {x}')} - {g(f'n - {r} - {k} + {x}')})"
+
+
+@query("m5_shuffled_p", sql(f"""SELECT a || '→' || b AS pattern, round(avg((u > 1 - p)::INT), 6) AS p_value FROM (
+    SELECT a, b, {draws.unit_md5_sql("'42'", "a || '→' || b", 'g.i')} AS u, p FROM (SELECT a, b, least(1, list_sum(list_transform(range(n_ab, least(na, nb) + 1), lambda x: {_hyper_sql('x', 'na', 'nb')}))) AS p FROM top50) t, range(0, 100) AS g(i)) GROUP BY a, b""", o.NETWORK, _DIRECTED))
+def _(s, d):
+    return mining.ordered_pairs(star_matrix(s, d), 0.0, 0.0, 0.02, shuffles=100).select(F.concat_ws("→", "path").alias("pattern"), *r6("p_value"))
+
+
+@query("m6_triplet_p", sql("""SELECT a || '→' || b || '→' || c AS pattern, round(least(1, sum(px * CASE WHEN n_ab * n_bc = 0 THEN 1 WHEN x = 0 THEN 0 WHEN y0 <= greatest(0, nb + nc - n) THEN 1 ELSE coalesce(tail, 0) END)), 6) AS p_value
+    FROM xs LEFT JOIN ys ON ys.b2 = xs.b AND ys.c2 = xs.c AND ys.y = xs.y0 GROUP BY a, b, c""", o.NETWORK, _DIRECTED, f"""
+trip AS (SELECT DISTINCT e.a, e.b, t.a AS c, e.na, e.nb, t.na AS nc, e.n_ab, e.n, coalesce(j.n11, 0) AS n_bc FROM top20 e JOIN top20 t ON t.a <> e.a AND t.a <> e.b LEFT JOIN hj j ON j.f1 = e.b AND j.f2 = t.a),
+ys AS (SELECT b AS b2, c AS c2, y, sum({_hyper_sql('y', 'nb', 'nc')}) OVER (PARTITION BY b, c ORDER BY y DESC) AS tail FROM (SELECT DISTINCT b, c, nb, nc, n FROM trip), LATERAL (SELECT unnest(range(greatest(0, nb + nc - n), least(nb, nc) + 1)) AS y)),
+xs AS (SELECT *, {_hyper_sql('x', 'na', 'nb')} AS px, CASE WHEN x > 0 THEN (n_ab * n_bc + x - 1) // x END AS y0 FROM trip, LATERAL (SELECT unnest(range(greatest(0, na + nb - n), least(na, nb) + 1)) AS x))"""))
+def _(s, d):
+    return mining.ordered_triplets(star_matrix(s, d), 0.0, 0.0, 0.02, exact_p=True).select(F.concat_ws("→", "path").alias("pattern"), *r6("p_value"))
+
+
 # ---- graph ------------------------------------------------------------------------------------
 
 
