@@ -3,14 +3,14 @@ networks, entropy-weighted importance, stability, redundancy."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import binary_entropy
 from ..sources.matrix import BinaryMatrix
-from . import bootstrap, graph, mining, pairs
+from ..sources.shared import settled
+from . import bootstrap, graph, mining, pairs, strata
 
 
 def redundant_pairs(m: BinaryMatrix, threshold: float = 0.9) -> DataFrame:
@@ -55,22 +55,39 @@ def rules_with_intervals(m: BinaryMatrix, min_support: float = 0.05, min_confide
     return out.withColumn("is_significant", (F.col("lift_ci_lower") > 1) | (F.col("lift_ci_upper") < 1))
 
 
-def edge_confidence(m: BinaryMatrix, edge_function: Callable[[BinaryMatrix], DataFrame], replicates: int = 500, threshold: float = 0.8, seed: int = 42) -> DataFrame:
+def edge_confidence(m: BinaryMatrix, edge_function: Callable[[DataFrame], DataFrame], replicates: int = 500, threshold: float = 0.8, seed: int = 42) -> DataFrame:
     """src, dst, confidence, high_confidence: how often an edge recurs over row resamples.
 
-    ``edge_function`` gives (src, dst) of a matrix; each replicate is a plan of its own,
-    run when this is called.  For the network's edges see ``network_confidence``.
+    ``edge_function`` is given (replicate, has, n) of all replicates (see
+    ``bootstrap.resamples``) and returns (replicate, src, dst): one plan, however many
+    replicates.  ``network_by_replicate`` is the network's own.
     """
-    found: Counter = Counter()
-    for b in range(replicates):
-        w = bootstrap.row_weights(m.rows, b + 1, seed).where(F.col("replicate") == b).select("row", F.explode(F.sequence(F.lit(1), "weight")).alias("copy"))
-        again = w.withColumn("new", F.concat_ws("#", "row", "copy"))
-        sample = BinaryMatrix(m.ones.join(again, "row").select(F.col("new").alias("row"), "feature"), again.select(F.col("new").alias("row")), m.features, m.classes)
-        found.update((e.src, e.dst) for e in edge_function(sample).select("src", "dst").collect())  # bounded by the columns
-    by = m.ones.sparkSession.createDataFrame([(s, d, n / replicates) for (s, d), n in sorted(found.items())], "src string, dst string, confidence double")
+    found = edge_function(bootstrap.resamples(m, replicates, seed)).select("replicate", "src", "dst").distinct()
+    by = found.groupBy("src", "dst").agg((F.count("*") / replicates).alias("confidence"))
     return by.withColumn("high_confidence", F.col("confidence") >= threshold)
 
 
+def network_by_replicate(alpha: float = 0.05, method: str = "fdr_bh") -> Callable[[DataFrame], DataFrame]:
+    """An edge function: the significant pairs of each replicate, src < dst by name."""
+
+    def edges(rows: DataFrame) -> DataFrame:
+        counts = settled(strata.cell_counts(rows, ["replicate"], "has", weight="n"))
+        tests = strata.associations(counts, ["replicate"], method=method)
+        return tests.where(F.col("adj_p") <= alpha).select("replicate", F.col("item1").alias("src"), F.col("item2").alias("dst"))
+
+    return edges
+
+
+def pattern_recurrence(m: BinaryMatrix, pattern_function: Callable[[DataFrame], DataFrame], replicates: int = 500, seed: int = 42) -> DataFrame:
+    """feature, stability: percent of row resamples in which ``pattern_function`` finds a feature.
+
+    It is given (replicate, has, n) of all replicates and returns (replicate, feature).
+    """
+    found = pattern_function(bootstrap.resamples(m, replicates, seed)).select("replicate", "feature").distinct()
+    by = found.groupBy("feature").agg((F.count("*") * 100 / replicates).alias("stability"))
+    return m.features.select("feature").join(by, "feature", "left").na.fill(0.0, ["stability"])
+
+
 def network_confidence(m: BinaryMatrix, replicates: int = 500, threshold: float = 0.8, seed: int = 42, alpha: float = 0.05, method: str = "fdr_bh") -> DataFrame:
     """``edge_confidence`` of ``graph.network_edges``: joint counts of all replicates come from one pass over the rows."""
     size = m.features.agg(F.max("ord").alias("top")).first()["top"] + 1

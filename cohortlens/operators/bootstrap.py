@@ -205,6 +205,18 @@ def row_weights(rows: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     return spread.withColumn("weight", draws.poisson_column(draws.unit(key, F.col("replicate"), seed))).where("weight > 0")
 
 
+def resamples(m: BinaryMatrix, replicates: int, seed: int = 42) -> DataFrame:
+    """replicate, has, n: how often each distinct row of the matrix is drawn, for all replicates in one table.
+
+    Rows with the same features are one, so the table grows with the patterns; whatever
+    is computed by replicate runs once over it.
+    """
+    rows = m.by_row().select("row", F.array_sort("has").alias("has"))
+    names = settled(ordering.numbered(rows.select("has").distinct(), ["has"], "number"))
+    sums = _moments(rows.join(names, "has").select(F.col("number").alias("key"), "row", F.lit(0.0).alias("value")), replicates, seed).where("n > 0")
+    return sums.join(names.withColumnRenamed("number", "key"), "key").select("replicate", "has", "n")
+
+
 def weight_sums(keyed: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     """key, replicate, n: the weights of ``row_weights`` summed over the rows of each key, all replicates in one pass.
 

@@ -16,11 +16,11 @@ def _one(a: Column | None, b: Column | None) -> Column:
     return F.struct(text(a).alias("item1"), text(b).alias("item2"))
 
 
-def cell_counts(rows: DataFrame, by: list[str], left: str, right: str | None = None) -> DataFrame:
+def cell_counts(rows: DataFrame, by: list[str], left: str, right: str | None = None, weight: str | None = None) -> DataFrame:
     """by, item1, item2, n: rows of each stratum (no items), those with an item (item1), and those with a pair.
 
     ``left`` is an array of names; pairs are two of them in order of the names or, if
-    ``right`` is given, one of each (names of both have to differ).  A row's cells are made
+    ``right`` is given, one of each (names of both have to differ).  A row counts ``weight`` times.  A row's cells are made
     inside the row and summed before the exchange, so what is exchanged is at most a row
     for each stratum and cell and task, however large a stratum is.
     """
@@ -33,7 +33,8 @@ def cell_counts(rows: DataFrame, by: list[str], left: str, right: str | None = N
         two = F.flatten(F.transform(have, lambda a: F.transform(other, lambda b: _one(a, b))))
         one = F.transform(F.concat(have, other), lambda a: _one(a, None))
     cells = F.concat(F.array(_one(None, None)), one, two)
-    return rows.select(*by, F.inline(cells)).groupBy(*by, "item1", "item2").agg(F.count("*").alias("n"))
+    times = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    return rows.select(*by, times.alias("_times"), F.inline(cells)).groupBy(*by, "item1", "item2").agg(F.sum("_times").alias("n"))
 
 
 def merged(counts: DataFrame, by: list[str]) -> DataFrame:

@@ -754,7 +754,7 @@ def _(s, d):
     return out.select(*[F.array_join(c, ", ").alias(c) for c in ("antecedents", "consequents")], *r6("support", "confidence", "lift", "lift_ci_lower", "lift_ci_upper"), "is_significant")
 
 
-@query("x2_edge_confidence", sql("SELECT item1 AS src, item2 AS dst, round(count(*) / 500, 6) AS confidence, count(*) / 500 >= 0.8 AS high_confidence FROM xa WHERE adj_p <= 0.05 GROUP BY item1, item2", _weights_sql(500), f"""
+_RESAMPLED = f"""
 xk AS (SELECT cfeats.f, cfeats.ord, tot.b, total AS n, coalesce(k, 0) AS k FROM cfeats CROSS JOIN tot LEFT JOIN (SELECT f, b, sum(w)::BIGINT AS k FROM cones JOIN wts ON wts.r = cones.r GROUP BY f, b) q ON q.f = cfeats.f AND q.b = tot.b),
 xj AS (SELECT x.f AS f1, y.f AS f2, b, sum(w)::BIGINT AS n11 FROM cones x JOIN cones y ON x.r = y.r AND x.f <> y.f JOIN wts ON wts.r = x.r GROUP BY x.f, y.f, b),
 xc AS (SELECT x.b, x.f AS item1, y.f AS item2, x.n, x.n - x.k - y.k + coalesce(n11, 0) AS n00, y.k - coalesce(n11, 0) AS n01, x.k - coalesce(n11, 0) AS n10, coalesce(n11, 0) AS n11
@@ -762,11 +762,31 @@ xc AS (SELECT x.b, x.f AS item1, y.f AS item2, x.n, x.n - x.k - y.k + coalesce(n
 xv AS (SELECT *, {o.LEAST_E} < 5 AS exact, {o.YATES} AS y FROM xc),
 xt AS (SELECT *, CASE WHEN exact THEN {o.FISHER} ELSE {o.erfc('sqrt(y / 2)')} END AS p FROM xv),
 xr AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY p, item1, item2) AS rk, count(*) OVER (PARTITION BY b) AS m FROM xt),
-xa AS (SELECT *, least(1, min(p * m / rk) OVER (PARTITION BY b ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS adj_p FROM xr)"""))
+xa AS (SELECT *, least(1, min(p * m / rk) OVER (PARTITION BY b ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS adj_p FROM xr)"""
+
+
+@query("x2_edge_confidence", sql("SELECT item1 AS src, item2 AS dst, round(count(*) / 500, 6) AS confidence, count(*) / 500 >= 0.8 AS high_confidence FROM xa WHERE adj_p <= 0.05 GROUP BY item1, item2", _weights_sql(500), _RESAMPLED))
 def _(s, d):
     return advanced.network_confidence(star_matrix(s, d).class_level(), 500).select("src", "dst", *r6("confidence"), "high_confidence")
 
 
+@query("x2_edge_function", sql("SELECT least(item1, item2) AS src, greatest(item1, item2) AS dst, round(count(*) / 500, 6) AS confidence, count(*) / 500 >= 0.8 AS high_confidence FROM xa WHERE adj_p <= 0.05 GROUP BY 1, 2", _weights_sql(500), _RESAMPLED))
+def _(s, d):
+    """The same by the hook for edge functions."""
+    return advanced.edge_confidence(star_matrix(s, d).class_level(), advanced.network_by_replicate(), 500).select("src", "dst", *r6("confidence"), "high_confidence")
+
+
+@query("x4_pattern_function", sql("SELECT feats.f AS feature, round(coalesce(sum((n >= 0.3::DOUBLE * total)::INT), 0) * 100 / 500, 6) AS stability FROM feats CROSS JOIN tot LEFT JOIN sums ON sums.f = feats.f AND sums.b = tot.b GROUP BY feats.f", _weights_sql(500), _FEATURE_SUMS))
+def _(s, d):
+    """The same as ``x4_pattern_stability`` by the hook for pattern functions."""
+
+    def frequent(rows: DataFrame) -> DataFrame:
+        n = rows.select("replicate", "n", F.explode("has").alias("feature")).groupBy("replicate", "feature").agg(F.sum("n").alias("n"))
+        return n.join(rows.groupBy("replicate").agg(F.sum("n").alias("total")), "replicate").where(F.col("n") >= 0.3 * F.col("total"))
+
+    return advanced.pattern_recurrence(star_matrix(s, d), frequent, 500).select("feature", *r6("stability"))
+
+
 @query("x3_entropy_weighted", sql("""SELECT f AS feature, round(k / n, 6) AS base_importance, round(e, 6) AS entropy, round(k / n * (1 - 0.5 * (1 - e)), 6) AS adjusted_importance FROM (
     SELECT *, CASE WHEN k = 0 OR k = n THEN 0 ELSE -(k / n * log2(k / n) + (1 - k / n) * log2(1 - k / n)) END AS e FROM hk)""", o.NETWORK))
 def _(s, d):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.config import Settings
-from cohortlens.operators import advanced, bootstrap, charts, communities, graph, mining, pairs, patterns, report, resistance, scores, synth, validation
+from cohortlens.operators import advanced, bootstrap, charts, communities, graph, mining, pairs, patterns, report, resistance, scores, strata, synth, validation
 from cohortlens.sources.matrix import DRUG_CLASSES, FEATURES, BinaryMatrix, discover, feature_roles, from_wide, read_delimited, sniff_delimiter, to_wide
 
 
@@ -106,7 +106,7 @@ def test_replicates_in_one_pass(spark):
     assert {(r.key, r.replicate): r.n for r in bootstrap.feature_sums(m, 6, 42).collect() if r.n} == want
     edges = lambda df: {(r.src, r.dst): (r.confidence, r.high_confidence) for r in df.collect()}
     got = edges(advanced.network_confidence(m, 6))
-    assert ("A", "B") in got and got == edges(advanced.edge_confidence(m, graph.network_edges, 6))
+    assert ("A", "B") in got and got == edges(advanced.edge_confidence(m, advanced.network_by_replicate(), 6))
 
 
 def test_registered_replicates(monkeypatch):
@@ -204,8 +204,11 @@ def test_bootstrap(toy):
 
 def test_advanced(toy):
     assert [(r.feature1, r.feature2) for r in advanced.redundant_pairs(toy).collect()] == [("A", "B")]
-    e = advanced.edge_confidence(toy, lambda m: pairs.joint_counts(m).where("n11 >= 2").select(F.col("ord1").cast("string").alias("src"), F.col("ord2").cast("string").alias("dst")), 4)
+    e = advanced.edge_confidence(toy, lambda rows: strata.cell_counts(rows, ["replicate"], "has", weight="n").where("item2 is not null and n >= 2").select("replicate", F.col("item1").alias("src"), F.col("item2").alias("dst")), 4)
     assert all(0 < r.confidence <= 1 for r in e.collect())
+    common = lambda rows: rows.select("replicate", "n", F.explode("has").alias("feature")).groupBy("replicate", "feature").agg(F.sum("n").alias("n")).where("n >= 3")
+    again = {r.feature: r.stability for r in advanced.pattern_recurrence(toy, common, 40).collect()}
+    assert again["D"] == 0 and again == {r.feature: r.stability for r in advanced.pattern_stability(toy, replicates=40, found=lambda n, total: n >= 3).collect()}
     assert {r.feature: r.stability for r in advanced.pattern_stability(toy, replicates=10).collect()}["D"] == 0
     assert set(advanced.comprehensive(toy)) == {"association_rules", "redundancy"}
 
