@@ -36,6 +36,15 @@ def row_key(row: Column, kind: T.DataType) -> Column:
     return F.abs(row.cast("long")) if isinstance(kind, T.IntegralType) else F.xxhash64(row).bitwiseAND((1 << 63) - 1)
 
 
+def name_key(name: str) -> int:
+    """A number below 2**52 from a name: one digest for all its draws."""
+    return int(hashlib.md5(str(name).encode()).hexdigest()[:13], 16)
+
+
+def name_key_sql(name: str) -> str:
+    return f"('0x' || substr(md5({name}), 1, 13))::BIGINT"
+
+
 def unit(key, replicate, seed: int):
     """In (0, 1) for arrays or columns of whole numbers from 0 on."""
     low, high = key % PRIME, key - key % PRIME

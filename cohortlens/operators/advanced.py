@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.stats import binary_entropy
 from ..sources.matrix import BinaryMatrix
 from ..sources.shared import settled
-from . import bootstrap, graph, mining, pairs, strata
+from . import bootstrap, graph, mining, ordering, pairs, strata
 
 
 def redundant_pairs(m: BinaryMatrix, threshold: float = 0.9) -> DataFrame:
@@ -26,29 +26,44 @@ def entropy_weighted(m: BinaryMatrix, importance: DataFrame, penalty: float = 0.
     return full.withColumn("adjusted_importance", F.col("base_importance") * (1 - penalty * (1 - F.col("entropy"))))
 
 
+#: Text of the itemsets that are looked up in a row at once.
+SETS_BYTES = 8 << 20
+
+
+def _sets_held(has: DataFrame, block: DataFrame) -> DataFrame:
+    """row, keys of the block's sets (key, items) that are within ``has``; the block has a bounded size.
+
+    Sets go by their first item, so that a row looks at those only that begin with one of its features.
+    """
+    first = block.groupBy(F.col("items")[0].alias("first")).agg(F.collect_list(F.struct("key", "items")).alias("sets"))
+    wanted = first.agg(F.map_from_entries(F.collect_list(F.struct("first", "sets"))).alias("by"))
+    near = F.flatten(F.filter(F.transform("has", lambda f: F.try_element_at("by", f)), lambda x: x.isNotNull()))
+    held = F.transform(F.filter(near, lambda s: F.size(F.array_except(s["items"], F.col("has"))) == 0), lambda s: s["key"])
+    return has.crossJoin(F.broadcast(wanted)).select("row", held.alias("keys"))
+
+
 def rules_with_intervals(m: BinaryMatrix, min_support: float = 0.05, min_confidence: float = 0.7, replicates: int = 500, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """Rules with percentile limits of their lift over row resamples; significant if the interval excludes 1.
 
     The rows that hold both parts, the antecedent, or the consequent are counted with
-    all replicates' weights in one pass.
+    all replicates' weights, in one pass over the rows for each block of ``SETS_BYTES``
+    of itemsets: the sets stay a table, of which a task holds one block.
     """
     sets = mining.frequent_itemsets(m, min_support)
     rules = mining.association_rules(sets, 0.0, min_confidence).select("antecedents", "consequents", "support", "confidence", "lift")
-    names = rules.select(F.explode(F.array("antecedents", "consequents", F.array_sort(F.array_union("antecedents", "consequents")))).alias("items")).distinct()
-    listed = sorted(tuple(r["items"]) for r in names.collect())  # bounded by the rules
-    known = m.ones.sparkSession.createDataFrame([(i, list(x)) for i, x in enumerate(listed)], "key long, items array<string>")
-    # Sets by their first item, so that a row looks at those only that begin with one of its features.
-    first = known.groupBy(F.col("items")[0].alias("first")).agg(F.collect_list(F.struct("key", "items")).alias("sets"))
-    wanted = first.agg(F.map_from_entries(F.collect_list(F.struct("first", "sets"))).alias("by"))
-    has = m.rows.join(m.ones.groupBy("row").agg(F.collect_set("feature").alias("has")), "row", "left").withColumn("has", F.coalesce("has", F.array().cast("array<string>")))
-    near = F.flatten(F.filter(F.transform("has", lambda f: F.try_element_at("by", f)), lambda x: x.isNotNull()))
-    held = F.transform(F.filter(near, lambda s: F.size(F.array_except(s["items"], F.col("has"))) == 0), lambda s: s["key"])
-    n = bootstrap.weight_sums(has.crossJoin(F.broadcast(wanted)).select("row", F.concat(F.array(F.lit(bootstrap.ALL).cast("long")), held).alias("keys")), replicates, seed)
-    counts = n.where("n > 0").join(F.broadcast(known), "key").select("items", "replicate", "n")
+    names = settled(rules.select(F.explode(F.array("antecedents", "consequents", F.array_sort(F.array_union("antecedents", "consequents")))).alias("items")).distinct())
+    known = settled(ordering.numbered(names, ["items"], "at").select((F.col("at") - 1).alias("key"), "items"))
+    sets, longest = known.agg(F.count(F.lit(1)), F.max(F.octet_length(F.array_join("items", ",")))).first()
+    has = settled(m.rows.join(m.ones.groupBy("row").agg(F.collect_set("feature").alias("has")), "row", "left").withColumn("has", F.coalesce("has", F.array().cast("array<string>"))))
+    size = max(1, SETS_BYTES // max(1, longest or 1))
+    n = settled(bootstrap.weight_sums(has.select("row", F.array(F.lit(bootstrap.ALL).cast("long")).alias("keys")), replicates, seed))
+    for first in range(0, sets, size):
+        n = n.unionByName(settled(bootstrap.weight_sums(_sets_held(has, known.where(F.col("key").between(first, first + size - 1))), replicates, seed)))
+    counts = n.where("n > 0").join(known, "key").select("items", "replicate", "n")
     total = n.where(F.col("key") == bootstrap.ALL).select("replicate", F.col("n").alias("total"))
     key = lambda name, count: counts.select(F.col("items").alias(name), "replicate", F.col("n").alias(count))
     full = rules.withColumn("both", F.array_sort(F.array_union("antecedents", "consequents"))).join(key("both", "nb"), "both")
-    full = full.join(key("antecedents", "na"), ["antecedents", "replicate"]).join(key("consequents", "nc"), ["consequents", "replicate"]).join(F.broadcast(total), "replicate")
+    full = full.join(key("antecedents", "na"), ["antecedents", "replicate"]).join(key("consequents", "nc"), ["consequents", "replicate"]).join(F.broadcast(total), "replicate")  # a row for each replicate
     lift = F.col("nb") * F.col("total") / (F.col("na") * F.col("nc"))
     limits = full.groupBy("antecedents", "consequents").agg(F.percentile(lift, F.lit((1 - confidence) / 2)).alias("lift_ci_lower"), F.percentile(lift, F.lit((1 + confidence) / 2)).alias("lift_ci_upper"))
     out = rules.join(limits, ["antecedents", "consequents"])

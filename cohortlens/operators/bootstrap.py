@@ -45,11 +45,11 @@ def binomial_intervals(counts: DataFrame, n_iter: int = 5000, confidence: float
     """
 
     def run(batches):
+        replicate = np.arange(n_iter, dtype=np.int64)
         for pdf in batches:
             rows = []
             for f, k, n in zip(pdf["feature"], pdf["k"], pdf["n"]):
-                u = np.array([draws.unit_md5(seed, f, b) for b in range(n_iter)])
-                x = binomial_draws(int(n), int(k), u) / n if n else np.zeros(1)
+                x = binomial_draws(int(n), int(k), draws.unit(draws.name_key(f), replicate, seed)) / n if n else np.zeros(1)
                 lo, hi = np.percentile(x, [50 * (1 - confidence), 50 * (1 + confidence)])
                 rows.append((f, x.mean(), lo, hi))
             yield pd.DataFrame(rows, columns=["feature", "mean", "lower", "upper"])

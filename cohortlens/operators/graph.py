@@ -12,7 +12,7 @@ from ..functions import stats
 from ..sources.matrix import BinaryMatrix
 from ..sources.shared import settled
 from . import pairs
-from .ordering import percentile_rank, quantiles
+from .ordering import average_rank, placed, quantile_of_placed
 
 def network_edges(m: BinaryMatrix, alpha: float = 0.05, method: str = "fdr_bh", tests: DataFrame | None = None) -> DataFrame:
     """Significant pairs of all features, tested together: src, dst, phi, p_value, edge_type."""
@@ -189,7 +189,6 @@ def row_risk(m: BinaryMatrix, scores: DataFrame, intervals: DataFrame | None = N
     risk = m.ones.join(F.broadcast(s), "feature").groupBy("row").agg(F.sum("node_score").alias("risk"))
     # rounding makes equal sums equal, in whatever order they were added
     full = m.rows.join(risk, "row", "left").select("row", F.round(F.coalesce("risk", F.lit(0.0)), 12).alias("risk"))
-    full = settled(full)
-    limit = quantiles(full, "risk", {"_limit": percentile / 100})
-    ranked = percentile_rank(full, "risk")
-    return ranked.crossJoin(F.broadcast(limit)).select("row", "risk", "percentile_rank", (F.col("risk") > F.col("_limit")).alias("predicted"))
+    full = settled(placed(full, "risk"))
+    limit = quantile_of_placed(full, "risk", percentile / 100, "_limit")
+    return full.crossJoin(F.broadcast(limit)).select("row", "risk", average_rank().alias("percentile_rank"), (F.col("risk") > F.col("_limit")).alias("predicted"))

@@ -62,21 +62,58 @@ def ordered_counts(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataF
     return run.join(groups, list(by)).select(*by, value, "_c", (F.col("_under") - F.col("_first")).alias("_below"), "_n")
 
 
+def placed(df: DataFrame, value: str) -> DataFrame:
+    """The rows with ``_below`` (rows with smaller values; null is the smallest), ``_c`` (rows with the same) and ``_n`` (all rows).
+
+    No row is joined by its value, which many may share: rows are dealt by range of the
+    value and a hash of the row, so that a value's rows may fill several parts.  Inside a
+    part they are counted by windows; a value that goes on in other parts is a part's
+    first or last, and the counts of these, two for each part, are told to their parts.
+    """
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+    rows, several = in_parts(df, [*_names(value), spread])
+    v = F.col(f"`{value}`")
+    inside = rows.select("*", (F.rank().over(Window.partitionBy("_part").orderBy(v)) - 1).cast("long").alias("_below"), F.count(F.lit(1)).over(Window.partitionBy("_part", v)).alias("_c"))
+    if not several:
+        return inside.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_part"))).drop("_part")
+    by_part = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), F.min(F.struct(v.isNotNull(), v.alias("v"))).alias("_first"), F.max(F.struct(v.isNotNull(), v.alias("v"))).alias("_last"))
+    ends = settled(by_part)  # one row for each part: as many as partitions
+    edge = rows.join(F.broadcast(ends), "_part").where(v.eqNullSafe(F.col("_first.v")) | v.eqNullSafe(F.col("_last.v"))).groupBy("_part", v.alias("_v")).agg(F.count(F.lit(1)).alias("_here"))
+    along = Window.partitionBy("_v").orderBy("_part")
+    edge = edge.select("_part", "_v", (F.sum("_here").over(along) - F.col("_here")).alias("_earlier"), (F.sum("_here").over(Window.partitionBy("_v")) - F.col("_here")).alias("_elsewhere"))
+    before = ends.select("_part", F.coalesce(F.sum("_rows").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_rows").over(Window.partitionBy(F.lit(0))).alias("_n"))
+    edges = edge.withColumnRenamed("_part", "_edge_part")
+    full = inside.join(F.broadcast(before), "_part").join(F.broadcast(edges), (F.col("_part") == F.col("_edge_part")) & v.eqNullSafe(F.col("_v")), "left")
+    return full.withColumn("_below", F.col("_base") + F.col("_below") - F.coalesce("_earlier", F.lit(0))).withColumn("_c", F.col("_c") + F.coalesce("_elsewhere", F.lit(0))).drop(
+        "_part", "_base", "_edge_part", "_v", "_earlier", "_elsewhere")
+
+
+def average_rank() -> Column:
+    """Of ``placed`` rows: the average-tie rank in percent."""
+    return (F.col("_below") + (F.col("_c") + 1) / 2) / F.col("_n") * 100
+
+
 def percentile_rank(df: DataFrame, value: str, out: str = "percentile_rank") -> DataFrame:
-    """The rows with their average-tie rank in percent; ranks come from the counts of distinct values."""
-    ranks = ordered_counts(df, value).select(F.col(value).alias("_v"), ((F.col("_below") + (F.col("_c") + 1) / 2) / F.col("_n") * 100).alias(out))
-    return df.join(ranks, df[value].eqNullSafe(ranks["_v"])).drop("_v")
+    """The rows with their average-tie rank in percent."""
+    return placed(df, value).withColumn(out, average_rank()).drop("_below", "_c", "_n")
+
+
+def _quantile(value: str, q: float) -> Column:
+    """An aggregate over distinct values, or rows, with their ``_below``, ``_c`` and ``_n``."""
+    place = (F.col("_n") - 1) * q
+    at = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")), F.col(f"`{value}`").cast("double")))
+    low, high = at(F.floor(place)), at(F.ceil(place))
+    share = F.max(place - F.floor(place))
+    # the form of a weighted sum, as the usual percentile functions have it
+    return F.when(share == 0, low).otherwise(low * (1 - share) + high * share)
 
 
 def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
     """For each group a row with the named quantiles, interpolated between neighbours; nulls are left out."""
     known = ordered_counts(df.where(F.col(value).isNotNull()), value, by)
-    aggs = []
-    for name, q in shares.items():
-        place = (F.col("_n") - 1) * q
-        at = lambda k: F.max(F.when((F.col("_below") <= k) & (k < F.col("_below") + F.col("_c")), F.col(value).cast("double")))
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        share = F.max(place - F.floor(place))
-        # the form of a weighted sum, as the usual percentile functions have it
-        aggs.append(F.when(share == 0, low).otherwise(low * (1 - share) + high * share).alias(name))
-    return known.groupBy(*by).agg(*aggs)
+    return known.groupBy(*by).agg(*[_quantile(value, q).alias(name) for name, q in shares.items()])
+
+
+def quantile_of_placed(rows: DataFrame, value: str, q: float, out: str) -> DataFrame:
+    """One row: the interpolated quantile of ``placed`` rows without null values."""
+    return rows.agg(_quantile(value, q).alias(out))

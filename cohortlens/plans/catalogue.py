@@ -346,7 +346,7 @@ def _binomial_sql(counts: str) -> str:
     return f"""
 cdf AS (SELECT f, k, n, x, sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(k / n) + (n - x) * ln(1 - k / n))) OVER (PARTITION BY f ORDER BY x) AS cdf
         FROM {counts}, LATERAL (SELECT unnest(range(0, n + 1)) AS x) WHERE k > 0 AND k < n),
-us AS (SELECT f, b, {draws.unit_md5_sql("'42'", 'f', 'b')} AS u FROM {counts}, range(0, 5000) AS g(b) WHERE k > 0 AND k < n),
+us AS (SELECT f, b, u FROM ({draws.unit_sql(f"(SELECT f, {draws.name_key_sql('f')} AS fk, b FROM {counts}, range(0, 5000) AS g(b) WHERE k > 0 AND k < n)", "fk", "b", "42")})),
 reps AS (SELECT us.f, cdf.x / cdf.n AS x FROM us ASOF JOIN cdf ON us.f = cdf.f AND us.u <= cdf.cdf UNION ALL SELECT f, (k = n)::INT::DOUBLE FROM {counts} WHERE k = 0 OR k = n)"""
 
 

@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import graph, mining, ordering, pairs, resistance
+from cohortlens.operators import advanced, graph, mining, ordering, pairs, resistance
 from cohortlens.sources.matrix import DRUG_CLASSES, BinaryMatrix, feature_roles, from_wide
 
 GENES = ["SAT-4", "aad9", "ant(6)-Ia", "aph(3')-III", "erm(47)", "erm(B)", "lnu(B)", "lnu(C)", "lsa(E)", "optrA", "spw", "tet(40)", "tet(44)", "tet(L)", "tet(M)", "tet(O)", "tet(O/W/32/O)", "tet(T)", "tet(W)", "vga(F)", "cfr"]
@@ -156,3 +156,36 @@ def test_ranks_in_parts(spark, monkeypatch):
     low = math.floor(place)
     assert one[2] == pytest.approx(values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (place - low))
     assert df.groupBy("g").agg(F.percentile("v", F.lit(0.9)).alias("b")).collect() and {x.g: x.b for x in df.groupBy("g").agg(F.percentile("v", F.lit(0.9)).alias("b")).collect()} == pytest.approx({g: b for g, (_, b) in one[1].items()})
+
+
+def test_ranks_of_values_that_fill_parts(spark, monkeypatch):
+    """Half of the rows share a value, which lies in several parts; nulls do, too."""
+    r = random.Random(2)
+    rows = [(i, 5.0 if r.random() < 0.5 else None if r.random() < 0.3 else float(r.randrange(12))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, v double").repartition(3)
+    monkeypatch.setattr(ordering, "ONE_TASK", 10)
+    monkeypatch.setattr(ordering, "in_parts", lambda df, order, known=ordering.in_parts: parts.append(known(df, order)) or parts[-1])
+    parts = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {x.id: x for x in ordering.placed(df, "v").collect()}
+        assert parts[0][1] and parts[0][0].where("v = 5").select("_part").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    times = Counter(v for _, v in rows)
+    below = {v: sum(k for x, k in times.items() if v is not None and (x is None or x < v)) for v in times}
+    assert len(got) == 3000 and all((got[i]._below, got[i]._c, got[i]._n) == (below[v], times[v], 3000) for i, v in rows)
+    empty = spark.createDataFrame([], "id int, v double")
+    assert ordering.percentile_rank(empty, "v").count() == 0
+    extremes = spark.createDataFrame([(1, float("nan")), (2, -0.0), (3, 0.0), (4, None)], "id int, v double")
+    assert {x.id: x.percentile_rank for x in ordering.percentile_rank(extremes, "v").collect()} == {4: 25.0, 2: 62.5, 3: 62.5, 1: 100.0}
+
+
+def test_rules_in_blocks_of_sets(m, monkeypatch):
+    """However few sets a task holds, the limits are the same."""
+    def found():
+        return {(tuple(r.antecedents), tuple(r.consequents)): (r.lift_ci_lower, r.lift_ci_upper) for r in advanced.rules_with_intervals(m.role("gene"), 0.3, 0.4, 40).collect()}
+
+    whole = found()
+    monkeypatch.setattr(advanced, "SETS_BYTES", 40)
+    assert len(whole) > 4 and found() == whole
