@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .ordering import quantiles
+
 
 def query_patterns(df: DataFrame, min_support: float | None = None, min_confidence: float | None = None, genes: list[str] | None = None, page: int | None = None, page_size: int = 100) -> DataFrame:
     """Patterns by falling support, confidence, then id; any of the genes has to occur in the list's text."""
@@ -25,6 +27,15 @@ def pattern_statistics(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total_patterns"), F.count_distinct("pattern_type").alias("unique_types"), F.avg("pattern_length").alias("avg_pattern_length"), F.max("pattern_length").alias("max_pattern_length"))
 
 
+def pattern_summary(df: DataFrame, columns: tuple[str, ...] = ("support", "confidence", "lift")) -> DataFrame:
+    """For each of the columns a row: column, n, mean, std (sample), least, q1, median, q3, largest; nulls are left out."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(F.inline(pairs)).where("x is not null")
+    plain = long.groupBy("column").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("largest"))
+    cuts = quantiles(long, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ("column",))
+    return plain.join(cuts, "column").select("column", "n", "mean", "std", "least", "q1", "median", "q3", "largest")
+
+
 def top_patterns(df: DataFrame, n: int = 1000) -> DataFrame:
     return df.orderBy(F.desc("support"), F.desc("confidence"), "pattern_id").limit(n)
 
@@ -40,7 +51,7 @@ def process_large(spark, path: str, out: str, top_n: int = 1000) -> dict:
 
     df, info = load_patterns(spark, path)
     export_top_patterns(df, f"{out}/top_patterns", top_n)
-    return {**info, "statistics": pattern_statistics(df).first().asDict()}
+    return {**info, "statistics": pattern_statistics(df).first().asDict(), "summary": {r["column"]: r.asDict() for r in pattern_summary(df).collect()}}
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

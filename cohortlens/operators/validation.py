@@ -90,3 +90,27 @@ def validate_synthetic(m: BinaryMatrix, expected: dict[str, float], n_rows: int,
         elif abs(got[name]["prevalence"] - p) > tolerance:
             out.append(f"{name}: prevalence {got[name]['prevalence']:.3f}, {p:.3f} expected")
     return out
+
+
+def check_synthetic(df: DataFrame, expected: dict[str, float], n_rows: int, mdr: str | None = None, tolerance: float = 0.3, least: float = 0.01) -> dict:
+    """passed, errors, warnings, mdr_share of a generated wide table, from one pass over it.
+
+    Errors are a wrong number of rows or a missing column.  Warnings are values other than
+    0 and 1 (null is one), and prevalences that are off by ``tolerance`` or more of what was
+    expected (of ``least``, where less was).  ``mdr`` names a column of flags, whose share is
+    reported; an empty table has no prevalences and no share.
+    """
+    names = [c for c in expected if c in df.columns]
+    col = lambda c: F.col(f"`{c}`").cast("double")
+    aggs = [x for i, c in enumerate(names) for x in (F.avg(col(c)).alias(f"p{i}"), F.sum((~F.coalesce(col(c).isin(0.0, 1.0), F.lit(False))).cast("long")).alias(f"b{i}"))]
+    got = df.agg(F.count(F.lit(1)).alias("n"), *([F.avg(col(mdr)).alias("mdr")] if mdr else []), *aggs).first()
+    errors = [] if got["n"] == n_rows else [f"{got['n']} rows, {n_rows} expected"]
+    errors += [f"no column {c}" for c in expected if c not in names]
+    warnings = []
+    for i, c in enumerate(names):
+        p, bad = got[f"p{i}"], got[f"b{i}"]
+        if bad:
+            warnings.append(f"{c}: {bad} values are neither 0 nor 1")
+        if p is not None and abs(p - expected[c]) >= tolerance * max(expected[c], least):
+            warnings.append(f"{c}: prevalence {p:.3f}, {expected[c]:.3f} expected")
+    return {"passed": not errors, "errors": errors, "warnings": warnings, "mdr_share": got["mdr"] if mdr else None}

@@ -215,6 +215,13 @@ def _store(s: SparkSession, d: str) -> DataFrame:
     return two.union(one)
 
 
+@query("a8_pattern_summary", sql("""SELECT c AS "column", count(*) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS least, round(quantile_cont(x, 0.25), 6) AS q1,
+    round(median(x), 6) AS median, round(quantile_cont(x, 0.75), 6) AS q3, round(max(x), 6) AS largest
+    FROM (SELECT 'support' AS c, support AS x FROM store UNION ALL SELECT 'confidence', confidence FROM store UNION ALL SELECT 'lift', lift FROM store) WHERE x IS NOT NULL GROUP BY c""", o.NETWORK, STORE))
+def _(s, d):
+    return patterns.pattern_summary(_store(s, d)).select("column", "n", *r6("mean", "std", "least", "q1", "median", "q3", "largest"))
+
+
 @query("p7_pattern_query", sql("SELECT pattern_id, round(support, 6) AS support, round(confidence, 6) AS confidence, genes FROM store WHERE support >= 0.05 AND confidence >= 0.15 AND (genes LIKE '%Brand#1%' OR genes LIKE '%flag_R%')", o.NETWORK, STORE))
 def _(s, d):
     return patterns.query_patterns(_store(s, d), 0.05, 0.15, ["Brand#1", "flag_R"]).select("pattern_id", *r6("support", "confidence"), "genes")
