@@ -65,6 +65,47 @@ def unit_sql(source: str, key: str, replicate: str, seed: str) -> str:
     return f"SELECT * EXCLUDE (a_, b_, c_), ((c_ * c_ + a_) % {p} + 0.5) / {float(p)} AS u FROM ({c})"
 
 
+#: The smallest of the last steps' whole numbers whose draw is above each of the distribution function's values.
+_ABOVE = [next(d for d in range(int(x * PRIME) - 2, PRIME + 1) if (d + 0.5) / float(PRIME) > x or d == PRIME) for x in POISSON]
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Equal modulo the prime, and at most 2**31 more than the rest of the division, without dividing; in place."""
+    high = x >> np.uint64(31)
+    x &= np.uint64(PRIME)
+    x += high
+    return x
+
+
+def poisson(key: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Poisson(1) draws of ``unit`` for each key (whole numbers from 0 on) and each replicate below ``replicates``, as small numbers.
+
+    The same draws as ``searchsorted(POISSON, unit(...))``; the prime is 2**31 - 1, so a
+    division is a shift and a sum.  A call should be of some 10**5 draws, which stay in the cache.
+    """
+    key, replicate, prime = np.asarray(key, np.int64), np.arange(replicates, dtype=np.int64), np.uint32(PRIME)
+    low, high = key % PRIME, key // PRIME
+    a = np.add.outer(((low * 48271 + seed * 16807 + 1) % PRIME).astype(np.uint32), (replicate * 69621 % PRIME).astype(np.uint32))
+    np.minimum(a, a - prime, out=a)  # below the prime the difference wraps round and is larger
+    x = a.astype(np.uint64)
+    x *= x
+    x += np.add.outer((high * 40014 % PRIME).astype(np.uint64), replicate.astype(np.uint64))
+    x = _folded(x)
+    x *= np.uint64(48271)
+    x += np.uint64(11)
+    x = _folded(_folded(x))
+    x *= x
+    x += a
+    d = _folded(x).astype(np.uint32)
+    for _ in range(2):
+        np.minimum(d, d - prime, out=d)
+    out = np.zeros(d.shape, np.uint8)
+    for at in _ABOVE:
+        if at < PRIME:
+            out += (d >= np.uint32(at)).view(np.uint8)
+    return out
+
+
 def poisson_column(u: Column) -> Column:
     return sum((F.when(u > float(x), 1).otherwise(0) for x in POISSON), F.lit(0))
 

@@ -105,45 +105,61 @@ def pattern_intervals(frequencies: DataFrame, n_iter: int = 5000, confidence: fl
 STATISTICS = ("mean", "median", "std")
 #: Cuts of a group's values for medians, sums that a task keeps before it hands them on.
 CUTS, KEPT_KEYS = 256, 2048
+#: Draws that are made at once (they stay in the cache), and of rows of a block in a sum at least the share that has a key for a product of matrices.
+DRAWS_AT_ONCE, DENSE = 1 << 17, 1 / 32
 
 
-def _moments(keyed: DataFrame, replicates: int, seed: int) -> DataFrame:
+def _at_once(replicates: int) -> int:
+    return max(16, min(1024, DRAWS_AT_ONCE // max(1, replicates)))
+
+
+def _moments(keyed: DataFrame, replicates: int, seed: int, squares: bool = True) -> DataFrame:
     """key, replicate, n, s1, s2: sums of the weights of ``row_weights``, and of them times value and its square, over the rows of each key.
 
-    A task keeps the sums of at most ``KEPT_KEYS`` keys and hands them on when there are
-    more, so its memory doesn't grow with the keys; the rows of a key are spread over all tasks.
+    Without ``squares`` n alone, and no value is read.  A task keeps the sums of at most
+    ``KEPT_KEYS`` keys and hands them on when there are more, so its memory doesn't grow
+    with the keys; the rows of a key are spread over all tasks.
     """
     row = draws.row_key(F.col("row"), keyed.schema["row"].dataType)
+    names = ["n", "s1", "s2"] if squares else ["n"]
 
     def run(batches):
-        replicate, sums = np.arange(replicates, dtype=np.int64)[None, :], {}
+        step, sums = _at_once(replicates), {}
 
         def hand_on() -> pa.RecordBatch:
-            flat = [pa.array(np.concatenate([x[c] for x in sums.values()])) for c in range(3)]
+            flat = [pa.array(np.concatenate([x[c] for x in sums.values()])) for c in range(len(names))]
             ends = pa.array(np.arange(len(sums) + 1) * replicates, pa.int32())
-            out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *[pa.ListArray.from_arrays(ends, x) for x in flat]], ["key", "n", "s1", "s2"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *[pa.ListArray.from_arrays(ends, x) for x in flat]], ["key", *names])
             sums.clear()
             return out
 
         for batch in batches:
-            key, r, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            key, r, *x = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(batch.num_columns))
             order = np.argsort(key, kind="stable")
-            for at in range(0, len(r), 1024):
-                some = order[at : at + 1024]
-                weight = np.searchsorted(draws.POISSON, draws.unit(r[some, None], replicate, seed).ravel()).reshape(-1, replicates).astype(float)
-                names, begin = np.unique(key[some], return_index=True)
-                value = x[some, None]
-                for name, *parts in zip(names.tolist(), *[np.add.reduceat(y, begin, 0) for y in (weight, weight * value, weight * value * value)]):
-                    sums[name] = [a + b for a, b in zip(sums[name], parts)] if name in sums else parts
+            for at in range(0, len(r), step):
+                some = order[at : at + step]
+                weight = draws.poisson(r[some], replicates, seed).astype(float)
+                found, begin = np.unique(key[some], return_index=True)
+                for name, a, b in zip(found.tolist(), begin, np.r_[begin[1:], len(some)]):
+                    factor = np.ones((len(names), b - a))
+                    if squares:
+                        factor[1] = x[0][some[a:b]]
+                        factor[2] = factor[1] ** 2
+                    parts = factor @ weight[a:b]
+                    if name in sums:
+                        sums[name] += parts
+                    else:
+                        sums[name] = parts
                 if len(sums) > KEPT_KEYS:
                     yield hand_on()
         if sums:
             yield hand_on()
 
-    kind = "array<double>"
-    parts = keyed.select(F.col("key").cast("long"), row.alias("r"), F.col("value").cast("double")).mapInArrow(run, f"key long, n {kind}, s1 {kind}, s2 {kind}")
-    each = parts.select("key", F.posexplode(F.arrays_zip("n", "s1", "s2")).alias("replicate", "s")).select("key", "replicate", "s.*")
-    return each.groupBy("key", "replicate").agg(F.sum("n").cast("long").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+    kind = ", ".join(f"{c} array<double>" for c in names)
+    value = [F.col("value").cast("double")] if squares else []
+    parts = keyed.select(F.col("key").cast("long"), row.alias("r"), *value).mapInArrow(run, f"key long, {kind}")
+    each = parts.select("key", F.posexplode(F.arrays_zip(*names)).alias("replicate", "s")).select("key", "replicate", "s.*")
+    return each.groupBy("key", "replicate").agg(F.sum("n").cast("long").alias("n"), *[F.sum(c).alias(c) for c in names[1:]])
 
 
 def grouped_statistic(values: DataFrame, statistic: str = "mean", n_iter: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
@@ -177,27 +193,49 @@ def grouped_statistic(values: DataFrame, statistic: str = "mean", n_iter: int =
 
 
 def _medians(base: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """number, x: the weighted median of each group and replicate."""
+    """number, x: the weighted median of each group and replicate.
+
+    Ranges are cut twice: the rows of a range that holds middles are cut again, so that
+    what is drawn row by row in the end is a group's rows over the square of ``CUTS``.
+    """
     # a value's range is the number of cuts below it, so equal values share one
-    ranged = settled(base.select("number", "row", "value", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("range")))
-    sums = _moments(ranged.select((F.col("number") * CUTS + F.col("range")).alias("key"), "row", F.lit(0.0).alias("value")), replicates, seed)
-    sums = sums.select(F.floor(F.col("key") / CUTS).alias("number"), (F.col("key") % CUTS).alias("range"), "replicate", "n")
+    place = F.size(F.filter("cuts", lambda c: c < F.col("value")))
+    ranged = settled(base.select("number", "row", "value", place.cast("long").alias("range")))
+    sums = _range_sums(ranged, replicates, seed)
     # a group and replicate have as many rows as ranges
     over = Window.partitionBy("number", "replicate")
     cum = sums.withColumn("before", F.sum("n").over(over.orderBy("range")) - F.col("n")).withColumn("all", F.sum("n").over(over)).where("all > 0")
     middles = F.array(F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2))
     wanted = cum.select("number", "range", "replicate", "before", "n", F.posexplode(middles).alias("side", "at")).where("before <= at and at < before + n")
     wanted = settled(wanted.select("number", "range", "replicate", "side", (F.col("at") - F.col("before")).alias("at")))
-    asked = wanted.select("number", "range", "replicate").distinct()
+    # the same inside the ranges that hold middles
+    near = ranged.join(wanted.select("number", "range").distinct(), ["number", "range"])
+    cuts = near.groupBy("number", "range").agg(F.percentile_approx("value", [k / CUTS for k in range(1, CUTS)], 10_000).alias("cuts"))
+    fine = near.join(cuts, ["number", "range"]).select("number", "row", "value", (F.col("range") * CUTS + place).alias("range"))
+    fine = settled(fine.sortWithinPartitions("number", "range"))  # so that a task is done with a range before the next
+    within = _range_sums(fine, replicates, seed).withColumnRenamed("range", "fine").withColumn("range", F.floor(F.col("fine") / CUTS))
+    over = Window.partitionBy("number", "range", "replicate").orderBy("fine")
+    held = within.withColumn("before", F.sum("n").over(over) - F.col("n")).join(wanted, ["number", "range", "replicate"]).where("before <= at and at < before + n")
+    span = fine.groupBy("number", F.col("range").alias("fine")).agg(F.min("value").alias("least"), F.max("value").alias("largest"))
+    held = settled(held.join(span, ["number", "fine"]).select("number", F.col("fine").alias("range"), "replicate", "side", (F.col("at") - F.col("before")).alias("at"), "least", "largest"))
+    known = held.where("least = largest").select("number", "replicate", "side", F.col("least").alias("value"))
+    wanted = held.where("least < largest").drop("least", "largest")
     key = draws.row_key(F.col("row"), base.schema["row"].dataType)
-    drawn = ranged.join(asked, ["number", "range"]).withColumn("w", draws.poisson_column(draws.unit(key, F.col("replicate"), seed))).where("w > 0")
+    drawn = fine.join(wanted.select("number", "range", "replicate").distinct(), ["number", "range"]).withColumn("w", draws.poisson_column(draws.unit(key, F.col("replicate"), seed))).where("w > 0")
     by = drawn.groupBy("number", "range", "replicate", "value").agg(F.sum("w").alias("w"))
     inside = Window.partitionBy("number", "range", "replicate").orderBy("value")
     reached = by.withColumn("upto", F.sum("w").over(inside)).join(wanted, ["number", "range", "replicate"]).where("upto > at")
-    ends = reached.groupBy("number", "replicate", "side").agg(F.min("value").alias("value"))
+    ends = reached.groupBy("number", "replicate", "side").agg(F.min("value").alias("value")).union(known)
     return ends.groupBy("number", "replicate").agg(F.avg("value").alias("x")).select("number", "x")
 
 
+def _range_sums(ranged: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """number, range, replicate, n of (number, row, range), with ranges below the square of ``CUTS``."""
+    wide = CUTS * CUTS
+    sums = _moments(ranged.select((F.col("number") * wide + F.col("range")).alias("key"), "row"), replicates, seed, squares=False)
+    return sums.select(F.floor(F.col("key") / wide).alias("number"), (F.col("key") % wide).alias("range"), "replicate", "n")
+
+
 def row_weights(rows: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     """row, replicate, weight: how often a row is drawn; rows that aren't drawn are left out."""
     spread = rows.select("row", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
@@ -209,12 +247,53 @@ def resamples(m: BinaryMatrix, replicates: int, seed: int = 42) -> DataFrame:
     """replicate, has, n: how often each distinct row of the matrix is drawn, for all replicates in one table.
 
     Rows with the same features are one, so the table grows with the patterns; whatever
-    is computed by replicate runs once over it.
+    is computed by replicate runs once over it.  Rows are dealt by range of their pattern
+    (and key, so that one pattern may fill several tasks): a pattern's sums are an array,
+    made where its rows are, and only those at the ends of a task are added to others'.
     """
-    rows = m.by_row().select("row", F.array_sort("has").alias("has"))
-    names = settled(ordering.numbered(rows.select("has").distinct(), ["has"], "number"))
-    sums = _moments(rows.join(names, "has").select(F.col("number").alias("key"), "row", F.lit(0.0).alias("value")), replicates, seed).where("n > 0")
-    return sums.join(names.withColumnRenamed("number", "key"), "key").select("replicate", "has", "n")
+    rows = m.by_row()
+    keyed = settled(rows.select(F.array_sort("has").alias("has"), draws.row_key(F.col("row"), rows.schema["row"].dataType).alias("r")))
+    dealt = keyed.repartitionByRange("has", "r").sortWithinPartitions("has").select("has", F.to_json("has").alias("text"), "r")
+
+    def run(batches):
+        step = _at_once(replicates)
+        # the pattern whose rows go on, its sums so far, and whether it is the task's first
+        text, has, sums, first = None, None, None, True
+
+        def made(rows: list) -> pa.RecordBatch:
+            flat = pa.array(np.concatenate([x[1] for x in rows]).astype(np.int64))
+            n = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * replicates, pa.int32()), flat)
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.list_(pa.string())), n, pa.array([x[2] for x in rows], pa.bool_())], ["has", "n", "at_end"])
+
+        for batch in batches:
+            code = batch.column(1).dictionary_encode()
+            names, code = code.dictionary.to_pylist(), code.indices.to_numpy()
+            r, done = batch.column(2).to_numpy(), []
+            for at in range(0, len(r), step):
+                weight = draws.poisson(r[at : at + step], replicates, seed)
+                here = code[at : at + step]
+                begin = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+                for a, b in zip(begin, np.r_[begin[1:], len(here)]):
+                    got = weight[a:b].sum(0, dtype=np.int64)
+                    if names[here[a]] == text:
+                        sums += got
+                        continue
+                    if text is not None:
+                        done.append((has, sums, first))
+                        first = False
+                    text, has, sums = names[here[a]], batch.column(0)[at + int(a)].as_py(), got
+                if len(done) >= KEPT_KEYS:
+                    yield made(done)
+                    done = []
+            if done:
+                yield made(done)
+        if text is not None:
+            yield made([(has, sums, True)])
+
+    parts = settled(dealt.mapInArrow(run, "has array<string>, n array<long>, at_end boolean"))
+    each = lambda t: t.select(F.posexplode("n").alias("replicate", "n"), "has").select("replicate", "has", "n")
+    ends = each(parts.where("at_end")).groupBy("replicate", "has").agg(F.sum("n").alias("n"))
+    return each(parts.where("not at_end")).union(ends).where("n > 0")
 
 
 def weight_sums(keyed: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
@@ -228,21 +307,28 @@ def weight_sums(keyed: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
-        replicate = np.arange(replicates, dtype=np.int64)[None, :]
+        step = _at_once(replicates)
         for batch in batches:
             keys, many = batch.column(0).flatten().to_numpy(), batch.column(0).value_lengths().to_numpy()
-            r = batch.column(1).to_numpy()
-            for at in range(0, len(r), 1024):
-                u = draws.unit(r[at : at + 1024, None], replicate, seed)
-                weight = np.searchsorted(draws.POISSON, u.ravel()).reshape(u.shape)
-                owner = np.repeat(np.arange(len(u)), many[at : at + 1024])
-                first = int(many[:at].sum())
-                k = keys[first : first + len(owner)]
-                order = np.argsort(k, kind="stable")
-                names, begin = np.unique(k[order], return_index=True)
-                for name, rows in zip(names.tolist(), np.split(owner[order], begin[1:])):
-                    got = weight[rows].sum(0)
-                    sums[name] = sums[name] + got if name in sums else got
+            r, ends = batch.column(1).to_numpy(), np.r_[0, np.cumsum(many)]
+            for at in range(0, len(r), step):
+                weight = draws.poisson(r[at : at + step], replicates, seed)
+                owner = np.repeat(np.arange(len(weight)), many[at : at + step])
+                names, place = np.unique(keys[ends[at] : ends[at] + len(owner)], return_inverse=True)
+                if len(owner) >= DENSE * len(names) * len(weight):
+                    # whole numbers below 2**24 are exact in single precision
+                    has = np.zeros((len(names), len(weight)), np.float32)
+                    has[place, owner] = 1
+                    found = (has @ weight.astype(np.float32)).astype(np.int64)
+                else:
+                    order = np.argsort(place, kind="stable")
+                    begin = np.searchsorted(place[order], np.arange(1, len(names)))
+                    found = [weight[rows].sum(0, dtype=np.int64) for rows in np.split(owner[order], begin)]
+                for name, got in zip(names.tolist(), found):
+                    if name in sums:
+                        sums[name] += got
+                    else:
+                        sums[name] = np.array(got)
         if sums:
             flat = pa.array(np.concatenate(list(sums.values())).astype(np.int64))
             n = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * replicates, pa.int32()), flat)
@@ -268,7 +354,7 @@ def joint_intervals(m: BinaryMatrix, replicates: int = 1000, confidence: float =
 
 
 def feature_sums(m: BinaryMatrix, replicates: int, seed: int = 42) -> DataFrame:
-    """``weight_sums`` by the features' ord and over all rows."""
+    """``weight_sums`` by the features' ord and over all rows, settled: whatever reads them, the rows' draws are made once."""
     has = m.ones.join(F.broadcast(m.features.select("feature", "ord")), "feature").groupBy("row").agg(F.collect_set("ord").alias("has"))
     keyed = m.rows.join(has, "row", "left").select("row", F.concat(F.array(F.lit(ALL)), F.coalesce(F.col("has").cast("array<int>"), F.array().cast("array<int>"))).alias("keys"))
-    return weight_sums(keyed, replicates, seed)
+    return settled(weight_sums(keyed, replicates, seed))
