@@ -110,7 +110,7 @@ def network_confidence(m: BinaryMatrix, replicates: int = 500, threshold: float
     # A pair's key is ord1 * size + ord2, a feature's is that of its pair with itself.
     cells = F.flatten(F.transform("f", lambda a, i: F.transform(F.slice("f", i + 1, F.size("f")), lambda b: a.cast("long") * size + b)))
     keys = F.concat(F.array(F.lit(bootstrap.ALL).cast("long")), F.coalesce(cells, F.array().cast("array<long>")))
-    n = bootstrap.weight_sums(m.rows.join(coded, "row", "left").select("row", keys.alias("keys")), replicates, seed)
+    n = settled(bootstrap.weight_sums(m.rows.join(coded, "row", "left").select("row", keys.alias("keys")), replicates, seed))  # read four times
     total = n.where(F.col("key") == bootstrap.ALL).select("replicate", "n").where("n > 0")
     cell = n.where("key >= 0").select((F.floor(F.col("key") / size)).cast("int").alias("ord1"), (F.col("key") % size).cast("int").alias("ord2"), "replicate", F.col("n").alias("n11"))
     ones = cell.where("ord1 = ord2").select("replicate", F.col("ord1").alias("ord"), F.col("n11").alias("k"))
