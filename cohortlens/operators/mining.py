@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import draws, stats
 from ..sources.matrix import BinaryMatrix
@@ -167,8 +167,16 @@ def chain_p(paths: DataFrame) -> DataFrame:
     low, high = F.greatest(F.lit(0), F.col("nb") + F.col("nc") - F.col("n")), F.least("nb", "nc")
     y = F.greatest(low, F.when(seen == 0, F.lit(0)).otherwise(F.ceil(seen / F.col("x")))).cast("long")
     spread = spread.withColumn("y", F.when((F.col("x") > 0) | (seen == 0), y)).where(F.col("y") <= high)
-    tail = stats.upper_tail_p(F.col("n") - F.col("nb") - F.col("nc") + F.col("y"), F.col("nc") - F.col("y"), F.col("nb") - F.col("y"), F.col("y"))
-    by = spread.withColumn("_p", stats.hypergeometric(F.col("x"), F.col("na"), F.col("nb"), F.col("n")) * tail).groupBy("a", "b", "c").agg(F.sum("_p").alias("_p"))
+    # tails of all counts of B and C by one sum from above; counts beyond the likely ones have the tail of the nearest
+    margins = paths.select("nb", "nc", "n").distinct()
+    counts = margins.withColumn("s", stats.likely_support(F.col("nb"), F.col("nc"), F.col("n"))).select("nb", "nc", "n", "s", F.explode(F.sequence("s.low", "s.high")).alias("y"))
+    counts = counts.repartition("nb", "nc", "y").withColumn("q", stats.hypergeometric(F.col("y"), F.col("nb"), F.col("nc"), F.col("n")))
+    above = Window.partitionBy("nb", "nc", "n").orderBy(F.desc("y"))
+    tails = settled(counts.select("nb", "nc", "n", "y", F.sum("q").over(above).alias("tail")))
+    likely = stats.likely_support(F.col("nb"), F.col("nc"), F.col("n"))
+    chance = stats.hypergeometric(F.col("x"), F.col("na"), F.col("nb"), F.col("n"))
+    spread = spread.repartition("a", "b", "c", "x").withColumn("y", F.greatest("y", likely["low"])).join(tails, ["nb", "nc", "n", "y"])
+    by = spread.withColumn("_p", chance * F.least(F.lit(1.0), F.col("tail"))).groupBy("a", "b", "c").agg(F.sum("_p").alias("_p"))
     return paths.join(by, ["a", "b", "c"], "left").withColumn("p", F.least(F.lit(1.0), F.coalesce("_p", F.lit(0.0)))).drop("_p")
 
 
