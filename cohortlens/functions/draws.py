@@ -8,6 +8,8 @@ No state is kept, so draws don't depend on partitions or order.
 from __future__ import annotations
 
 import hashlib
+import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import Column, functions as F, types as T
@@ -31,6 +33,18 @@ def unit_md5_column(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
+def limit_md5(p: float) -> str:
+    """What 13 digits of a digest are below of, as text, where their draw is below p."""
+    at = math.ceil(Fraction(p) * (1 << 52) - Fraction(1, 2))
+    return "g" if at >= 1 << 52 else f"{max(0, at):013x}"
+
+
+def digits_md5_column(*parts: Column) -> Column:
+    """The digits of ``unit_md5_column``'s draw: as texts they are in the order of the numbers, so a draw is compared (see ``limit_md5``) without being read."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.substring(F.md5(text.cast("binary")), 1, 13)
+
+
 def row_key(row: Column, kind: T.DataType) -> Column:
     """A number from 0 on: the row's own where it is one."""
     return F.abs(row.cast("long")) if isinstance(kind, T.IntegralType) else F.xxhash64(row).bitwiseAND((1 << 63) - 1)

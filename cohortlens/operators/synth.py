@@ -21,20 +21,39 @@ def uniform(seed: int, name: str) -> Column:
     return draws.unit_md5_column(F.lit(seed), F.lit(name), F.col("row"))
 
 
+def _below(seed: int, name: str, limit: Column) -> Column:
+    """``uniform`` is below the chance that the limit is the text of."""
+    return draws.digits_md5_column(F.lit(seed), F.lit(name), F.col("row")) < limit
+
+
+def _limit(p: float) -> Column:
+    return F.lit(draws.limit_md5(p))
+
+
 def bernoulli(name: str, p: float, seed: int) -> Column:
-    return (uniform(seed, name) < p).cast("int")
+    return _below(seed, name, _limit(p)).cast("int")
 
 
 def flipped(value: Column, rate: float, name: str, seed: int) -> Column:
-    return F.when(uniform(seed, name + "/noise") < rate, 1 - value).otherwise(value)
+    return F.when(_below(seed, name + "/noise", _limit(rate)), 1 - value).otherwise(value)
+
+
+def _tied(p: float, rho: float) -> tuple[float, float]:
+    """Chances of 1 where the base is 0 and where it is 1."""
+    high, low = min(0.95, p + abs(rho) * (1 - p)), max(0.05, p - abs(rho) * p)
+    return (high, low) if rho < 0 else (low, high)
+
+
+def _cell(name: str, p: dict[str, float], base: str | None, rho: float) -> dict[str, str]:
+    """A column by the texts that its draws are compared with; without a base both limits are the same."""
+    low, high = _tied(p[name], rho) if base else (p[name], p[name])
+    return {"feature": name, "base": base or "", "base_limit": draws.limit_md5(p[base]) if base else "", "low": draws.limit_md5(low), "high": draws.limit_md5(high)}
 
 
 def correlated(base: Column, name: str, p: float, rho: float, seed: int) -> Column:
     """1 with p + |rho| (1 - p) where the base is 1, with p - |rho| p where it is 0 (.05 to .95); swapped for a negative rho."""
-    high, low = min(0.95, p + abs(rho) * (1 - p)), max(0.05, p - abs(rho) * p)
-    if rho < 0:
-        high, low = low, high
-    return (uniform(seed, name) < F.when(base == 1, high).otherwise(low)).cast("int")
+    low, high = _tied(p, rho)
+    return _below(seed, name, F.when(base == 1, _limit(high)).otherwise(_limit(low))).cast("int")
 
 
 def _strains(spark: SparkSession, n_rows: int) -> DataFrame:
@@ -52,21 +71,18 @@ def synthetic_matrix(spark: SparkSession, n_rows: int = 200, n_genes: int = 30,
     p = dict(zip(drugs + genes + factors, beta_prevalences(len(drugs) + n_genes + n_virulence, 0.35, 0.2, seed)))
     rho = {}
     rows = _strains(spark, n_rows) if rows is None else rows.select("row")
-    wide = rows.withColumns({d: bernoulli(d, p[d], seed) for d in drugs})
-    cols = {}
-    for i, g in enumerate(genes):
-        if i < len(drugs) and i % 3 == 0:
-            rho[(drugs[i], g)] = 0.7
-            cols[g] = correlated(F.col(drugs[i]), g, p[g], 0.7, seed)
-        else:
-            cols[g] = bernoulli(g, p[g], seed)
-    cols |= {f: bernoulli(f, p[f], seed) for f in factors}
-    wide = wide.withColumns(cols)
     names = drugs + genes + factors
-    noisy = wide.select("row", *[flipped(F.col(c), noise, c, seed).alias(c) for c in names])
+    bases = {g: drugs[i] for i, g in enumerate(genes[: len(drugs)]) if i % 3 == 0}
+    rho |= {(d, g): 0.7 for g, d in bases.items()}
+    # A row's columns are rows of one small expression: one wide one for all columns is code that isn't compiled.
+    # A draw costs microseconds and a row has many, so rows are dealt out, however few files hold them.
+    cells = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("row", F.inline(F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in _cell(n, p, bases.get(n), 0.7).items()]) for n in names])))
+    drawn = lambda name: draws.digits_md5_column(F.lit(seed), name, F.col("row"))
+    limit = F.when(F.col("base") == "", F.col("low")).when(drawn(F.col("base")) < F.col("base_limit"), F.col("high")).otherwise(F.col("low"))
+    flip = drawn(F.concat("feature", F.lit("/noise"))) < _limit(noise)
     of = {d: c for c, ds in DRUG_CLASSES.items() for d in ds}
     features = spark.createDataFrame([(c, "phenotype" if c in of else "gene", i, of.get(c)) for i, c in enumerate(names)], FEATURES)
-    ones = noisy.select("row", F.explode(F.array_compact(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in names]))).alias("feature"))
+    ones = cells.where((drawn(F.col("feature")) < limit) != flip).select("row", "feature")
     return BinaryMatrix(ones, rows, features), {"prevalences": p, "correlations": rho, "noise": noise, "seed": seed, "n_rows": n_rows}
 
 
