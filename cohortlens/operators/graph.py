@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import stats
-from ..sources.matrix import BinaryMatrix
+from ..sources.matrix import BinaryMatrix, few_features
 from ..sources.shared import settled
 from . import pairs
 from .ordering import average_rank, placed, quantile_of_placed
@@ -186,9 +186,16 @@ def row_risk(m: BinaryMatrix, scores: DataFrame, intervals: DataFrame | None = N
     s = scores.select(F.col("id").alias("feature"), "node_score")
     if intervals is not None:
         s = s.join(ci_weights(intervals), "feature", "left").select("feature", (F.col("node_score") * F.coalesce("weight", F.lit(1.0))).alias("node_score"))
-    risk = m.ones.join(F.broadcast(s), "feature").groupBy("row").agg(F.sum("node_score").alias("risk"))
     # rounding makes equal sums equal, in whatever order they were added
-    full = m.rows.join(risk, "row", "left").select("row", F.round(F.coalesce("risk", F.lit(0.0)), 12).alias("risk"))
+    rounded = lambda risk: F.round(F.coalesce(risk, F.lit(0.0)), 12).alias("risk")
+    if m.arrays is not None and few_features(m.features):
+        # a row's scores are looked up in its array: no exchange
+        known = s.where("node_score is not null").agg(F.map_from_entries(F.collect_list(F.struct("feature", "node_score"))).alias("_scores"))
+        total = F.aggregate("has", F.lit(0.0), lambda t, f: t + F.coalesce(F.try_element_at("_scores", f), F.lit(0.0)))
+        full = m.arrays.crossJoin(F.broadcast(known)).select("row", rounded(total))
+    else:
+        risk = m.ones.join(F.broadcast(s), "feature").groupBy("row").agg(F.sum("node_score").alias("risk"))
+        full = m.rows.join(risk, "row", "left").select("row", rounded(F.col("risk")))
     full = settled(placed(full, "risk"))
     limit = quantile_of_placed(full, "risk", percentile / 100, "_limit")
     return full.crossJoin(F.broadcast(limit)).select("row", "risk", average_rank().alias("percentile_rank"), (F.col("risk") > F.col("_limit")).alias("predicted"))

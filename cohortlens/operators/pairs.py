@@ -7,16 +7,51 @@ costs a scan, and no join runs over rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import stats
-from ..sources.matrix import BinaryMatrix
+from ..sources.matrix import BinaryMatrix, few_features
 from ..sources.shared import settled
 from . import ordering
 
 
 #: Features of a row whose pairs are made at once; those of more are dealt out by pairs of such blocks.
 BLOCK = 512
+#: Rows of a task that are multiplied at once.
+AT_ONCE = 4096
+
+
+def _squares(m: BinaryMatrix) -> DataFrame:
+    """``cells`` of few columns: a task's rows, as 0 and 1, times themselves, added up in one square that it hands on."""
+
+    def run(batches):
+        names, total, rows = {}, np.zeros((0, 0), np.int64), 0
+        for batch in batches:
+            has = batch.column(0)
+            rows += len(has)
+            flat, many = pc.dictionary_encode(has.flatten()), has.value_lengths().to_numpy()
+            at = np.array([names.setdefault(x, len(names)) for x in flat.dictionary.to_pylist()], np.int64)
+            place, owner = at[flat.indices.to_numpy()], np.repeat(np.arange(len(many)), many)
+            grown = np.zeros((len(names), len(names)), np.int64)
+            grown[: len(total), : len(total)] = total
+            total, first = grown, np.r_[0, np.cumsum(many)]
+            for begin in range(0, len(many), AT_ONCE):
+                end = min(len(many), begin + AT_ONCE)
+                one = np.zeros((end - begin, len(names)), np.float32)
+                some = slice(first[begin], first[end])
+                one[owner[some] - begin, place[some]] = 1
+                total += (one.T @ one).astype(np.int64)  # below 2**24: exact in single precision
+        order = sorted(range(len(names)), key=list(names).__getitem__)
+        label, square = sorted(names), total[np.ix_(order, order)]
+        a, b = np.nonzero(np.triu(square))
+        item1, item2 = [None, *[label[i] for i in a]], [None, *[label[j] if i != j else None for i, j in zip(a, b)]]
+        yield pa.RecordBatch.from_arrays([pa.array(item1, pa.string()), pa.array(item2, pa.string()), pa.array([rows, *square[a, b].tolist()], pa.int64())], ["item1", "item2", "n"])
+
+    parts = m.by_row().select("has").mapInArrow(run, "item1 string, item2 string, n long")
+    return parts.where("n > 0").groupBy("item1", "item2").agg(F.sum("n").alias("n"))
 
 
 def cells(m: BinaryMatrix) -> DataFrame:
@@ -25,7 +60,10 @@ def cells(m: BinaryMatrix) -> DataFrame:
     A row's cells are made inside the row and summed before the exchange.  A row with more
     than ``BLOCK`` features gives pairs of blocks instead; these are dealt over the tasks
     by the first sum and multiplied out afterwards, so no task holds all pairs of a row.
+    Where the matrix has few columns a task adds up one square of them instead.
     """
+    if few_features(m.features):
+        return _squares(m)
     text, texts = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     cell = lambda a=text, b=text, left=texts, right=texts: F.struct(a.alias("item1"), b.alias("item2"), left.alias("left"), right.alias("right"))
     rows = m.by_row().select(F.array_sort("has").alias("f"))

@@ -65,7 +65,7 @@ class BinaryMatrix:
 
     def role(self, role: str) -> BinaryMatrix:
         f = self.features.where(F.col("role") == role)
-        if self.arrays is not None and _few(f):
+        if self.arrays is not None and few_features(f):
             names = f.agg(F.collect_list("feature").alias("_names"))
             kept = self.arrays.crossJoin(F.broadcast(names)).select("row", F.array_intersect("has", "_names").alias("has"))
             return packed(kept, f, self.classes)
@@ -78,7 +78,7 @@ class BinaryMatrix:
     def class_arrays(self) -> DataFrame | None:
         """``row, has`` with the classes of each row, where arrays are known."""
         of = self.features.where("class is not null")
-        if self.arrays is None or not _few(of):
+        if self.arrays is None or not few_features(of):
             return None
         named = of.agg(F.map_from_entries(F.collect_list(F.struct("feature", "class"))).alias("_of"))
         found = F.transform("has", lambda f: F.try_element_at("_of", f))
@@ -99,7 +99,7 @@ class BinaryMatrix:
         return BinaryMatrix(self.ones.unionByName(other.ones), self.rows, self.features.unionByName(other.features), self.classes)
 
 
-def _few(features: DataFrame) -> bool:
+def few_features(features: DataFrame) -> bool:
     return features.limit(FEW_FEATURES + 1).count() <= FEW_FEATURES
 
 
