@@ -33,7 +33,10 @@ def frequent_itemsets(m: BinaryMatrix, min_support: float = 0.1, longest: int |
     """
     from pyspark.ml.fpm import FPGrowth
 
-    rows = settled(m.by_row().select(F.col("has").alias("items")))
+    # Like rows lie together (a frequent one may fill several tasks), so that tasks' trees share few branches and what is
+    # exchanged grows with the patterns, not with patterns times tasks.
+    by = settled(m.by_row().select("row", F.array_sort("has").alias("items")))
+    rows = settled(by.repartitionByRange("items", F.xxhash64("row")).select("items"))
     n = rows.count()
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(rows).freqItemsets if n else rows.withColumn("freq", F.lit(0).cast("long")).limit(0)
     out = found.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"), (F.col("freq") / max(n, 1)).alias("support"))
