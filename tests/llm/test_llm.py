@@ -490,6 +490,34 @@ def test_network(spark):
     assert none.recall >= 0.97 and [k for _, k, _ in secrets.find_spans([f"{some(5)} {both[0][0]} {some(5)}"], none)[0][0]] == [3]
 
 
+def test_network_learns_all_findings(spark, monkeypatch):
+    """More findings than one shard, or 3,000 of a label: all are learned from, whatever the partitions, and planted secrets are found."""
+    r = random.Random(8)
+    rows = [(f'see token = "{"".join(r.choices("0123456789abcdef", k=40))}" here',) for _ in range(3_500)] + [(f"mail user{i}.name@mail{i}.example.com now",) for i in range(3_300)]
+    docs = spark.createDataFrame(rows, "text string").repartition(3)
+    looks = {x for k, x, _ in ((k, x, 0) for b in secrets._rows([pa.RecordBatch.from_pydict({"text": [t for t, in rows]})]) for k, x in zip(b.column("kind").to_pylist(), b.column("x").to_pylist()) if k < 2)}
+    monkeypatch.setattr(secrets, "SHARD", 5_000)
+    net = secrets.train(docs)
+    assert net.positives + net.negatives == len(looks) and net.positives > 3_000
+    again = secrets.train(docs.union(docs).repartition(7))
+    assert all(np.array_equal(getattr(net, n), getattr(again, n)) for n in net.NAMES) and net.threshold == again.threshold
+    both = [planted(r) for _ in range(100)]
+    hit = [[any(k == 3 for _, k, _ in spans) for spans, _ in secrets.find_spans([f"{x[1 - i][:9].lower()} is {x[i]} so" for x in both], net)] for i in (0, 1)]
+    assert net.recall >= 0.97 and sum(hit[0]) >= 90 and sum(hit[1]) <= 4
+
+
+def test_counts_calibrate_as_scores_do():
+    """The threshold from counts is the one that a search over all held-out scores finds."""
+    net, r = secrets.CharNetwork.new(1), np.random.default_rng(3)
+    x = r.integers(0, secrets.CLASSES, (400, secrets.LENGTH)).astype(np.uint8)
+    y = (net.logits(x) + r.normal(0, 0.5, 400) > np.median(net.logits(x))).astype(float)
+    net.calibrate(x, y, 0.9)
+    score = net.scores(x)
+    found = np.sort(score[y == 1])[: int((1 - 0.9) * y.sum()) + 1]
+    precise = [(y[score >= t] == 1).mean() for t in found]
+    assert net.threshold == found[int(np.argmax(precise))] and net.recall == (score[y == 1] >= net.threshold).mean() and net.precision == pytest.approx(max(precise))
+
+
 def test_long_runs_are_scored(spark):
     token = "eyJ" + "aB3_" * 9 + "." + "x-Y9" * 18 + "." + "Qz1k" * 10 + "ab"
     assert len(token) == 155
