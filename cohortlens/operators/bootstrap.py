@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import draws
 from ..functions.stats import ln_factorial
-from ..sources.matrix import BinaryMatrix
+from ..sources.matrix import BinaryMatrix, few_features
 from ..sources.shared import settled
 from . import ordering, pairs
 
@@ -355,6 +355,16 @@ def joint_intervals(m: BinaryMatrix, replicates: int = 1000, confidence: float =
 
 def feature_sums(m: BinaryMatrix, replicates: int, seed: int = 42) -> DataFrame:
     """``weight_sums`` by the features' ord and over all rows, settled: whatever reads them, the rows' draws are made once."""
-    has = m.ones.join(F.broadcast(m.features.select("feature", "ord")), "feature").groupBy("row").agg(F.collect_set("ord").alias("has"))
-    keyed = m.rows.join(has, "row", "left").select("row", F.concat(F.array(F.lit(ALL)), F.coalesce(F.col("has").cast("array<int>"), F.array().cast("array<int>"))).alias("keys"))
-    return settled(weight_sums(keyed, replicates, seed))
+    return settled(weight_sums(_feature_keys(m), replicates, seed))
+
+
+def _feature_keys(m: BinaryMatrix) -> DataFrame:
+    """row, keys: ``ALL`` and the ord of each feature of a row.  Where a row's array is known its features are looked up in it, without an exchange."""
+    if m.arrays is not None and few_features(m.features):
+        named = m.features.agg(F.map_from_entries(F.collect_list(F.struct("feature", "ord"))).alias("_of"))
+        found = F.transform("has", lambda f: F.try_element_at("_of", f))
+        has = m.arrays.crossJoin(F.broadcast(named)).select("row", F.array_distinct(F.array_compact(found)).alias("has"))
+    else:
+        has = m.ones.join(F.broadcast(m.features.select("feature", "ord")), "feature").groupBy("row").agg(F.collect_set("ord").alias("has"))
+        has = m.rows.join(has, "row", "left")
+    return has.select("row", F.concat(F.array(F.lit(ALL)), F.coalesce(F.col("has").cast("array<int>"), F.array().cast("array<int>"))).alias("keys"))

@@ -2,6 +2,7 @@
 
 import pytest
 
+from cohortlens.operators import bootstrap
 from cohortlens.sources import matrix
 
 
@@ -29,3 +30,14 @@ def test_rows_are_plain_sets(spark, tmp_path, strange):
     assert len(got) == len(want) and all(len(h) == len(set(h)) and set(h) == want[o] for o, h in got)
     plan = m.arrays._jdf.queryExecution().executedPlan().toString()
     assert ("ObjectHashAggregate" in plan) == bool(strange)  # sets that are collected are sorted and spill
+
+
+def test_sums_by_feature_take_the_rows_as_they_are(spark, tmp_path):
+    """One exchange makes the rows; looking features up needs no other, and the sums are those of the ones."""
+    written(spark, f"file://{tmp_path}", "")
+    m = matrix.star_matrix(spark, f"file://{tmp_path}")
+    keys = bootstrap._feature_keys(m)
+    plain = bootstrap._feature_keys(matrix.BinaryMatrix(m.ones, m.rows, m.features))
+    rows = lambda t: {r.row: sorted(r["keys"]) for r in t.collect()}
+    assert rows(keys) == rows(plain)
+    assert keys._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # the join with parts, and the rows
