@@ -6,28 +6,33 @@ only hints at a page part (related, share, widget).  Elsewhere it is *unmarked*.
 is *chrome* inside elements that say what they are (navigation, page headers, footers,
 sidebars, forms, adverts, notices, comments) or where it is mostly link text.
 
-All blocks but plain content make the page's stream.  The streams of a host are
+All blocks but plain content make the page's stream.  First the streams of a host are
 concatenated and their suffixes sorted by prefix doubling; neighbours that share a run of
 ``RUN`` tokens on ``PAGES`` distinct pages mark it as repeated, and marked runs that
 overlap join into maximal ones.  (Each longer repeated substring is the union of its runs
 of that length, so that sorting deeper would cover the same tokens.)  Equal streams are
 kept once with their number of pages; a host with many has several suffix arrays, whose
-counts of each run are added up over the host, so the host's size changes nothing.
+counts of each run are added up over the host, so the host's size changes nothing.  Then
+plain content is sorted in suffix arrays too, with the runs that are chrome on ``SHARE`` of
+the host's distinct pages or more (there are few: at most the runs of two mean pages).
 
 What the arrays decide:
 
 * unmarked blocks, on pages without content: repeated runs go, unique ones are the text;
-* weak blocks of an article: one that a maximal run covers wholly goes, any other stays.
+* weak blocks of an article: one that a maximal run covers wholly goes, any other stays;
+* plain content: a block of ``RUN`` words or more that maximal runs of such common chrome
+  cover wholly, and that is in articles of ``PAGES`` distinct pages, is a notice and goes.
 
-Plain content stays however often it is repeated, as passages are quoted and articles
-syndicated; chrome that markup names goes however rare it is, as an advert may be shown once.
+Other plain content stays however often it is repeated, as passages are quoted, articles
+syndicated and titles listed in sidebars; chrome that markup names goes however rare it is,
+as an advert may be shown once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -42,9 +47,13 @@ from .shingles import U64, mix
 
 #: Tokens of the shortest repeated run, and distinct pages it has to be on.
 RUN, PAGES = 8, 3
+#: Share of a host's distinct pages that have a run as chrome, from which on plain content made of such runs may be a notice.
+SHARE = 0.5
 #: Distinct streams of a host that meet in one suffix array; larger hosts are dealt by hash into several, whose counts are added up.
 DEAL = 256
-#: Pages whose article loses a block that are broadcast at most (some 100 bytes each); more of them are joined by an exchange.
+#: Words of plain content in one suffix array, about; a key tells a run in all of them.
+PART = 1 << 17
+#: Distinct pages whose article loses a block that are broadcast at most (some 100 bytes each); more of them are joined by an exchange.
 FEW_CHANGES = 200_000
 
 CHROME, CONTENT, UNMARKED, WEAK = range(4)
@@ -165,7 +174,7 @@ def page_blocks(html: str) -> list[tuple[int, bool, bool, str]]:
 
 @dataclass
 class PageParts:
-    """``blocks``: what may be in the text of a page with content, in page order (else none).
+    """``blocks``: what may be in the text of a page with content, in page order (else none); plain content and weak blocks.
 
     The stream: texts, roles, and which of ``blocks`` each one is (-1: none).
     """
@@ -190,7 +199,7 @@ def classify(html: str) -> PageParts:
 class SuffixArray:
     """Suffixes of a host's streams in order of their first ``run`` tokens; those that share them are one group.
 
-    ``pages`` counts the distinct pages of each group.
+    ``pages`` counts the distinct pages of each group, ``chrome`` those that have it in a chrome block.
     """
 
     names: list[str]  # distinct tokens; code 0 is beyond a block
@@ -201,6 +210,7 @@ class SuffixArray:
     head: np.ndarray
     group: np.ndarray
     pages: np.ndarray
+    chrome: np.ndarray
     run: int
 
     def keys(self) -> np.ndarray:
@@ -222,23 +232,24 @@ class SuffixArray:
         return [mark[e - n : e][self.real[e - n : e]] for e, n in zip(ends, self.tokens)]
 
 
-def suffix_array(streams: list[list[list[str]]], pages: list[int], run: int = RUN) -> SuffixArray:
-    """Of streams (blocks of tokens), each of so many distinct pages.
+def suffix_array(streams: list[list[list[str]]], pages: list[int], run: int = RUN, roles: list[bytes] | None = None) -> SuffixArray:
+    """Of streams (blocks of tokens), each of so many distinct pages; ``roles`` are those of its blocks (none: no chrome).
 
     A run has ``run`` tokens of one block, or is a whole shorter block.
     """
     names: dict[str, int] = {}
-    code, length, owner, real = [], [], [], []
+    code, length, owner, real, named = [], [], [], [], []
     for i, blocks in enumerate(streams):
-        for block in blocks:
+        for k, block in enumerate(blocks):
             n = max(run, len(block))
             code += [names.setdefault(t, len(names) + 1) for t in block] + [0] * (n - len(block))  # 0: beyond the block
             real += [True] * len(block) + [False] * (n - len(block))
             length.append(n)
             owner.append(i)
+            named.append(bool(roles) and roles[i][k] == CHROME)
     total, none = len(code), np.zeros(0, np.int64)
     if not total:
-        return SuffixArray([], none, none.astype(bool), np.zeros(len(streams), np.int64), none, none, none, none, run)
+        return SuffixArray([], none, none.astype(bool), np.zeros(len(streams), np.int64), none, none, none, none, none, run)
     code, size = np.array(code, np.int64), np.array(length)
     left = np.repeat(np.cumsum(size), size) - np.arange(total)  # tokens to the block's end
     stream = np.repeat(np.array(owner), size)
@@ -257,10 +268,14 @@ def suffix_array(streams: list[list[list[str]]], pages: list[int], run: int = RU
     head = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
     group = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(order)]))
     weight = np.array(pages, np.int64)
-    one = np.unique(group * len(streams) + stream[order])  # a stream counts once for a group
-    times = np.bincount(one // len(streams), weight[one % len(streams)], len(head)).astype(np.int64)
+    in_stream, in_chrome = group * len(streams) + stream[order], np.repeat(np.array(named), size)[order]
+
+    def times(places: np.ndarray) -> np.ndarray:
+        one = np.unique(places)  # a stream counts once for a group
+        return np.bincount(one // len(streams), weight[one % len(streams)], len(head)).astype(np.int64)
+
     tokens = np.bincount(owner, size, len(streams)).astype(np.int64)
-    return SuffixArray(list(names), code, np.array(real, bool), tokens, order, head, group, times, run)
+    return SuffixArray(list(names), code, np.array(real, bool), tokens, order, head, group, times(in_stream), times(in_stream[in_chrome]), run)
 
 
 def decide(stream: list[str], roles: list[int], places: list[int], content: int, repeated: np.ndarray) -> tuple[str | None, list[int]]:
@@ -283,6 +298,21 @@ def decide(stream: list[str], roles: list[int], places: list[int], content: int,
     return None, gone if len(gone) < content else []
 
 
+def notices(blocks: list[str], common: np.ndarray) -> list[int]:
+    """Which of a host's blocks of plain content the ``common`` runs (their keys) cover wholly; shorter ones than a run are none."""
+    out, part, size = [], [], 0
+    for k, text in enumerate(blocks):
+        tokens = text.split()
+        if len(tokens) >= RUN:
+            part.append((k, tokens))
+            size += len(tokens)
+        if part and (size >= PART or k == len(blocks) - 1):
+            found = suffix_array([[b] for _, b in part], [1] * len(part))
+            out += [i for (i, _), covered in zip(part, found.covered(np.isin(found.keys(), common))) if covered.all()]
+            part, size = [], 0
+    return out
+
+
 _PARSED = "blocks array<string>, stream array<string>, roles binary, places array<int>, page binary, stream_key binary"
 
 
@@ -316,15 +346,15 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def array_of(group: pa.Table) -> SuffixArray:
         streams = [[t.split() for t in x] for x in group.column("stream").to_pylist()]
-        return suffix_array(streams, group.column("pages").to_pylist())
+        return suffix_array(streams, group.column("pages").to_pylist(), roles=group.column("roles").to_pylist())
 
     def count(group: pa.Table) -> pa.Table:
-        # a host with one deal needs no sums
-        many = group.column("deals")[0].as_py() > 1
-        found = array_of(group if many else group.slice(0, 0))
-        key = found.keys()
-        same = [pa.array([group.column(c)[0].as_py()] * len(key), k) for c, k in (("host", pa.string()), ("deal", pa.int32()))]
-        return pa.table([*same, pa.array(key, pa.int64()), pa.array(found.pages, pa.int64())], ["host", "deal", "run", "pages"])
+        found, of = array_of(group), group.column("of")[0].as_py()
+        # a host with one deal needs no sums, only its common chrome
+        rows = slice(None) if group.column("deals")[0].as_py() > 1 else found.chrome >= max(PAGES, SHARE * of)
+        key = found.keys()[rows]
+        same = [pa.array([group.column(c)[0].as_py()] * len(key), k) for c, k in (("host", pa.string()), ("deal", pa.int32()), ("of", pa.int64()))]
+        return pa.table([*same, pa.array(key, pa.int64()), pa.array(found.pages[rows], pa.int64()), pa.array(found.chrome[rows], pa.int64())], ["host", "deal", "of", "run", "pages", "chrome"])
 
     def bare(group: pa.Table, often: pa.Table) -> pa.Table:
         found = array_of(group)
@@ -336,6 +366,16 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         taken = group.take(pa.array(rows, pa.int64()))
         return pa.table([taken.column("host"), taken.column("stream_key"), pa.array([made[i][0] for i in rows], pa.string()), pa.array([made[i][1] for i in rows], pa.list_(pa.int32()))], ["host", "stream_key", "text", "gone"])
 
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, blocks, places, common = (batch.column(c).to_pylist() for c in ("host", "blocks", "places", "common"))
+            plain = defaultdict(list)  # by host: page and place of each block
+            for i, (host, x, weak) in enumerate(zip(hosts, blocks, map(set, places))):
+                plain[host] += [(i, k) for k in range(len(x)) if k not in weak]
+            found = [at[n] for at in plain.values() if at for n in notices([blocks[i][k] for i, k in at], np.array(common[at[0][0]] or [], np.int64))]
+            taken = batch.select(["host", "page"]).take(pa.array([i for i, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array([k for _, k in found], pa.int32()), pa.array([_digest(blocks[i][k]) for i, k in found], pa.binary())], ["host", "page", "place", "block"])
+
     read = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     parsed = scratch.table(read.mapInArrow(tidy(parse), f"{kinds}, {_PARSED}"), "parsed")
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
@@ -346,18 +386,25 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     # The salt spreads a host with many streams until its number of deals is known.
     salt = F.pmod(F.xxhash64("stream_key"), F.lit(partitions(spark))).cast("int")
     streams = scratch.table(once.join(times, ["host", "stream_key"]).withColumn("salt", salt), "streams")
-    part = streams.groupBy("host", "salt").agg(F.count("*").alias("n"))
-    sizes = part.groupBy("host").agg(F.ceil(F.sum("n") / DEAL).cast("int").alias("deals"))
+    part = streams.groupBy("host", "salt").agg(F.count("*").alias("n"), F.sum("pages").alias("of"))
+    sizes = part.groupBy("host").agg(F.ceil(F.sum("n") / DEAL).cast("int").alias("deals"), F.sum("of").alias("of"))
     dealt = streams.join(part.select("host", "salt").join(sizes, "host"), ["host", "salt"]).drop("salt")
     dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("stream_key", F.lit(1)), F.col("deals")).cast("int"))
-    runs = scratch.table(dealt.groupBy("host", "deal").applyInArrow(count, "host string, deal int, run long, pages long"), "runs")
-    total = runs.groupBy("host", "run").agg(F.sum("pages").alias("total")).where(F.col("total") >= PAGES)
-    often = runs.where(F.col("pages") < PAGES).join(total, ["host", "run"]).select("host", "deal", "run")
+    runs = scratch.table(dealt.groupBy("host", "deal").applyInArrow(count, "host string, deal int, of long, run long, pages long, chrome long"), "runs")
+    total = runs.groupBy("host", "run").agg(F.sum("pages").alias("total"), F.sum("chrome").alias("named"), F.first("of").alias("of"))
+    often = runs.where(F.col("pages") < PAGES).join(total.where(F.col("total") >= PAGES), ["host", "run"]).select("host", "deal", "run")
     made = scratch.table(dealt.groupBy("host", "deal").cogroup(often.groupBy("host", "deal")).applyInArrow(bare, "host string, stream_key binary, text string, gone array<int>"), "made")
     bared = parsed.where("content = 0").select("id", "url", "host", "stream_key").join(made.where("text is not null").select("host", "stream_key", "text"), ["host", "stream_key"]).select("id", "url", "text")
-    changes = made.where("text is null").select("host", "stream_key", "gone")
+    # Plain content goes through suffix arrays where it lies: only the few runs of its host's common chrome are brought to it.
+    common = scratch.table(total.where((F.col("named") >= PAGES) & (F.col("named") >= F.col("of") * SHARE)).groupBy("host").agg(F.collect_list("run").alias("common")), "common")
+    full = parsed.where("content > 0")
+    covered = scratch.table(full.select("host", "page", "blocks", "places").join(common, "host", "left").mapInArrow(tidy(cover), "host string, page binary, place int, block binary"), "covered").distinct()
+    notes = covered.groupBy("host", "block").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= PAGES)
+    lost = covered.join(notes, ["host", "block"]).select("host", "page", F.array("place").alias("gone"))
+    weak = made.where("text is null").join(full.select("host", "stream_key", "page").distinct(), ["host", "stream_key"]).select("host", "page", "gone")
+    changes = scratch.table(weak.union(lost).groupBy("host", "page").agg(F.flatten(F.collect_list("gone")).alias("gone")), "changes")
     small = changes.limit(FEW_CHANGES + 1).count() <= FEW_CHANGES
-    marked = parsed.where("content > 0").select("id", "url", "host", "stream_key", "blocks").join(F.broadcast(changes) if small else changes.hint("merge"), ["host", "stream_key"], "left")
+    marked = full.select("id", "url", "host", "page", "blocks").join(F.broadcast(changes) if small else changes.hint("merge"), ["host", "page"], "left")
     left = F.filter("blocks", lambda _, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
-    both = marked.select("id", "url", F.array_join(left, "\n\n").alias("text")).union(bared)
+    both = marked.select("id", "url", F.array_join(F.when(F.size(left) > 0, left).otherwise(F.col("blocks")), "\n\n").alias("text")).union(bared)
     return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -902,6 +902,55 @@ def test_arrays_decide_in_articles(spark, monkeypatch):
     assert all((worse[i] == want[i]) == (i % 2 == 0) and (offer in worse[i]) == (i % 2 == 1) for i in want)
 
 
+def test_plain_content_goes_through_the_arrays(spark, monkeypatch):
+    """A notice that the template also puts into articles without naming it goes; what only looks like one stays."""
+    notice = "read all of our stories without adverts for one coin a week"
+    listed = "the long title of a story that all sidebars list here"
+    quoted = "this passage is quoted in every article of the host as it stands here"
+    rare = "an advert of some words that is on three pages of the host"
+    words = lambda i, k: " ".join(f"w{i}x{k}x{j}" for j in range(12))
+    chrome = lambda i: f"<div class=notice>Dear reader, {notice} and more</div><aside>{listed}</aside>" + (f"<div class=ad>{rare}</div>" if i < 3 else "")
+    title = lambda i: listed if i == 7 else f"Title {i}"
+    page = lambda i: (f"<body>{chrome(i)}<article><h1>{title(i)}</h1><p>{words(i, 0)}</p>" + (f"<p>{notice}</p>" if i % 3 else "") + f"<p>{quoted}</p>"
+                      + (f"<p>{rare}</p>" if i > 15 else "") + f"<div class=related>{words(i, 2)}</div><p>{words(i, 1)} {notice}</p></article></body>")
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(20)] + [(i, f"http://h.example/{i}", page(i)) for i in range(5)]
+    # in two articles only; an article of nothing else; copies count as one page
+    other = lambda i, inside: f"<body><div class=notice>{notice}</div><article>{inside}</article></body>"
+    rows += [(100 + i, f"http://two.example/{i}", other(i, f"<p>{words(i, 0)}</p>" + (f"<p>{notice}</p>" if i < 2 else ""))) for i in range(6)] + [(100, "http://two.example/0", other(0, f"<p>{words(0, 0)}</p><p>{notice}</p>"))] * 3
+    rows += [(200 + i, f"http://only.example/{i}", other(i, f"<p>{notice}</p>" + (f"<p>{words(i, 0)}</p>" if i else ""))) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    tail = lambda i: [quoted] + [rare] * (i > 15) + [words(i, 2), f"{words(i, 1)} {notice}"]
+    want = {i: "\n\n".join([title(i), words(i, 0), *tail(i)]) for i in range(20)} | {100 + i: words(i, 0) + f"\n\n{notice}" * (i < 2) for i in range(6)} | {200 + i: words(i, 0) if i else notice for i in range(4)}
+    for deal, few in ((256, 200_000), (4, 2), (1, 2)):
+        monkeypatch.setattr(html_extract, "DEAL", deal)
+        monkeypatch.setattr(html_extract, "FEW_CHANGES", few)
+        got = html_extract.extract_main_text(df).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+    monkeypatch.setattr(html_extract, "SHARE", 2.0)  # no run is common
+    worse = {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()}
+    assert {i for i in want if worse[i] != want[i]} == {i for i in range(20) if i % 3} | {201, 202, 203}
+
+
+def test_notices_in_parts(monkeypatch):
+    blocks = ["a b c d e f g h i", "a b c", "a b c d e f g h x", "b c d e f g h i", "", "i a b c d e f g h", "a b"]
+    common = html_extract.suffix_array([["a b c d e f g h i".split()]], [1]).keys()
+    for part in (1 << 17, 9, 1):
+        monkeypatch.setattr(html_extract, "PART", part)
+        assert html_extract.notices(blocks, common) == [0, 3] and html_extract.notices(blocks, common[:0]) == [] and html_extract.notices(blocks[1:2], common) == []
+
+
+def test_chrome_counts_by_brute_force():
+    r = random.Random(9)
+    streams = [[[r.choice("ab") for _ in range(r.randint(1, 12))] for _ in range(r.randint(0, 4))] for _ in range(10)]
+    roles, pages = [bytes(r.choice((html_extract.CHROME, html_extract.WEAK)) for _ in x) for x in streams], [r.randint(1, 3) for _ in streams]
+    found = html_extract.suffix_array(streams, pages, 5, roles)
+    cut = lambda b: {tuple(b)} if len(b) < 5 else {tuple(b[i : i + 5]) for i in range(len(b) - 4)}
+    for at, total, named in zip(found.order[found.head], found.pages, found.chrome):
+        run = tuple(found.names[c - 1] for c in found.code[at : at + 5] if c)
+        assert total == sum(n for x, n in zip(streams, pages) if any(run in cut(b) for b in x))
+        assert named == sum(n for x, k, n in zip(streams, roles, pages) if any(run in cut(b) for b, c in zip(x, k) if c == html_extract.CHROME))
+
+
 def test_large_hosts_lose_the_same_note(spark):
     """A note on three pages goes from a host of 2,000 pages as it does from one of 200."""
     note = "the office is closed on the first monday of each month"
