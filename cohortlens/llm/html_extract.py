@@ -308,7 +308,8 @@ def notices(blocks: list[str], common: np.ndarray) -> list[int]:
             size += len(tokens)
         if part and (size >= PART or k == len(blocks) - 1):
             found = suffix_array([[b] for _, b in part], [1] * len(part))
-            out += [i for (i, _), covered in zip(part, found.covered(np.isin(found.keys(), common))) if covered.all()]
+            known = np.isin(found.keys(), common) if len(common) else np.zeros(len(found.head), bool)
+            out += [i for (i, _), covered in zip(part, found.covered(known)) if covered.all()]
             part, size = [], 0
     return out
 
